@@ -53,36 +53,47 @@ MONTH = (r"(?:January|February|March|April|May|June|July|August|September|Octobe
 HONORIFIC = r"(?:Mr\.?|Mrs\.?|Ms\.?|Miss)"
 ANY_CAP = r"[A-Z][a-zA-Z]+"
 
+BOUND = r"\b"
 D = r"[0-9](?<=\b[0-9])"                 # first digit of a word; quicker to reject than \b[0-9]
 MONTH_WORDS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 RELATIVES = ("mother", "father", "sister", "brother", "spouse", "wife", "husband", "son",
              "daughter", "parent")
 HONORIFICS = ("mr", "ms", "miss")
 
+
+def _word(first: str, words: str, after: str, boundary: str = "") -> str:
+    """One of the words, followed by ``after``, which is not consumed.
+
+    Only places with a fitting first letter are looked at closely, which makes the scan several
+    times faster than a plain alternation.
+    """
+    return rf"[{first}](?<=(?={boundary}(?:{words}){after}).)[A-Za-z]*"
+
+
 NAME_RULES = [
     Rule("NAME", 101, rf"(Name:{WS}*)({ANY_CAP}(?:{GAP}{ANY_CAP})*+)()", 0.95, True,
          guard=("name:",)),
     Rule("NAME", 102, rf"(Patient:{WS}*)({ANY_CAP}(?:{GAP}{ANY_CAP})*+)()", 0.95, True,
          guard=("patient:",)),
     Rule("NAME", 103, rf"\b{HONORIFIC}{GAP}{CAP}(?:{GAP}{CAP})?\b", 0.95, guard=HONORIFICS),
-    Rule("NAME", 104, rf"(\b(?i:{'|'.join(RELATIVES)}){WS}+)({FULL})()", 0.95, True,
-         guard=RELATIVES),
+    Rule("NAME", 104,
+         rf"({_word('MmFfSsBbWwHhDdPp', '(?i:' + '|'.join(RELATIVES) + ')', WS, BOUND)}{WS}+)"
+         rf"({FULL})()", 0.95, True, guard=RELATIVES),
     Rule("NAME", 105,
          rf"(\b)({CAP}{GAP}{CAP})(?={WS}*(?:DOB|Phone|Address|,|\n|\z|works|lives|employed|called"
          r"|contacted|visited))()", 0.95, True),
-    Rule("NAME", 106, rf"((?:[Hh](?i:ello|i|ey)|[Dd](?i:ear)){WS}+)({CAP})()", 0.95, True,
+    Rule("NAME", 106, rf"({_word('HhDd', '(?i:Hello|Hi|Dear|Hey)', WS)}{WS}+)({CAP})()", 0.95, True,
          guard=("hello", "hi", "dear", "hey")),
     Rule("NAME", 107, rf"({HONORIFIC}{WS}+)({CAP})({WS}|,|\.)", 0.95, True, guard=HONORIFICS),
-    Rule("NAME", 108, rf"((?i:called|named|contacted){WS}+)({FULL})()", 0.95, True,
-         guard=("called", "named", "contacted")),
+    Rule("NAME", 108, rf"({_word('CcNn', '(?i:called|named|contacted)', WS)}{WS}+)({FULL})()", 0.95,
+         True, guard=("called", "named", "contacted")),
     Rule("NAME", 109,
          rf"(\.{WS}+)({CAP})({WS}*[:,]|{WS}+(?:how|are|is|was|has|had|will|would|can|could"
          r"|should))", 0.95, True, guard=(".",)),
     Rule("NAME", 110,
          rf"(\A)({CAP})({WS}*[:,]|{WS}+(?:how|are|is|was|has|had|will|would|can|could|should))",
          0.95, True),
-    Rule("NAME", 111, rf"(\A)({CAP}{GAP}{CAP})(\n?\z)", 0.95, True),
-    Rule("NAME", 112, rf"(\A)({CAP}{GAP}{CAP}{GAP}{CAP})(\n?\z)", 0.95, True),
+    Rule("NAME", 111, rf"(\A)({CAP}{GAP}{CAP}(?:{GAP}{CAP})?)(\n?\z)", 0.95, True),
 ]
 
 # These all need a digit somewhere in the text.
@@ -155,9 +166,11 @@ OTHER_RULES = [
 ]
 
 # Care providers, whose names stay: title + names, or names + credential.
+_AFTER_TITLE = r"[.:]?[ \t]"
 _TITLE = "|".join(t.replace(".", r"\.?") for t in PROVIDER_TITLES)
 PROVIDER_RULES = [
-    Rule("PROVIDER", 1, rf"\b(?:{_TITLE})[.:]?{GAP}{FULL}", 1.0),
+    Rule("PROVIDER", 1,
+         rf"{_word('CDMNOPRST', _TITLE, _AFTER_TITLE, BOUND)}\.?[.:]?{GAP}{FULL}", 1.0),
     Rule("PROVIDER", 2, rf"\b{FULL},{GAP.replace('+', '*')}(?:{'|'.join(CREDENTIALS)})\b", 1.0,
          guard=(",",)),
 ]

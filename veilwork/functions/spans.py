@@ -7,6 +7,7 @@ and one ``aggregate`` adds up the lengths of the pieces, which gives exact chara
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,145 +35,142 @@ def no_spans() -> Column:
     return F.array().cast(SPANS_TYPE)
 
 
-def clean(text: Column) -> Column:
-    """The text with the two marker characters blanked; the length does not change."""
-    return F.replace(F.replace(text, F.lit(_CUT), F.lit(" ")), F.lit(_LABEL), F.lit(" "))
+# The detectors are put together as SQL text: a rule set is one expression of a thousand nodes,
+# which the parser builds in one call.
+
+_NONE = f"cast(array() as {SPANS_TYPE})"
+_NON_NAME = "|".join(t.lower() for t in vocab.NON_NAME_TERMS)
+
+
+def _text(value: str) -> str:
+    """A raw SQL string literal."""
+    if "'" in value:
+        raise ValueError("patterns and words must not contain a quote")
+    return f"r'{value}'"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _contains_any(text: Column, words: Sequence[str]) -> Column:
-    test = F.contains(text, F.lit(words[0]))
-    for word in words[1:]:
-        test = test | F.contains(text, F.lit(word))
-    return test
+def _any_of(text: str, words: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {_text(w)})" for w in words) + ")"
 
 
-def _marked(body: Column, low: Column, has_digit: Column, rule: Rule) -> Column:
-    """The rule and the text with its matches marked; null when a guard rules a match out."""
+def clean_sql(text: str) -> str:
+    """The text with the two marker characters blanked; the length does not change."""
+    return f"replace(replace({text}, '{_CUT}', ' '), '{_LABEL}', ' ')"
+
+
+def _marked(rule: Rule) -> str:
+    """The rule, and the text with its matches marked; null when a guard rules a match out.
+
+    Refers to the lambda variables ``body`` and ``t`` (``t.low``, ``t.digit``).
+    """
     mark = f"{_LABEL}$1{_CUT}$2{_CUT}$3" if rule.labelled else f"{_CUT}$0{_CUT}"
-    marked = F.regexp_replace(body, F.lit(rule.pattern), F.lit(mark))
+    marked = f"regexp_replace(body, {_text(rule.pattern)}, {_text(mark)})"
     tests = []
     if rule.ord in _DIGIT_ORDS:
-        tests.append(has_digit)
+        tests.append("t.digit")
     if rule.guard:
-        tests.append(_contains_any(low, rule.guard))
+        tests.append(_any_of("t.low", rule.guard))
     if rule.guard_regex:
-        tests.append(body.rlike(rule.guard_regex))
+        tests.append(f"body rlike {_text(rule.guard_regex)}")
     if tests:
-        guard = tests[0]
-        for t in tests[1:]:
-            guard = guard & t
-        marked = F.when(guard, marked)
-    return F.struct(
-        F.lit(rule.type).alias("type"), F.lit(rule.score).cast("double").alias("score"),
-        F.lit(rule.ord).alias("ord"), F.lit(rule.label_counts).alias("label_counts"),
-        marked.alias("marked"))
-
-
-def _cut(rule: Column) -> Column:
-    """The spans of one marked text, in text order."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.lit(0).alias("label"),
-                     no_spans().alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        span = F.struct(
-            acc["at"].alias("begin"), end.alias("end"), rule["type"].alias("type"),
-            piece.alias("original"), rule["score"].alias("score"), rule["ord"].alias("ord"),
-            (F.length(piece) + acc["label"]).alias("weight"))
-        has_label = F.contains(piece, F.lit(_LABEL))
-        return F.when(
-            acc["hit"],
-            F.struct(end.alias("at"), F.lit(False).alias("hit"), F.lit(0).alias("label"),
-                     F.concat(acc["out"], F.array(span)).alias("out"))
-        ).otherwise(
-            F.struct(
-                (end - has_label.cast("int")).alias("at"), F.lit(True).alias("hit"),
-                F.when(rule["label_counts"] & has_label,
-                       F.length(F.substring_index(piece, _LABEL, -1))).otherwise(0).alias("label"),
-                acc["out"].alias("out")))
-
-    return F.aggregate(F.split(rule["marked"], _CUT, -1), start, step, lambda acc: acc["out"])
-
-
-def _find(body: Column, low: Column, has_digit: Column, rules: Sequence[Rule]) -> Column:
-    """The spans of several rules; only texts that a rule marked are cut."""
-    marked = F.array(*[_marked(body, low, has_digit, r) for r in rules])
-    hits = F.filter(marked, lambda m: F.contains(m["marked"], F.lit(_CUT)))
-    spans = F.flatten(F.transform(hits, _cut))
-    if any(r.check == "insurance_context" for r in rules):
-        ords = [r.ord for r in rules if r.check == "insurance_context"]
-        spans = F.filter(spans, lambda s: ~s["ord"].isin(ords) | _near_insurance_word(low, s))
+        marked = f"CASE WHEN {' AND '.join(tests)} THEN {marked} END"
+    return (f"named_struct('type', '{rule.type}', 'score', {rule.score}D, 'ord', {rule.ord}, "
+            f"'label_counts', {str(rule.label_counts).lower()}, 'marked', {marked})")
+
+
+# The spans of one marked text ``m``, in text order.
+_CUT_UP = f"""aggregate(split(m.marked, '{_CUT}', -1),
+  named_struct('at', 0, 'hit', false, 'label', 0, 'out', {_NONE}),
+  (acc, p) -> CASE
+    WHEN acc.hit THEN named_struct('at', acc.at + length(p), 'hit', false, 'label', 0,
+      'out', concat(acc.out, array(named_struct(
+        'begin', acc.at, 'end', acc.at + length(p), 'type', m.type, 'original', p,
+        'score', m.score, 'ord', m.ord, 'weight', length(p) + acc.label))))
+    WHEN contains(p, '{_LABEL}') THEN named_struct('at', acc.at + length(p) - 1, 'hit', true,
+      'label', CASE WHEN m.label_counts THEN length(substring_index(p, '{_LABEL}', -1)) ELSE 0 END,
+      'out', acc.out)
+    ELSE named_struct('at', acc.at + length(p), 'hit', true, 'label', 0, 'out', acc.out) END,
+  acc -> acc.out)"""
+
+
+def _find(rules: Sequence[Rule]) -> str:
+    """The spans of several rules; only texts that a rule marked are cut up."""
+    marked = ", ".join(_marked(r) for r in rules)
+    spans = (f"flatten(transform(filter(array({marked}), m -> contains(m.marked, '{_CUT}')), "
+             f"m -> {_CUT_UP}))")
+    near = [str(r.ord) for r in rules if r.check == "insurance_context"]
+    if near:
+        reach = vocab.INSURANCE_CONTEXT_CHARS
+        left = f"greatest(s.begin - {reach}, 0)"
+        context = f"substring(t.low, {left} + 1, s.end + {reach} - {left})"
+        spans = (f"filter({spans}, s -> s.ord NOT IN ({', '.join(near)}) "
+                 f"OR {_any_of(context, vocab.INSURANCE_CONTEXT_WORDS)})")
     return spans
 
 
-def _near_insurance_word(low: Column, s: Column) -> Column:
-    reach = vocab.INSURANCE_CONTEXT_CHARS
-    left = F.greatest(s["begin"] - reach, F.lit(0))
-    near = F.substring(low, left + 1, s["end"] + reach - left)
-    return _contains_any(near, vocab.INSURANCE_CONTEXT_WORDS)
-
-
-def has_non_name_term(name: Column) -> Column:
-    """True when a whole word of the phrase is a medical or calendar term."""
-    words = "|".join(t.lower() for t in vocab.NON_NAME_TERMS)
-    return F.lower(name).rlike(rf"\b(?:{words})\b")
+def _keep_names(candidates: str) -> str:
+    """Drop candidates that are medical terms, lie in a provider's name, or repeat an earlier one.
 
+    Providers are only looked for in texts that have a candidate left.
+    """
+    terms_out = f"filter({candidates}, s -> NOT {non_name_sql('s.original')})"
+    fenced = _let("fences", _find(PROVIDER_RULES),
+                  "filter(named, s -> NOT exists(fences, "
+                  "f -> s.begin >= f.begin AND s.end <= f.end))")
+    once = (f"aggregate({fenced}, {_NONE}, (acc, s) -> CASE WHEN exists(acc, "
+            "k -> k.begin <= s.begin AND k.end >= s.end) THEN acc ELSE concat(acc, array(s)) END)")
+    return _let("named", terms_out, f"CASE WHEN size(named) = 0 THEN named ELSE {once} END")
 
-def provider_spans(text: Column) -> Column:
-    """Where care providers are named."""
-    return let(clean(text), lambda body: _find(body, F.lower(body), F.lit(True), PROVIDER_RULES))
 
+def non_name_sql(phrase: str) -> str:
+    """True when a word of the phrase is a medical or calendar term, or the phrase is a label."""
+    return (rf"(lower({phrase}) rlike r'\b(?:{_NON_NAME})\b' OR {phrase} IN "
+            f"({', '.join(_text(w) for w in vocab.LABEL_WORDS)}))")
 
-def outside(spans: Column, fences: Column) -> Column:
-    """The spans that do not lie inside a fence."""
-    return F.filter(spans, lambda s: ~F.exists(
-        fences, lambda f: (s["begin"] >= f["begin"]) & (s["end"] <= f["end"])))
 
+def _with_text(text: str, body: str) -> str:
+    return (f"CASE WHEN {text} IS NOT NULL THEN " + _let("body", clean_sql(text), _let(
+        "t", "named_struct('low', lower(body), 'digit', body rlike '[0-9]')", body)) + " END")
 
-def not_repeated(spans: Column) -> Column:
-    """The spans that do not lie inside an earlier one of the same array."""
-    return F.aggregate(
-        spans, no_spans(),
-        lambda acc, s: F.when(
-            F.exists(acc, lambda k: (k["begin"] <= s["begin"]) & (k["end"] >= s["end"])), acc)
-        .otherwise(F.concat(acc, F.array(s))))
 
+@lru_cache(maxsize=None)
+def detect_sql(text: str, rules: tuple[Rule, ...]) -> str:
+    """All spans the rules find in a text expression, overlaps included; null for a null text."""
+    names = [r for r in rules if r.ord in _NAME_ORDS]
+    others = [r for r in rules if r.ord not in _NAME_ORDS]
+    parts = []
+    if names:
+        parts.append(_keep_names(_find(names)))
+    if others:
+        parts.append(_find(others))
+    return _with_text(text, parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})")
 
-def keep_names(body: Column, low: Column, candidates: Column) -> Column:
-    """Drop candidates that are medical terms, lie in a provider's name, or repeat another.
 
-    Providers are only looked for in texts that have a candidate left.
-    """
-    terms_out = F.filter(candidates, lambda s: ~has_non_name_term(s["original"]))
-    return let(terms_out, lambda named: F.when(F.size(named) == 0, named).otherwise(
-        not_repeated(let(_find(body, low, F.lit(True), PROVIDER_RULES),
-                         lambda fences: outside(named, fences)))))
+def detect(text: str, rules: Sequence[Rule]) -> Column:
+    return F.expr(detect_sql(text, tuple(rules)))
 
 
-def detect(text: Column, rules: Sequence[Rule]) -> Column:
-    """All spans the rules find in a text column, overlaps included; null for a null text."""
-    names = [r for r in rules if r.ord in _NAME_ORDS]
-    others = [r for r in rules if r.ord not in _NAME_ORDS]
+def raw_matches(text: str, rules: Sequence[Rule]) -> Column:
+    """Matches of the rules before the name filters, for inspection and for the filters' queries."""
+    return F.expr(_with_text(text, _find(rules)))
 
-    def found(body: Column, low: Column, has_digit: Column) -> Column:
-        parts = []
-        if names:
-            parts.append(keep_names(body, low, _find(body, low, has_digit, names)))
-        if others:
-            parts.append(_find(body, low, has_digit, others))
-        return parts[0] if len(parts) == 1 else F.concat(*parts)
 
-    return F.when(text.isNotNull(), let(clean(text), lambda body: let(
-        F.struct(F.lower(body).alias("low"), body.rlike("[0-9]").alias("digit")),
-        lambda t: found(body, t["low"], t["digit"]))))
+def provider_spans(text: str) -> Column:
+    """Where care providers are named."""
+    return raw_matches(text, PROVIDER_RULES)
 
 
 # ---- overlap resolution -----------------------------------------------------------------------
 
 def _rank(s: Column) -> Column:
-    """Sort key: better score, then longer, then earlier rule, then earlier place."""
-    return F.struct((-s["score"]).alias("a"), (-s["weight"]).alias("b"), s["ord"].alias("c"),
-                    s["begin"].alias("d"), s.alias("span"))
+    """Sort key: better score, longer match, longer identifier, earlier rule, earlier place."""
+    return F.struct((-s["score"]).alias("a"), (-s["weight"]).alias("b"),
+                    (s["begin"] - s["end"]).alias("c"), s["ord"].alias("d"),
+                    s["begin"].alias("e"), s.alias("span"))
 
 
 def _greedy(run: Column) -> Column:

@@ -39,6 +39,14 @@ NON_NAME_TERMS = [
     "Clinical", "Trial", "Research", "Protocol", "Standard", "Guideline",
 ]
 
+# Words that label a field ("Patient: ..."). A label is not a name, and stays in the text.
+LABEL_WORDS = [
+    "Patient", "Name", "Address", "Home", "Phone", "Fax", "Email", "Doctor", "Provider", "Nurse",
+    "Diagnosis", "Medications", "Medication", "Labs", "Insurance", "Member", "Policy", "License",
+    "Certificate", "Plate", "Serial", "Device", "Pacemaker", "Pump", "Implant", "Fingerprint",
+    "Retinal", "Voiceprint", "Employee", "Age", "Date", "Account",
+]
+
 # --- fixed values: medical content keywords (substring test) ------------------------------------
 MEDICAL_KEYWORDS = [
     "diabetes", "hypertension", "depression", "anxiety", "dementia",
@@ -90,6 +98,44 @@ IDENTIFIER_KEY_WORDS = [
 ]
 PROVIDER_KEY_WORDS = ["provider", "doctor", "physician", "clinician", "therapist"]
 
+# Key words that give a field its type; the first row that fits wins. An IP address is tested
+# before an address, and as a word of its own, since "ip" is part of many words.
+IP_KEY_PATTERN = r"(?:^|[^a-z])ip[^a-z]?address"
+KEY_TYPES = [
+    ("PHONE_NUMBER", ["phone", "tel", "mobile", "cell", "fax"]),
+    ("EMAIL", ["email"]),
+    ("ADDRESS", ["address"]),
+    ("SSN", ["ssn", "social"]),
+    ("MRN", ["mrn", "medical_record", "patient_id"]),
+    ("DATE", ["date", "dob", "birth"]),
+    ("ZIP", ["zip"]),
+    ("INSURANCE_ID", ["insurance", "member", "policy", "beneficiary"]),
+    ("LICENSE_NUMBER", ["license", "certificate"]),
+    ("DEVICE_ID", ["device", "serial", "implant"]),
+    ("URL", ["url", "website"]),
+    ("EMPLOYEE_ID", ["employee_id", "eid", "staff_id"]),
+    ("VEHICLE_ID", ["vehicle", "vin", "plate"]),
+    ("BIOMETRIC_ID", ["fingerprint", "retinal", "voiceprint", "biometric"]),
+    ("CLINICAL_TRIAL_ID", ["trial"]),
+]
+# The same for a field and its value together: fewer words, then the table above.
+FIELD_TYPES = [
+    ("PHONE_NUMBER", ["phone", "tel", "mobile", "cell", "fax"]),
+    ("EMAIL", ["email"]),
+    ("ADDRESS", ["address"]),
+    ("SSN", ["ssn", "social"]),
+    ("MRN", ["mrn", "medical_record", "patient_id"]),
+    ("DATE", ["date", "dob"]),
+    ("ZIP", ["zip"]),
+    ("INSURANCE_ID", ["insurance", "member", "policy"]),
+    ("LICENSE_NUMBER", ["license", "certificate"]),
+    ("DEVICE_ID", ["device", "serial"]),
+    ("URL", ["url", "website"]),
+    ("EMPLOYEE_ID", ["employee_id", "eid", "staff_id"]),
+]
+TRIAL_VALUE_WORDS = ["nct", "clinical"]
+PROFILE_CONTACT_WORDS = ["phone", "email", "ssn", "mrn", "insurance"]
+
 # --- fixed values: purposes that stand for consent ---------------------------------------------
 VALID_PURPOSES = ["healthcare_provision", "emergency_care", "quality_improvement"]
 DEFAULT_PURPOSE = "healthcare_provision"
