@@ -48,9 +48,12 @@ CAP = r"[A-Z][a-z]+"                     # a capitalised word
 FULL = rf"{CAP}(?:{GAP}{CAP})*+"
 ID = r"[A-Z0-9-]*[0-9][A-Z0-9-]*"        # an identifier body with at least one digit
 MON = r"(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-MONTH = (r"(?:January|February|March|April|May|June|July|August|September|October|November"
-         r"|December)")
-HONORIFIC = r"(?:Mr\.?|Mrs\.?|Ms\.?|Miss)"
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September",
+          "October", "November", "December")
+MRN_LABELS = ("MRN", "mrn", "Medical Record Number")
+PATIENT_LABELS = ("Patient ID", "patient id")
+BIOMETRICS = ("Fingerprint", "Retinal", "Voiceprint", "Facial Recognition")
+HONORIFIC = r"(?:r\.?|rs\.?|s\.?|iss)"   # Mr, Mrs, Ms, Miss after the M
 ANY_CAP = r"[A-Z][a-zA-Z]+"
 
 BOUND = r"\b"
@@ -70,12 +73,26 @@ def _word(first: str, words: str, after: str, boundary: str = "") -> str:
     return rf"[{first}](?<=(?={boundary}(?:{words}){after}).)[A-Za-z]*"
 
 
+def _start(words: str | tuple[str, ...], fold: bool = True) -> str:
+    """One of the words at a word boundary, found by its first letter. Nothing beyond is consumed.
+
+    The same as ``\\b(?i:word|...)``, but several times faster: the letter is tried first.
+    """
+    words = (words,) if isinstance(words, str) else words
+    first = [w[0].upper() + w[0].lower() if fold else w[0] for w in words]
+    firsts = "".join(sorted(set("".join(first))))
+    flag = "?i:" if fold else "?:"
+    rests = "|".join(rf"(?<=[{f}]){w[1:]}" for f, w in zip(first, words))
+    return rf"[{firsts}](?<=\b.)({flag}{rests})"
+
+
 NAME_RULES = [
     Rule("NAME", 101, rf"(Name:{WS}*)({ANY_CAP}(?:{GAP}{ANY_CAP})*+)()", 0.95, True,
          guard=("name:",)),
     Rule("NAME", 102, rf"(Patient:{WS}*)({ANY_CAP}(?:{GAP}{ANY_CAP})*+)()", 0.95, True,
          guard=("patient:",)),
-    Rule("NAME", 103, rf"\b{HONORIFIC}{GAP}{CAP}(?:{GAP}{CAP})?\b", 0.95, guard=HONORIFICS),
+    Rule("NAME", 103, rf"M(?<=\bM){HONORIFIC}{GAP}{CAP}(?:{GAP}{CAP})?\b", 0.95,
+         guard=HONORIFICS),
     Rule("NAME", 104,
          rf"({_word('MmFfSsBbWwHhDdPp', '(?i:' + '|'.join(RELATIVES) + ')', WS, BOUND)}{WS}+)"
          rf"({FULL})()", 0.95, True, guard=RELATIVES),
@@ -84,7 +101,7 @@ NAME_RULES = [
          r"|contacted|visited))()", 0.95, True),
     Rule("NAME", 106, rf"({_word('HhDd', '(?i:Hello|Hi|Dear|Hey)', WS)}{WS}+)({CAP})()", 0.95, True,
          guard=("hello", "hi", "dear", "hey")),
-    Rule("NAME", 107, rf"({HONORIFIC}{WS}+)({CAP})({WS}|,|\.)", 0.95, True, guard=HONORIFICS),
+    Rule("NAME", 107, rf"(M{HONORIFIC}{WS}+)({CAP})({WS}|,|\.)", 0.95, True, guard=HONORIFICS),
     Rule("NAME", 108, rf"({_word('CcNn', '(?i:called|named|contacted)', WS)}{WS}+)({FULL})()", 0.95,
          True, guard=("called", "named", "contacted")),
     Rule("NAME", 109,
@@ -99,9 +116,10 @@ NAME_RULES = [
 # These all need a digit somewhere in the text.
 DIGIT_RULES = [
     Rule("PHONE_NUMBER", 301,
-         rf"(?:\+1[-.{S}]?|\b1[-.{S}]?|\b)[0-9]{{3}}[-.{S}]?[0-9]{{3}}[-.{S}]?[0-9]{{4}}\b", 0.95),
+         rf"(?:\+1[-.{S}]?[0-9]{{3}}|{D}(?:(?<=1)[-.{S}]?[0-9]{{3}}|[0-9]{{2}}))[-.{S}]?[0-9]{{3}}"
+         rf"[-.{S}]?[0-9]{{4}}\b", 0.95),
     Rule("PHONE_NUMBER", 302,
-         rf"(?:\+1[-.{S}]?|\b1[-.{S}]?)?\([0-9]{{3}}\)(?:{WS}*|[-.])[0-9]{{3}}[-.{S}]?[0-9]{{4}}\b",
+         rf"(?:\+1[-.{S}]?|1(?<=\b1)[-.{S}]?)?\([0-9]{{3}}\)(?:{WS}*|[-.])[0-9]{{3}}[-.{S}]?[0-9]{{4}}\b",
          0.95, guard=("(",)),
     Rule("SSN", 401, rf"{D}[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}\b", 0.98, guard=("-",)),
     Rule("DATE", 501, rf"{D}[0-9]?[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}\b", 0.9, guard=("/", "-")),
@@ -109,10 +127,11 @@ DIGIT_RULES = [
     Rule("DATE", 503, rf"{D}[0-9]?{WS}+{MON}(?i:[a-z]*){WS}+[0-9]{{2,4}}\b", 0.9,
          guard=MONTH_WORDS),
     Rule("DATE", 504,
-         rf"\b{MON}(?i:[a-z]*){WS}+[0-9]{{1,2}}(?:st|nd|rd|th)?,?{WS}+[0-9]{{2,4}}\b", 0.9,
+         rf"{_start(MONTH_WORDS)}(?i:[a-z]*){WS}+[0-9]{{1,2}}(?:st|nd|rd|th)?,?{WS}+[0-9]{{2,4}}\b", 0.9,
          guard=MONTH_WORDS),
     Rule("DATE", 505, rf"{D}[0-9]?/{MON}/[0-9]{{4}}\b", 0.9, guard=MONTH_WORDS),
-    Rule("DATE", 506, rf"\b{MONTH}{GAP}[0-9]{{1,2}}(?:st|nd|rd|th)?\b", 0.9, guard=MONTH_WORDS),
+    Rule("DATE", 506, rf"{_start(MONTHS, fold=False)}{GAP}[0-9]{{1,2}}(?:st|nd|rd|th)?\b", 0.9,
+         guard=MONTH_WORDS),
     Rule("CREDIT_DEBIT_NUMBER", 601,
          rf"{D}[0-9]{{3}}[{S}-]?[0-9]{{4}}[{S}-]?[0-9]{{4}}[{S}-]?[0-9]{{4}}\b", 0.95),
     Rule("ZIP", 701, rf"{D}[0-9]{{4}}(?:-[0-9]{{4}})?\b", 0.85),
@@ -120,42 +139,43 @@ DIGIT_RULES = [
          rf"{D}[0-9]*{WS}+[A-Za-z{S}]+(?:St|Street|Ave|Avenue|Rd|Road|Dr|Drive|Ln|Lane|Blvd"
          rf"|Boulevard|Way|Court|Ct|Plaza|Place|Pl)\.?{WS}*,?{WS}*[A-Za-z{S}]+,?{WS}*[A-Z]{{2}}{WS}+"
          r"[0-9]{5}(?:-[0-9]{4})?", 0.9, guard_regex=rf"[A-Z]{{2}}{WS}+[0-9]{{5}}"),
-    Rule("MRN", 901, rf"(\b(?:MRN|mrn|Medical Record Number)[{S}:#-]*)({ID})(\b)", 0.95, True, True,
+    Rule("MRN", 901, rf"({_start(MRN_LABELS, fold=False)}[{S}:#-]*)({ID})(\b)", 0.95, True, True,
          guard=("mrn", "medical record number")),
-    Rule("MRN", 902, rf"(\b(?:Patient ID|patient id)[{S}:#-]*)({ID})(\b)", 0.95, True, True,
+    Rule("MRN", 902, rf"({_start(PATIENT_LABELS, fold=False)}[{S}:#-]*)({ID})(\b)", 0.95, True, True,
          guard=("patient id",)),
-    Rule("MRN", 903, r"\b[A-Z]{2,4}-[0-9]{6,10}\b", 0.95, guard=("-",)),
-    Rule("INSURANCE_ID", 1001, rf"((?i:Insurance ID):{WS}*)([A-Z0-9]*[0-9][A-Z0-9]*)()", 0.95, True,
+    Rule("MRN", 903, r"[A-Z](?<=\b.)[A-Z]{1,3}-[0-9]{6,10}\b", 0.95, guard=("-",)),
+    Rule("INSURANCE_ID", 1001, rf"([Ii](?i:nsurance ID):{WS}*)([A-Z0-9]*[0-9][A-Z0-9]*)()", 0.95, True,
          guard=("insurance id:",)),
-    Rule("INSURANCE_ID", 1002, rf"(\b(?i:Member ID|Policy Number)[{S}:#-]*)({ID})(\b)", 0.95, True,
+    Rule("INSURANCE_ID", 1002, rf"({_start(("Member ID", "Policy Number"))}[{S}:#-]*)({ID})(\b)", 0.95, True,
          guard=("member id", "policy number")),
     Rule("INSURANCE_ID", 1003, r"\b[A-Za-z]{1,3}[0-9]{6,12}\b", 0.85, check="insurance_context",
          guard=tuple(INSURANCE_CONTEXT_WORDS)),
-    Rule("LICENSE_NUMBER", 1101, rf"(\b(?i:License|Certificate)[{S}#:]*)({ID})(\b)", 0.9, True, True,
+    Rule("LICENSE_NUMBER", 1101, rf"({_start(("License", "Certificate"))}[{S}#:]*)({ID})(\b)", 0.9, True, True,
          guard=("license", "certificate")),
-    Rule("VEHICLE_ID", 1201, rf"(\b(?i:License Plate|Plate)[{S}:#]*)({ID})(\b)", 0.95, True, True,
+    Rule("VEHICLE_ID", 1201, rf"({_start(("License Plate", "Plate"))}[{S}:#]*)({ID})(\b)", 0.95, True, True,
          guard=("plate",)),
-    Rule("VEHICLE_ID", 1202, rf"(\b(?i:VIN)[{S}:#]*)([A-Z0-9]{{17}})(\b)", 0.95, True, True,
+    Rule("VEHICLE_ID", 1202, rf"({_start("VIN")}[{S}:#]*)([A-Z0-9]{{17}})(\b)", 0.95, True, True,
          guard=("vin",)),
-    Rule("DEVICE_ID", 1301, rf"(\b(?i:Serial Number|Serial|SN)[{S}:#]*)({ID})(\b)", 0.95, True, True,
+    Rule("DEVICE_ID", 1301, rf"({_start(("Serial Number", "Serial", "SN"))}[{S}:#]*)({ID})(\b)", 0.95, True, True,
          guard=("serial", "sn")),
-    Rule("DEVICE_ID", 1302, rf"(\b(?i:Device ID|Device)[{S}:#]*)({ID})(\b)", 0.95, True, True,
+    Rule("DEVICE_ID", 1302, rf"({_start(("Device ID", "Device"))}[{S}:#]*)({ID})(\b)", 0.95, True, True,
          guard=("device",)),
     Rule("DEVICE_ID", 1303,
-         rf"(\b(?i:Pacemaker|Pump|Implant){WS}+(?i:ID|Serial)[{S}:#]*)({ID})(\b)", 0.95, True, True,
+         rf"({_start(("Pacemaker", "Pump", "Implant"))}{WS}+(?i:ID|Serial)[{S}:#]*)({ID})(\b)", 0.95, True, True,
          guard=("pacemaker", "pump", "implant")),
     Rule("IP_ADDRESS", 1501, rf"{D}[0-9]{{0,2}}\.(?:[0-9]{{1,3}}\.){{2}}[0-9]{{1,3}}\b", 0.95,
          guard=(".",)),
     Rule("BIOMETRIC_ID", 1601,
-         rf"(\b(?i:Fingerprint|Retinal|Voiceprint|Facial Recognition)[{S}:]*(?i:ID)?[{S}:#]*)"
+         rf"({_start(BIOMETRICS)}[{S}:]*(?i:ID)?[{S}:#]*)"
          rf"({ID})(\b)", 0.95, True, True,
-         guard=("fingerprint", "retinal", "voiceprint", "facial recognition")),
-    Rule("CLINICAL_TRIAL_ID", 1701, r"\bNCT[0-9]{8}\b", 0.95, guard=("nct",)),
-    Rule("EMPLOYEE_ID", 1801, rf"(\b(?i:Employee ID|EID)[{S}:#]*)({ID})(\b)", 0.9, True, True,
+         guard=tuple(b.lower() for b in BIOMETRICS)),
+    Rule("CLINICAL_TRIAL_ID", 1701, r"N(?<=\bN)CT[0-9]{8}\b", 0.95, guard=("nct",)),
+    Rule("EMPLOYEE_ID", 1801, rf"({_start(("Employee ID", "EID"))}[{S}:#]*)({ID})(\b)", 0.9, True, True,
          guard=("employee id", "eid")),
-    Rule("AGE", 1901, r"(\b)(9[0-9]|1[0-9]{2})([- ]?(?i:years?|yrs?|yo|y/o)(?i:[- ]old)?\b)",
+    Rule("AGE", 1901, r"()([19](?<=\b.)(?:(?<=9)[0-9]|(?<=1)[0-9]{2}))([- ]?(?i:years?|yrs?|yo|y/o)(?i:[- ]old)?\b)",
          0.9, True, guard=("year", "yr", "yo", "y/o")),
-    Rule("AGE", 1902, r"(\b(?i:age|aged)[: \t]*)(9[0-9]|1[0-9]{2})(\b)", 0.9, True, guard=("age",)),
+    Rule("AGE", 1902, rf"({_start(("age", "aged"))}[: \t]*)(9[0-9]|1[0-9]{{2}})(\b)", 0.9, True,
+         guard=("age",)),
 ]
 
 OTHER_RULES = [

@@ -90,9 +90,8 @@ def apply_overrides(df: DataFrame, changed: DataFrame, key: str = "doc_id") -> D
             .groupBy(key).agg(F.map_from_entries(
                 F.collect_list(F.struct("seq", "stored_fake"))).alias("stored")))
     out = df.join(hits, key, "left")
-    merged = F.transform("entities", lambda e, i: F.struct(
-        e["begin"].alias("begin"), e["end"].alias("end"), e["type"].alias("type"),
-        e["original"].alias("original"), F.coalesce(F.col("stored")[i], e["fake"]).alias("fake")))
+    merged = F.transform("entities", lambda e, i: e.withField(
+        "fake", F.coalesce(F.col("stored")[i], e["fake"])))
     return out.withColumn("entities", F.when(
         F.col("stored").isNotNull(), merged).otherwise(F.col("entities"))).drop("stored")
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import pseudonyms as ps
 from ..functions import spans as sp
-from ..functions.classify import is_provider_key
 from ..functions.rules import ALL_RULES, Rule
 from ..functions.spans import let
 from ..functions.splice import replace_all
@@ -73,13 +72,7 @@ def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
             f["begin"].alias("begin"), f["end"].alias("end"), f["type"].alias("type"),
             f["original"].alias("original"), f["fake"].alias("fake"), f["key"].alias("key"))))
     if mappings is not None:
-        # Stored values are looked up as for texts; the key stays beside each entity.
-        keys = F.transform("entities", lambda e: e["key"])
-        out = apply_overrides(out.withColumn("_keys", keys), overrides(mappings, secret))
-        out = out.withColumn("entities", F.transform("entities", lambda e, i: F.struct(
-            e["begin"].alias("begin"), e["end"].alias("end"), e["type"].alias("type"),
-            e["original"].alias("original"), e["fake"].alias("fake"),
-            F.col("_keys")[i].alias("key")))).drop("_keys")
+        out = apply_overrides(out, overrides(mappings, secret))
     new = F.map_from_entries(F.transform("entities", lambda e: F.struct(
         e["key"].alias("key"), e["fake"].alias("value"))))
     out = out.withColumn("_new", new)
@@ -89,7 +82,7 @@ def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
 
 def restore_profile(df: DataFrame, mappings: DataFrame, profile: str = "anonymized",
                     key: str = "doc_id", foreign: bool = False) -> DataFrame:
-    """Restore every field of ``(key, uuid, profile)``; empty and unmapped fields stay."""
+    """Restore every field of ``(key, uuid, profile)``; empty, unmapped and provider fields stay."""
     # The values as one text, so that one lookup serves the whole profile.
     text = df.withColumn("_values", F.array_join(F.map_values(profile), "\n"))
     first = restore.fake_first_last_pairs(text, mappings, "_values", key)
@@ -98,7 +91,5 @@ def restore_profile(df: DataFrame, mappings: DataFrame, profile: str = "anonymiz
         F.flatten(F.collect_list("pairs")))).alias("pairs"))
     out = df.join(both, key, "left")
     return out.withColumn("restored", F.when(F.col("pairs").isNotNull(), F.transform_values(
-        profile, lambda k, v: replace_all(v, F.col("pairs")))).otherwise(F.col(profile))).drop("pairs")
-
-
-__all__ = ["anonymize_profile", "field_rule", "is_provider_key", "restore_profile"]
+        profile, lambda k, v: F.when(field_rule(k) == "KEEP", v).otherwise(
+            replace_all(v, F.col("pairs"))))).otherwise(F.col(profile))).drop("pairs")
