@@ -4,6 +4,9 @@ A replacement is a function of a SHA-256 digest over a secret, the identity's uu
 the upper-cased value. No task has to ask another which value was handed out, so anonymising needs
 no shuffle. Without the secret the values cannot be recomputed. Comparing upper-cased values gives
 ``JOHN`` and ``John`` one replacement.
+
+The expressions are SQL text, so that they can stand inside a lambda over spans; ``h`` is always
+the digest.
 """
 
 from __future__ import annotations
@@ -12,8 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .masks import mask_date, mask_dob, mask_zip
-from .spans import let
+from .masks import mask_date_sql, mask_dob_sql, mask_zip_sql
 
 _HEX = "0123456789abcdef"
 _CONSONANTS = "bcdfghjklmnprstv"
@@ -50,114 +52,101 @@ FAKE_SHAPES = {
 }
 
 
-def identity_uuid(secret: Column, identity: Column, identity_type: Column) -> Column:
+def secret_sql(secret: str) -> str:
+    """The secret as a SQL literal."""
+    return "'" + secret.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def identity_uuid_sql(secret: str, identity: str, identity_type: str) -> str:
     """A uuid that depends only on the identity, so that it needs no lookup."""
-    h = F.sha2(F.concat_ws("|", secret, F.lit("identity"), identity_type, identity), 256)
-    return F.regexp_replace(h, F.lit("^(.{8})(.{4})(.{4})(.{4})(.{12}).*$"), F.lit("$1-$2-$3-$4-$5"))
+    return (f"regexp_replace(sha2(concat_ws('|', {secret}, 'identity', {identity_type}, {identity}), 256), "
+            "'^(.{8})(.{4})(.{4})(.{4})(.{12}).*$', '$1-$2-$3-$4-$5')")
 
 
-def digest(secret: Column, uuid: Column, type_: Column, original: Column) -> Column:
-    return F.sha2(F.concat_ws("|", secret, uuid, type_, F.upper(original)), 256)
+def identity_uuid(secret: str, identity: str = "identity",
+                  identity_type: str = "identity_type") -> Column:
+    return F.expr(identity_uuid_sql(secret_sql(secret), identity, identity_type))
 
 
-def _number(h: Column, at: int, modulus: int) -> Column:
-    return F.conv(F.substring(h, at, 14), 16, 10).cast("bigint") % modulus
+def digest_sql(secret: str, uuid: str, type_: str, original: str) -> str:
+    return f"sha2(concat_ws('|', {secret}, {uuid}, {type_}, upper({original})), 256)"
 
 
-def _digits(h: Column, at: int, n: int) -> Column:
-    return F.lpad(_number(h, at, 10 ** n).cast("string"), n, "0")
+def _number(at: int, modulus: int, h: str = "h") -> str:
+    return f"(cast(conv(substring({h}, {at}, 14), 16, 10) as bigint) % {modulus})"
 
 
-def _pick(h: Column, at: int, values: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]),
-                        (_number(h, at, len(values)) + 1).cast("int"))
+def _digits(at: int, n: int) -> str:
+    return f"lpad(cast({_number(at, 10 ** n)} as string), {n}, '0')"
 
 
-def fake_first_name(h: Column) -> Column:
-    return _pick(h, 1, vocab.FIRST_NAMES)
+def _pick(at: int, values: list[str]) -> str:
+    array = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({array}), cast({_number(at, len(values))} + 1 as int))"
 
 
-def fake_last_name(h: Column) -> Column:
-    """Eight letters, consonants and vowels in turn."""
-    c = F.translate(F.substring(h, 20, 4), _HEX, _CONSONANTS)
-    v = F.translate(F.substring(h, 30, 4), _HEX, _VOWELS)
-    letters = [F.substring(x, i, 1) for i in (1, 2, 3, 4) for x in (c, v)]
-    return F.concat(F.upper(letters[0]), *letters[1:])
+def _concat(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
 
 
-def fake_name(h: Column) -> Column:
-    return F.concat(fake_first_name(h), F.lit(" "), fake_last_name(h))
+FIRST_NAME_SQL = _pick(1, vocab.FIRST_NAMES)
+# Eight letters, consonants and vowels in turn.
+_LETTERS = [f"translate(substring(h, {at + i}, 1), '{_HEX}', '{table}')"
+            for i in range(4) for at, table in ((20, _CONSONANTS), (30, _VOWELS))]
+LAST_NAME_SQL = _concat(f"upper({_LETTERS[0]})", *_LETTERS[1:])
 
 
-def fake_address(h: Column, original: Column) -> Column:
+def _address(v: str) -> str:
     """Another street and city; the state stays and the ZIP code follows the three-digit rule."""
     tail = r"([A-Z]{2})\s+([0-9]{5})(?:-[0-9]{4})?$"
-    state, zip_ = F.regexp_extract(original, tail, 1), F.regexp_extract(original, tail, 2)
-    return F.concat(
-        (_number(h, 1, 9000) + 1000).cast("string"), F.lit(" "), _pick(h, 15, vocab.STREETS),
-        F.lit(", "), _pick(h, 29, vocab.CITIES), F.lit(", "),
-        F.when(state != "", state).otherwise("XX"), F.lit(" "),
-        F.when(zip_ != "", mask_zip(zip_)).otherwise("00000"))
-
-
-def fake_phone(h: Column) -> Column:
-    return F.concat(F.lit("555-"), _digits(h, 1, 3), F.lit("-"), _digits(h, 15, 4))
-
-
-def fake_email(h: Column) -> Column:
-    return F.concat(F.lit("user"), F.substring(h, 1, 12), F.lit("@example.com"))
-
-
-def fake_ssn(h: Column) -> Column:
-    """Numbers that start with 9 are never issued."""
-    return F.concat(F.lit("9"), _digits(h, 1, 2), F.lit("-"), _digits(h, 15, 2), F.lit("-"),
-                    _digits(h, 29, 4))
-
-
-def fake_card(h: Column) -> Column:
-    return F.concat(_digits(h, 1, 8), _digits(h, 15, 8))
+    state, zip_ = (f"regexp_extract({v}, r'{tail}', {g})" for g in (1, 2))
+    return _concat(
+        f"cast({_number(1, 9000)} + 1000 as string)", "' '", _pick(15, vocab.STREETS), "', '",
+        _pick(29, vocab.CITIES), "', '", f"coalesce(nullif({state}, ''), 'XX')", "' '",
+        f"CASE WHEN {zip_} <> '' THEN {mask_zip_sql(zip_)} ELSE '00000' END")
 
 
-def fake_url(h: Column) -> Column:
-    return F.concat(F.lit("https://example.org/"), F.substring(h, 1, 10))
-
-
-def fake_ip(h: Column) -> Column:
-    return F.concat_ws(".", F.lit("10"), *[_number(h, at, 256).cast("string") for at in (1, 15, 29)])
-
-
-def fake_license(h: Column) -> Column:
-    return F.concat(F.translate(F.substring(h, 1, 3), _HEX, _CAPITALS), F.lit("-"), _digits(h, 15, 4))
-
-
-def fake_insurance(h: Column) -> Column:
-    return F.concat(_pick(h, 1, ["POL", "MEM", "GRP"]), _digits(h, 15, 9))
-
-
-def fake_from_digest(h: Column, type_: Column, original: Column) -> Column:
-    """The replacement for one value of a given type."""
-    def prefixed(prefix: str, n: int) -> Column:
-        return F.concat(F.lit(prefix), _digits(h, 1, n))
-
+def fake_from_digest_sql(type_: str, v: str) -> str:
+    """The replacement for value ``v`` of a type, given the digest ``h``."""
     by_type = {
-        "NAME": fake_name(h), "ADDRESS": fake_address(h, original), "PHONE_NUMBER": fake_phone(h),
-        "EMAIL": fake_email(h), "SSN": fake_ssn(h), "DATE": mask_date(original),
-        "CREDIT_DEBIT_NUMBER": fake_card(h), "ZIP": mask_zip(original), "URL": fake_url(h),
-        "IP_ADDRESS": fake_ip(h), "MRN": prefixed("MRN-", 8), "INSURANCE_ID": fake_insurance(h),
-        "LICENSE_NUMBER": fake_license(h), "VEHICLE_ID": F.upper(F.substring(h, 1, 17)),
-        "DEVICE_ID": prefixed("SN-", 10), "BIOMETRIC_ID": prefixed("BIO-", 12),
-        "CLINICAL_TRIAL_ID": prefixed("NCT", 8), "EMPLOYEE_ID": prefixed("EMP", 6),
-        "DOB": mask_dob(original), "AGE": F.lit(vocab.AGE_GROUP),
+        "NAME": _concat(FIRST_NAME_SQL, "' '", LAST_NAME_SQL),
+        "ADDRESS": _address(v),
+        "PHONE_NUMBER": _concat("'555-'", _digits(1, 3), "'-'", _digits(15, 4)),
+        "EMAIL": _concat("'user'", "substring(h, 1, 12)", "'@example.com'"),
+        # Numbers that start with 9 are never issued.
+        "SSN": _concat("'9'", _digits(1, 2), "'-'", _digits(15, 2), "'-'", _digits(29, 4)),
+        "DATE": mask_date_sql(v),
+        "CREDIT_DEBIT_NUMBER": _concat(_digits(1, 8), _digits(15, 8)),
+        "ZIP": mask_zip_sql(v),
+        "URL": _concat("'https://example.org/'", "substring(h, 1, 10)"),
+        "IP_ADDRESS": "concat_ws('.', '10', " + ", ".join(
+            f"cast({_number(at, 256)} as string)" for at in (1, 15, 29)) + ")",
+        "MRN": _concat("'MRN-'", _digits(1, 8)),
+        "INSURANCE_ID": _concat(_pick(1, ["POL", "MEM", "GRP"]), _digits(15, 9)),
+        "LICENSE_NUMBER": _concat(f"translate(substring(h, 1, 3), '{_HEX}', '{_CAPITALS}')", "'-'",
+                                  _digits(15, 4)),
+        "VEHICLE_ID": "upper(substring(h, 1, 17))",
+        "DEVICE_ID": _concat("'SN-'", _digits(1, 10)),
+        "BIOMETRIC_ID": _concat("'BIO-'", _digits(1, 12)),
+        "CLINICAL_TRIAL_ID": _concat("'NCT'", _digits(1, 8)),
+        "EMPLOYEE_ID": _concat("'EMP'", _digits(1, 6)),
+        "DOB": mask_dob_sql(v),
+        "AGE": f"'{vocab.AGE_GROUP}'",
     }
-    out = None
-    for name, value in by_type.items():
-        out = F.when(type_ == name, value) if out is None else out.when(type_ == name, value)
-    return out.otherwise(F.concat(F.lit("[REDACTED-"), type_, F.lit("]")))
+    whens = " ".join(f"WHEN '{t}' THEN {e}" for t, e in by_type.items())
+    return f"CASE {type_} {whens} ELSE concat('[REDACTED-', {type_}, ']') END"
+
+
+def fake_sql(secret: str, uuid: str, type_: str, original: str) -> str:
+    """The replacement for a value; all arguments are SQL text. The digest is computed once."""
+    return (f"transform(array({digest_sql(secret, uuid, type_, original)}), "
+            f"h -> {fake_from_digest_sql(type_, original)})[0]")
 
 
-def fake(secret: Column, uuid: Column, type_: Column, original: Column) -> Column:
-    return let(digest(secret, uuid, type_, original),
-               lambda h: fake_from_digest(h, type_, original))
+def fake(secret: str, uuid: str = "uuid", type_: str = "pii_type",
+         original: str = "original") -> Column:
+    """The replacement for a column of values; ``secret`` is the secret itself."""
+    return F.expr(fake_sql(secret_sql(secret), uuid, type_, original))
 
 
 def fake_kind(type_: Column) -> Column:

@@ -27,7 +27,11 @@ _NAME_ORDS = {r.ord for r in NAME_RULES}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    """``body(value)`` with the value computed once per row, however often the body uses it.
+
+    Also needed where a lambda uses a computed column just once: the optimizer would move the
+    column's expression into the lambda, and so compute it for every element.
+    """
     return F.transform(F.array(value), body)[0]
 
 

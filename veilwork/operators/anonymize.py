@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import pseudonyms as ps
 from ..functions import vocab
 from ..functions.rules import ALL_RULES, Rule
-from ..functions.spans import let
 from ..functions.splice import splice
 from . import detect
 
@@ -24,7 +23,7 @@ ENTITY_FIELDS = ("begin", "end", "out_begin", "out_end", "type", "original", "fa
 
 def with_uuid(df: DataFrame, secret: str, registry: DataFrame | None = None) -> DataFrame:
     """Add the identity's uuid; a uuid already registered wins over the derived one."""
-    derived = ps.identity_uuid(F.lit(secret), F.col("identity"), F.col("identity_type"))
+    derived = ps.identity_uuid(secret)
     if registry is None:
         return df.withColumn("uuid", derived)
     known = registry.select("identity", "identity_type", F.col("uuid").alias("known_uuid"))
@@ -41,10 +40,10 @@ def consent_status(context: Column) -> Column:
 
 def with_fakes(df: DataFrame, secret: str, spans: str = "spans", into: str = "entities") -> DataFrame:
     """Give each span its keyed replacement. The uuid is bound once per row, not per span."""
-    return df.withColumn(into, let(F.col("uuid"), lambda uuid: F.transform(spans, lambda s: F.struct(
-        s["begin"].alias("begin"), s["end"].alias("end"), s["type"].alias("type"),
-        s["original"].alias("original"),
-        ps.fake(F.lit(secret), uuid, s["type"], s["original"]).alias("fake")))))
+    fake = ps.fake_sql(ps.secret_sql(secret), "owner", "s.type", "s.original")
+    return df.withColumn(into, F.expr(
+        f"transform(array(uuid), owner -> transform({spans}, s -> named_struct('begin', s.begin, "
+        f"'end', s.end, 'type', s.type, 'original', s.original, 'fake', {fake})))[0]"))
 
 
 def with_out_offsets(entities: Column) -> Column:
@@ -70,8 +69,7 @@ def overrides(mappings: DataFrame, secret: str) -> DataFrame:
     The first stored casing of a value wins. Grouping combines map-side, so one identity with very
     many rows is no hot spot.
     """
-    u = mappings.filter(F.col("fake") != ps.fake(
-        F.lit(secret), F.col("uuid"), F.col("pii_type"), F.col("original")))
+    u = mappings.filter(F.col("fake") != ps.fake(secret))
     return u.groupBy("uuid", F.upper("pii_type").alias("type_key"),
                      F.upper("original").alias("value_key")).agg(
         F.min_by("fake", F.struct("created_at", "original")).alias("stored_fake"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import jsontext as jt
 from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, Rule
+from ..functions.spans import let
 from ..functions.splice import replace_all, splice
 from . import detect, restore
 from .anonymize import apply_overrides, overrides, with_fakes, with_out_offsets, with_uuid
@@ -46,11 +47,10 @@ def anonymize_json(df: DataFrame, secret: str, record: str = "record",
     if mappings is not None:
         out = apply_overrides(out, overrides(mappings, secret))
     numbered = F.arrays_zip(F.col("entities").alias("e"), F.col("owners").alias("leaf"))
-    out = out.withColumn("_numbered", numbered)
-    out = out.withColumn("leaves", F.transform("leaves", lambda p, i: F.struct(
+    out = out.withColumn("leaves", let(numbered, lambda ns: F.transform("leaves", lambda p, i: F.struct(
         p["raw"].alias("raw"), p["value"].alias("value"),
-        with_out_offsets(F.transform(F.filter("_numbered", lambda n: n["leaf"] == i),
-                                     lambda n: n["e"])).alias("entities"))))
+        with_out_offsets(F.transform(F.filter(ns, lambda n: n["leaf"] == i),
+                                     lambda n: n["e"])).alias("entities")))))
     out = out.withColumn("leaves", F.transform("leaves", lambda p: F.struct(
         p["raw"].alias("raw"), p["entities"].alias("entities"),
         F.when(F.size(p["entities"]) > 0, splice(p["value"], p["entities"])).alias("changed"))))
@@ -58,7 +58,7 @@ def anonymize_json(df: DataFrame, secret: str, record: str = "record",
         e["type"].alias("type"), e["original"].alias("original"))))
     return (out.withColumn("anonymized", jt.assemble(F.col("leaves")))
             .withColumn("entities_detected", F.coalesce(F.size(distinct), F.lit(0)))
-            .drop("spans", "owners", "_numbered", "_record"))
+            .drop("spans", "owners", "_record"))
 
 
 def ledger_rows(anonymized: DataFrame) -> DataFrame:

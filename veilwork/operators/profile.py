@@ -54,30 +54,22 @@ def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
                         F.when(filled, type_).alias("type"), original.alias("original"))
 
     out = out.withColumn("fields", F.transform("fields", entity))
-    secret_ = F.lit(secret)
-
-    def faked(f: Column) -> Column:
-        fake = let(ps.digest(secret_, F.col("uuid"), f["type"], f["original"]), lambda h: F.when(
-            f["rule"] == "FIRST", ps.fake_first_name(h)).when(
-            f["rule"] == "LAST", ps.fake_last_name(h)).otherwise(
-            ps.fake_from_digest(h, f["type"], f["original"])))
-        return F.struct(f["key"].alias("key"), f["value"].alias("value"), f["type"].alias("type"),
-                        f["original"].alias("original"),
-                        F.when(f["type"].isNotNull(), fake).alias("fake"),
-                        F.lit(0).alias("begin"), F.lit(0).alias("end"))
-
-    out = out.withColumn("fields", F.transform("fields", faked))
-    out = out.withColumn("entities", F.transform(
-        F.filter("fields", lambda f: f["type"].isNotNull()), lambda f: F.struct(
-            f["begin"].alias("begin"), f["end"].alias("end"), f["type"].alias("type"),
-            f["original"].alias("original"), f["fake"].alias("fake"), f["key"].alias("key"))))
+    digest = ps.digest_sql(ps.secret_sql(secret), "owner", "f.type", "f.original")
+    fake = (f"CASE f.rule WHEN 'FIRST' THEN {ps.FIRST_NAME_SQL} WHEN 'LAST' THEN {ps.LAST_NAME_SQL} "
+            f"ELSE {ps.fake_from_digest_sql('f.type', 'f.original')} END")
+    out = out.withColumn("fields", F.expr(
+        "transform(array(uuid), owner -> transform(filter(fields, f -> f.type IS NOT NULL), "
+        f"f -> named_struct('key', f.key, 'type', f.type, 'original', f.original, 'fake', "
+        f"transform(array({digest}), h -> {fake})[0])))[0]"))
+    out = out.withColumn("entities", F.transform("fields", lambda f: F.struct(
+        F.lit(0).alias("begin"), F.lit(0).alias("end"), f["type"].alias("type"),
+        f["original"].alias("original"), f["fake"].alias("fake"), f["key"].alias("key"))))
     if mappings is not None:
         out = apply_overrides(out, overrides(mappings, secret))
     new = F.map_from_entries(F.transform("entities", lambda e: F.struct(
         e["key"].alias("key"), e["fake"].alias("value"))))
-    out = out.withColumn("_new", new)
-    return out.withColumn("anonymized", F.transform_values(
-        profile, lambda k, v: F.coalesce(F.col("_new")[k], v))).drop("_new", "fields")
+    return out.withColumn("anonymized", let(new, lambda m: F.transform_values(
+        profile, lambda k, v: F.coalesce(m[k], v)))).drop("fields")
 
 
 def restore_profile(df: DataFrame, mappings: DataFrame, profile: str = "anonymized",

@@ -32,7 +32,7 @@ def new_identities(requests: DataFrame, registry: DataFrame, secret: str, at: Co
     wanted = requests.select("identity", "identity_type").distinct()
     fresh = wanted.join(registry, ["identity", "identity_type"], "left_anti")
     return fresh.select(
-        ps.identity_uuid(F.lit(secret), F.col("identity"), F.col("identity_type")).alias("uuid"),
+        ps.identity_uuid(secret).alias("uuid"),
         "identity", "identity_type", at.alias("created_at"))
 
 
@@ -69,7 +69,7 @@ def resolve_mappings(entities: DataFrame, stored: DataFrame, secret: str) -> Dat
         "value_key", F.upper("original"))
     out = keyed.join(known, ["uuid", "type_key", "value_key"], "left")
     return out.withColumn("fake", F.coalesce("stored_fake", ps.fake(
-        F.lit(secret), F.col("uuid"), F.col("type"), F.col("original")))).withColumn(
+        secret, type_="type"))).withColumn(
         "is_new", F.col("stored_fake").isNull()).drop("type_key", "value_key", "stored_fake")
 
 
@@ -97,9 +97,9 @@ def separate_collisions(mappings: DataFrame, secret: str) -> DataFrame:
                          ["uuid", "fake", "fake_type"], "left_anti")
     w = Window.partitionBy("uuid", "fake").orderBy("created_at", "pii_type", "original")
     ranked = hit.withColumn("n", F.row_number().over(w))
-    salted = F.concat_ws("#", F.lit(secret), F.col("n").cast("string"))
+    salted = ps.fake_sql(f"concat_ws('#', {ps.secret_sql(secret)}, n)", "uuid", "pii_type", "original")
     fixed = ranked.withColumn("fake", F.when(F.col("n") == 1, F.col("fake")).otherwise(
-        ps.fake(salted, F.col("uuid"), F.col("pii_type"), F.col("original")))).drop("n")
+        F.expr(salted))).drop("n")
     return rest.unionByName(fixed.select(rest.columns))
 
 

@@ -142,7 +142,7 @@ def _values(spark, sf, **columns):
 
 
 def _fake(type_: str, column: str):
-    return ps.fake(F.lit(d.SECRET), F.col("uuid"), F.lit(type_), F.col(column))
+    return ps.fake(d.SECRET, "uuid", f"'{type_}'", column)
 
 
 def _generator(name: str, type_: str, value: str) -> None:
@@ -177,25 +177,25 @@ MIXED_DATES = f"CASE o_orderkey % 9 WHEN 6 THEN {d.DD} || '-' || {d.MM} || '-' |
 @query("mask_date")
 def mask_date(spark, sf):
     return d.orders(spark, sf, doc_id="o_orderkey", v=MIXED_DATES).select(
-        "doc_id", masks.mask_date(F.col("v")).alias("masked"))
+        "doc_id", masks.mask_date("v").alias("masked"))
 
 
 @query("mask_zip")
 def mask_zip(spark, sf):
     return d.orders(spark, sf, doc_id="o_orderkey", v=d.ZIP).select(
-        "doc_id", masks.mask_zip(F.col("v")).alias("masked"))
+        "doc_id", masks.mask_zip("v").alias("masked"))
 
 
 @query("mask_dob")
 def mask_dob(spark, sf):
     return d.orders(spark, sf, doc_id="o_orderkey", v=MIXED_DATES).select(
-        "doc_id", masks.mask_dob(F.col("v")).alias("masked"))
+        "doc_id", masks.mask_dob("v").alias("masked"))
 
 
 @query("mask_age")
 def mask_age(spark, sf):
     return d.orders(spark, sf, doc_id="o_orderkey", v="CAST(80 + o_orderkey % 25 AS INT)").select(
-        "doc_id", masks.mask_age(F.col("v")).alias("masked"))
+        "doc_id", masks.mask_age("v").alias("masked"))
 
 
 # ---- anonymise and restore ---------------------------------------------------------------------------
