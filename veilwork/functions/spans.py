@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .rules import DIGIT_RULES, NAME_RULES, PROVIDER_RULES, Rule
+from .rules import DIGIT_RULES, MONTH_WORDS, NAME_RULES, PROVIDER_RULES, Rule
 
 SPAN_TYPE = ("struct<begin:int,end:int,type:string,original:string,score:double,ord:int,"
              "weight:int>")
@@ -69,7 +69,7 @@ def clean_sql(text: str) -> str:
 def _marked(rule: Rule) -> str:
     """The rule, and the text with its matches marked; null when a guard rules a match out.
 
-    Refers to the lambda variables ``body`` and ``t`` (``t.low``, ``t.digit``).
+    Refers to the lambda variables ``body`` and ``t`` (``t.low``, ``t.digit``, ``t.month``).
     """
     mark = f"{_LABEL}$1{_CUT}$2{_CUT}$3" if rule.labelled else f"{_CUT}$0{_CUT}"
     marked = f"regexp_replace(body, {_text(rule.pattern)}, {_text(mark)})"
@@ -77,7 +77,7 @@ def _marked(rule: Rule) -> str:
     if rule.ord in _DIGIT_ORDS:
         tests.append("t.digit")
     if rule.guard:
-        tests.append(_any_of("t.low", rule.guard))
+        tests.append("t.month" if rule.guard == MONTH_WORDS else _any_of("t.low", rule.guard))
     if rule.guard_regex:
         tests.append(f"body rlike {_text(rule.guard_regex)}")
     if tests:
@@ -137,8 +137,11 @@ def non_name_sql(phrase: str) -> str:
 
 
 def _with_text(text: str, body: str) -> str:
+    # What several rules ask of a text is computed once: has it a digit, and a month's name.
+    facts = (f"named_struct('low', low, 'digit', body rlike '[0-9]', "
+             f"'month', {_any_of('low', MONTH_WORDS)})")
     return (f"CASE WHEN {text} IS NOT NULL THEN " + _let("body", clean_sql(text), _let(
-        "t", "named_struct('low', lower(body), 'digit', body rlike '[0-9]')", body)) + " END")
+        "t", _let("low", "lower(body)", facts), body)) + " END")
 
 
 @lru_cache(maxsize=None)

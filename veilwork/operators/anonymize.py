@@ -16,6 +16,7 @@ from ..functions import pseudonyms as ps
 from ..functions import vocab
 from ..functions.rules import ALL_RULES, Rule
 from ..functions.splice import splice
+from ..session import stage
 from . import detect
 
 ENTITY_FIELDS = ("begin", "end", "out_begin", "out_end", "type", "original", "fake")
@@ -101,7 +102,8 @@ def anonymize(df: DataFrame, secret: str, text: str = "text", rules: Sequence[Ru
 
     Adds ``uuid``, ``entities`` (with places in both texts), ``anonymized``, ``status`` and
     ``entities_detected``. Rows without consent keep no result. No shuffle unless a registry,
-    mappings or external detections are given.
+    mappings or external detections are given; with mappings, the spans are written to the work
+    folder first, since the lookup and the texts both build on them.
     """
     out = with_uuid(df, secret, registry)
     status = consent_status(F.col("context")) if "context" in df.columns else F.lit(200)
@@ -112,7 +114,7 @@ def anonymize(df: DataFrame, secret: str, text: str = "text", rules: Sequence[Ru
         out = detect.with_spans_and_external(out, external, text=text, rules=rules)
     out = with_fakes(out, secret)
     if mappings is not None:
-        out = apply_overrides(out, overrides(mappings, secret))
+        out = apply_overrides(stage(out, "spans"), overrides(mappings, secret))
     allowed = F.col("status") == 200
     out = out.withColumn("entities", F.when(allowed, with_out_offsets(F.col("entities"))))
     return out.withColumn("anonymized", F.when(allowed, splice(F.col(text), F.col("entities")))) \

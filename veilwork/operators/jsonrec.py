@@ -13,7 +13,8 @@ from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, Rule
 from ..functions.spans import let
 from ..functions.splice import replace_all, splice
-from . import detect, restore
+from ..session import stage
+from . import restore
 from .anonymize import apply_overrides, overrides, with_fakes, with_out_offsets, with_uuid
 
 
@@ -45,7 +46,7 @@ def anonymize_json(df: DataFrame, secret: str, record: str = "record",
     out = with_leaf_spans(out.withColumn("_record", good), "_record", rules)
     out = with_fakes(out, secret)
     if mappings is not None:
-        out = apply_overrides(out, overrides(mappings, secret))
+        out = apply_overrides(stage(out, "json-spans"), overrides(mappings, secret))
     numbered = F.arrays_zip(F.col("entities").alias("e"), F.col("owners").alias("leaf"))
     out = out.withColumn("leaves", let(numbered, lambda ns: F.transform("leaves", lambda p, i: F.struct(
         p["raw"].alias("raw"), p["value"].alias("value"),

@@ -12,6 +12,7 @@ from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, Rule
 from ..functions.spans import let
 from ..functions.splice import replace_all
+from ..session import stage
 from . import restore
 from .anonymize import apply_overrides, overrides, with_uuid
 
@@ -65,7 +66,7 @@ def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
         F.lit(0).alias("begin"), F.lit(0).alias("end"), f["type"].alias("type"),
         f["original"].alias("original"), f["fake"].alias("fake"), f["key"].alias("key"))))
     if mappings is not None:
-        out = apply_overrides(out, overrides(mappings, secret))
+        out = apply_overrides(stage(out, "profile-fields"), overrides(mappings, secret))
     new = F.map_from_entries(F.transform("entities", lambda e: F.struct(
         e["key"].alias("key"), e["fake"].alias("value"))))
     return out.withColumn("anonymized", let(new, lambda m: F.transform_values(

@@ -45,13 +45,16 @@ def stats_summary(mappings: DataFrame, history: DataFrame) -> DataFrame:
     return wide.agg(*[F.sum(c).cast("bigint").alias(c) for c in wide.columns])
 
 
-def _counts(df: DataFrame, label: str, into: str) -> DataFrame:
-    """Counts by label as a map per identity. The counts are grouped first; the map then has one
-    entry per label, however many rows the identity has."""
-    n = df.groupBy("uuid", label).agg(F.count(F.lit(1)).alias("n"))
+def _counts(df: DataFrame, label: str, into: str, activity: bool = False) -> DataFrame:
+    """Counts by label as a map per identity, and optionally the first and last time. The counts
+    are grouped first; the map then has one entry per label, however many rows there are."""
+    times = [F.min("created_at").alias("lo"), F.max("created_at").alias("hi")] if activity else []
+    n = df.groupBy("uuid", label).agg(F.count(F.lit(1)).alias("n"), *times)
+    spread = [F.min("lo").alias("first_activity"), F.max("hi").alias("last_activity")] if activity \
+        else []
     return n.groupBy("uuid").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "n")))).alias(into),
-        F.sum("n").alias(f"total_{into}"))
+        F.sum("n").alias(f"total_{into}"), *spread)
 
 
 def user_summary(identities: DataFrame, registry: DataFrame, mappings: DataFrame,
@@ -60,17 +63,14 @@ def user_summary(identities: DataFrame, registry: DataFrame, mappings: DataFrame
     wanted = identities.select("identity", "identity_type").distinct()
     ids = wanted.join(registry.select("uuid", "identity", "identity_type"),
                       ["identity", "identity_type"], "left")
-    known = ids.filter(F.col("uuid").isNotNull()).select("uuid")
-    entities = _counts(mappings.join(known, "uuid", "left_semi"), "pii_type", "entities")
-    history_ = history.join(known, "uuid", "left_semi")
-    operations = _counts(history_, "method", "operations")
-    activity = history_.groupBy("uuid").agg(F.min("created_at").alias("first_activity"),
-                                            F.max("created_at").alias("last_activity"))
+    # Both tables are counted before they meet the identities: counting combines map-side, so one
+    # identity with a large share of the rows never reaches a join as such.
+    entities = _counts(mappings, "pii_type", "entities")
+    operations = _counts(history, "method", "operations", activity=True)
     none = F.expr("map()").cast("map<string,bigint>")
     zero = F.lit(0).cast("bigint")
     unknown = F.col("uuid").isNull()
     return (ids.join(entities, "uuid", "left").join(operations, "uuid", "left")
-            .join(activity, "uuid", "left")
             .select("identity", "identity_type", "uuid",
                     F.when(~unknown, F.coalesce("entities", none)).alias("entities"),
                     F.when(~unknown, F.coalesce("operations", none)).alias("operations"),

@@ -14,7 +14,7 @@ from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, rules_for
 from ..operators import anonymize as an
 from ..operators import checks, detect, jsonrec, profile, reports, requests, restore, stores
-from ..session import work_folder
+from ..session import stage, work_folder
 from ..sources import records as rec
 from ..sources import tables as tb
 from ..streaming import jobs
@@ -252,15 +252,8 @@ def resolve_mappings(spark, sf):
         "doc_id", "fake", "is_new")
 
 
-def _staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write a result once and read it back, where several results are built on it."""
-    path = work_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _anonymized_notes(spark, sf):
-    return _staged(spark, an.anonymize(d.notes(spark, sf), d.SECRET).select(
+    return stage(an.anonymize(d.notes(spark, sf), d.SECRET).select(
         "doc_id", "uuid", "text", "anonymized", "entities", "entities_detected"), "notes")
 
 
@@ -315,7 +308,7 @@ def anonymize_profile(spark, sf):
 
 @query("deanonymize_profile")
 def deanonymize_profile(spark, sf):
-    done = _staged(spark, profile.anonymize_profile(d.profiles(spark, sf), d.SECRET).select(
+    done = stage(profile.anonymize_profile(d.profiles(spark, sf), d.SECRET).select(
         "doc_id", "uuid", "anonymized", "entities"), "profiles")
     back = profile.restore_profile(done.select("doc_id", "uuid", "anonymized"), _mappings_of(done))
     return back.select("doc_id", F.explode_outer("restored")).select("doc_id", "key", "value")
@@ -342,7 +335,7 @@ def json_leaves(spark, sf):
 
 
 def _anonymized_records(spark, sf):
-    return _staged(spark, jsonrec.anonymize_json(d.records(spark, sf), d.SECRET), "records")
+    return stage(jsonrec.anonymize_json(d.records(spark, sf), d.SECRET), "records")
 
 
 @query("anonymize_json")
@@ -651,7 +644,7 @@ def preservation_check(spark, sf):
 
 @query("roundtrip_check")
 def roundtrip_check(spark, sf):
-    done = _staged(spark, an.anonymize(d.documents(spark, sf), d.SECRET).select(
+    done = stage(an.anonymize(d.documents(spark, sf), d.SECRET).select(
         "doc_id", "uuid", "text", "anonymized", "entities"), "roundtrip")
     back = restore.restore_by_ledger(done.select("doc_id", "text", "anonymized"), an.ledger_rows(done))
     return back.agg(F.count(F.lit(1)).alias("texts"), F.count_if(
