@@ -104,7 +104,7 @@ def restore_json(df: DataFrame, mappings: DataFrame, record: str = "anonymized",
 
     def change(value: Column) -> Column:
         if whole_values:
-            return F.filter("pairs", lambda p: p["fake"] == value)[0]["original"]
+            return F.get(F.filter("pairs", lambda p: p["fake"] == value), F.lit(0))["original"]
         new = replace_all(value, F.col("pairs"))
         return F.when(new != value, new)
 
