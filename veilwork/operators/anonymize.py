@@ -172,7 +172,8 @@ def restore_metadata(context: Column) -> Column:
 def history_rows(anonymized: DataFrame, method: str, at: Column, text: str = "text") -> DataFrame:
     """Operation history; texts without an identifier leave no row."""
     context = F.col("context") if "context" in anonymized.columns else None
-    return anonymized.withColumn("metadata", operation_metadata(F.col("entities"), context)).filter(
-        F.col("entities_detected") > 0).select(
-        "uuid", F.col(text).alias("original"), "anonymized", F.lit(method).alias("method"),
-        "metadata", at.alias("created_at"))
+    found = detect.where_computed(
+        anonymized.withColumn("metadata", operation_metadata(F.col("entities"), context)),
+        F.col("entities_detected") > 0, ["uuid", text, "anonymized", "metadata"])
+    return found.select("uuid", F.col(text).alias("original"), "anonymized",
+                        F.lit(method).alias("method"), "metadata", at.alias("created_at"))

@@ -35,6 +35,16 @@ def explode_spans(df: DataFrame, keys: Sequence[str], spans: str = "spans") -> D
     return rows.filter(F.col("span").isNotNull()).select(*keys, "seq", "span.*")
 
 
+def where_computed(df: DataFrame, condition: Column, columns: Sequence[str]) -> DataFrame:
+    """``df.filter(condition).select(columns)`` for a condition on costly computed columns.
+
+    A plain filter would be pushed below the projection that computes them, together with a copy of
+    it; the output of a generator cannot be pushed.
+    """
+    row = F.when(condition, F.array(F.struct(*columns)))
+    return df.select(F.explode_outer(row).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
+
+
 def detections(df: DataFrame, keys: Sequence[str], text: str = "text",
                rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
     """Long form of single detectors: one row per match, overlaps included."""

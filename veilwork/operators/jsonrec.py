@@ -16,6 +16,7 @@ from ..functions.splice import replace_all, splice
 from ..session import stage
 from . import restore
 from .anonymize import apply_overrides, overrides, with_fakes, with_out_offsets, with_uuid
+from .detect import where_computed
 
 
 def with_leaf_spans(df: DataFrame, record: str, rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
@@ -133,7 +134,7 @@ def restore_json_by_ledger(df: DataFrame, ledger: DataFrame, record: str = "anon
 
 def structure_differences(df: DataFrame, before: str, after: str) -> DataFrame:
     """Records whose keys, order, numbers or nesting changed."""
-    return df.filter(jt.skeleton(F.col(before)) != jt.skeleton(F.col(after)))
+    return where_computed(df, jt.skeleton(F.col(before)) != jt.skeleton(F.col(after)), df.columns)
 
 
 def leaf_rows(df: DataFrame, keys: Sequence[str], record: str) -> DataFrame:

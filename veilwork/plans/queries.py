@@ -662,8 +662,9 @@ def alarm_errors(spark, sf):
 
 def _stream(spark, sf, name):
     # A glob, since the table may be one file or a folder of files.
-    schema = d.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
+    now = d.table(spark, sf, name)
+    stream = spark.readStream.schema(now.schema).parquet(f"{sf}/{name}.parquet*")
+    return rec.spread(stream, like=now)
 
 
 @query("stream_anonymize")

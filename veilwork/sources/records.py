@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """Give every core work when a small input arrives in fewer pieces than there are cores.
 
     Detection is bound by the CPU, and one Parquet row group is one task. At scale the input has
-    far more pieces than cores and is left alone.
+    far more pieces than cores and is left alone. A stream is judged by a batch ``like`` it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    pieces = (df if like is None else like).rdd.getNumPartitions()
+    return df.repartition(cores) if pieces < cores else df
 
 
 def read_text(spark: SparkSession, path: str, fmt: str = "parquet", text: str = "text",
