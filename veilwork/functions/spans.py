@@ -69,13 +69,11 @@ def clean_sql(text: str) -> str:
 def _marked(rule: Rule) -> str:
     """The rule, and the text with its matches marked; null when a guard rules a match out.
 
-    Refers to the lambda variables ``body`` and ``t`` (``t.low``, ``t.digit``, ``t.month``).
+    Refers to the lambda variables ``body`` and ``t`` (``t.low``, ``t.month``).
     """
     mark = f"{_LABEL}$1{_CUT}$2{_CUT}$3" if rule.labelled else f"{_CUT}$0{_CUT}"
     marked = f"regexp_replace(body, {_text(rule.pattern)}, {_text(mark)})"
     tests = []
-    if rule.ord in _DIGIT_ORDS:
-        tests.append("t.digit")
     if rule.guard:
         tests.append("t.month" if rule.guard == MONTH_WORDS else _any_of("t.low", rule.guard))
     if rule.guard_regex:
@@ -137,9 +135,10 @@ def non_name_sql(phrase: str) -> str:
 
 
 def _with_text(text: str, body: str) -> str:
-    # What several rules ask of a text is computed once: has it a digit, and a month's name.
-    facts = (f"named_struct('low', low, 'digit', body rlike '[0-9]', "
-             f"'month', {_any_of('low', MONTH_WORDS)})")
+    # What several rules ask of a text is computed once: has it a digit, a capitalised word, a
+    # month's name.
+    facts = (f"named_struct('low', low, 'digit', body rlike '[0-9]', 'capital', "
+             f"body rlike '[A-Z][A-Za-z]', 'month', {_any_of('low', MONTH_WORDS)})")
     return (f"CASE WHEN {text} IS NOT NULL THEN " + _let("body", clean_sql(text), _let(
         "t", _let("low", "lower(body)", facts), body)) + " END")
 
@@ -148,10 +147,13 @@ def _with_text(text: str, body: str) -> str:
 def detect_sql(text: str, rules: tuple[Rule, ...]) -> str:
     """All spans the rules find in a text expression, overlaps included; null for a null text."""
     names = [r for r in rules if r.ord in _NAME_ORDS]
-    others = [r for r in rules if r.ord not in _NAME_ORDS]
+    digits = [r for r in rules if r.ord in _DIGIT_ORDS]
+    others = [r for r in rules if r.ord not in _NAME_ORDS and r.ord not in _DIGIT_ORDS]
     parts = []
-    if names:
-        parts.append(_keep_names(_find(names)))
+    if names:       # every name rule needs a capitalised word
+        parts.append(f"CASE WHEN t.capital THEN {_keep_names(_find(names))} ELSE {_NONE} END")
+    if digits:
+        parts.append(f"CASE WHEN t.digit THEN {_find(digits)} ELSE {_NONE} END")
     if others:
         parts.append(_find(others))
     return _with_text(text, parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})")

@@ -12,7 +12,7 @@ ORACLE: dict[str, str] = {}
 S = d.SECRET
 AT = "TIMESTAMP '2024-01-01 00:00:00'"
 MATCH = 'doc_id, type, original, "begin", "end", score'
-PAGES = "SELECT page_id AS doc_id, html AS text FROM pages"
+PAGES = "SELECT page_id AS doc_id, url || chr(10) || html AS text FROM pages"
 WHO = f"{d.IDENTITY} AS identity, 'CUSTOMER' AS identity_type"
 UUID = o.uuid(f"({d.IDENTITY})", "'CUSTOMER'")
 

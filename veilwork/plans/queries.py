@@ -54,7 +54,7 @@ def _detector(name: str, source: Callable, *types: str) -> None:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return rec.spread(d.table(spark, sf, "pages").selectExpr("page_id AS doc_id", "html AS text"))
+    return rec.spread(d.table(spark, sf, "pages").selectExpr("page_id AS doc_id", "url || chr(10) || html AS text"))
 
 
 for _name, _src, _types in [
