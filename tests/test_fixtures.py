@@ -147,3 +147,15 @@ def test_key_matters(texts):
     a = an.anonymize(texts("mail x@y.example.org"), "one").first().anonymized
     b = an.anonymize(texts("mail x@y.example.org"), "two").first().anonymized
     assert a != b
+
+
+def test_a_new_rule_is_data(texts):
+    from veilwork.functions.rules import ALL_RULES, Rule
+    rule = Rule("BADGE", 2001, r"\bB-[0-9]{3}\b", 0.9)
+    out = an.anonymize(texts("badge B-123"), KEY, rules=[*ALL_RULES, rule]).first()
+    assert out.anonymized == "badge [REDACTED-BADGE]"
+
+
+def test_spark_context_names_the_work_folder(spark):
+    from veilwork.session import work_folder
+    assert work_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -39,6 +39,17 @@ def test_mappings_are_inserted_once(spark):
     assert sorted(r.pii_type for r in rows.collect()) == ["EMAIL", "PHONE_NUMBER"]
 
 
+def test_repeats_within_the_watermark_are_dropped(spark):
+    base = work_folder(spark, "t")
+    schema = SCHEMA + ", ts timestamp"
+    t0 = datetime.datetime(2024, 1, 1)
+    put(spark, f"{base}/in", [(i, "u", "T", "a@b.example.org", t0 + datetime.timedelta(minutes=i))
+                              for i in range(5)], schema)
+    stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+    jobs.upsert_mappings_stream(stream, KEY, f"{base}/table", f"{base}/state", ts="ts").awaitTermination()
+    assert tb.read_store(spark, f"{base}/table", "mappings").count() == 1
+
+
 def test_late_events_are_dropped(spark):
     base = work_folder(spark, "t")
     t0 = datetime.datetime(2024, 1, 1)

@@ -368,6 +368,7 @@ _ALARMS = """SELECT make_timestamp(300000000 * (epoch_us(ts) // 300000000)) AS w
 FROM events WHERE event_type = 'error' GROUP BY epoch_us(ts) // 300000000 HAVING count(*) >= 2"""
 ORACLE["alarm_errors"] = _ALARMS
 ORACLE["stream_alarms"] = _ALARMS
+ORACLE["alarm_unauthorised"] = _ALARMS.replace("300000000", "60000000").replace(">= 2", ">= 1")
 ORACLE["stream_anonymize"] = f"{_full(o.DOCS)} SELECT doc_id, anonymized, entities_detected FROM done"
 ORACLE["stream_mappings"] = f"""{_with(o.DOCS, o.candidate_ctes('src'), o.resolved_ctes(), o.faked_ctes('src'))}
 SELECT DISTINCT uuid, type AS pii_type, original, fake FROM faked"""

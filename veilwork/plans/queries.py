@@ -658,6 +658,14 @@ def alarm_errors(spark, sf):
                          seconds)
 
 
+@query("alarm_unauthorised")
+def alarm_unauthorised(spark, sf):
+    """Refused restores; a failed event stands for one."""
+    audit = d.table(spark, sf, "events").selectExpr(
+        "ts AS created_at", "'DE_ANONYMIZE' AS action", "event_type <> 'error' AS success")
+    return checks.unauthorised_alarms(audit)
+
+
 # ---- streams -------------------------------------------------------------------------------------------------
 
 def _stream(spark, sf, name):
