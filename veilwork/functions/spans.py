@@ -39,6 +39,30 @@ def no_spans() -> Column:
     return F.array().cast(SPANS_TYPE)
 
 
+# Appending to an array inside ``aggregate`` copies it, which makes long texts quadratic. Arrays are
+# therefore grown in chunks: a short tail takes the new elements, and full tails are set aside.
+CHUNK = 64
+
+
+def append(acc: Column, item: Column) -> list[Column]:
+    """The ``done`` and ``tail`` fields of a state after one more item."""
+    full = F.size(acc["tail"]) >= CHUNK
+    return [
+        F.when(full, F.concat(acc["done"], F.array(acc["tail"]))).otherwise(acc["done"]).alias("done"),
+        F.when(full, F.array(item)).otherwise(F.concat(acc["tail"], F.array(item))).alias("tail")]
+
+
+def nothing(type_: str) -> list[Column]:
+    """The ``done`` and ``tail`` fields of an empty state for items of a type."""
+    return [F.array().cast(f"array<array<{type_}>>").alias("done"),
+            F.array().cast(f"array<{type_}>").alias("tail")]
+
+
+def appended(acc: Column) -> Column:
+    """The whole array."""
+    return F.concat(F.flatten(acc["done"]), acc["tail"])
+
+
 # The detectors are put together as SQL text: a rule set is one expression of a thousand nodes,
 # which the parser builds in one call.
 
@@ -85,18 +109,22 @@ def _marked(rule: Rule) -> str:
 
 
 # The spans of one marked text ``m``, in text order.
+_SPAN = """named_struct('begin', acc.at, 'end', acc.at + length(p), 'type', m.type, 'original', p,
+  'score', m.score, 'ord', m.ord, 'weight', length(p) + acc.label)"""
 _CUT_UP = f"""aggregate(split(m.marked, '{_CUT}', -1),
-  named_struct('at', 0, 'hit', false, 'label', 0, 'out', {_NONE}),
+  named_struct('at', 0, 'hit', false, 'label', 0, 'done', cast(array() as array<{SPANS_TYPE}>),
+    'tail', {_NONE}),
   (acc, p) -> CASE
+    WHEN acc.hit AND size(acc.tail) < {CHUNK} THEN named_struct('at', acc.at + length(p), 'hit', false,
+      'label', 0, 'done', acc.done, 'tail', concat(acc.tail, array({_SPAN})))
     WHEN acc.hit THEN named_struct('at', acc.at + length(p), 'hit', false, 'label', 0,
-      'out', concat(acc.out, array(named_struct(
-        'begin', acc.at, 'end', acc.at + length(p), 'type', m.type, 'original', p,
-        'score', m.score, 'ord', m.ord, 'weight', length(p) + acc.label))))
+      'done', concat(acc.done, array(acc.tail)), 'tail', array({_SPAN}))
     WHEN contains(p, '{_LABEL}') THEN named_struct('at', acc.at + length(p) - 1, 'hit', true,
       'label', CASE WHEN m.label_counts THEN length(substring_index(p, '{_LABEL}', -1)) ELSE 0 END,
-      'out', acc.out)
-    ELSE named_struct('at', acc.at + length(p), 'hit', true, 'label', 0, 'out', acc.out) END,
-  acc -> acc.out)"""
+      'done', acc.done, 'tail', acc.tail)
+    ELSE named_struct('at', acc.at + length(p), 'hit', true, 'label', 0, 'done', acc.done,
+      'tail', acc.tail) END,
+  acc -> concat(flatten(acc.done), acc.tail))"""
 
 
 def _find(rules: Sequence[Rule]) -> str:
@@ -114,17 +142,37 @@ def _find(rules: Sequence[Rule]) -> str:
     return spans
 
 
+def runs_sql(spans: str) -> str:
+    """``runs`` as SQL text."""
+    keep = "'done', acc.done, 'tail', acc.tail"
+    return f"""aggregate(array_sort({spans}), named_struct('until', 0, 'run', {_NONE},
+  'done', cast(array() as array<array<{SPANS_TYPE}>>), 'tail', cast(array() as array<{SPANS_TYPE}>)),
+  (acc, s) -> CASE
+    WHEN size(acc.run) = 0 OR s.begin < acc.until THEN named_struct('until', greatest(acc.until, s.end),
+      'run', concat(acc.run, array(s)), {keep})
+    WHEN size(acc.tail) < {CHUNK} THEN named_struct('until', s.end, 'run', array(s), 'done', acc.done,
+      'tail', concat(acc.tail, array(acc.run)))
+    ELSE named_struct('until', s.end, 'run', array(s), 'done', concat(acc.done, array(acc.tail)),
+      'tail', array(acc.run)) END,
+  acc -> CASE WHEN size(acc.run) > 0 THEN concat(flatten(acc.done), acc.tail, array(acc.run))
+    ELSE concat(flatten(acc.done), acc.tail) END)"""
+
+
 def _keep_names(candidates: str) -> str:
     """Drop candidates that are medical terms, lie in a provider's name, or repeat an earlier one.
 
     Providers are only looked for in texts that have a candidate left.
     """
     terms_out = f"filter({candidates}, s -> NOT {non_name_sql('s.original')})"
-    fenced = _let("fences", _find(PROVIDER_RULES),
-                  "filter(named, s -> NOT exists(fences, "
-                  "f -> s.begin >= f.begin AND s.end <= f.end))")
-    once = (f"aggregate({fenced}, {_NONE}, (acc, s) -> CASE WHEN exists(acc, "
-            "k -> k.begin <= s.begin AND k.end >= s.end) THEN acc ELSE concat(acc, array(s)) END)")
+    # Only spans of one run can lie in each other, so names and providers are compared by runs.
+    inside = "k.begin <= s.begin AND k.end >= s.end"
+    ordered = (f"transform(array_sort(transform(filter(run, s -> s.type = 'NAME' AND NOT exists(run, "
+               f"k -> k.type = 'PROVIDER' AND {inside})), "
+               "s -> named_struct('o', s.ord, 'b', s.begin, 's', s))), o -> o.s)")
+    kept = (f"aggregate({ordered}, {_NONE}, (acc, s) -> CASE WHEN exists(acc, k -> {inside}) THEN acc "
+            "ELSE concat(acc, array(s)) END)")
+    both = f"concat(named, {_find(PROVIDER_RULES)})"
+    once = f"flatten(transform({runs_sql(both)}, run -> {kept}))"
     return _let("named", terms_out, f"CASE WHEN size(named) = 0 THEN named ELSE {once} END")
 
 
@@ -195,25 +243,24 @@ def _greedy(run: Column) -> Column:
 def runs(spans: Column) -> Column:
     """Group spans into runs that touch; spans of different runs never overlap.
 
-    The state carries the open run; a span that starts at or after its end closes it. Resolving
-    run by run keeps the quadratic part of the work to the run, not to the text.
+    The state carries the open run; a span that starts at or after its end closes it. Comparing
+    within runs keeps the quadratic part of the work to the run, not to the text.
     """
-    none = F.array().cast(f"array<{SPANS_TYPE}>")
-    start = F.struct(F.lit(0).alias("until"), no_spans().alias("run"), none.alias("out"))
+    start = F.struct(F.lit(0).alias("until"), no_spans().alias("run"), *nothing(SPANS_TYPE))
 
     def step(acc: Column, s: Column) -> Column:
         closes = (s["begin"] >= acc["until"]) & (F.size(acc["run"]) > 0)
         return F.when(closes, F.struct(
-            s["end"].alias("until"), F.array(s).alias("run"),
-            F.concat(acc["out"], F.array(acc["run"])).alias("out"))
+            s["end"].alias("until"), F.array(s).alias("run"), *append(acc, acc["run"]))
         ).otherwise(F.struct(
             F.greatest(acc["until"], s["end"]).alias("until"),
-            F.concat(acc["run"], F.array(s)).alias("run"), acc["out"].alias("out")))
+            F.concat(acc["run"], F.array(s)).alias("run"), acc["done"].alias("done"),
+            acc["tail"].alias("tail")))
 
     return F.aggregate(
         F.array_sort(spans), start, step,
-        lambda acc: F.when(F.size(acc["run"]) > 0, F.concat(acc["out"], F.array(acc["run"])))
-        .otherwise(acc["out"]))
+        lambda acc: F.when(F.size(acc["run"]) > 0, F.concat(
+            appended(acc), F.array(acc["run"]))).otherwise(appended(acc)))
 
 
 def resolve(spans: Column) -> Column:

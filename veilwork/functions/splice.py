@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import append, appended, nothing
+
 
 def splice(text: Column, spans: Column, begin: str = "begin", end: str = "end",
            value: str = "fake") -> Column:
@@ -12,15 +14,12 @@ def splice(text: Column, spans: Column, begin: str = "begin", end: str = "end",
 
     The pieces are joined once at the end, so that the text is not copied for each span.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), *nothing("string"))
     built = F.aggregate(
         spans, start,
-        lambda acc, s: F.struct(
-            s[end].cast("int").alias("at"),
-            F.concat(acc["out"], F.array(
-                F.substring(text, acc["at"] + 1, (s[begin] - acc["at"]).cast("int")),
-                s[value])).alias("out")),
-        lambda acc: F.concat(F.array_join(acc["out"], ""),
+        lambda acc, s: F.struct(s[end].cast("int").alias("at"), *append(acc, F.concat(
+            F.substring(text, acc["at"] + 1, (s[begin] - acc["at"]).cast("int")), s[value]))),
+        lambda acc: F.concat(F.array_join(appended(acc), ""),
                              F.substring(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, built).otherwise(text)
 

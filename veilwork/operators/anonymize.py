@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import pseudonyms as ps
 from ..functions import vocab
 from ..functions.rules import ALL_RULES, Rule
+from ..functions.spans import append, appended, nothing
 from ..functions.splice import splice
 from ..session import stage
 from . import detect
@@ -49,19 +50,19 @@ def with_fakes(df: DataFrame, secret: str, spans: str = "spans", into: str = "en
 
 def with_out_offsets(entities: Column) -> Column:
     """Add each entity's place in the new text."""
-    none = F.array().cast("array<struct<begin:int,end:int,out_begin:int,out_end:int,type:string,"
-                          "original:string,fake:string>>")
-    return F.aggregate(
-        entities, F.struct(F.lit(0).alias("shift"), none.alias("out")),
-        lambda acc, e: F.struct(
-            (acc["shift"] + F.length(e["fake"]) - e["end"] + e["begin"]).alias("shift"),
-            F.concat(acc["out"], F.array(F.struct(
-                e["begin"].alias("begin"), e["end"].alias("end"),
-                (e["begin"] + acc["shift"]).alias("out_begin"),
-                (e["begin"] + acc["shift"] + F.length(e["fake"])).alias("out_end"),
-                e["type"].alias("type"), e["original"].alias("original"),
-                e["fake"].alias("fake")))).alias("out")),
-        lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("shift"), *nothing(
+        "struct<begin:int,end:int,out_begin:int,out_end:int,type:string,original:string,fake:string>"))
+
+    def step(acc: Column, e: Column) -> Column:
+        placed = F.struct(
+            e["begin"].alias("begin"), e["end"].alias("end"),
+            (e["begin"] + acc["shift"]).alias("out_begin"),
+            (e["begin"] + acc["shift"] + F.length(e["fake"])).alias("out_end"),
+            e["type"].alias("type"), e["original"].alias("original"), e["fake"].alias("fake"))
+        return F.struct((acc["shift"] + F.length(e["fake"]) - e["end"] + e["begin"]).alias("shift"),
+                        *append(acc, placed))
+
+    return F.aggregate(entities, start, step, appended)
 
 
 def overrides(mappings: DataFrame, secret: str) -> DataFrame:
