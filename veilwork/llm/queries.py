@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import line_dedup, oracle, quality
+from veilwork.llm import archive, line_dedup, oracle, quality
 from veilwork.llm.common import table
 
 
@@ -16,5 +16,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op7_line_dedup)}
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive_report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op7_line_dedup, op8_warc_archive)}
 ORACLE = dict(oracle.ORACLE)
