@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import archive, line_dedup, oracle, quality
+from veilwork.llm import archive, html_text, line_dedup, oracle, quality
 from veilwork.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op6_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -20,5 +24,5 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archive_report(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op7_line_dedup, op8_warc_archive)}
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op6_html_templates, op7_line_dedup, op8_warc_archive)}
 ORACLE = dict(oracle.ORACLE)
