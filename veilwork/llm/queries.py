@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import archive, html_text, line_dedup, oracle, quality
+from veilwork.llm import archive, html_text, line_dedup, oracle, quality, sentence_pieces
 from veilwork.llm.common import table
 
 
@@ -24,5 +24,10 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archive_report(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op6_html_templates, op7_line_dedup, op8_warc_archive)}
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.piece_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op6_html_templates, op7_line_dedup, op8_warc_archive,
+                                   op10_sentence_pieces)}
 ORACLE = dict(oracle.ORACLE)
