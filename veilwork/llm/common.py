@@ -70,7 +70,7 @@ def mapped(df: DataFrame, rows, schema: pa.Schema, ddl: str, size: int = OUT_ROW
     """``rows`` maps an iterator of tuples of a partition to an iterator of tuples."""
     def run(batches):
         return pieces(rows(tuples(batches)), schema, size)
-    return df.mapInArrow(run, ddl)
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, ddl)
 
 
 def bitmap(df: DataFrame, column: str, bits: int = 26) -> np.ndarray:
