@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import archive, html_text, line_dedup, oracle, quality, sentence_pieces
+from veilwork.llm import archive, html_text, line_dedup, oracle, quality, sentence_pieces, token_packing, toxicity
 from veilwork.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op3_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -28,6 +36,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_divergence, op6_html_templates, op7_line_dedup, op8_warc_archive,
+QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_token_packing, op3_toxic_lexicon,
+                                   op6_html_templates, op7_line_dedup, op8_warc_archive,
                                    op10_sentence_pieces)}
 ORACLE = dict(oracle.ORACLE)
