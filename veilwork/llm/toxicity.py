@@ -232,7 +232,7 @@ def choose(bad: dict[str, int], places: dict[str, int], good: dict[str, int], n_
     return sorted(stems), sorted(words)
 
 
-def logistic(table: list[tuple[float, float, int, int]], ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+def logistic(table: list[tuple[float, float, int, int]], ridge: float = 0.1, steps: int = 50) -> np.ndarray:
     """Newton's method on (sum, misspelled sum, label, documents) rows; the rows are few, as sums are in quarters."""
     x = np.array([_vector(a, b) for a, b, _, _ in table])
     y = np.array([t for _, _, t, _ in table], float)
