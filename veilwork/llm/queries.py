@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import archive, html_text, line_dedup, oracle, quality, sentence_pieces, shingle_join, token_packing, toxicity
+from veilwork.llm import archive, decontaminate, html_text, line_dedup, oracle, quality, sentence_pieces, shingle_join, token_packing, toxicity
 from veilwork.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.linked(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op5_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -41,6 +45,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_token_packing, op3_toxic_lexicon, op4_shingle_join,
+                                   op5_benchmark_templates,
                                    op6_html_templates, op7_line_dedup, op8_warc_archive,
                                    op10_sentence_pieces)}
 ORACLE = dict(oracle.ORACLE)
