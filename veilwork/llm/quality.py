@@ -171,8 +171,8 @@ def _distances(chars: np.ndarray, words: list[bytes], ref: tuple) -> tuple[float
 
 def judge(docs: DataFrame, min_chars: int = 200, min_words: int = 50, min_docs: int = 20,
           max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
-          found: dict | None = None) -> DataFrame:
-    """Per row: doc_id, rid (xxhash64 of text), the base counts, both distances, base_failed and kept."""
+          found: dict | None = None, with_lang: bool = False) -> DataFrame:
+    """Per row: doc_id, rid (xxhash64 of text), the base counts, both distances, base_failed, kept, and lang if asked."""
     refs = _prepared(references(docs, min_docs) if found is None else found)
 
     def rows(of):
@@ -188,13 +188,16 @@ def judge(docs: DataFrame, min_chars: int = 200, min_words: int = 50, min_docs:
             by_word = min((w for _, w in near if w is not None), default=None)
             bad = (by_char is not None and counts.sum() >= min_chars and by_char > max_char
                    or by_word is not None and n >= min_words and by_word > max_word)
-            yield doc_id, rid, n, chars, symbols, dup, repeat, by_char, by_word, failed, not failed and not bad
+            row = doc_id, rid, n, chars, symbols, dup, repeat, by_char, by_word, failed, not failed and not bad
+            yield (*row, lang) if with_lang else row
 
     src = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), F.col("lang").cast("string"),
                       F.col("text").cast("binary"))
     long, real, flag = pa.int64(), pa.float64(), pa.bool_()
     names = ["doc_id", "rid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    more = [("lang", pa.string())] if with_lang else []
     return mapped(src, rows, pa.schema([*((c, long) for c in names), ("char_distance", real), ("word_distance", real),
-                                        ("base_failed", flag), ("kept", flag)]),
+                                        ("base_failed", flag), ("kept", flag), *more]),
                   ", ".join(f"{c} bigint" for c in names)
-                  + ", char_distance double, word_distance double, base_failed boolean, kept boolean")
+                  + ", char_distance double, word_distance double, base_failed boolean, kept boolean"
+                  + ", lang string" * with_lang)
