@@ -169,35 +169,60 @@ def _distances(chars: np.ndarray, words: list[bytes], ref: tuple) -> tuple[float
     return by_char, distance(np.bincount(at, minlength=len(index) + 1).astype(float), ref_words)
 
 
-def judge(docs: DataFrame, min_chars: int = 200, min_words: int = 50, min_docs: int = 20,
-          max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
-          found: dict | None = None, with_lang: bool = False) -> DataFrame:
-    """Per row: doc_id, rid (xxhash64 of text), the base counts, both distances, base_failed, kept, and lang if asked."""
-    refs = _prepared(references(docs, min_docs) if found is None else found)
+class Rules:
+    """The verdict on one text; see the module for the guards."""
+
+    def __init__(self, found: dict, min_chars: int = 200, min_words: int = 50, max_char: float = MAX_CHAR_DISTANCE,
+                 max_word: float = MAX_WORD_DISTANCE):
+        self.found, self.min_chars, self.min_words = found, min_chars, min_words
+        self.max_char, self.max_word = max_char, max_word
+        self.refs: dict | None = None
+
+    def verdict(self, lang: str | None, text: bytes | None) -> tuple:
+        if self.refs is None:  # built in the task
+            self.refs = _prepared(self.found)
+        refs, text = self.refs, text or b""
+        words = text.split()
+        n = len(words)
+        chars, symbols, dup, repeat = base_counts(text, words)
+        failed = n < 10 or 100 * repeat > 20 * n
+        counts = np.array(char_classes(text), float)
+        near = [_distances(counts, words, r) for r in ([refs[lang]] if lang in refs else refs.values())]
+        by_char = min((c for c, _ in near if c is not None), default=None)
+        by_word = min((w for _, w in near if w is not None), default=None)
+        bad = (by_char is not None and counts.sum() >= self.min_chars and by_char > self.max_char
+               or by_word is not None and n >= self.min_words and by_word > self.max_word)
+        return n, chars, symbols, dup, repeat, by_char, by_word, failed, not failed and not bad
+
+
+def judge(docs: DataFrame, min_docs: int = 20, **limits) -> DataFrame:
+    """Per row: doc_id, n_words, the base counts, both distances, base_failed and kept."""
+    rules = Rules(references(docs, min_docs), **limits)
 
     def rows(of):
-        for doc_id, rid, lang, text in of:
-            text = text or b""
-            words = text.split()
-            n = len(words)
-            chars, symbols, dup, repeat = base_counts(text, words)
-            failed = n < 10 or 100 * repeat > 20 * n
-            counts = np.array(char_classes(text), float)
-            near = [_distances(counts, words, r) for r in ([refs[lang]] if lang in refs else refs.values())]
-            by_char = min((c for c, _ in near if c is not None), default=None)
-            by_word = min((w for _, w in near if w is not None), default=None)
-            bad = (by_char is not None and counts.sum() >= min_chars and by_char > max_char
-                   or by_word is not None and n >= min_words and by_word > max_word)
-            row = doc_id, rid, n, chars, symbols, dup, repeat, by_char, by_word, failed, not failed and not bad
-            yield (*row, lang) if with_lang else row
-
-    src = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), F.col("lang").cast("string"),
-                      F.col("text").cast("binary"))
+        for doc_id, lang, text in of:
+            yield doc_id, *rules.verdict(lang, text)
+
+    src = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("binary"))
     long, real, flag = pa.int64(), pa.float64(), pa.bool_()
-    names = ["doc_id", "rid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    more = [("lang", pa.string())] if with_lang else []
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return mapped(src, rows, pa.schema([*((c, long) for c in names), ("char_distance", real), ("word_distance", real),
-                                        ("base_failed", flag), ("kept", flag), *more]),
+                                        ("base_failed", flag), ("kept", flag)]),
                   ", ".join(f"{c} bigint" for c in names)
-                  + ", char_distance double, word_distance double, base_failed boolean, kept boolean"
-                  + ", lang string" * with_lang)
+                  + ", char_distance double, word_distance double, base_failed boolean, kept boolean")
+
+
+def keep(docs: DataFrame, min_docs: int = 20, **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all columns; a map over the rows once the references are known."""
+    rules = Rules(references(docs, min_docs), **limits)
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                good = [rules.verdict(x, None if t is None else t.encode("utf-8", "surrogatepass"))[-1]
+                        for x, t in zip(part.column(lang).to_pylist(), part.column(at).to_pylist())]
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import archive, decontaminate, html_text, line_dedup, oracle, quality, sentence_pieces, shingle_join, token_packing, toxicity
+from veilwork.llm import (archive, decontaminate, html_text, line_dedup, oracle, quality, recurrent_lm,
+                          sentence_pieces, shingle_join, token_packing, toxicity)
 from veilwork.llm.common import table
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("rid")
+    return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +41,16 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archive_report(table(spark, sf_dir, "pages"))
 
 
+def op9_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_token_packing, op3_toxic_lexicon, op4_shingle_join,
                                    op5_benchmark_templates,
-                                   op6_html_templates, op7_line_dedup, op8_warc_archive,
+                                   op6_html_templates, op7_line_dedup, op8_warc_archive, op9_recurrent_lm,
                                    op10_sentence_pieces)}
 ORACLE = dict(oracle.ORACLE)
