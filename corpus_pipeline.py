@@ -9,18 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm import decontaminate, line_dedup, quality, sentence_pieces, shingle_join
-from veilwork.llm.common import fresh, stage, table
+from veilwork.llm.common import stage, table
 
 ORACLE_SQL = None  # no SQL expresses the stages
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. Rows of equal doc_id, text and language share their verdict."""
-    key, text, lang = (fresh(docs, c) for c in ("gone_id", "gone_text", "gone_lang"))
-    gone = stage(quality.judge(docs, with_lang=True).where("not kept").select(
-        F.col("doc_id").alias(key), F.col("rid").alias(text), F.col("lang").alias(lang)).distinct(), "rejected")
-    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone[key])
-                     & (F.xxhash64(docs["text"]) == gone[text]) & docs["lang"].eqNullSafe(gone[lang]), "left_anti")
+    """Documents that the rules keep."""
+    return quality.keep(docs)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
