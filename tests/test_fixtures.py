@@ -159,3 +159,11 @@ def test_a_new_rule_is_data(texts):
 def test_spark_context_names_the_work_folder(spark):
     from veilwork.session import work_folder
     assert work_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("text,gone", [
+    ("License: dl-889234", "dl-889234"), ("EID: e4455", "e4455"), ("VIN: 1hgcm82633a123456", "1hgcm82633a123456"),
+    ("Fingerprint ID: fp1234567", "fp1234567"), ("Serial Number: pm-12345", "pm-12345"),
+    ("His mother MARY SMITH was present", "MARY SMITH"), ("Dear JOHN, hello", "JOHN"), ("Staff contacted JANE DOE", "JANE DOE")])
+def test_any_case(anonymized, text, gone):
+    assert gone not in anonymized(text)[0].anonymized

@@ -95,10 +95,50 @@ def test_stored_mappings_win(spark, texts):
                                  "created_at timestamp")
     done = an.anonymize(texts("Name: John Smith\nPhone: 555-123-4567"), KEY, mappings=maps).first()
     assert "Zed Q. Stored" in done.anonymized and "555-123-4567" not in done.anonymized
-    plain = restore.restore_by_value(
-        spark.createDataFrame([(1, uuid, "xZed Q. Storedx")], "doc_id long, uuid string, anonymized string"),
-        maps, foreign=True).first()
-    assert plain.restored == "xJOHN SMITHx" and plain.entities_restored == 1
+    rows = [(1, uuid, "(Zed Q. Stored)"), (2, uuid, "xZed Q. Storedx"), (3, "other", "Zed Q. Stored")]
+    back = {r.doc_id: r for r in restore.restore_by_value(
+        spark.createDataFrame(rows, "doc_id long, uuid string, anonymized string"), maps).collect()}
+    assert back[1].restored == "(JOHN SMITH)" and back[1].entities_restored == 1
+    assert back[2].restored == rows[1][2] and back[3].restored == rows[2][2]
+
+
+def test_ambiguous_masks_stay(spark, texts):
+    """No invented dates, and a code that looks like a mask is left alone."""
+    text = "Seen 01/02/1990 and 05/06/1990. Code 000001. ZIP: 03601"
+    done = an.anonymize(texts(text), KEY)
+    maps = an.mapping_rows(done).withColumn("created_at", F.current_timestamp())
+    back = restore.restore_by_value(done.select("doc_id", "uuid", "anonymized"), maps).first()
+    assert back.restored == "Seen XX/XX/1990 and XX/XX/1990. Code 000001. ZIP: 03601"
+    assert back.ambiguous == 2 and back.entities_restored == 1
+
+
+def test_equal_names_in_a_profile(spark):
+    p = {"first_name": "James", "last_name": "James", "name": "James", "full name": "James Cook"}
+    df = spark.createDataFrame([(1, "u", "t", p)], "doc_id long, identity string, identity_type string, profile map<string,string>")
+    done = profile.anonymize_profile(df, KEY)
+    maps = an.mapping_rows(done).withColumn("created_at", F.current_timestamp())
+    assert "James" not in done.first().anonymized.values()
+    assert profile.restore_profile(done.select("doc_id", "uuid", "anonymized"), maps).first().restored == p
+
+
+def test_equal_doc_ids(spark, texts):
+    two = texts("Name: John Smith").unionAll(texts("Name: John Smith, again"))
+    uuid = an.with_uuid(two, KEY).first().uuid
+    maps = spark.createDataFrame([(uuid, "NAME", "John Smith", "faker", "Zed Stored", None)],
+                                 "uuid string, pii_type string, original string, fake_type string, fake string, "
+                                 "created_at timestamp")
+    assert sorted(r.anonymized for r in an.anonymize(two, KEY, mappings=maps).collect()) == [
+        "Name: Zed Stored", "Name: Zed Stored, again"]
+
+
+def test_json_validity(spark):
+    good = ['{"a":1,"a":"x"}', '{"v": NaN, "w": -Infinity}', '{"s": "' + "x" * 25_000_000 + '"}', '"NaN"', "[1, {}]",
+            r'{"a": "q\" \\ \u00e9"}']
+    bad = ["{bad", '{"a":1}x', '{"a":1},{"b":2}', "", r'{"a": "\x"}', '{"a" 1}', "NaNs"]
+    from veilwork.functions.jsontext import is_valid
+    df = spark.createDataFrame([(x, True) for x in good] + [(x, False) for x in bad], "r string, want boolean")
+    got = df.select(F.length("r").alias("n"), F.substring("r", 1, 40).alias("r"), "want", is_valid(F.col("r")).alias("is")).collect()
+    assert [r for r in got if r["is"] != r["want"]] == []
 
 
 def test_registry_uuid_wins(spark, texts):
@@ -139,3 +179,21 @@ def test_routing(spark):
     assert [out[i].status for i in range(1, 6)] == [200, 200, 200, 500, 403]
     assert out[1].result[5:] == json.loads(out[2].result)["p"] == json.loads(out[3].result)["phone"]
     assert out[4].error.endswith("NOPE") and out[5].result is None
+
+
+def test_routing_restores(spark):
+    """What was given out from the store comes back, in all three forms; bad JSON and null methods say so."""
+    shape = ("request_id long, method string, identity string, identity_type string, conversation string, json_data string, "
+             "profile map<string,string>, context map<string,string>")
+    uuid = an.with_uuid(spark.createDataFrame([("U", "T")], "identity string, identity_type string"), KEY).first().uuid
+    maps = spark.createDataFrame([(uuid, "NAME", "John Smith", "faker", "Zed Q. Stored", None)],
+                                 "uuid string, pii_type string, original string, fake_type string, fake string, "
+                                 "created_at timestamp")
+    rows = [(1, "DE-ANONYMIZE", "u", "t", "Name: Zed Q. Stored", None, None, None),
+            (2, "DE-ANONYMIZE", "u", "t", None, '{"n": "Zed Q. Stored"}', None, None),
+            (3, "DE-ANONYMIZE", "u", "t", None, None, {"name": "Zed Q. Stored"}, None),
+            (4, "DE_ANONYMIZE_JSON", "u", "t", None, "{bad", None, None), (5, None, "u", "t", "x", None, None, None)]
+    out = {r.request_id: r for r in requests.route(spark.createDataFrame(rows, shape), maps, KEY).collect()}
+    assert out[1].result == "Name: John Smith" and json.loads(out[2].result) == {"n": "John Smith"}
+    assert json.loads(out[3].result) == {"name": "John Smith"}
+    assert out[4].status == 500 and out[4].error and out[5].status == 500 and out[5].error

@@ -10,8 +10,8 @@ Two shapes of pattern:
   stays in the text. ``label_counts`` says that the label still counts towards the length that
   decides between overlapping candidates.
 
-The patterns use Java syntax. Key words may be folded with ``(?i:...)``; the identifier itself
-never is, and an identifier after a key word must hold a digit, so that ordinary words survive.
+The patterns use Java syntax. Key words may be folded with ``(?i:...)``. Identifiers after a key word (but record
+numbers) may be in any case and must hold a digit, so that ordinary words survive; names after one may be capitals.
 ``guard`` lists lower-case substrings one of which must occur in the lower-cased text for the
 pattern to match. It is implied by the pattern: it saves work and never changes results.
 """
@@ -47,6 +47,9 @@ CAP = r"[A-Z][a-z]+"                     # a capitalised word
 # Possessive, so that a long run of capitalised words is matched without recursion.
 FULL = rf"{CAP}(?:{GAP}{CAP})*+"
 ID = r"[A-Z0-9-]*[0-9][A-Z0-9-]*"        # an identifier body with at least one digit
+ANY_ID = r"[A-Za-z0-9-]*[0-9][A-Za-z0-9-]*"  # the same in any case
+NAMED = r"(?:[A-Z][a-z]+|[A-Z]{2,}\b)"   # a capitalised word, or one wholly in capitals
+FULL_NAMED = rf"{NAMED}(?:{GAP}{NAMED})*+"
 MON = r"(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September",
           "October", "November", "December")
@@ -95,14 +98,14 @@ NAME_RULES = [
          guard=HONORIFICS),
     Rule("NAME", 104,
          rf"({_word('MmFfSsBbWwHhDdPp', '(?i:' + '|'.join(RELATIVES) + ')', WS, BOUND)}{WS}+)"
-         rf"({FULL})()", 0.95, True, guard=RELATIVES),
+         rf"({FULL_NAMED})()", 0.95, True, guard=RELATIVES),
     Rule("NAME", 105,
          rf"(\b)({CAP}{GAP}{CAP})(?={WS}*(?:DOB|Phone|Address|,|\n|\z|works|lives|employed|called"
          r"|contacted|visited))()", 0.95, True),
-    Rule("NAME", 106, rf"({_word('HhDd', '(?i:Hello|Hi|Dear|Hey)', WS)}{WS}+)({CAP})()", 0.95, True,
+    Rule("NAME", 106, rf"({_word('HhDd', '(?i:Hello|Hi|Dear|Hey)', WS)}{WS}+)({NAMED})()", 0.95, True,
          guard=("hello", "hi", "dear", "hey")),
     Rule("NAME", 107, rf"(M{HONORIFIC}{WS}+)({CAP})({WS}|,|\.)", 0.95, True, guard=HONORIFICS),
-    Rule("NAME", 108, rf"({_word('CcNn', '(?i:called|named|contacted)', WS)}{WS}+)({FULL})()", 0.95,
+    Rule("NAME", 108, rf"({_word('CcNn', '(?i:called|named|contacted)', WS)}{WS}+)({FULL_NAMED})()", 0.95,
          True, guard=("called", "named", "contacted")),
     Rule("NAME", 109,
          rf"(\.{WS}+)({CAP})({WS}*[:,]|{WS}+(?:how|are|is|was|has|had|will|would|can|could"
@@ -144,33 +147,33 @@ DIGIT_RULES = [
     Rule("MRN", 902, rf"({_start(PATIENT_LABELS, fold=False)}[{S}:#-]*)({ID})(\b)", 0.95, True, True,
          guard=("patient id",)),
     Rule("MRN", 903, r"[A-Z](?<=\b.)[A-Z]{1,3}-[0-9]{6,10}\b", 0.95, guard=("-",)),
-    Rule("INSURANCE_ID", 1001, rf"([Ii](?i:nsurance ID):{WS}*)([A-Z0-9]*[0-9][A-Z0-9]*)()", 0.95, True,
+    Rule("INSURANCE_ID", 1001, rf"({_start("Insurance ID")}:{WS}*)([A-Za-z0-9]*[0-9][A-Za-z0-9]*)()", 0.95, True,
          guard=("insurance id:",)),
-    Rule("INSURANCE_ID", 1002, rf"({_start(("Member ID", "Policy Number"))}[{S}:#-]*)({ID})(\b)", 0.95, True,
+    Rule("INSURANCE_ID", 1002, rf"({_start(("Member ID", "Policy Number"))}[{S}:#-]*)({ANY_ID})(\b)", 0.95, True,
          guard=("member id", "policy number")),
     Rule("INSURANCE_ID", 1003, r"\b[A-Za-z]{1,3}[0-9]{6,12}\b", 0.85, check="insurance_context",
          guard=tuple(INSURANCE_CONTEXT_WORDS)),
-    Rule("LICENSE_NUMBER", 1101, rf"({_start(("License", "Certificate"))}[{S}#:]*)({ID})(\b)", 0.9, True, True,
+    Rule("LICENSE_NUMBER", 1101, rf"({_start(("License", "Certificate"))}[{S}#:]*)({ANY_ID})(\b)", 0.9, True, True,
          guard=("license", "certificate")),
-    Rule("VEHICLE_ID", 1201, rf"({_start(("License Plate", "Plate"))}[{S}:#]*)({ID})(\b)", 0.95, True, True,
+    Rule("VEHICLE_ID", 1201, rf"({_start(("License Plate", "Plate"))}[{S}:#]*)({ANY_ID})(\b)", 0.95, True, True,
          guard=("plate",)),
-    Rule("VEHICLE_ID", 1202, rf"({_start("VIN")}[{S}:#]*)([A-Z0-9]{{17}})(\b)", 0.95, True, True,
+    Rule("VEHICLE_ID", 1202, rf"({_start("VIN")}[{S}:#]*)([A-Za-z0-9]{{17}})(\b)", 0.95, True, True,
          guard=("vin",)),
-    Rule("DEVICE_ID", 1301, rf"({_start(("Serial Number", "Serial", "SN"))}[{S}:#]*)({ID})(\b)", 0.95, True, True,
+    Rule("DEVICE_ID", 1301, rf"({_start(("Serial Number", "Serial", "SN"))}[{S}:#]*)({ANY_ID})(\b)", 0.95, True, True,
          guard=("serial", "sn")),
-    Rule("DEVICE_ID", 1302, rf"({_start(("Device ID", "Device"))}[{S}:#]*)({ID})(\b)", 0.95, True, True,
+    Rule("DEVICE_ID", 1302, rf"({_start(("Device ID", "Device"))}[{S}:#]*)({ANY_ID})(\b)", 0.95, True, True,
          guard=("device",)),
     Rule("DEVICE_ID", 1303,
-         rf"({_start(("Pacemaker", "Pump", "Implant"))}{WS}+(?i:ID|Serial)[{S}:#]*)({ID})(\b)", 0.95, True, True,
+         rf"({_start(("Pacemaker", "Pump", "Implant"))}{WS}+(?i:ID|Serial)[{S}:#]*)({ANY_ID})(\b)", 0.95, True, True,
          guard=("pacemaker", "pump", "implant")),
     Rule("IP_ADDRESS", 1501, rf"{D}[0-9]{{0,2}}\.(?:[0-9]{{1,3}}\.){{2}}[0-9]{{1,3}}\b", 0.95,
          guard=(".",)),
     Rule("BIOMETRIC_ID", 1601,
          rf"({_start(BIOMETRICS)}[{S}:]*(?i:ID)?[{S}:#]*)"
-         rf"({ID})(\b)", 0.95, True, True,
+         rf"({ANY_ID})(\b)", 0.95, True, True,
          guard=tuple(b.lower() for b in BIOMETRICS)),
     Rule("CLINICAL_TRIAL_ID", 1701, r"N(?<=\bN)CT[0-9]{8}\b", 0.95, guard=("nct",)),
-    Rule("EMPLOYEE_ID", 1801, rf"({_start(("Employee ID", "EID"))}[{S}:#]*)({ID})(\b)", 0.9, True, True,
+    Rule("EMPLOYEE_ID", 1801, rf"({_start(("Employee ID", "EID"))}[{S}:#]*)({ANY_ID})(\b)", 0.9, True, True,
          guard=("employee id", "eid")),
     Rule("AGE", 1901, r"()([19](?<=\b.)(?:(?<=9)[0-9]|(?<=1)[0-9]{2}))([- ]?(?i:years?|yrs?|yo|y/o)(?i:[- ]old)?\b)",
          0.9, True, guard=("year", "yr", "yo", "y/o")),

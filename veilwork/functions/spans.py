@@ -136,7 +136,7 @@ def _find(rules: Sequence[Rule]) -> str:
     if near:
         reach = vocab.INSURANCE_CONTEXT_CHARS
         left = f"greatest(s.begin - {reach}, 0)"
-        context = f"substring(t.low, {left} + 1, s.end + {reach} - {left})"
+        context = f"lower(substring(body, {left} + 1, s.end + {reach} - {left}))"
         spans = (f"filter({spans}, s -> s.ord NOT IN ({', '.join(near)}) "
                  f"OR {_any_of(context, vocab.INSURANCE_CONTEXT_WORDS)})")
     return spans

@@ -24,14 +24,30 @@ def splice(text: Column, spans: Column, begin: str = "begin", end: str = "end",
     return F.when(F.size(spans) > 0, built).otherwise(text)
 
 
-def replace_all(text: Column, pairs: Column) -> Column:
-    """Replace every ``fake`` by its ``original``, one pair after the other."""
-    return F.aggregate(pairs, text, lambda t, p: F.replace(t, p["fake"], p["original"]))
+def whole_word(value: Column) -> Column:
+    """Pattern of a value that isn't part of a longer word or number."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(F.when(value.rlike("^[A-Za-z0-9]"), "(?<![A-Za-z0-9])").otherwise(""), quoted,
+                    F.when(value.rlike("[A-Za-z0-9]$"), "(?![A-Za-z0-9])").otherwise(""))
 
 
-def count_occurrences(text: Column, pairs: Column) -> Column:
-    """How often the fakes occur in a text."""
-    return F.aggregate(
-        pairs, F.lit(0),
-        lambda n, p: n + ((F.length(text) - F.length(F.replace(text, p["fake"], F.lit(""))))
-                          / F.length(p["fake"])).cast("int"))
+def put_back(text: Column, pairs: Column) -> Column:
+    """Replace every ``fake`` by its ``original``; those without one stay.
+
+    All are replaced by marks first, longest first, so that what is put back is never looked at again.
+    """
+    def mark(i: Column) -> Column:
+        return F.concat(F.lit("\ue000"), i.cast("string"), F.lit("\ue001"))
+
+    numbered = F.transform(pairs, lambda p, i: F.struct(
+        mark(i).alias("mark"), whole_word(p["fake"]).alias("pattern"),
+        F.coalesce(p["original"], p["fake"]).alias("value")))
+    marked = F.aggregate(numbered, text, lambda t, p: F.regexp_replace(t, p["pattern"], p["mark"]))
+    out = F.aggregate(numbered, marked, lambda t, p: F.replace(t, p["mark"], p["value"]))
+    return F.when(F.size(F.coalesce(pairs, F.array())) > 0, out).otherwise(text)
+
+
+def count_places(text: Column, pairs: Column) -> Column:
+    """How often the fakes occur in a text as whole words."""
+    return F.coalesce(F.aggregate(
+        pairs, F.lit(0), lambda n, p: n + F.regexp_count(text, whole_word(p["fake"]))), F.lit(0))

@@ -115,7 +115,9 @@ def anonymize(df: DataFrame, secret: str, text: str = "text", rules: Sequence[Ru
         out = detect.with_spans_and_external(out, external, text=text, rules=rules)
     out = with_fakes(out, secret)
     if mappings is not None:
-        out = apply_overrides(stage(out, "spans"), overrides(mappings, secret))
+        # a number of the row, as doc_ids may repeat; it is written with the rows, so it stays the same
+        out = apply_overrides(stage(out.withColumn("_row", F.monotonically_increasing_id()), "spans"),
+                              overrides(mappings, secret), "_row").drop("_row")
     allowed = F.col("status") == 200
     out = out.withColumn("entities", F.when(allowed, with_out_offsets(F.col("entities"))))
     return out.withColumn("anonymized", F.when(allowed, splice(F.col(text), F.col("entities")))) \

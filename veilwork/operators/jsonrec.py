@@ -12,7 +12,7 @@ from ..functions import jsontext as jt
 from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, Rule
 from ..functions.spans import let
-from ..functions.splice import replace_all, splice
+from ..functions.splice import count_places, put_back, splice
 from ..session import stage
 from . import restore
 from .anonymize import apply_overrides, overrides, with_fakes, with_out_offsets, with_uuid
@@ -47,7 +47,8 @@ def anonymize_json(df: DataFrame, secret: str, record: str = "record",
     out = with_leaf_spans(out.withColumn("_record", good), "_record", rules)
     out = with_fakes(out, secret)
     if mappings is not None:
-        out = apply_overrides(stage(out, "json-spans"), overrides(mappings, secret))
+        out = apply_overrides(stage(out.withColumn("_row", F.monotonically_increasing_id()), "json-spans"),
+                              overrides(mappings, secret), "_row").drop("_row")
     numbered = F.arrays_zip(F.col("entities").alias("e"), F.col("owners").alias("leaf"))
     out = out.withColumn("leaves", let(numbered, lambda ns: F.transform("leaves", lambda p, i: F.struct(
         p["raw"].alias("raw"), p["value"].alias("value"),
@@ -94,19 +95,21 @@ def legacy_guard(df: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def restore_json(df: DataFrame, mappings: DataFrame, record: str = "anonymized",
-                 key: str = "doc_id", foreign: bool = False, whole_values: bool = False) -> DataFrame:
+                 key: str = "doc_id", whole_values: bool = False) -> DataFrame:
     """Restore the string values of ``(key, uuid, record)``; counts the values that changed.
 
-    Replacements are found inside values; with ``whole_values`` a value must equal one.
+    Replacements are found inside values; with ``whole_values`` a value must equal one. Text that is not JSON gets
+    status 500. Replacements that stand for several originals stay and are counted as ambiguous.
     """
-    out = legacy_guard(df, mappings)
-    pairs = restore.fake_pairs(out.filter(F.col("status") == 200), mappings, record, key, foreign)
+    out = legacy_guard(df, mappings).withColumn("status", F.when(
+        (F.col("status") == 200) & ~F.coalesce(jt.is_valid(F.col(record)), F.lit(False)), 500).otherwise(F.col("status")))
+    pairs = restore.fake_pairs(out.filter(F.col("status") == 200), mappings, record, key)
     out = out.join(pairs, key, "left").withColumn("leaves", jt.leaves(F.col(record)))
 
     def change(value: Column) -> Column:
         if whole_values:
             return F.get(F.filter("pairs", lambda p: p["fake"] == value), F.lit(0))["original"]
-        new = replace_all(value, F.col("pairs"))
+        new = put_back(value, F.col("pairs"))
         return F.when(new != value, new)
 
     out = out.withColumn("leaves", F.transform("leaves", lambda p: F.struct(
@@ -114,6 +117,7 @@ def restore_json(df: DataFrame, mappings: DataFrame, record: str = "anonymized",
                                       change(p["value"])).alias("changed"))))
     return out.withColumn("restored", F.when(F.col("status") == 200, jt.assemble(F.col("leaves")))) \
         .withColumn("entities_restored", F.size(F.filter("leaves", lambda p: p["changed"].isNotNull()))) \
+        .withColumn("ambiguous", count_places(F.col(record), F.filter("pairs", lambda p: p["ambiguous"]))) \
         .drop("leaves", "pairs")
 
 

@@ -11,7 +11,7 @@ from ..functions import pseudonyms as ps
 from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, Rule
 from ..functions.spans import let
-from ..functions.splice import replace_all
+from ..functions.splice import put_back
 from ..session import stage
 from . import restore
 from .anonymize import apply_overrides, overrides, with_uuid
@@ -56,7 +56,8 @@ def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
 
     out = out.withColumn("fields", F.transform("fields", entity))
     digest = ps.digest_sql(ps.secret_sql(secret), "owner", "f.type", "f.original")
-    fake = (f"CASE f.rule WHEN 'FIRST' THEN {ps.FIRST_NAME_SQL} WHEN 'LAST' THEN {ps.LAST_NAME_SQL} "
+    # One replacement per value, whatever field it is in, so that it can be stored and undone by value.
+    fake = (f"CASE WHEN f.type = 'NAME' AND f.original NOT RLIKE '[ \\\\t]' THEN {ps.LAST_NAME_SQL} "
             f"ELSE {ps.fake_from_digest_sql('f.type', 'f.original')} END")
     out = out.withColumn("fields", F.expr(
         "transform(array(uuid), owner -> transform(filter(fields, f -> f.type IS NOT NULL), "
@@ -66,7 +67,8 @@ def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
         F.lit(0).alias("begin"), F.lit(0).alias("end"), f["type"].alias("type"),
         f["original"].alias("original"), f["fake"].alias("fake"), f["key"].alias("key"))))
     if mappings is not None:
-        out = apply_overrides(stage(out, "profile-fields"), overrides(mappings, secret))
+        out = apply_overrides(stage(out.withColumn("_row", F.monotonically_increasing_id()), "profile-fields"),
+                              overrides(mappings, secret), "_row").drop("_row")
     new = F.map_from_entries(F.transform("entities", lambda e: F.struct(
         e["key"].alias("key"), e["fake"].alias("value"))))
     return out.withColumn("anonymized", let(new, lambda m: F.transform_values(
@@ -74,15 +76,15 @@ def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
 
 
 def restore_profile(df: DataFrame, mappings: DataFrame, profile: str = "anonymized",
-                    key: str = "doc_id", foreign: bool = False) -> DataFrame:
+                    key: str = "doc_id") -> DataFrame:
     """Restore every field of ``(key, uuid, profile)``; empty, unmapped and provider fields stay."""
     # The values as one text, so that one lookup serves the whole profile.
     text = df.withColumn("_values", F.array_join(F.map_values(profile), "\n"))
     first = restore.fake_first_last_pairs(text, mappings, "_values", key)
-    pairs = restore.fake_pairs(text, mappings, "_values", key, foreign)
+    pairs = restore.fake_pairs(text, mappings, "_values", key)
     both = pairs.unionByName(first).groupBy(key).agg(F.array_sort(F.array_distinct(
         F.flatten(F.collect_list("pairs")))).alias("pairs"))
     out = df.join(both, key, "left")
     return out.withColumn("restored", F.when(F.col("pairs").isNotNull(), F.transform_values(
         profile, lambda k, v: F.when(field_rule(k) == "KEEP", v).otherwise(
-            replace_all(v, F.col("pairs"))))).otherwise(F.col(profile))).drop("pairs")
+            put_back(v, F.col("pairs"))))).otherwise(F.col(profile))).drop("pairs")

@@ -12,6 +12,7 @@ from . import jsonrec, profile, restore
 
 RESULT = ["request_id", "uuid", "handler", "status", "result", "entities", "error"]
 CONSENT_ERROR = "GDPR consent not provided for this processing purpose"
+NOT_JSON = "Error: not a JSON document"
 LEGACY_ERROR = ("Data was anonymized with structure transformation. Please re-anonymize with "
                 "current version.")
 
@@ -62,19 +63,20 @@ def route(requests: DataFrame, mappings: DataFrame, secret: str) -> DataFrame:
                          F.when(F.col("status") == 403, CONSENT_ERROR)))
     records = jsonrec.anonymize_json(kind("ANONYMIZE_JSON"), secret, "json_data", mappings=mappings)
     served.append(shaped(records, F.col("anonymized"), F.col("entities_detected"), F.col("status"),
-                         F.when(F.col("status") == 500, "Error: not a JSON document")))
+                         F.when(F.col("status") == 500, NOT_JSON)))
     profiles = profile.anonymize_profile(kind("ANONYMIZE_PROFILE"), secret, mappings=mappings)
     served.append(shaped(profiles, as_text("anonymized"), F.size("entities"), ok, none))
     back = restore.restore_by_value(kind("DE-ANONYMIZE"), mappings, "conversation")
     served.append(shaped(back, F.col("restored"), F.col("entities_restored"), ok, none))
     json_back = jsonrec.restore_json(kind("DE_ANONYMIZE_JSON"), mappings, "json_data")
     served.append(shaped(json_back, F.col("restored"), F.col("entities_restored"), F.col("status"),
-                         F.when(F.col("status") == 400, LEGACY_ERROR)))
+                         F.when(F.col("status") == 400, LEGACY_ERROR)
+                         .when(F.col("status") == 500, NOT_JSON)))
     profile_back = profile.restore_profile(kind("DE_ANONYMIZE_PROFILE"), mappings, "profile")
     served.append(shaped(profile_back, as_text("restored"), none, ok, none))
     unknown = r.filter(F.col("handler").isNull())
     served.append(shaped(unknown, none.cast("string"), none, F.lit(500),
-                         F.concat(F.lit("No handler for method: "), F.col("method"))))
+                         F.concat(F.lit("No handler for method: "), F.coalesce("method", F.lit("null")))))
     out = served[0]
     for s in served[1:]:
         out = out.unionByName(s)
@@ -85,7 +87,7 @@ def failed_records(df: DataFrame, record: str) -> DataFrame:
     """Records that cannot be processed get status 500 and a message; others are unaffected."""
     bad = ~F.coalesce(is_valid(F.col(record)), F.lit(False))
     return df.withColumn("status", F.when(bad, 500).otherwise(200)).withColumn(
-        "error", F.when(bad, F.lit("Error: not a JSON document")))
+        "error", F.when(bad, F.lit(NOT_JSON)))
 
 
 def audit_events(results: DataFrame, action: str, data_type: str, at: Column) -> DataFrame:

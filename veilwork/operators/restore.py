@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pseudonyms as ps
-from ..functions.splice import count_occurrences, replace_all, splice
+from ..functions.spans import let
+from ..functions.splice import count_places, put_back, splice
 
 # Literal parts that a shape cannot do without; they spare most texts the scan.
 _NEEDS = {"PHONE_NUMBER": "555-", "EMAIL": "@example.com", "URL": "https://example.org/",
@@ -37,52 +38,63 @@ def candidate_fakes(text: Column) -> Column:
 
 
 def by_fake(mappings: DataFrame) -> DataFrame:
-    """One original per identity and replacement: the first stored one."""
+    """One row per identity and replacement. Where it stands for several originals it is ambiguous and has none."""
     return mappings.groupBy("uuid", "fake").agg(
-        F.min_by("original", F.struct("created_at", "original")).alias("original"))
+        F.min("original").alias("original"), (F.min("original") != F.max("original")).alias("ambiguous")
+    ).withColumn("original", F.when(~F.col("ambiguous"), F.col("original")))
 
 
 def _known_shape(fake: Column) -> Column:
     return fake.rlike("^(?:" + "|".join(f"(?:{s})" for s in ps.FAKE_SHAPES.values()) + ")$")
 
 
-def fake_pairs(df: DataFrame, mappings: DataFrame, text: str, key: str = "doc_id",
-               foreign: bool = False) -> DataFrame:
-    """The (fake, original) pairs that occur in each text, longest first, as one array per text.
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+"), 0)
 
-    A hash join on (uuid, fake): the mappings of an identity are never gathered, however many there
-    are, and what is gathered per text is bounded by the text. With ``foreign``, replacements of any
-    other shape (tables taken over from elsewhere) are also found, by joining all pieces of the
-    lengths that occur among the identity's foreign replacements.
+
+def _grams(text: Column, longest: int = 4) -> Column:
+    """All runs of one to four words of a text, and the empty run."""
+    return let(_words(text), lambda ws: F.array_distinct(F.array_append(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size(ws) >= n, F.transform(
+            F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " ")))
+        .otherwise(F.array().cast("array<string>")))), "")))
+
+
+def _gathered(found: DataFrame, key: str) -> DataFrame:
+    pair = F.struct((-F.length("fake")).alias("rank"), "fake", "original", "ambiguous")
+    return found.groupBy(key).agg(F.array_sort(F.collect_set(pair)).alias("pairs"))
+
+
+def fake_pairs(df: DataFrame, mappings: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
+    """The (fake, original) pairs that may occur in each text, longest first, as one array per text.
+
+    Hash joins on (uuid, fake): the mappings of an identity are never gathered, however many there are. Replacements of
+    keyed and masked shapes are looked up as such; those of any other shape (tables taken over from elsewhere) by their
+    first words, in the texts of identities that have any.
     """
     stored = by_fake(mappings)
     pieces = df.select(key, "uuid", F.explode_outer(candidate_fakes(F.col(text))).alias("fake"))
     found = pieces.filter(F.col("fake").isNotNull()).join(stored, ["uuid", "fake"])
-    if foreign:
-        other = stored.filter(~_known_shape(F.col("fake")) & (F.col("fake") != ""))
-        lengths = other.groupBy("uuid").agg(F.collect_set(F.length("fake")).alias("lengths"))
-        grams = F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.regexp_extract_all(
-            F.col(text), F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), 1))))
-        any_piece = df.select(key, "uuid", text).join(lengths, "uuid").select(
-            key, "uuid", F.explode_outer(grams).alias("fake")).filter(F.col("fake").isNotNull())
-        found = found.unionByName(any_piece.join(other, ["uuid", "fake"]))
-    pair = F.struct((-F.length("fake")).alias("rank"), "fake", "original")
-    return found.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    other = stored.filter(~_known_shape(F.col("fake")) & (F.col("fake") != "")).withColumn(
+        "head", F.array_join(F.slice(_words(F.col("fake")), 1, 4), " "))
+    owners = other.select("uuid").distinct()
+    heads = df.select(key, "uuid", text).join(owners, "uuid", "left_semi").select(
+        key, "uuid", F.explode_outer(_grams(F.col(text))).alias("head")).filter(F.col("head").isNotNull())
+    more = heads.join(other, ["uuid", "head"]).drop("head")
+    return _gathered(found.unionByName(more), key)
 
 
 def restore_by_value(df: DataFrame, mappings: DataFrame, text: str = "anonymized",
-                     key: str = "doc_id", foreign: bool = False) -> DataFrame:
-    """Add ``restored`` and ``entities_restored`` to ``(key, uuid, text)``.
+                     key: str = "doc_id") -> DataFrame:
+    """Add ``restored``, ``entities_restored`` and ``ambiguous`` to ``(key, uuid, text)``.
 
-    Ambiguous when an identity has two originals for one replacement (see ``fake_collisions``); the
-    ledger has no such limit.
+    Replacements are found as whole words, in one pass. One that stands for several originals of the identity stays and
+    is counted as ambiguous; the ledger has no such limit.
     """
-    out = df.join(fake_pairs(df, mappings, text, key, foreign), key, "left")
-    some = F.col("pairs").isNotNull()
-    return out.withColumn("restored", F.when(
-        some, replace_all(F.col(text), F.col("pairs"))).otherwise(F.col(text))).withColumn(
-        "entities_restored", F.when(some, count_occurrences(F.col(text), F.col("pairs")))
-        .otherwise(0)).drop("pairs")
+    out = df.join(fake_pairs(df, mappings, text, key), key, "left")
+    return out.withColumn("restored", put_back(F.col(text), F.col("pairs"))).withColumn(
+        "entities_restored", count_places(F.col(text), F.filter("pairs", lambda p: ~p["ambiguous"]))).withColumn(
+        "ambiguous", count_places(F.col(text), F.filter("pairs", lambda p: p["ambiguous"]))).drop("pairs")
 
 
 def restore_by_ledger(df: DataFrame, ledger: DataFrame, text: str = "anonymized",
@@ -101,6 +113,4 @@ def fake_first_last_pairs(df: DataFrame, mappings: DataFrame, text: str,
     """The same for single first and last names, which only profiles have, one to a line."""
     lines = df.select(key, "uuid", F.explode_outer(F.array_distinct(
         F.split(F.col(text), "\n"))).alias("fake")).filter(F.col("fake").rlike("^[A-Z][a-z]+$"))
-    found = lines.join(by_fake(mappings), ["uuid", "fake"])
-    pair = F.struct((-F.length("fake")).alias("rank"), "fake", "original")
-    return found.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    return _gathered(lines.join(by_fake(mappings), ["uuid", "fake"]), key)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.records import spread
+from ..sources import records as rec
 
 SECRET = "demonstration-key"
 
@@ -45,10 +45,10 @@ AGE = "CAST(80 + o_orderkey % 25 AS STRING)"
 
 NAME_LINE = f"""CASE o_orderkey % 8
   WHEN 0 THEN 'Hello Mrs. ' || {LAST2} || ', how are you feeling today?'
-  WHEN 1 THEN 'His mother ' || {FIRST2} || ' ' || {LAST2} || ' was present.'
+  WHEN 1 THEN 'His mother ' || upper({FIRST2} || ' ' || {LAST2}) || ' was present.'
   WHEN 2 THEN 'Staff contacted ' || {FIRST2} || ' ' || {LAST2} || ' about the refill.'
   WHEN 3 THEN 'Caregiver ' || {FIRST2} || ' ' || {LAST2} || ' lives nearby.'
-  WHEN 4 THEN 'Dear ' || {FIRST2} || ', your appointment is confirmed.'
+  WHEN 4 THEN 'Dear ' || upper({FIRST2}) || ', your appointment is confirmed.'
   WHEN 5 THEN 'Seen by Dr. ' || {FIRST2} || ' ' || {LAST2} || '. Nurse: Patricia ' || {LAST2} || ', RN'
   WHEN 6 THEN 'Mr. ' || {LAST2} || ' has diabetes. ' || {FIRST2} || ', his son, agrees.'
   ELSE 'Name: ' || {FIRST2} || ' ' || {LAST2} END"""
@@ -65,11 +65,11 @@ NOTE = f"""'Patient: ' || {FIRST} || ' ' || {LAST} || ', DOB: ' || {DATE} || ',
 || 'Diagnosis: Type 2 Diabetes Mellitus (E11.9), Hypertension (I10)' || {NL}
 || 'Metformin 1000mg BID; Glucose: 256 mg/dL; Blood Pressure: 145/92 mmHg; MMSE Score: 24/30' || {NL}
 || {NAME_LINE} || {NL}
-|| 'License # DL-' || {_pad('o_custkey', 6)} || '; Plate: KX-' || {_pad('o_orderkey % 1000', 3)}
-|| '; VIN: 1HGCM82633A' || {_pad('o_orderkey % 1000000', 6)} || {NL}
-|| 'Pacemaker: Serial Number PM-' || {_pad('o_orderkey', 9)} || '; Device ID INS-' || {_pad('o_custkey', 6)}
-|| 'ABC; Fingerprint ID: FP' || {_pad('o_custkey', 7)} || {NL}
-|| 'Trial NCT' || {_pad('o_custkey', 8)} || '; Employee ID: E' || {_pad('o_custkey', 5)} || '; call (555) 222-'
+|| 'License # dl-' || {_pad('o_custkey', 6)} || '; Plate: KX-' || {_pad('o_orderkey % 1000', 3)}
+|| '; VIN: 1hgcm82633a' || {_pad('o_orderkey % 1000000', 6)} || {NL}
+|| 'Pacemaker: Serial Number pm-' || {_pad('o_orderkey', 9)} || '; Device ID INS-' || {_pad('o_custkey', 6)}
+|| 'ABC; Fingerprint ID: fp' || {_pad('o_custkey', 7)} || {NL}
+|| 'Trial NCT' || {_pad('o_custkey', 8)} || '; Employee ID: e' || {_pad('o_custkey', 5)} || '; call (555) 222-'
 || {_pad('o_orderkey % 10000', 4)} || {NL}
 || 'Portal ' || {URL} || ' from ' || {IP} || ', card ' || {CARD} || {NL}
 || 'Age: ' || {AGE} || ' years; next appointment: ' || {DATE_LINE}"""
@@ -97,6 +97,12 @@ PROFILE = [("first_name", FIRST), ("last_name", LAST), ("dob", DATE), ("zip", ZI
 IDENTITY = "'cust-' || CAST(o_custkey AS STRING)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over as many tasks as the session's setting ``veilwork.input.partitions`` says; by default as read."""
+    parts = df.sparkSession.conf.get("veilwork.input.partitions", None)
+    return rec.spread(df, int(parts) if parts else None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

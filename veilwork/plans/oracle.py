@@ -131,17 +131,19 @@ def _first_original(rows: str) -> str:
     """The stored original of each value (first casing), then one original per replacement."""
     return f"""maprows AS (SELECT uuid, type, upper(original) AS vk, arg_min(original, (doc_id, "begin")) AS
   original, arg_min(fake, (doc_id, "begin")) AS fake FROM {rows} GROUP BY uuid, type, upper(original)),
-byfake AS (SELECT uuid, fake, min(original) AS original FROM maprows GROUP BY uuid, fake)"""
-
-
-ORACLE["deanonymize_text"] = f"""{_full(o.NOTES)}, {_first_original('faked')},
-pairs AS (SELECT a.doc_id, a.anonymized, list({{'fake': b.fake, 'original': b.original}}
-  ORDER BY length(b.fake) DESC, b.fake) AS ps FROM (SELECT * FROM done JOIN who USING (doc_id)) a
-  JOIN byfake b ON a.uuid = b.uuid AND contains(a.anonymized, b.fake) GROUP BY a.doc_id, a.anonymized)
-SELECT d.doc_id, CASE WHEN p.doc_id IS NULL THEN d.anonymized ELSE list_reduce(list_concat(
-  [{{'fake': '', 'original': d.anonymized}}], p.ps), lambda t, x: {{'fake': '',
-  'original': replace(t.original, x.fake, x.original)}}).original END AS restored
-FROM done d LEFT JOIN pairs p USING (doc_id)"""
+byfake AS (SELECT uuid, fake, min(original) AS original, min(original) <> max(original) AS ambiguous
+  FROM maprows GROUP BY uuid, fake)"""
+
+
+# Against the input, not the rule: every span holds its original again, but where a replacement is ambiguous.
+ORACLE["deanonymize_text"] = f"""{_with(o.NOTES, o.candidate_ctes('src'), o.resolved_ctes(), o.faked_ctes('src'),
+    _first_original('faked'))},
+again AS (SELECT f.* EXCLUDE (fake), CASE WHEN b.ambiguous THEN f.fake ELSE b.original END AS fake, b.ambiguous
+  FROM faked f JOIN byfake b ON f.uuid = b.uuid AND f.fake = b.fake),
+{o.spliced_ctes('src', spans='again')},
+n AS (SELECT doc_id, count(*) FILTER (ambiguous) AS a, count(*) FILTER (NOT ambiguous) AS r FROM again GROUP BY doc_id)
+SELECT doc_id, anonymized AS restored, CAST(coalesce(r, 0) AS INT) AS entities_restored, CAST(coalesce(a, 0) AS INT) AS
+  ambiguous FROM done LEFT JOIN n USING (doc_id)"""
 ORACLE["deanonymize_foreign"] = f"""WITH b AS (SELECT c_custkey, upper({_CNAME}) AS original FROM customer
   WHERE c_mktsegment = 'BUILDING')
 SELECT o_orderkey AS doc_id, CASE WHEN b.c_custkey IS NULL THEN 'seen: Legacy Person ' ||
@@ -161,7 +163,7 @@ ORACLE["profile_scan"] = f"""SELECT o_orderkey AS doc_id, 'name' AS key, {d.FIRS
 UNION ALL SELECT o_orderkey, 'age', {d.AGE} FROM orders"""
 _VALUES = dict(d.PROFILE)
 _FIELD = [  # key, type, value in, how the digest becomes the new value
-    ("first_name", "NAME", d.FIRST, o.first_name("h")), ("last_name", "NAME", d.LAST, o.last_name("h")),
+    ("first_name", "NAME", d.FIRST, o.last_name("h")), ("last_name", "NAME", d.LAST, o.last_name("h")),
     ("dob", "DOB", d.DATE, o.dob_mask("v")), ("zip", "ZIP", d.ZIP, o.zip_mask("v")),
     ("phone", "PHONE_NUMBER", d.PHONE, None), ("email", "EMAIL", d.EMAIL, None),
     ("comment", "DATE", d.DATE, None)]
@@ -172,9 +174,9 @@ _PROFILE = "WITH f AS (" + " UNION ALL ".join(
 _KEPT = " UNION ALL ".join(f"SELECT o_orderkey AS doc_id, '{k}' AS key, {_VALUES[k]} AS value FROM orders"
                            for k in ("provider_first_name", "diagnosis", "extra"))
 ORACLE["anonymize_profile"] = (f"{_PROFILE} SELECT doc_id, key, fake AS value FROM f UNION ALL {_KEPT}")
-ORACLE["deanonymize_profile"] = f"""{_PROFILE}, b AS (SELECT uuid, fake, min(v) AS original FROM f
-  GROUP BY uuid, fake) SELECT f.doc_id, f.key, b.original AS value FROM f JOIN b ON f.uuid = b.uuid
-  AND f.fake = b.fake UNION ALL {_KEPT}"""
+ORACLE["deanonymize_profile"] = f"""{_PROFILE}, b AS (SELECT uuid, fake, min(v) <> max(v) AS ambiguous FROM f
+  GROUP BY uuid, fake) SELECT f.doc_id, f.key, CASE WHEN b.ambiguous THEN f.fake ELSE f.v END AS value FROM f
+  JOIN b ON f.uuid = b.uuid AND f.fake = b.fake UNION ALL {_KEPT}"""
 
 # ---- JSON -------------------------------------------------------------------------------------------------
 
@@ -200,9 +202,11 @@ ORACLE["anonymize_json"] = f"""{_JSON} SELECT o_orderkey AS doc_id,
 ORACLE["anonymize_json_struct"] = f"""{_JSON} SELECT o_orderkey AS doc_id, f_name AS name,
   'Dr. ' || {d.FIRST2} || ' ' || {d.LAST2} || ', MD' AS provider,
   CAST(60 + o_orderkey % 40 AS INT) AS heart_rate FROM x"""
-ORACLE["deanonymize_json"] = f"""{_JSON}, b AS (SELECT uuid, f_date, min(v_date) AS r_date FROM x GROUP BY 1, 2)
+ORACLE["deanonymize_json"] = f"""{_JSON}, b AS (SELECT uuid, f_date, min(v_date) <> max(v_date) AS ambiguous FROM x GROUP BY 1, 2),
+y AS (SELECT *, CASE WHEN ambiguous THEN f_date ELSE v_date END AS r_date FROM x JOIN b USING (uuid, f_date))
 SELECT o_orderkey AS doc_id, {d.record_sql('v_name', 'r_date', 'v_mrn', 'v_phone', 'v_email')} AS restored,
-  CAST(7 AS INT) AS entities_restored, CAST(200 AS INT) AS status FROM x JOIN b USING (uuid, f_date)"""
+  CAST(CASE WHEN ambiguous THEN 5 ELSE 7 END AS INT) AS entities_restored,
+  CAST(CASE WHEN ambiguous THEN 2 ELSE 0 END AS INT) AS ambiguous, CAST(200 AS INT) AS status FROM y"""
 ORACLE["restore_json_by_ledger"] = f"SELECT doc_id, record AS restored FROM ({o.RECORDS})"
 ORACLE["structure_check"] = "SELECT count(*) AS records, CAST(0 AS BIGINT) AS changed FROM orders"
 ORACLE["legacy_guard"] = """SELECT o_orderkey AS doc_id, CAST(CASE WHEN c_mktsegment = 'MACHINERY' THEN 400

@@ -18,6 +18,9 @@ _C = r"[A-Z][a-z]+"
 _F = rf"{_C}(?:{_G}{_C})*"
 _A = r"[A-Z][a-zA-Z]+"
 _I = r"[A-Z0-9-]*[0-9][A-Z0-9-]*"
+_J = r"[A-Za-z0-9-]*[0-9][A-Za-z0-9-]*"
+_N = r"(?:[A-Z][a-z]+|[A-Z]{2,}\b)"
+_M = rf"{_N}(?:{_G}{_N})*"
 _MON = r"(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _MONTH = ("(?:January|February|March|April|May|June|July|August|September|October|November"
           "|December)")
@@ -28,12 +31,12 @@ RULES = [
     ("NAME", 102, 0.95, 1, 0, rf"(Patient:{_W}*)({_A}(?:{_G}{_A})*)()"),
     ("NAME", 103, 0.95, 0, 0, rf"\b{_H}{_G}{_C}(?:{_G}{_C})?\b"),
     ("NAME", 104, 0.95, 1, 0, r"(\b(?i:mother|father|sister|brother|spouse|wife|husband|son"
-                              rf"|daughter|parent){_W}+)({_F})()"),
+                              rf"|daughter|parent){_W}+)({_M})()"),
     ("NAME", 105, 0.95, 1, 0, rf"(\b)({_C}{_G}{_C})({_W}*(?:DOB|Phone|Address|,|\n|\z|works|lives"
                               "|employed|called|contacted|visited))"),
-    ("NAME", 106, 0.95, 1, 0, rf"((?i:Hello|Hi|Dear|Hey){_W}+)({_C})()"),
+    ("NAME", 106, 0.95, 1, 0, rf"((?i:Hello|Hi|Dear|Hey){_W}+)({_N})()"),
     ("NAME", 107, 0.95, 1, 0, rf"({_H}{_W}+)({_C})({_W}|,|\.)"),
-    ("NAME", 108, 0.95, 1, 0, rf"((?i:called|named|contacted){_W}+)({_F})()"),
+    ("NAME", 108, 0.95, 1, 0, rf"((?i:called|named|contacted){_W}+)({_M})()"),
     ("NAME", 109, 0.95, 1, 0, rf"(\.{_W}+)({_C})({_W}*[:,]|{_W}+{_VERB})"),
     ("NAME", 110, 0.95, 1, 0, rf"(\A)({_C})({_W}*[:,]|{_W}+{_VERB})"),
     ("NAME", 111, 0.95, 1, 0, rf"(\A)({_C}{_G}{_C}(?:{_G}{_C})?)(\n?\z)"),
@@ -60,22 +63,22 @@ RULES = [
     ("MRN", 901, 0.95, 1, 1, rf"(\b(?:MRN|mrn|Medical Record Number)[{_S}:#-]*)({_I})(\b)"),
     ("MRN", 902, 0.95, 1, 1, rf"(\b(?:Patient ID|patient id)[{_S}:#-]*)({_I})(\b)"),
     ("MRN", 903, 0.95, 0, 0, r"\b[A-Z]{2,4}-[0-9]{6,10}\b"),
-    ("INSURANCE_ID", 1001, 0.95, 1, 0, rf"((?i:Insurance ID):{_W}*)([A-Z0-9]*[0-9][A-Z0-9]*)()"),
-    ("INSURANCE_ID", 1002, 0.95, 1, 0, rf"(\b(?i:Member ID|Policy Number)[{_S}:#-]*)({_I})(\b)"),
+    ("INSURANCE_ID", 1001, 0.95, 1, 0, rf"(\b(?i:Insurance ID):{_W}*)([A-Za-z0-9]*[0-9][A-Za-z0-9]*)()"),
+    ("INSURANCE_ID", 1002, 0.95, 1, 0, rf"(\b(?i:Member ID|Policy Number)[{_S}:#-]*)({_J})(\b)"),
     ("INSURANCE_ID", 1003, 0.85, 0, 0, r"\b[A-Za-z]{1,3}[0-9]{6,12}\b"),
-    ("LICENSE_NUMBER", 1101, 0.9, 1, 1, rf"(\b(?i:License|Certificate)[{_S}#:]*)({_I})(\b)"),
-    ("VEHICLE_ID", 1201, 0.95, 1, 1, rf"(\b(?i:License Plate|Plate)[{_S}:#]*)({_I})(\b)"),
-    ("VEHICLE_ID", 1202, 0.95, 1, 1, rf"(\b(?i:VIN)[{_S}:#]*)([A-Z0-9]{{17}})(\b)"),
-    ("DEVICE_ID", 1301, 0.95, 1, 1, rf"(\b(?i:Serial Number|Serial|SN)[{_S}:#]*)({_I})(\b)"),
-    ("DEVICE_ID", 1302, 0.95, 1, 1, rf"(\b(?i:Device ID|Device)[{_S}:#]*)({_I})(\b)"),
+    ("LICENSE_NUMBER", 1101, 0.9, 1, 1, rf"(\b(?i:License|Certificate)[{_S}#:]*)({_J})(\b)"),
+    ("VEHICLE_ID", 1201, 0.95, 1, 1, rf"(\b(?i:License Plate|Plate)[{_S}:#]*)({_J})(\b)"),
+    ("VEHICLE_ID", 1202, 0.95, 1, 1, rf"(\b(?i:VIN)[{_S}:#]*)([A-Za-z0-9]{{17}})(\b)"),
+    ("DEVICE_ID", 1301, 0.95, 1, 1, rf"(\b(?i:Serial Number|Serial|SN)[{_S}:#]*)({_J})(\b)"),
+    ("DEVICE_ID", 1302, 0.95, 1, 1, rf"(\b(?i:Device ID|Device)[{_S}:#]*)({_J})(\b)"),
     ("DEVICE_ID", 1303, 0.95, 1, 1,
-     rf"(\b(?i:Pacemaker|Pump|Implant){_W}+(?i:ID|Serial)[{_S}:#]*)({_I})(\b)"),
+     rf"(\b(?i:Pacemaker|Pump|Implant){_W}+(?i:ID|Serial)[{_S}:#]*)({_J})(\b)"),
     ("URL", 1401, 0.99, 0, 0, rf"https?://[^{_S}]+"),
     ("IP_ADDRESS", 1501, 0.95, 0, 0, r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
     ("BIOMETRIC_ID", 1601, 0.95, 1, 1,
-     rf"(\b(?i:Fingerprint|Retinal|Voiceprint|Facial Recognition)[{_S}:]*(?i:ID)?[{_S}:#]*)({_I})(\b)"),
+     rf"(\b(?i:Fingerprint|Retinal|Voiceprint|Facial Recognition)[{_S}:]*(?i:ID)?[{_S}:#]*)({_J})(\b)"),
     ("CLINICAL_TRIAL_ID", 1701, 0.95, 0, 0, r"\bNCT[0-9]{8}\b"),
-    ("EMPLOYEE_ID", 1801, 0.9, 1, 1, rf"(\b(?i:Employee ID|EID)[{_S}:#]*)({_I})(\b)"),
+    ("EMPLOYEE_ID", 1801, 0.9, 1, 1, rf"(\b(?i:Employee ID|EID)[{_S}:#]*)({_J})(\b)"),
     ("AGE", 1901, 0.9, 1, 0,
      r"(\b)(9[0-9]|1[0-9]{2})([- ]?(?i:years?|yrs?|yo|y/o)(?i:[- ]old)?\b)"),
     ("AGE", 1902, 0.9, 1, 0, r"(\b(?i:age|aged)[: \t]*)(9[0-9]|1[0-9]{2})(\b)"),

@@ -54,7 +54,7 @@ def _detector(name: str, source: Callable, *types: str) -> None:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return rec.spread(d.table(spark, sf, "pages").selectExpr("page_id AS doc_id", "url || chr(10) || html AS text"))
+    return d.spread(d.table(spark, sf, "pages").selectExpr("page_id AS doc_id", "url || chr(10) || html AS text"))
 
 
 for _name, _src, _types in [
@@ -265,14 +265,14 @@ def _mappings_of(anonymized):
 def deanonymize_text(spark, sf):
     done = _anonymized_notes(spark, sf)
     return restore.restore_by_value(done.select("doc_id", "uuid", "anonymized"), _mappings_of(done)
-                                    ).select("doc_id", "restored")
+                                    ).select("doc_id", "restored", "entities_restored", "ambiguous")
 
 
 @query("deanonymize_foreign")
 def deanonymize_foreign(spark, sf):
     """Replacements of any shape, from a table taken over from elsewhere."""
     rows = _values(spark, sf, text="'seen: Legacy Person ' || CAST(o_custkey AS STRING) || ' today'")
-    return restore.restore_by_value(rows, _legacy_mappings(spark, sf), "text", foreign=True).select(
+    return restore.restore_by_value(rows, _legacy_mappings(spark, sf), "text").select(
         "doc_id", "restored", "entities_restored")
 
 
@@ -357,7 +357,7 @@ def anonymize_json_struct(spark, sf):
 def deanonymize_json(spark, sf):
     done = _anonymized_records(spark, sf)
     return jsonrec.restore_json(done.select("doc_id", "uuid", "anonymized"), _mappings_of(done)).select(
-        "doc_id", "restored", "entities_restored", "status")
+        "doc_id", "restored", "entities_restored", "ambiguous", "status")
 
 
 @query("restore_json_by_ledger")
@@ -672,7 +672,7 @@ def _stream(spark, sf, name):
     # A glob, since the table may be one file or a folder of files.
     now = d.table(spark, sf, name)
     stream = spark.readStream.schema(now.schema).parquet(f"{sf}/{name}.parquet*")
-    return rec.spread(stream, like=now)
+    return d.spread(stream)
 
 
 @query("stream_anonymize")

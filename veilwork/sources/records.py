@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def spread(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
-    """Give every core work when a small input arrives in fewer pieces than there are cores.
+def spread(df: DataFrame, parts: int | None) -> DataFrame:
+    """``df`` dealt over ``parts`` tasks, where the caller asks for it; else as it is read.
 
-    Detection is bound by the CPU, and one Parquet row group is one task. At scale the input has
-    far more pieces than cores and is left alone. A stream is judged by a batch ``like`` it.
+    For files of one row group, which are one task, and detection is bound by the CPU.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = (df if like is None else like).rdd.getNumPartitions()
-    return df.repartition(cores) if pieces < cores else df
+    return df.repartition(parts) if parts else df
 
 
 def read_text(spark: SparkSession, path: str, fmt: str = "parquet", text: str = "text",
