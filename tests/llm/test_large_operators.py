@@ -290,3 +290,10 @@ def test_pipeline(make, spark, tmp_path):
 def test_queries_are_named():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_oracle(spark, name):
+    from compare import check, duck
+    ok, note = check(spark, duck("/root/testdata/sf0.001"), name, "/root/testdata/sf0.001")
+    assert ok, note
