@@ -111,6 +111,7 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     neighbours only ever passes through aggregations (pre-aggregated before the shuffle) and a join.
     """
     e = stage(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y").distinct(), name)
+    sums = None
     while True:
         both = e.unionAll(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
@@ -122,13 +123,13 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
         small = (big.join(low, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
                  .unionAll(low.select("x", F.col("m").alias("y"))))
         after = stage(small.distinct(), name)
-        if _same(e, after):
+        before, sums = sums, _sums(after)
+        if before == sums:
             return after.unionAll(after.select(F.col("y").alias("x"), F.col("y"))).distinct().select(
                 F.col("x").alias("node"), F.col("y").alias("root"))
         e = after
 
 
-def _same(p: DataFrame, q: DataFrame) -> bool:
-    def sums(d):
-        return d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("s")).first()
-    return sums(p) == sums(q)
+def _sums(edges: DataFrame):
+    """Number and sum of hashes: equal for equal sets of edges."""
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("s")).first()
