@@ -14,4 +14,17 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
 FROM judged GROUP BY r
 """
 
-ORACLE = {"op7_line_dedup": OP7}
+_NIBBLE = " ".join(f"WHEN '{k:x}' THEN '{k:04b}'" for k in range(16))
+_FIVE = " + ".join(f"{16 >> k} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS INT)" for k in range(5))
+OP8 = f"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, replace(url, ' ', '%20') AS url, coalesce(html, '') AS h FROM pages),
+b AS (SELECT *, list_aggregate(list_transform(string_split(sha1(h), ''), lambda c: CASE c {_NIBBLE} END), 'string_agg', '')
+  AS bits, max(page_id) OVER (PARTITION BY h) AS most FROM p)
+SELECT page_id, url, octet_length(encode(h)) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id < most THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < most THEN most END AS refers_to FROM b
+"""
+
+ORACLE = {"op7_line_dedup": OP7, "op8_warc_archive": OP8}
