@@ -50,22 +50,30 @@ class Canon:
 
     def __init__(self):
         self.known: dict[str, int] = {}
-        self.rows: list[tuple[int, int, bool, bool, str]] = []
-        self.table: tuple = ()
+        self.words: list[str] = []
+        self.table = self._empty(1 << 12)  # hash, kind, may be a name, ends a sentence; grown by doubling
+
+    @staticmethod
+    def _empty(n: int):
+        return np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
 
     def _row(self, raw: str) -> int:
         core = raw.strip(EDGES)
         stop = raw.rstrip("\"'”“«»’)]}")[-1:] in STOPS if raw else False
         if not core:
-            row = (0, -1, False, stop, "")  # punctuation alone: no token, but it may end a sentence
+            row, word = (0, -1, False, stop), ""  # punctuation alone: no token, but it may end a sentence
         elif NUMBER.fullmatch(core):
-            row = (_MARKS[NUM], NUM, False, stop, core)
+            row, word = (_MARKS[NUM], NUM, False, stop), core
         else:
-            low = core.lower()
+            word = core.lower()
             name = core[:1] != core[:1].lower() and len(core) > 1 and core[1:] == core[1:].lower()
-            row = (_hash(low), UNIT if low in UNITS else LITERAL, name, stop, low)
-        self.rows.append(row)
-        self.known[raw] = at = len(self.rows) - 1
+            row = (_hash(word), UNIT if word in UNITS else LITERAL, name, stop)
+        self.known[raw] = at = len(self.words)
+        self.words.append(word)
+        if at == len(self.table[0]):
+            self.table = tuple(np.concatenate([a, b]) for a, b in zip(self.table, self._empty(at)))
+        for column, value in zip(self.table, row):
+            column[at] = value
         return at
 
     def tokens(self, text: str):
@@ -74,9 +82,7 @@ class Canon:
             self.__init__()
         known, new = self.known, self._row
         at = np.array([known[w] if w in known else new(w) for w in text.split()], np.int64)
-        if len(self.table) == 0 or len(self.table[0]) < len(self.rows):
-            self.table = tuple(np.array(c, k) for c, k in zip(list(zip(*self.rows))[:4], (np.uint64, np.int64, bool, bool)))
-        h, kind, name, stop = (c[at] for c in self.table) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))
+        h, kind, name, stop = (column[at] for column in self.table)
         if not len(at):
             return h, kind, at
         start = np.concatenate([[True], stop[:-1]])
@@ -89,7 +95,15 @@ class Canon:
         return h, kind, at
 
     def word(self, at: int) -> str:
-        return self.rows[at][4]
+        return self.words[at]
+
+
+_CANON = Canon()
+
+
+def _canon() -> Canon:
+    """A worker keeps its words from task to task."""
+    return _CANON
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -112,7 +126,7 @@ def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
              .agg(F.min(F.col("item_id").cast("bigint")).alias("id")))
 
     def rows(of):
-        canon = Canon()
+        canon = _canon()
         for item, text in of:
             h, kind, at = canon.tokens(text)
             if not (kind == LITERAL).any():
@@ -137,7 +151,7 @@ def doc_windows(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFra
     held = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
 
     def rows(of):
-        canon = Canon()
+        canon = _canon()
         for doc_id, rid, text in of:
             h, kind, at = canon.tokens(text)
             for width in widths:
