@@ -53,10 +53,11 @@ ORACLE["detect_all"] = (f"{_with(o.DOCS, o.candidate_ctes('src'), o.resolved_cte
 ORACLE["resolve_overlaps"] = (f"{_with(o.NOTES, o.candidate_ctes('src'), o.resolved_ctes())} "
                               f"SELECT {MATCH} FROM kept")
 _KEY = "({t}.\"begin\", {t}.\"end\", {t}.type, {t}.original, {t}.score, {t}.ord, {t}.weight)"
-ORACLE["overlap_pairs"] = f"""{_with(o.NOTES, o.candidate_ctes('src'))} SELECT a.doc_id,
+ORACLE["overlap_pairs"] = f"""{_with(o.NOTES, o.candidate_ctes('src'))},
+found AS MATERIALIZED (SELECT {o.SPAN_COLUMNS} FROM cand) SELECT a.doc_id,
   a.type AS left_type, a."begin" AS left_begin, a."end" AS left_end,
   b.type AS right_type, b."begin" AS right_begin, b."end" AS right_end
-  FROM cand a JOIN cand b ON a.doc_id = b.doc_id AND {_KEY.format(t='a')} < {_KEY.format(t='b')}
+  FROM found a JOIN found b ON a.doc_id = b.doc_id AND {_KEY.format(t='a')} < {_KEY.format(t='b')}
   AND a."begin" < b."end" AND a."end" > b."begin" """
 ORACLE["external_entities"] = f"""{_with(o.NOTES, o.candidate_ctes('src'))},
 ext AS (SELECT doc_id, 'PRODUCT' AS type, 0 AS ord, CAST(0.97 AS DOUBLE) AS score,
@@ -361,7 +362,9 @@ GROUP BY uuid, fake HAVING count(DISTINCT original) > 1"""
 # ---- checks and streams -----------------------------------------------------------------------------------------
 
 ORACLE["leak_check"] = f"""{_full(o.NOTES)} SELECT DISTINCT k.doc_id, k.type, k.original FROM kept k
-JOIN done USING (doc_id) WHERE k.type <> 'AGE' AND contains(done.anonymized, k.original)"""
+JOIN done USING (doc_id) WHERE k.type <> 'AGE' AND contains(done.anonymized, k.original) AND regexp_matches(
+  regexp_replace(regexp_replace(done.anonymized, '{o.PROVIDERS[0][5]}', ' ', 'g'), '{o.PROVIDERS[1][5]}', ' ', 'g'),
+  '(^|[^A-Za-z0-9])' || regexp_escape(k.original) || '($|[^A-Za-z0-9])')"""
 _TERMS = ", ".join(f"('{t}')" for t in q.KEPT_TERMS)
 ORACLE["preservation_check"] = f"""{_full(o.NOTES)} SELECT term, count(*) AS texts,
   count(*) FILTER (contains(anonymized, term)) AS kept FROM done JOIN (VALUES {_TERMS}) v(term)
@@ -371,6 +374,14 @@ _ALARMS = """SELECT make_timestamp(300000000 * (epoch_us(ts) // 300000000)) AS w
   make_timestamp(300000000 * (epoch_us(ts) // 300000000) + 300000000) AS window_end, count(*) AS n
 FROM events WHERE event_type = 'error' GROUP BY epoch_us(ts) // 300000000 HAVING count(*) >= 2"""
 ORACLE["alarm_errors"] = _ALARMS
+ORACLE["alarm_errors_default"] = _ALARMS.replace(">= 2", ">= 5")
+ORACLE["lost_terms"] = f"""{_full(o.NOTES)} SELECT doc_id, term FROM done JOIN (VALUES {_TERMS}) v(term)
+  ON contains(text, term) AND NOT contains(anonymized, term)"""
+ORACLE["roundtrip_records"] = """SELECT 'notes' AS kind, count(*) AS texts, CAST(0 AS BIGINT) AS failed FROM orders
+UNION ALL SELECT 'json', count(*), 0 FROM orders"""
+ORACLE["separate_collisions"] = f"""WITH {MAPS}, {_DEDUP} SELECT count(*) AS mappings, CAST(0 AS BIGINT) AS collisions
+FROM first WHERE pii_type IN ('PHONE_NUMBER', 'NAME')"""
+ORACLE["stats_by_method_all"] = f"WITH {HIST} SELECT method, count(*) AS operations FROM hist GROUP BY method"
 ORACLE["stream_alarms"] = _ALARMS
 ORACLE["alarm_unauthorised"] = _ALARMS.replace("300000000", "60000000").replace(">= 2", ">= 1")
 ORACLE["stream_anonymize"] = f"{_full(o.DOCS)} SELECT doc_id, anonymized, entities_detected FROM done"

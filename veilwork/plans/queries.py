@@ -580,6 +580,11 @@ def stats_by_method(spark, sf):
     return reports.stats_by_method(_history(spark, sf), by_identity=True)
 
 
+@query("stats_by_method_all")
+def stats_by_method_all(spark, sf):
+    return reports.stats_by_method(_history(spark, sf))
+
+
 @query("stats_summary")
 def stats_summary(spark, sf):
     return reports.stats_summary(_order_mappings(spark, sf), _history(spark, sf))
@@ -630,6 +635,18 @@ def fake_collisions(spark, sf):
     return stores.fake_collisions(_order_mappings(spark, sf)).select("uuid", "fake", "originals")
 
 
+@query("separate_collisions")
+def separate_collisions(spark, sf):
+    """After separating, no keyed replacement stands for two originals. Masks, which are meant to collide, are left out."""
+    keyed = _order_mappings(spark, sf).filter(F.col("pii_type").isin("PHONE_NUMBER", "NAME"))
+    rows = stores.dedup_mappings(keyed, F.col("ord"))
+    fixed = stage(stores.separate_collisions(rows, d.SECRET), "separated")
+    zero = F.lit(0).cast("bigint")
+    both = fixed.agg(F.count(F.lit(1)).alias("mappings"), zero.alias("collisions")).unionByName(
+        stores.fake_collisions(fixed).agg(zero.alias("mappings"), F.count(F.lit(1)).alias("collisions")))
+    return both.agg(F.sum("mappings").alias("mappings"), F.sum("collisions").alias("collisions"))
+
+
 # ---- checks ------------------------------------------------------------------------------------------------
 
 @query("leak_check")
@@ -658,6 +675,36 @@ def alarm_errors(spark, sf):
                          seconds)
 
 
+@query("alarm_errors_default")
+def alarm_errors_default(spark, sf):
+    """With the documented threshold; failed events stand for audit errors."""
+    audit = d.table(spark, sf, "events").selectExpr("ts AS created_at", "upper(event_type) AS event_type")
+    return checks.error_alarms(audit)
+
+
+@query("lost_terms")
+def lost_terms(spark, sf):
+    return checks.lost_terms(an.anonymize(d.notes(spark, sf), d.SECRET), KEPT_TERMS)
+
+
+@query("roundtrip_records")
+def roundtrip_records(spark, sf):
+    """Notes and JSON records through the ledger and back."""
+    notes = _anonymized_notes(spark, sf)
+    back = restore.restore_by_ledger(notes.select("doc_id", "text", "anonymized"), an.ledger_rows(notes))
+    js = stage(jsonrec.anonymize_json(d.records(spark, sf), d.SECRET), "records")
+    js_back = jsonrec.restore_json_by_ledger(js.select("doc_id", "record", "anonymized"), jsonrec.ledger_rows(js))
+
+    def row(kind, df, original):
+        failed = checks.not_restored(df.select(F.col(original).alias("text"), "restored")).agg(
+            F.count(F.lit(1)).alias("failed"), F.lit(0).cast("bigint").alias("texts"))
+        every = df.agg(F.lit(0).cast("bigint").alias("failed"), F.count(F.lit(1)).alias("texts"))
+        return failed.unionByName(every).agg(F.sum("texts").alias("texts"), F.sum("failed").alias("failed")).select(
+            F.lit(kind).alias("kind"), "texts", "failed")
+
+    return row("notes", back, "text").unionByName(row("json", js_back, "record"))
+
+
 @query("alarm_unauthorised")
 def alarm_unauthorised(spark, sf):
     """Refused restores; a failed event stands for one."""
