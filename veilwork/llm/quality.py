@@ -25,7 +25,7 @@ from veilwork.llm.common import mapped, stage
 CLASSES = ["lower", "upper", "digit", "stop", "symbol", "other"]
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 #: A document fails by its characters or by its words beyond these distances.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.80
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.47
 #: A common word has this share of its language's words.
 COMMON_SHARE = 0.002
 FLUSH = 200_000
@@ -172,7 +172,7 @@ def _distances(chars: np.ndarray, words: list[bytes], ref: tuple) -> tuple[float
 class Rules:
     """The verdict on one text; see the module for the guards."""
 
-    def __init__(self, found: dict, min_chars: int = 200, min_words: int = 50, max_char: float = MAX_CHAR_DISTANCE,
+    def __init__(self, found: dict, min_chars: int = 200, min_words: int = 80, max_char: float = MAX_CHAR_DISTANCE,
                  max_word: float = MAX_WORD_DISTANCE):
         self.found, self.min_chars, self.min_words = found, min_chars, min_words
         self.max_char, self.max_word = max_char, max_word
