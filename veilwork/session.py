@@ -32,14 +32,17 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="veilwork-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a result once to the work folder and go on from there.
+def stage(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write a result once to the work folder and go on from there; ``paths`` gets the folder.
+
+    What is staged may hold originals in clear text, so the caller should drop the folders when done.
 
     For frames that several branches of a plan are built on: detection is the costly part and must
     not be planned into each branch. Readers of the written table also survive lost executors
@@ -47,4 +50,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.parquet(path)
