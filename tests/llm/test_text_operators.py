@@ -188,6 +188,20 @@ def test_inconsistent_slots(make, spark):
     assert got == {1: True, 2: False}
 
 
+def test_each_alignment_counts(make, spark):
+    train = "A train leaves the old station at {} and travels {} km per hour. How far is it after {} hours?"
+    again = "then take {} red balls out of it and then take {} red balls out of it and then take {} red balls out of it at last"
+    bench = spark.createDataFrame([(1, train.format(9, 60, 3)), (2, again.format(2, 5, 8)), (3, train.format(7, 80, 4))],
+                                  "item_id long, text string")
+    filler = " ".join(f"word{k} goes on" for k in range(40))
+    rows = [(1, f"{train.format(9, 60, 3)} {train.format(5, 90, 4)}"), (2, f"{train.format(9, 60, 3)}\n{train.format(7, 80, 4)}"),
+            (3, again.format(2, 5, 8)), (4, f"{again.format(1, 6, 9)} {filler} so take 77 red balls out of it and stop"),
+            (5, f"{filler} travels 5 km per hour. How long?"),
+            (6, f"{train.format(9, 60, 3)} {filler} {' '.join(train.format(k, k + 1, k + 2) for k in range(20, 60))}")]
+    got = {r.doc_id: r.item_ids for r in decontaminate.contamination(make(rows), bench).collect()}
+    assert got == {1: [1, 3], 2: [1, 3], 3: [2], 4: [2], 5: [], 6: [1, 3]}
+
+
 # --- pieces
 
 def test_pieces_equal_the_library(make):

@@ -3,9 +3,13 @@
 Texts are canonicalised to tokens: lower case, punctuation around words left out, and a placeholder for numbers, for words
 with a capital inside a sentence (names), and for units after a number. Windows of ``width`` tokens of the benchmark and of
 the documents meet in a hash join; a document's windows are held against a bitmap of fixed size of the benchmark's before,
-so only windows that may meet are shuffled. An item is found in a document when the document holds at least ``coverage``
-of the item's windows and the slots are consistent: each value of an item's slots stands for one value in the document,
-for at least ``consistent`` of the values. So an item is found word for word and with other numbers and names.
+so only windows that may meet are shuffled. An item is found in a document when an alignment of the two holds at least
+``coverage`` of the item's windows and its slots are consistent: each value of an item's slots stands for one value in the
+document, for at least ``consistent`` of the values. So an item is found word for word and with other numbers and names.
+
+An alignment is what meets at about the same distance (document position minus item position): at exactly one distance, at
+distances in bins of 4, 16 and so on below the item's length (as names of more or fewer words shift what follows; each
+width has two grids, so no alignment is cut by a bin's edge), or anywhere in the document.
 
 Defined cases: null and empty texts hold nothing. Items of fewer than ``width`` tokens are one window of their own length.
 An item without a literal token is no item, and windows with fewer than ``literals`` literal tokens don't count, unless the
@@ -118,6 +122,10 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
 WINDOW = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32()), ("w", pa.int64()),
                     ("slots", pa.list_(pa.string()))])
 WINDOW_DDL = "id bigint, rid bigint, pos int, w bigint, slots array<string>"
+#: The bins of a distance d for an item of n windows: the whole document, d itself, and two grids of each width below.
+BINS = """concat(array(named_struct('width', 0, 'bin', 0L), named_struct('width', 1, 'bin', cast(d as bigint))),
+    flatten(transform(filter(array(4, 16, 64, 256, 1024, 4096, 16384, 65536, 262144, 1048576), x -> x < n + width),
+        x -> array(named_struct('width', x, 'bin', floor(d / x)), named_struct('width', -x, 'bin', floor(d / x + 0.5D))))))"""
 
 
 def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
@@ -171,16 +179,20 @@ def found_items(docs: DataFrame, benchmark: DataFrame, width: int = 6, literals:
     items = stage(item_windows(benchmark, width, literals), "items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most ``width`` of them
     found = stage(doc_windows(docs, bitmap(items.select("w"), "w", 22), widths), "windows")
-    i = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("w").alias("item_w"), "n",
+    i = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("w").alias("item_w"), "n", "width",
                      F.col("slots").alias("item_slots"))
     met = stage(found.join(i, found["w"] == i["item_w"]).select(
-        F.coalesce("id", F.lit(-2**63)).alias("id"), "rid", "item_id", "item_pos", "n", "slots", "item_slots"), "met")
-    share = (met.groupBy("id", "rid", "item_id").agg((F.countDistinct("item_pos") / F.first("n")).alias("share"))
+        F.coalesce("id", F.lit(-2**63)).alias("id"), "rid", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("d"),
+        "n", "width", "slots", "item_slots"), "met")
+    binned = met.select("id", "rid", "item_id", "item_pos", "n", "slots", "item_slots", F.explode(F.expr(BINS)).alias("at"))
+    key = ["id", "rid", "item_id", "at"]
+    share = (binned.groupBy(*key).agg((F.countDistinct("item_pos") / F.first("n")).alias("share"))
              .where(F.col("share") >= coverage))
-    pair = met.select("id", "rid", "item_id", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).groupBy(
-        "id", "rid", "item_id", F.col("s.item_slots").alias("was")).agg(F.countDistinct("s.slots").alias("values"))
-    slots = pair.groupBy("id", "rid", "item_id").agg(F.avg(F.when(F.col("values") == 1, 1.0).otherwise(0.0)).alias("fit"))
-    return (share.join(slots, ["id", "rid", "item_id"], "left").where(F.coalesce("fit", F.lit(1.0)) >= consistent)
+    pair = binned.select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).groupBy(
+        *key, F.col("s.item_slots").alias("was")).agg(F.countDistinct("s.slots").alias("values"))
+    slots = pair.groupBy(*key).agg(F.avg(F.when(F.col("values") == 1, 1.0).otherwise(0.0)).alias("fit"))
+    return (share.join(slots, key, "left").where(F.coalesce("fit", F.lit(1.0)) >= consistent)
+            .groupBy("id", "rid", "item_id").agg(F.max("share").alias("share"))
             .select(F.expr("nullif(id, -9223372036854775808)").alias("doc_id"), "rid", "item_id", "share"))
 
 
