@@ -202,6 +202,21 @@ def test_each_alignment_counts(make, spark):
     assert got == {1: [1, 3], 2: [1, 3], 3: [2], 4: [2], 5: [], 6: [1, 3]}
 
 
+def test_place_and_case_of_names(make, spark):
+    bench = spark.createDataFrame([
+        (1, "What is the capital of France?"), (2, "Anna met Bob near Paris and then Carl told Dora that Emil went on to Rome with Fred"),
+        (3, "Anna has some red apples. Bob has some green pears. Carl has some blue plums. Dora has some old nuts.")],
+        "item_id long, text string")
+    rows = [(1, "A heading\nWhat is the capital of France?\nParis"), (2, "Questions 1) What is the capital of France?"),
+            (3, "A heading\n1) What is the capital of Spain?"), (4, "WHAT IS THE CAPITAL OF FRANCE"), (5, "Madrid is the capital of Spain."),
+            (6, "anna met bob near paris and then carl told dora that emil went on to rome with fred"),
+            (7, "Mary has some red apples. John has some green pears. Otto has some blue plums. Ruth has some old nuts."),
+            (8, "what is the\ncapital of france"), (9, "it is what the capital of france is"),
+            (10, "Mary met John near\nOslo and then Otto told\nRuth that Hans went on to\nBern with Karl")]
+    got = {r.doc_id: r.item_ids for r in decontaminate.contamination(make(rows), bench).collect()}
+    assert got == {1: [1], 2: [1], 3: [1], 4: [1], 5: [], 6: [2], 7: [3], 8: [1], 9: [], 10: [2]}
+
+
 # --- pieces
 
 def test_pieces_equal_the_library(make):

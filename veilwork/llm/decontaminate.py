@@ -11,6 +11,11 @@ An alignment is what meets at about the same distance (document position minus i
 distances in bins of 4, 16 and so on below the item's length (as names of more or fewer words shift what follows; each
 width has two grids, so no alignment is cut by a bin's edge), or anywhere in the document.
 
+Whether a word with a capital is a name depends on its place, so texts have several forms, and a window meets by any of
+them: sentences begin after a stop; they also begin with a line (after its list mark); every word with a capital is a name;
+no word is one. The last finds copies in any case and place. The third is not used for items of a single window, where an
+item that asks and a sentence that answers would be the same.
+
 Defined cases: null and empty texts hold nothing. Items of fewer than ``width`` tokens are one window of their own length.
 An item without a literal token is no item, and windows with fewer than ``literals`` literal tokens don't count, unless the
 item has no others. Items of equal text count as the one with the smallest item_id; null item_ids are left out. A null
@@ -39,6 +44,7 @@ UNITS = set("% ‰ ° °c °f $ € £ ¥ c f k g kg mg t lb lbs oz m km cm mm n
 NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 EDGES = ".,;:!?\"'“”„«»‘’()[]{}<>*_|…-–—"
 STOPS = ".!?:"
+MARK = re.compile(r"[(\[]?(?:\d{1,4}|[A-Za-z])[.)\]:]+|[^\w]+")  # before a line's first word
 LITERAL, NUM, NAME, UNIT = 0, 1, 2, 3
 _MARKS = {NUM: 0x51A9D1E5, NAME: 0x7B1C3D2F, UNIT: 0x2E8F4A6B}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -55,23 +61,23 @@ class Canon:
     def __init__(self):
         self.known: dict[str, int] = {}
         self.words: list[str] = []
-        self.table = self._empty(1 << 12)  # hash, kind, may be a name, ends a sentence; grown by doubling
+        self.table = self._empty(1 << 12)  # hash, kind, may be a name, ends a sentence, is a list mark; grown by doubling
 
     @staticmethod
     def _empty(n: int):
-        return np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+        return np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
 
     def _row(self, raw: str) -> int:
         core = raw.strip(EDGES)
         stop = raw.rstrip("\"'”“«»’)]}")[-1:] in STOPS if raw else False
         if not core:
-            row, word = (0, -1, False, stop), ""  # punctuation alone: no token, but it may end a sentence
+            row, word = (0, -1, False, stop, True), ""  # punctuation alone: no token, but it may end a sentence
         elif NUMBER.fullmatch(core):
-            row, word = (_MARKS[NUM], NUM, False, stop), core
+            row, word = (_MARKS[NUM], NUM, False, stop, MARK.fullmatch(raw) is not None), core
         else:
             word = core.lower()
             name = core[:1] != core[:1].lower() and len(core) > 1 and core[1:] == core[1:].lower()
-            row = (_hash(word), UNIT if word in UNITS else LITERAL, name, stop)
+            row = (_hash(word), UNIT if word in UNITS else LITERAL, name, stop, MARK.fullmatch(raw) is not None)
         self.known[raw] = at = len(self.words)
         self.words.append(word)
         if at == len(self.table[0]):
@@ -81,22 +87,39 @@ class Canon:
         return at
 
     def tokens(self, text: str):
-        """(hashes, kinds, words) of a text."""
+        """(hashes, kinds, words) of a text's first form."""
+        (h, kind), *_, at = self.forms(text)
+        return h, kind, at
+
+    def forms(self, text: str):
+        """(hashes, kinds) of each form that differs from the first, None for others, and the words."""
         if len(self.known) > KNOWN:
             self.__init__()
         known, new = self.known, self._row
-        at = np.array([known[w] if w in known else new(w) for w in text.split()], np.int64)
-        h, kind, name, stop = (column[at] for column in self.table)
+        lines = [line.split() for line in text.splitlines()]
+        at = np.array([known[w] if w in known else new(w) for line in lines for w in line], np.int64)
+        h, kind, name, stop, mark = (column[at] for column in self.table)
         if not len(at):
-            return h, kind, at
+            return (h, kind), None, None, None, at
         start = np.concatenate([[True], stop[:-1]])
+        begin = np.zeros(len(at) + 1, bool)
+        begin[np.cumsum([0, *map(len, lines)])] = True  # an empty line's start is the next one's
+        begin = begin[:-1]
+        for _ in range(2):
+            begin[1:] |= begin[:-1] & mark[:-1]
         real = kind >= 0
-        h, kind, name, start, at = h[real], kind[real].copy(), name[real], start[real], at[real]
-        after_number = np.concatenate([[False], kind[:-1] == NUM])
+        h, kind, name, start, begin, at = h[real], kind[real].copy(), name[real], start[real], begin[real], at[real]
+        after_number = np.concatenate([[False], kind[:-1] == NUM])[:len(kind)]
         kind[(kind == UNIT) & ~after_number] = LITERAL
-        kind[(kind == LITERAL) & name & ~start] = NAME
-        h = np.where(kind == NAME, np.uint64(_MARKS[NAME]), np.where(kind == UNIT, np.uint64(_MARKS[UNIT]), h))
-        return h, kind, at
+        name &= kind == LITERAL
+
+        def form(names):
+            k = np.where(names, NAME, kind)
+            return np.where(k == NAME, np.uint64(_MARKS[NAME]), np.where(k == UNIT, np.uint64(_MARKS[UNIT]), h)), k
+
+        first = name & ~start
+        others = (first & ~begin, name, np.zeros(len(name), bool))
+        return form(first), *(None if (x == first).all() else form(x) for x in others), at
 
     def word(self, at: int) -> str:
         return self.words[at]
@@ -128,6 +151,16 @@ BINS = """concat(array(named_struct('width', 0, 'bin', 0L), named_struct('width'
         x -> array(named_struct('width', x, 'bin', floor(d / x)), named_struct('width', -x, 'bin', floor(d / x + 0.5D))))))"""
 
 
+def _differing(forms: list, width: int):
+    """(hashes, positions, kinds) by form; of the later ones the positions where they differ from the first."""
+    first = None
+    for form in forms:
+        if form is not None:
+            w = window_hashes(form[0], width)
+            yield w, np.arange(len(w)) if first is None else np.flatnonzero(w != first), form[1]
+            first = w if first is None else first
+
+
 def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
     """``(id, pos, w, slots, n)``: windows of the items, n of them an item."""
     items = (benchmark.where("item_id is not null and text is not null").groupBy(F.col("text").cast("string").alias("text"))
@@ -136,21 +169,25 @@ def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
     def rows(of):
         canon = _canon()
         for item, text in of:
-            h, kind, at = canon.tokens(text)
+            *forms, at = canon.forms(text)
+            kind = forms[0][1]
             if not (kind == LITERAL).any():
                 continue
-            size = min(width, len(h))
-            w = window_hashes(h, size)
+            size = min(width, len(at))
             count = np.concatenate([[0], np.cumsum(kind == LITERAL)])
             good = np.flatnonzero(count[size:] - count[:-size] >= literals)
             good = good if len(good) else np.flatnonzero(count[size:] - count[:-size] > 0)
-            for p in good.tolist():
-                yield (item, size, p, int(w[p].view(np.int64)),
-                       [canon.word(at[q]) for q in range(p, p + size) if kind[q] != LITERAL])
+            if len(at) <= width:
+                forms[2] = None
+            for w, p, kind in _differing(forms, size):
+                n = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+                for p in good[np.isin(good, p) & ((kind is forms[0][1]) | (n[size:] - n[:-size] >= literals)[good])].tolist():
+                    yield (item, size, p, int(w[p].view(np.int64)),
+                           [canon.word(at[q]) for q in range(p, p + size) if kind[q] != LITERAL])
 
     # rid holds the window's width here
     windows = mapped(items.select("id", "text"), rows, WINDOW, WINDOW_DDL).withColumnRenamed("rid", "width")
-    n = windows.groupBy("id").agg(F.count("*").alias("n"))
+    n = windows.groupBy("id").agg(F.countDistinct("pos").alias("n"))
     return windows.join(n, "id")
 
 
@@ -161,11 +198,10 @@ def doc_windows(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFra
     def rows(of):
         canon = _canon()
         for doc_id, rid, text in of:
-            h, kind, at = canon.tokens(text)
+            *forms, at = canon.forms(text)
             for width in widths:
-                w = window_hashes(h, width)
-                if len(w):
-                    for p in np.flatnonzero(in_bitmap(held.value, w)).tolist():
+                for w, found, kind in _differing(forms, width):
+                    for p in found[in_bitmap(held.value, w[found])].tolist() if len(found) else ():
                         yield (doc_id, rid, p, int(w[p].view(np.int64)),
                                [canon.word(at[q]) for q in range(p, p + width) if kind[q] != LITERAL])
 
