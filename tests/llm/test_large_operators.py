@@ -182,6 +182,17 @@ def test_markup(html, text):
 
 # --- archives
 
+@pytest.mark.parametrize("html,text", [
+    ('<div class="content has-sidebar">%s<div class="sidebar">no</div></div>', "T x"), ('<div class="no-sidebar">%s</div>', "T x"),
+    ('<div class="site header-fixed"><div class="search"><p>no</p></div>%s</div>', "T x"), ('<div id="search-results">%s</div>', "T x"),
+    ('%s<div class="comments"><article>c</article></div>', "T x"), ('<div class="hidden">%s</div><div hidden>%s</div>', "T x"),
+    ('<div class="widget"><main>%s<div class="share"><p>no</p></div></main></div>', "T x"), ('<div class="sidebar"><p>no</p></div>y', "y"),
+    ('<article>t</article><div class="form"><article>Much longer</article></div>', "t Much longer")])
+def test_words_of_class_keep_the_article(html, text):
+    article = '<article><h1>T</h1><p>x</p><div class="ad">no</div></article>'
+    assert html_text.page_text(html.replace("%s", article)) == text
+
+
 def test_archives(spark):
     rows = [(1, "http://a b/", "<p>é\r\n\r\nx\n</p>\n"), (2, "http://a/", "<p>é\r\n\r\nx\n</p>\n"), (None, "u", ""), (3, None, None), (4, "q", ""), (4, "q", ""),
             (5, "z", "x\r\n\r\n\r\n"), (6, "y", "WARC/1.1\r\n" * 3), (7, "l", "long " * 60_000)]

@@ -5,6 +5,9 @@ running text is hashed (tag, class, text and children) and Spark counts the page
 on at least ``min_pages`` pages and at least ``share`` of a host's pages are the host's template. The second pass deletes
 them, together with elements that are no content by their tag, role or class, and writes the blocks that stay.
 
+Words of class or id don't delete an element that holds the page's main text (see ``holders``). A state (hidden), a role or
+a tag deletes the element with all it holds.
+
 Running text is protected: a paragraph, heading, quote, list item or cell in ``article`` or ``main`` never counts as
 template, nor does an element that holds such a one or the main element. So a passage or an article that many pages
 share stays.
@@ -61,25 +64,27 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "parts", "parent", "skip", "depth_main")
+    __slots__ = ("tag", "marks", "parts", "parent", "skip", "depth_main", "by_word")
 
-    def __init__(self, tag, marks, skip, parent, in_main):
+    def __init__(self, tag, marks, skip, parent, in_main, by_word=False):
         self.tag, self.marks, self.skip, self.parent, self.depth_main = tag, marks, skip, parent, in_main
+        self.by_word = by_word  # a word of class or id says that it is no content
         self.parts: list = []  # texts and nodes in page order
 
 
-def _judge(tag: str, attributes: str, parent: Node) -> tuple[str, bool]:
-    """The element's class words and whether tag, role, class or state say that it is no content."""
+def _judge(tag: str, attributes: str, parent: Node) -> tuple[str, bool, bool]:
+    """The element's class words, and whether tag, role or state, and whether its words say that it is no content."""
     skip = tag in NOT_CONTENT or tag == "header" and not parent.depth_main
     if not attributes.strip(" \t\r\n/"):
-        return "", skip
+        return "", skip, False
     found = {k.lower(): htmllib.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)}
     marks = f"{found.get('class', '')} {found.get('id', '')}".strip()
+    by_word = False
     if not skip and tag not in ("html", "body", "article", "main"):
         skip = ("hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES
-                or "display:none" in found.get("style", "").replace(" ", "").lower()
-                or any(w.lower() in MARKS for w in TOKEN.findall(marks)))
-    return marks, skip
+                or "display:none" in found.get("style", "").replace(" ", "").lower())
+        by_word = any(w.lower() in MARKS for w in TOKEN.findall(marks))
+    return marks, skip, by_word
 
 
 def tree(html: str) -> Node:
@@ -124,8 +129,8 @@ def tree(html: str) -> Node:
                     now = node.parent
                     break
                 node = node.parent
-        marks, skip = _judge(tag, m[3], now)
-        node = Node(tag, marks, skip, now, now.depth_main or tag in ("article", "main"))
+        marks, skip, by_word = _judge(tag, m[3], now)
+        node = Node(tag, marks, skip, now, now.depth_main or tag in ("article", "main"), by_word)
         now.parts.append(node)
         if tag in RAW:
             close = re.compile(f"</{tag}[^>]*>?", re.I).search(html, at)
@@ -148,6 +153,38 @@ def _order(root: Node) -> list[Node]:
     return out[::-1]
 
 
+def holders(root: Node) -> set[int]:
+    """Ids of the nodes that hold main text, which words of class or id don't delete.
+
+    Main text are the main element, the articles within the fewest elements with such words (a related article in a
+    sidebar or a comment is in more of them than the page's own), and any article with most of the articles' text.
+    """
+    size: dict[int, int] = {}
+    order = _order(root)
+    worded = {id(root): 0}
+    for node in reversed(order):  # parents first
+        if node.parent is not None:
+            worded[id(node)] = worded[id(node.parent)] + node.by_word
+    hidden = set()
+    for node in reversed(order):
+        if node.skip or node.parent is not None and id(node.parent) in hidden:
+            hidden.add(id(node))
+    for node in order:
+        size[id(node)] = 0 if id(node) in hidden else sum(
+            size[id(x)] if isinstance(x, Node) else len(x.strip()) for x in node.parts)
+    found = [n for n in order if n.tag in ("article", "main") and size[id(n)]]
+    outer = [n for n in found if not n.parent.depth_main]
+    least = min((worded[id(n)] for n in found), default=0)
+    total = sum(size[id(n)] for n in outer)
+    held: set[int] = set()
+    for node in found:
+        if node.tag == "main" or worded[id(node)] == least or 2 * size[id(node)] > total:
+            while node is not None and id(node) not in held:
+                held.add(id(node))
+                node = node.parent
+    return held
+
+
 def subtree_hashes(root: Node) -> dict[int, int]:
     """Hash by id of the nodes that may be template: they neither are nor hold running text of the main element."""
     hashes: dict[int, int] = {}
@@ -174,6 +211,7 @@ def page_text(html: str | None, template: set[int] | frozenset = frozenset()) ->
     """The text that stays: references decoded, a blank between blocks and for any run of white space."""
     root = tree(html or "")
     drop = subtree_hashes(root) if template else {}
+    main: set[int] | None = None
     out: list[str] = []
     todo: list = [root]
     while todo:
@@ -181,6 +219,10 @@ def page_text(html: str | None, template: set[int] | frozenset = frozenset()) ->
         if isinstance(x, str):
             out.append(htmllib.unescape(x) if "&" in x else x)
         elif not x.skip and drop.get(id(x)) not in template:
+            if x.by_word:
+                main = holders(root) if main is None else main
+                if id(x) not in main:
+                    continue
             if x.tag not in INLINE:
                 out.append("\n")
                 todo.append("\n")
