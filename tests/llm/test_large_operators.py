@@ -248,6 +248,13 @@ def test_language_model(make, spark):
     assert {r.score for r in recurrent_lm.scores(make([(1, "x y"), (5, None)]).where("crc32(string(doc_id)) % 5 = 1")).collect()} <= {0.0}
 
 
+def test_defaults_learn_from_all_documents(make):
+    rows = [(i, " ".join(f"w{(i + k) % 30}" for k in range(200))) for i in range(400)]
+    out = [r for r in recurrent_lm.scores(make(rows)).collect() if r.held_out]
+    n = sum(r.n_tokens for r in out)
+    assert sum(r.score - r.base_score for r in out) / n > 0.2
+
+
 def test_probabilities_sum_to_one():
     model = recurrent_lm.Gru(32, 32, 8, 6)
     rng = np.random.default_rng(0)

@@ -7,8 +7,8 @@ So P(word) = P(class | state) P(word | class, state), and every word has a proba
 
 Training is truncated backpropagation over windows: each task trains its own copy on its share of the training text, with
 the state carried from window to window and cleared at document ends; the copies are averaged by Spark, for ``rounds``
-rounds. It starts from the counts (output biases), so little text can't make it much worse than them. The text is a fixed
-share of the training documents by hash (``one_in``), so it grows with the input, and copies grow in number with it.
+rounds. It starts from the counts (output biases), so little text can't make it much worse than them. All training
+documents are read, and copies grow in number with them; only a caller may ask for a share by hash (``one_in``).
 
 Scoring carries the state over all windows of a document. Each block of documents gets the counts of just its words by a
 join, so no task needs the whole vocabulary.
@@ -301,7 +301,7 @@ def _blocks(of, size: int):
         yield part + block, doc_id, out, text
 
 
-def scores(docs: DataFrame, top: int = 1024, per_class: int = 32, hidden: int = 24, one_in: int = 32, rounds: int = 2,
+def scores(docs: DataFrame, top: int = 1024, per_class: int = 32, hidden: int = 24, one_in: int = 1, rounds: int = 1,
            share: int = 400_000, block: int = 12_000_000) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
