@@ -160,6 +160,20 @@ def test_toxic_documents(make, spark):
     assert toxicity.score(make([]), lab).count() == 0
 
 
+def test_quoted_terms_are_learned(make, spark):
+    rng = np.random.default_rng(6)
+    names = [f"w{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    rows, labels = [], []
+    for i in range(900):
+        words = list(rng.choice(names, 40))
+        words.insert(int(rng.integers(5, 35)), "nastyword" if i % 6 == 0 else '"nastyword"' if i % 6 == 1 else "fine")
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 6 == 0)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(make(rows), lab).collect()}
+    assert all(got[i].predicted == (i % 6 == 0) for i in range(900))
+
+
 # --- decontamination
 
 def test_templates(make, spark):

@@ -125,15 +125,21 @@ class Lexicon:
 
 # --- documents
 
-def window_score(text: str, begin: int, end: int) -> float:
-    """1 for a plain hit, 0.25 for a quoted or reported one, half as much again before a second person."""
+def _window(text: str, begin: int, end: int) -> tuple[bool, set[str]]:
+    """Whether a hit is quoted or reported, and the words near it."""
     left, right = text[max(0, begin - WINDOW):begin], text[end:end + WINDOW]
     near = set(WORD.findall(left)[-4:]) | set(WORD.findall(right)[:4])
     opened = sum(left.count(q) for q in QUOTES[:-1])
     closed = sum(right.count(q) for q in QUOTES[:-1])
     quoted = opened and closed and left.rstrip()[-1:] not in ".!?" or (left[-1:] in QUOTES and right[:1] in QUOTES
                                                                       and bool(left) and bool(right))
-    score = 0.25 if quoted or near & REPORTING else 1.0
+    return bool(quoted or near & REPORTING), near
+
+
+def window_score(text: str, begin: int, end: int) -> float:
+    """1 for a plain hit, 0.25 for a quoted or reported one, half as much again before a second person."""
+    quoted, near = _window(text, begin, end)
+    score = 0.25 if quoted else 1.0
     return score * 1.5 if near & SECOND else score
 
 
@@ -171,11 +177,23 @@ def _terms(text: str) -> set[str]:
     return {w[:k] for w in words for k in range(MIN_STEM, min(len(w), MAX_STEM) + 1)} | {f"{w}$" for w in words if len(w) > 2}
 
 
-def _counts(fit: DataFrame, toxic: int, only: frozenset | None) -> DataFrame:
+def _plain_terms(text: str) -> set[str]:
+    """The terms of a document that it holds outside quotations and reports."""
+    text = text.lower()
+    if not any(q in text for q in QUOTES) and REPORTING.isdisjoint(WORD.findall(text)):
+        return _terms(text)
+    plain: set[str] = set()
+    for m in WORD.finditer(text):
+        if m[0] not in plain and not _window(text, m.start(), m.end())[0]:
+            plain.add(m[0])
+    return _terms(" ".join(plain))
+
+
+def _counts(fit: DataFrame, toxic: int, only: frozenset | None, terms=_terms) -> DataFrame:
     def rows(of):
         c: Counter = Counter()
         for (text,) in of:
-            c.update(_terms(text) if only is None else _terms(text) & only)
+            c.update(terms(text) if only is None else terms(text) & only)
             if len(c) > 500_000:
                 yield from c.items()
                 c.clear()
@@ -202,21 +220,22 @@ def _followers(fit: DataFrame) -> DataFrame:
         "term").agg(F.countDistinct("after").alias("n"))
 
 
-def choose(bad: dict[str, int], places: dict[str, int], good: dict[str, int], n_bad: int,
-           n_good: int) -> tuple[list[str], list[str]]:
+def choose(bad: dict[str, int], places: dict[str, int], good: dict[str, int], n_bad: int, n_good: int,
+           plain_bad: dict[str, int] | None = None, plain_good: dict[str, int] | None = None) -> tuple[list[str], list[str]]:
     """Stems and whole words that mark toxic documents beyond chance.
 
     A term's support must be less likely than 1e-6 if it fell on documents at random, and at least 95 % of the documents
-    it is in must be toxic. Support counts documents, but no more than the words that follow the term, as copies of one
+    it is in must be toxic, of all documents or of those that hold it outside quotations and reports (the plain counts). So
+    a term that clean documents only quote is one, and windows and the model tell its uses apart. Support counts documents, but no more than the words that follow the term, as copies of one
     document are no evidence. Of nested stems the longest that loses less than a twentieth of the support stays.
     """
     rate = -math.log10(n_bad / (n_bad + n_good))
 
-    def marks(t):
-        b, g = bad[t], good.get(t, 0)
+    def marks(t, b, g):
         return min(b, places.get(t, 0)) * rate - 2 * g >= 6 and b >= max(3, 0.95 * (b + g))
 
-    fine = {t for t in bad if marks(t)}
+    fine = {t for t in bad if marks(t, bad[t], good.get(t, 0))}
+    fine |= {t for t, b in (plain_bad or {}).items() if t in bad and marks(t, b, (plain_good or {}).get(t, 0))}
     stems: list[str] = []
     roots = [t for t in fine if not t.endswith("$") and not any(t[:k] in fine for k in range(MIN_STEM, len(t)))]
     kids: dict[str, list[str]] = {}
@@ -265,7 +284,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[Lex
     bad = {r["term"]: r["n"] for r in _counts(rows, 1, None).where(F.col("n") >= max(3, least)).collect()}
     good = {r["term"]: r["n"] for r in _counts(rows, 0, frozenset(bad)).collect()}
     places = {r["term"]: r["n"] for r in _followers(rows).where(F.col("n") >= least).collect()}
-    stems, words = choose(bad, places, good, n_bad, n_good)
+    # only terms with clean documents and support enough can be judged otherwise by their plain uses
+    quoted = frozenset(t for t in bad if good.get(t) and places.get(t, 0) >= least)
+    plain_bad, plain_good = ({r["term"]: r["n"] for r in _counts(rows, k, quoted, _plain_terms).collect()} for k in (1, 0))
+    stems, words = choose(bad, places, good, n_bad, n_good, plain_bad, plain_good)
     every = [t for t in (*stems, *words) if len(t) >= MIN_FUZZY]
 
     def misspelled(of):  # terms that are met by an edit in clean documents
