@@ -193,6 +193,15 @@ def test_words_of_class_keep_the_article(html, text):
     assert html_text.page_text(html.replace("%s", article)) == text
 
 
+def test_templates_of_a_large_host(spark):
+    pages = [(i, "http://big.org/", f"<article><p>own {i}</p></article>" + ("<section><span>On few pages</span></section>" if i < 8 else "")
+              + ("<section><span>Rare</span></section>" if i < 3 else "")) for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for block in (8_000_000, 500):
+        got = {r.page_id: r.text for r in html_text.extract(df, block=block).collect()}
+        assert got == {i: f"own {i} Rare" if i < 3 else f"own {i}" for i in range(400)}
+
+
 def test_archives(spark):
     rows = [(1, "http://a b/", "<p>é\r\n\r\nx\n</p>\n"), (2, "http://a/", "<p>é\r\n\r\nx\n</p>\n"), (None, "u", ""), (3, None, None), (4, "q", ""), (4, "q", ""),
             (5, "z", "x\r\n\r\n\r\n"), (6, "y", "WARC/1.1\r\n" * 3), (7, "l", "long " * 60_000)]

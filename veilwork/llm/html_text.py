@@ -2,7 +2,8 @@
 
 Each page is read once to an element tree by a tolerant tag scanner. In a first pass every element subtree outside
 running text is hashed (tag, class, text and children) and Spark counts the pages of each host that hold it. Subtrees
-on at least ``min_pages`` pages and at least ``share`` of a host's pages are the host's template. The second pass deletes
+on at least ``min_pages`` pages are the host's template, however many pages it has (a caller may also ask for a ``share`` of
+the host's pages). Pages are read in blocks, and a block gets just those of its subtrees that are template. The second pass deletes
 them, together with elements that are no content by their tag, role or class, and writes the blocks that stay.
 
 Words of class or id don't delete an element that holds the page's main text (see ``holders``). A state (hidden), a role or
@@ -12,6 +13,8 @@ Running text is protected: a paragraph, heading, quote, list item or cell in ``a
 template, nor does an element that holds such a one or the main element. So a passage or an article that many pages
 share stays.
 
+``pages`` must give the same rows in the same partitions each time it is run, as a table scan does; extracting fails if not.
+
 White space is what Unicode calls so. Blocks are what block elements and line breaks part.
 
 Defined cases: a null html is empty; a null or unreadable url is the host ''. Unclosed and stray tags are tolerated, an
@@ -24,8 +27,10 @@ from __future__ import annotations
 import hashlib
 import html as htmllib
 import re
+from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,45 +240,79 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, min_pages: int = 5, share: float = 0.1) -> DataFrame:
-    """``(host, hashes)``: the subtrees on at least min_pages pages and that share of the host's pages.
+def _blocks(of, size: int):
+    """(block, row) with blocks of about ``size`` characters of a partition's rows, html last, in their order."""
+    block, held = TaskContext.get().partitionId() << 32, 0
+    for row in of:
+        n = len(row[-1] or "")
+        if held and held + n > size:
+            block, held = block + 1, 0
+        held += n
+        yield block, row
+
 
-    A host has at most (elements of a page) / share of them, so a host's row is bounded whatever its page count. Counts
-    are aggregated within the tasks before they are shuffled, so a host with most of the pages is no hot key.
+def subtrees(pages: DataFrame, size: int) -> DataFrame:
+    """``(block, host, h, pages)``: each block's subtrees and on how many of its pages they are.
+
+    A null h counts the pages of a host, and a null host has the block's characters.
     """
     def rows(of):
-        for host, html in of:
-            yield host, None
-            for h in set(subtree_hashes(tree(html or "")).values()):
-                yield host, h
-
-    found = mapped(pages.select(host_of(F.col("url")), F.col("html").cast("string")), rows,
-                   pa.schema([("host", pa.string()), ("h", pa.int64())]), "host string, h bigint")
-    counts = stage(found.groupBy("host", "h").count().where(f"h is null or count >= {int(min_pages)}"), "subtrees")
-    n = counts.where("h is null").select("host", F.col("count").alias("pages"))
-    often = counts.where("h is not null").join(n, "host").where(F.col("count") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("h").alias("hashes"))
+        now, seen, held = None, Counter(), 0
+        for block, (host, html) in _blocks(of, size):
+            if block != now and now is not None:
+                yield from ((now, *k, c) for k, c in seen.items())
+                yield now, None, None, held
+                seen, held = Counter(), 0
+            now = block
+            held += len(html or "") + 1
+            seen[host, None] += 1
+            seen.update((host, h) for h in set(subtree_hashes(tree(html or "")).values()))
+        if now is not None:
+            yield from ((now, *k, c) for k, c in seen.items())
+            yield now, None, None, held
+
+    return mapped(pages.select(host_of(F.col("url")), F.col("html").cast("string")), rows,
+                  pa.schema([("block", pa.int64()), ("host", pa.string()), ("h", pa.int64()), ("pages", pa.int64())]),
+                  "block bigint, host string, h bigint, pages bigint")
+
+
+def templates(found: DataFrame, min_pages: int = 5, share: float = 0.0) -> DataFrame:
+    """``(host, h)``: the subtrees on at least min_pages pages and that share of the host's pages.
+
+    Counts are summed within blocks and tasks before they are shuffled, so a host with most of the pages is no hot key.
+    """
+    often = found.where("h is not null").groupBy("host", "h").agg(F.sum("pages").alias("n")).where(F.col("n") >= min_pages)
+    if share > 0:
+        of_host = found.where("h is null and host is not null").groupBy("host").agg(F.sum("pages").alias("of"))
+        often = often.join(of_host, "host").where(F.col("n") >= share * F.col("of"))
+    return often.select("host", "h")
 
 
-def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.1) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.0, block: int = 8_000_000) -> DataFrame:
     """``(page_id, url, text, n_chars)`` per page.
 
-    The templates go to the pages by host. Spark broadcasts them while their written size is small; beyond that it joins
-    by sort, and splits a hot host.
+    A template is joined once for a block that holds it, so no host's templates are gathered in one row.
     """
-    found = stage(templates(pages, min_pages, share), "templates")
-    src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
-                       F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-
-    def rows(of):
-        known: tuple = (None, frozenset())
-        for page_id, url, html, hashes in of:
-            if known[0] != hashes:
-                known = hashes, frozenset(hashes or ())
-            text = page_text(html, known[1])
-            yield page_id, url, text, len(text)
-
-    return mapped(src.join(found, "host", "left").select("page_id", "url", "html", "hashes"), rows,
-                  pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()),
-                             ("n_chars", pa.int64())]),
-                  "page_id bigint, url string, text string, n_chars bigint", 1000)
+    found = stage(subtrees(pages, block), "subtrees")
+    known = found.join(templates(found, min_pages, share), ["host", "h"]).select("block", "host", "h", F.lit(0).alias("held"))
+    known = known.unionByName(found.where("host is null").select("block", "host", "h", F.col("pages").alias("held")))
+    src = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), host_of(F.col("url")),
+                       F.col("html").cast("string"))
+    texts = mapped(src, lambda of: ((b, *row) for b, row in _blocks(of, block)),
+                   pa.schema([("block", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()),
+                              ("html", pa.string())]), "block bigint, page_id bigint, url string, host string, html string", 500)
+
+    def extracted(left: pa.Table, right: pa.Table) -> pa.Table:
+        of: dict[str, set[int]] = {}
+        for host, h in zip(right.column("host").to_pylist(), right.column("h").to_pylist()):
+            if host is not None:
+                of.setdefault(host, set()).add(h)
+        html = left.column("html").to_pylist()
+        if sum(len(x or "") + 1 for x in html) != sum(right.column("held").to_pylist()):
+            raise RuntimeError("a block has other pages than before: the input isn't the same each time")
+        out = [page_text(x, of.get(host, frozenset())) for x, host in zip(html, left.column("host").to_pylist())]
+        return pa.table([left.column("page_id"), left.column("url"), pa.array(out, pa.string()),
+                         pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+        extracted, "page_id bigint, url string, text string, n_chars bigint")
