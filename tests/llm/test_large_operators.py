@@ -264,6 +264,12 @@ def test_defaults_learn_from_all_documents(make):
     assert sum(r.score - r.base_score for r in out) / n > 0.2
 
 
+def test_equal_texts_are_spread_over_copies(spark):
+    text = spark.range(800).selectExpr("id as at", "3L as n", "cast('same' as binary) as ids")
+    sizes = [len(p) for p in recurrent_lm.dealt(text, 8).rdd.glom().collect()]
+    assert sum(sizes) == 800 and max(sizes) < 200
+
+
 def test_probabilities_sum_to_one():
     model = recurrent_lm.Gru(32, 32, 8, 6)
     rng = np.random.default_rng(0)

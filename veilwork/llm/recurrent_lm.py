@@ -243,6 +243,11 @@ def vocabulary(counts: DataFrame, top: int) -> list[tuple[bytes, int]]:
     return [(END, end), *list(found.items())[:top - 1]]
 
 
+def dealt(text: DataFrame, copies: int) -> DataFrame:
+    """The documents by a hash of their staged place, so that equal texts are spread over the copies, each time alike."""
+    return text.repartition(copies, F.xxhash64("at"))
+
+
 def trained(docs: DataFrame, vocab: list[tuple[bytes, int]], rare_mass: np.ndarray, top: int, per_class: int, hidden: int,
             one_in: int, rounds: int, share: int, streams: int = 48) -> np.ndarray:
     """The weights after all rounds. share: tokens a copy is trained on, about."""
@@ -252,18 +257,20 @@ def trained(docs: DataFrame, vocab: list[tuple[bytes, int]], rare_mass: np.ndarr
     model.p["bo"][np.arange(top).reshape(-1, per_class) >= len(vocab)] = -30
 
     def rows(of):
-        for doc_id, text in of:
+        at = TaskContext.get().partitionId() << 40
+        for at, (doc_id, text) in enumerate(of, at):
             ids = [index[w] if w in index else top + rare_class(w) for w in tokens(text)]
-            yield len(ids), np.array(ids, np.uint16).tobytes()
+            yield at, len(ids), np.array(ids, np.uint16).tobytes()
 
     chosen = docs.where(~is_held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0))
     text = stage(mapped(chosen.select("doc_id", F.col("text").cast("binary")), rows,
-                        pa.schema([("n", pa.int64()), ("ids", pa.binary())]), "n bigint, ids binary"), "train")
+                        pa.schema([("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]),
+                        "at bigint, n bigint, ids binary"), "train")
     total = text.agg(F.sum("n")).first()[0] or 0
     if not total:
         return model.flat
     copies = max(1, round(total / share))
-    text = stage(text.repartition(copies, F.xxhash64("ids")), "copies")
+    text = stage(dealt(text, copies), "copies")
     spark = docs.sparkSession
     for turn in range(rounds):
         held = spark.sparkContext.broadcast(model.flat)
