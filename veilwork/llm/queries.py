@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import (archive, decontaminate, html_text, line_dedup, oracle, quality, recurrent_lm,
-                          sentence_pieces, shingle_join, token_packing, toxicity)
+from veilwork.llm import (archive, decontaminate, html_text, line_dedup, nb_svm, oracle, quality, recurrent_lm,
+                          resampling, sentence_pieces, shingle_join, source_audit, token_packing, toxicity)
 from veilwork.llm.common import table
 
 
@@ -49,8 +49,21 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_report(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nb_svm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_divergence, op2_token_packing, op3_toxic_lexicon, op4_shingle_join,
                                    op5_benchmark_templates,
                                    op6_html_templates, op7_line_dedup, op8_warc_archive, op9_recurrent_lm,
-                                   op10_sentence_pieces)}
+                                   op10_sentence_pieces, op11_importance_resampling, op12_source_divergence,
+                                   op13_nbsvm_quality)}
 ORACLE = dict(oracle.ORACLE)
