@@ -5,23 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import append, appended, nothing
+from .spans import append, appended, let, nothing
 
+#: Spans are taken in groups of so many, each with its own part of the text.
+GROUP = 128
 
-def splice(text: Column, spans: Column, begin: str = "begin", end: str = "end",
-           value: str = "fake") -> Column:
-    """Replace each ``[begin, end)`` of ordered, disjoint spans by a field of the span.
 
-    The pieces are joined once at the end, so that the text is not copied for each span.
-    """
+def _pieces(text: Column, spans: Column, from_: Column, begin: str, end: str, value: str) -> Column:
+    """The new text of a part that starts at the place ``from_`` of the whole text."""
     start = F.struct(F.lit(0).alias("at"), *nothing("string"))
-    built = F.aggregate(
+    return F.aggregate(
         spans, start,
-        lambda acc, s: F.struct(s[end].cast("int").alias("at"), *append(acc, F.concat(
-            F.substring(text, acc["at"] + 1, (s[begin] - acc["at"]).cast("int")), s[value]))),
+        lambda acc, s: F.struct((s[end] - from_).cast("int").alias("at"), *append(acc, F.concat(
+            F.substring(text, acc["at"] + 1, (s[begin] - from_ - acc["at"]).cast("int")), s[value]))),
         lambda acc: F.concat(F.array_join(appended(acc), ""),
                              F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, built).otherwise(text)
+
+
+def splice(text: Column, spans: Column, begin: str = "begin", end: str = "end",
+           value: str = "fake") -> Column:
+    """Replace each ``[begin, end)`` of ordered, disjoint spans by a field of the span.
+
+    The pieces are joined once at the end, so that the text is not copied for each span. ``substring`` walks to its place
+    from the text's start, so many spans are taken in groups, each on its own part of the text.
+    """
+    def group(all_: Column, n: Column) -> Column:
+        first, last = n * GROUP, F.least((n + 1) * GROUP, F.size(all_)) - 1
+        own = F.transform(F.sequence(first, last), lambda j: F.get(all_, j))
+        left = F.when(n == 0, 0).otherwise(F.get(all_, first)[begin]).cast("int")
+        right = F.coalesce(F.get(all_, last + 1)[begin], F.length(text)).cast("int")
+        return let(left, lambda at: let(F.substring(text, at + 1, right - at),
+                                        lambda part: _pieces(part, own, at, begin, end, value)))
+
+    many = let(spans, lambda all_: F.array_join(F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / GROUP).cast("int")), lambda n: group(all_, n)), ""))
+    return F.when(F.size(spans) > GROUP, many).when(
+        F.size(spans) > 0, _pieces(text, spans, F.lit(0), begin, end, value)).otherwise(text)
 
 
 def whole_word(value: Column) -> Column:
@@ -31,23 +50,8 @@ def whole_word(value: Column) -> Column:
                     F.when(value.rlike("[A-Za-z0-9]$"), "(?![A-Za-z0-9])").otherwise(""))
 
 
-def put_back(text: Column, pairs: Column) -> Column:
-    """Replace every ``fake`` by its ``original``; those without one stay.
-
-    All are replaced by marks first, longest first, so that what is put back is never looked at again.
-    """
-    def mark(i: Column) -> Column:
-        return F.concat(F.lit("\ue000"), i.cast("string"), F.lit("\ue001"))
-
-    numbered = F.transform(pairs, lambda p, i: F.struct(
-        mark(i).alias("mark"), whole_word(p["fake"]).alias("pattern"),
-        F.coalesce(p["original"], p["fake"]).alias("value")))
-    marked = F.aggregate(numbered, text, lambda t, p: F.regexp_replace(t, p["pattern"], p["mark"]))
-    out = F.aggregate(numbered, marked, lambda t, p: F.replace(t, p["mark"], p["value"]))
-    return F.when(F.size(F.coalesce(pairs, F.array())) > 0, out).otherwise(text)
-
-
-def count_places(text: Column, pairs: Column) -> Column:
-    """How often the fakes occur in a text as whole words."""
-    return F.coalesce(F.aggregate(
-        pairs, F.lit(0), lambda n, p: n + F.regexp_count(text, whole_word(p["fake"]))), F.lit(0))
+def by_place(hits: Column, place: str) -> Column:
+    """The hits (ordered by a whole-number field, one for each) as an array with each at its own place; null in between."""
+    return let(hits, lambda hs: F.flatten(F.transform(hs, lambda h, k: F.concat(
+        F.array_repeat(F.when(F.lit(False), h), (h[place] - F.coalesce(
+            F.get(hs, k - 1)[place], F.lit(-1)) - 1).cast("int")), F.array(h)))))

@@ -146,10 +146,10 @@ def mapping_rows(anonymized: DataFrame) -> DataFrame:
 
 
 def ledger_rows(anonymized: DataFrame) -> DataFrame:
-    """One row per replaced span, with its place in both texts. As sensitive as the mappings."""
-    rows = detect.explode_spans(anonymized.select("doc_id", "uuid", "entities"),
-                                ["doc_id", "uuid"], "entities")
-    return rows.select("doc_id", F.lit(0).alias("leaf"), "uuid", F.col("type").alias("pii_type"),
+    """One row per replaced span, with its place in both texts and a hash of the new one. As sensitive as the mappings."""
+    rows = detect.explode_spans(anonymized.select("doc_id", F.xxhash64("anonymized").alias("text_hash"), "uuid", "entities"),
+                                ["doc_id", "text_hash", "uuid"], "entities")
+    return rows.select("doc_id", "text_hash", F.lit(0).alias("leaf"), "uuid", F.col("type").alias("pii_type"),
                        "begin", "end", "out_begin", "out_end", "original", "fake")
 
 

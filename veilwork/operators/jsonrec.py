@@ -12,7 +12,7 @@ from ..functions import jsontext as jt
 from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, Rule
 from ..functions.spans import let
-from ..functions.splice import count_places, put_back, splice
+from ..functions.splice import by_place, splice
 from ..session import stage
 from . import restore
 from .anonymize import apply_overrides, overrides, with_fakes, with_out_offsets, with_uuid
@@ -20,16 +20,19 @@ from .detect import where_computed
 
 
 def with_leaf_spans(df: DataFrame, record: str, rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
-    """Add ``leaves`` (pieces of the JSON text) and ``spans`` (with their leaf number)."""
+    """Add ``leaves`` (pieces of the JSON text), ``spans`` in the order of the leaves, and how many each leaf has (``counts``)."""
     out = df.withColumn("leaves", jt.leaves(F.col(record)))
     found = F.expr(f"transform(leaves, leaf -> {sp.detect_sql('leaf.value', tuple(rules))})")
     out = out.withColumn("found", found)
-    numbered = F.flatten(F.transform("found", lambda f, i: F.transform(
-        sp.resolve(F.coalesce(f, sp.no_spans())),
-        lambda s: F.struct(s.alias("span"), i.alias("leaf")))))
-    out = out.withColumn("found", numbered)
-    return (out.withColumn("spans", F.transform("found", lambda n: n["span"]))
-            .withColumn("owners", F.transform("found", lambda n: n["leaf"])).drop("found"))
+    out = out.withColumn("found", F.transform("found", lambda f: sp.resolve(F.coalesce(f, sp.no_spans()))))
+    return (out.withColumn("spans", F.flatten("found"))
+            .withColumn("counts", F.transform("found", lambda f: F.size(f))).drop("found"))
+
+
+def _ends(counts: Column) -> Column:
+    """The running sum of counts."""
+    return F.aggregate(counts, F.struct(F.lit(0).alias("at"), *sp.nothing("int")), lambda acc, n: let(
+        acc["at"] + n, lambda at: F.struct(at.alias("at"), *sp.append(acc, at))), sp.appended)
 
 
 def anonymize_json(df: DataFrame, secret: str, record: str = "record",
@@ -49,11 +52,13 @@ def anonymize_json(df: DataFrame, secret: str, record: str = "record",
     if mappings is not None:
         out = apply_overrides(stage(out.withColumn("_row", F.monotonically_increasing_id()), "json-spans"),
                               overrides(mappings, secret), "_row").drop("_row")
-    numbered = F.arrays_zip(F.col("entities").alias("e"), F.col("owners").alias("leaf"))
-    out = out.withColumn("leaves", let(numbered, lambda ns: F.transform("leaves", lambda p, i: F.struct(
+    # the entities stand in the order of their leaves, so each leaf's own are those from the end of the one before
+    mine = let(F.col("entities"), lambda es: let(_ends(F.col("counts")), lambda ends: F.transform("leaves", lambda p, i: F.struct(
         p["raw"].alias("raw"), p["value"].alias("value"),
-        with_out_offsets(F.transform(F.filter(ns, lambda n: n["leaf"] == i),
-                                     lambda n: n["e"])).alias("entities")))))
+        with_out_offsets(F.when(F.get("counts", i) > 0, F.transform(
+            F.sequence(F.get(ends, i) - F.get("counts", i), F.get(ends, i) - 1), lambda j: F.get(es, j)))
+            .otherwise(F.filter(F.slice(es, 1, 1), lambda e: F.lit(False)))).alias("entities")))))
+    out = out.withColumn("leaves", mine)
     out = out.withColumn("leaves", F.transform("leaves", lambda p: F.struct(
         p["raw"].alias("raw"), p["entities"].alias("entities"),
         F.when(F.size(p["entities"]) > 0, splice(p["value"], p["entities"])).alias("changed"))))
@@ -61,15 +66,16 @@ def anonymize_json(df: DataFrame, secret: str, record: str = "record",
         e["type"].alias("type"), e["original"].alias("original"))))
     return (out.withColumn("anonymized", jt.assemble(F.col("leaves")))
             .withColumn("entities_detected", F.coalesce(F.size(distinct), F.lit(0)))
-            .drop("spans", "owners", "_record"))
+            .drop("spans", "counts", "_record"))
 
 
 def ledger_rows(anonymized: DataFrame) -> DataFrame:
     """One row per replaced span with its leaf number and its places in the leaf."""
-    leaf = anonymized.select("doc_id", "uuid", F.posexplode_outer("leaves").alias("leaf", "p"))
-    span = leaf.select("doc_id", "leaf", "uuid", F.explode_outer("p.entities").alias("e"))
+    leaf = anonymized.select("doc_id", F.xxhash64("anonymized").alias("text_hash"), "uuid",
+                             F.posexplode_outer("leaves").alias("leaf", "p"))
+    span = leaf.select("doc_id", "text_hash", "leaf", "uuid", F.explode_outer("p.entities").alias("e"))
     return span.filter(F.col("e").isNotNull()).select(
-        "doc_id", "leaf", "uuid", F.col("e.type").alias("pii_type"), "e.begin", "e.end",
+        "doc_id", "text_hash", "leaf", "uuid", F.col("e.type").alias("pii_type"), "e.begin", "e.end",
         "e.out_begin", "e.out_end", "e.original", "e.fake")
 
 
@@ -94,46 +100,64 @@ def legacy_guard(df: DataFrame, mappings: DataFrame) -> DataFrame:
         "status", F.when(F.col("legacy"), 400).otherwise(200)).drop("legacy")
 
 
+def with_leaf_hits(df: DataFrame, hits: Column, record: str) -> DataFrame:
+    """Add ``leaves``, each piece with the places found in it (``mine``), from rows of a leaf number and places."""
+    out = df.withColumn("leaves", jt.leaves(F.col(record))).withColumn("_at", by_place(hits, "leaf"))
+    return out.withColumn("leaves", F.transform("leaves", lambda p, i: F.struct(
+        p["raw"].alias("raw"), p["value"].alias("value"), F.get("_at", i)["places"].alias("mine")))).drop("_at")
+
+
 def restore_json(df: DataFrame, mappings: DataFrame, record: str = "anonymized",
                  key: str = "doc_id", whole_values: bool = False) -> DataFrame:
     """Restore the string values of ``(key, uuid, record)``; counts the values that changed.
 
     Replacements are found inside values; with ``whole_values`` a value must equal one. Text that is not JSON gets
-    status 500. Replacements that stand for several originals stay and are counted as ambiguous.
+    status 500. Replacements that stand for several originals stay and are counted as ambiguous. Rows may share a key.
     """
     out = legacy_guard(df, mappings).withColumn("status", F.when(
         (F.col("status") == 200) & ~F.coalesce(jt.is_valid(F.col(record)), F.lit(False)), 500).otherwise(F.col("status")))
-    pairs = restore.fake_pairs(out.filter(F.col("status") == 200), mappings, record, key)
-    out = out.join(pairs, key, "left").withColumn("leaves", jt.leaves(F.col(record)))
-
-    def change(value: Column) -> Column:
-        if whole_values:
-            return F.get(F.filter("pairs", lambda p: p["fake"] == value), F.lit(0))["original"]
-        new = put_back(value, F.col("pairs"))
-        return F.when(new != value, new)
+    out = out.withColumn("_hash", F.xxhash64(record))
+    good = F.when(F.col("status") == 200, jt.leaves(F.col(record)))
+    values = out.select(key, "_hash", "uuid", F.posexplode_outer(good).alias("leaf", "p")).select(
+        key, "_hash", "uuid", "leaf", F.col("p.value").alias("value")).filter(F.col("value").isNotNull())
+    found = restore.found_places(values, mappings, [key, "_hash", "leaf"], whole=F.lit(True) if whole_values else None,
+                                 shapes=not whole_values)
+    hits = found.groupBy(key, "_hash", "uuid").agg(F.array_sort(F.collect_list(F.struct("leaf", "places"))).alias("hits"))
+    out = restore.joined_back(out, hits, [key, "_hash", "uuid"])
+    out = with_leaf_hits(out, F.col("hits"), record)
+
+    def changed(p: Column) -> Column:
+        return let(restore.put_back(p["value"], p["mine"]), lambda new: F.when(new != p["value"], new))
 
     out = out.withColumn("leaves", F.transform("leaves", lambda p: F.struct(
-        p["raw"].alias("raw"), F.when(F.col("pairs").isNotNull() & p["value"].isNotNull(),
-                                      change(p["value"])).alias("changed"))))
+        p["raw"].alias("raw"), F.when(p["mine"].isNotNull(), changed(p)).alias("changed"))))
     return out.withColumn("restored", F.when(F.col("status") == 200, jt.assemble(F.col("leaves")))) \
         .withColumn("entities_restored", F.size(F.filter("leaves", lambda p: p["changed"].isNotNull()))) \
-        .withColumn("ambiguous", count_places(F.col(record), F.filter("pairs", lambda p: p["ambiguous"]))) \
-        .drop("leaves", "pairs")
+        .withColumn("ambiguous", F.coalesce(F.aggregate(
+            "hits", F.lit(0), lambda n, h: n + restore.counted(h["places"], True)), F.lit(0))) \
+        .drop("leaves", "hits", "_hash")
 
 
 def restore_json_by_ledger(df: DataFrame, ledger: DataFrame, record: str = "anonymized",
                            key: str = "doc_id") -> DataFrame:
-    """Restore a record exactly, by leaf and place."""
-    place = F.struct("leaf", "out_begin", "out_end", "original")
-    rows = ledger.groupBy(key).agg(F.array_sort(F.collect_list(place)).alias("places"))
-    out = df.join(rows, key, "left").withColumn("leaves", jt.leaves(F.col(record)))
-    out = out.withColumn("leaves", F.transform("leaves", lambda p, i: F.struct(
-        p["raw"].alias("raw"), p["value"].alias("value"),
-        F.filter("places", lambda s: s["leaf"] == i).alias("mine"))))
+    """Restore a record exactly, by leaf and place; adds ``restored`` and ``unclear``, as for texts."""
+    rows = restore.ledger_places(ledger, key, "leaf", "out_begin", "out_end")
+    out = restore.joined_back(df.withColumn("text_hash", F.xxhash64(record)), rows, [key, "text_hash"])
+    out = out.withColumn("unclear", F.coalesce("unclear", F.lit(False)))
+    out = with_leaf_hits(out, _by_leaf(F.when(~F.col("unclear"), F.col("places"))), record)
     out = out.withColumn("leaves", F.transform("leaves", lambda p: F.struct(
         p["raw"].alias("raw"), F.when(F.size(p["mine"]) > 0, splice(
             p["value"], p["mine"], "out_begin", "out_end", "original")).alias("changed"))))
-    return out.withColumn("restored", jt.assemble(F.col("leaves"))).drop("leaves", "places")
+    return out.withColumn("restored", jt.assemble(F.col("leaves"))).drop("leaves", "places", "text_hash")
+
+
+def _by_leaf(places: Column) -> Column:
+    """Places in order as one entry for each leaf: where each leaf's first and last place stand, then those between."""
+    firsts = F.filter(F.transform(places, lambda s, i: F.when(
+        F.coalesce(F.get(places, i - 1)["leaf"] != s["leaf"], F.lit(True)), i)), lambda i: i.isNotNull())
+    return let(places, lambda all_: let(firsts, lambda at: F.transform(at, lambda i, k: F.struct(
+        F.get(all_, i)["leaf"].alias("leaf"),
+        F.transform(F.sequence(i, F.coalesce(F.get(at, k + 1), F.size(all_)) - 1), lambda j: F.get(all_, j)).alias("places")))))
 
 
 def structure_differences(df: DataFrame, before: str, after: str) -> DataFrame:

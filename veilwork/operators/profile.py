@@ -11,7 +11,7 @@ from ..functions import pseudonyms as ps
 from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, Rule
 from ..functions.spans import let
-from ..functions.splice import put_back
+from ..functions.splice import by_place
 from ..session import stage
 from . import restore
 from .anonymize import apply_overrides, overrides, with_uuid
@@ -77,14 +77,18 @@ def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
 
 def restore_profile(df: DataFrame, mappings: DataFrame, profile: str = "anonymized",
                     key: str = "doc_id") -> DataFrame:
-    """Restore every field of ``(key, uuid, profile)``; empty, unmapped and provider fields stay."""
-    # The values as one text, so that one lookup serves the whole profile.
-    text = df.withColumn("_values", F.array_join(F.map_values(profile), "\n"))
-    first = restore.fake_first_last_pairs(text, mappings, "_values", key)
-    pairs = restore.fake_pairs(text, mappings, "_values", key)
-    both = pairs.unionByName(first).groupBy(key).agg(F.array_sort(F.array_distinct(
-        F.flatten(F.collect_list("pairs")))).alias("pairs"))
-    out = df.join(both, key, "left")
-    return out.withColumn("restored", F.when(F.col("pairs").isNotNull(), F.transform_values(
-        profile, lambda k, v: F.when(field_rule(k) == "KEEP", v).otherwise(
-            put_back(v, F.col("pairs"))))).otherwise(F.col(profile))).drop("pairs")
+    """Restore every field of ``(key, uuid, profile)``; empty, unmapped and provider fields stay. Rows may share a key."""
+    fields = F.map_entries(profile)
+    rows = df.withColumn("_hash", F.xxhash64(fields))
+    values = rows.select(key, "_hash", "uuid", F.posexplode_outer(fields).alias("leaf", "f")).filter(
+        F.col("f.value").isNotNull() & (field_rule(F.col("f.key")) != "KEEP")).select(
+        key, "_hash", "uuid", "leaf", F.col("f.value").alias("value"))
+    # single first and last names, which only profiles have, fill a field
+    single = F.col("value").rlike("^[A-Z][a-z]+$")
+    found = restore.found_places(values, mappings, [key, "_hash", "leaf"], whole=single)
+    hits = found.groupBy(key, "_hash", "uuid").agg(F.array_sort(F.collect_list(F.struct("leaf", "places"))).alias("hits"))
+    out = restore.joined_back(rows, hits, [key, "_hash", "uuid"]).withColumn("hits", by_place(F.col("hits"), "leaf"))
+    new = F.map_from_entries(F.transform(fields, lambda f, i: F.struct(f["key"].alias("key"), F.when(
+        F.get("hits", i).isNotNull(), restore.put_back(f["value"], F.get("hits", i)["places"])).otherwise(
+        f["value"]).alias("value"))))
+    return out.withColumn("restored", F.when(F.col("hits").isNotNull(), new).otherwise(F.col(profile))).drop("hits", "_hash")

@@ -2,39 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pseudonyms as ps
-from ..functions.spans import let
-from ..functions.splice import count_places, put_back, splice
-
-# Literal parts that a shape cannot do without; they spare most texts the scan.
-_NEEDS = {"PHONE_NUMBER": "555-", "EMAIL": "@example.com", "URL": "https://example.org/",
-          "IP_ADDRESS": "10.", "MRN": "MRN-", "DEVICE_ID": "SN-", "BIOMETRIC_ID": "BIO-",
-          "CLINICAL_TRIAL_ID": "NCT", "EMPLOYEE_ID": "EMP", "DATE": "XX/XX/", "DOB": "XX/XX/",
-          "AGE": "90 or above", "OTHER": "[REDACTED-", "ADDRESS": ", "}
-# The first character of each shape; places are tried by it before the shape.
-_FIRST = {"NAME": "[A-Z]", "ADDRESS": "[1-9]", "PHONE_NUMBER": "5", "EMAIL": "u", "SSN": "9",
-          "CREDIT_DEBIT_NUMBER": "[0-9]", "URL": "h", "IP_ADDRESS": "1", "MRN": "M",
-          "INSURANCE_ID": "[PMG]", "LICENSE_NUMBER": "[A-Z]", "VEHICLE_ID": "[0-9A-F]", "DEVICE_ID": "S",
-          "BIOMETRIC_ID": "B", "CLINICAL_TRIAL_ID": "N", "EMPLOYEE_ID": "E", "DATE": "X", "DOB": "X",
-          "ZIP": "[0-9]", "AGE": "9", "OTHER": r"\["}
-
-
-def candidate_fakes(text: Column) -> Column:
-    """Every piece of a text that has the shape of a keyed or masked replacement.
-
-    Matches of one shape may overlap, so each is looked for at every place.
+from ..functions import spans as sp
+from ..functions.spans import append, appended, let, nothing
+from ..functions.splice import splice
+
+_MARK = "\x01"
+#: A replacement of a known shape is at most so long; a longer one counts as of another shape.
+REACH = 200
+#: Parts of a text between two marks that a replacement may reach over.
+PARTS = 4
+# A replacement is a whole word: no letter or digit goes on before or after one of its own.
+_STARTS = r"(?:(?<![A-Za-z0-9])|(?=[^A-Za-z0-9]))"
+_ENDS = r"(?:(?<=[^A-Za-z0-9])|(?![A-Za-z0-9]))"
+_ANY = "|".join(f"(?:{s})" for s in ps.FAKE_SHAPES.values())
+_UNIT = r"(?s)[A-Za-z0-9]+|[^A-Za-z0-9]"
+
+
+def _ends(pieces: Column) -> Column:
+    """Where each piece of a text ends."""
+    start = F.struct(F.lit(0).alias("at"), *nothing("int"))
+    return F.aggregate(pieces, start, lambda acc, p: let(acc["at"] + F.length(p), lambda at: F.struct(
+        at.alias("at"), *append(acc, at))), appended)
+
+
+def candidates(text: Column) -> Column:
+    """``(begin, fake)`` of every piece of a text that has the shape of a keyed or masked replacement.
+
+    One pass marks the places where any shape begins; the shapes are then told apart there. Pieces may overlap.
     """
-    found = []
-    for type_, shape in ps.FAKE_SHAPES.items():
-        pattern = rf"{_FIRST[type_]}(?<=(?=({shape})).)"
-        hits = F.regexp_extract_all(text, F.lit(pattern), 1)
-        need = _NEEDS.get(type_)
-        found.append(F.when(text.contains(need), hits).otherwise(F.array().cast("array<string>"))
-                     if need else hits)
-    return F.array_distinct(F.concat(*found))
+    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(" ")), F.lit(f"{_STARTS}(?=(?:{_ANY}){_ENDS})"),
+                              F.lit(_MARK))
+
+    def at_place(parts: Column, i: Column) -> Column:
+        window = F.substring(F.concat(*[F.coalesce(F.get(parts, i + k), F.lit("")) for k in range(PARTS)]), 1, REACH)
+        fakes = let(window, lambda w: F.array_distinct(F.filter(F.array(*[
+            F.regexp_extract(w, f"^(?:{s}){_ENDS}", 0) for s in ps.FAKE_SHAPES.values()]), lambda x: x != "")))
+        return fakes
+
+    def found(parts: Column) -> Column:
+        return let(_ends(parts), lambda ends: F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.transform(
+            at_place(parts, i), lambda x: F.struct(F.get(ends, i - 1).alias("begin"), x.alias("fake"))))))
+
+    none = F.array().cast("array<struct<begin:int,fake:string>>")
+    return let(F.split(marked, _MARK, -1), lambda parts: F.when(F.size(parts) > 1, found(parts)).otherwise(none))
+
+
+def runs_of_units(text: Column, counts: Column) -> Column:
+    """``(begin, fake)`` of every run of so many units of a text; a unit is a word or a single other character.
+
+    A replacement is a whole word, so it is a run of units.
+    """
+    def run(units: Column, i: Column, n: Column) -> Column:
+        return F.aggregate(F.sequence(i, i + n - 1), F.lit(""), lambda s, k: F.concat(s, F.get(units, k)))
+
+    return let(F.regexp_extract_all(text, F.lit(_UNIT), 0), lambda units: let(_ends(units), lambda ends: F.flatten(
+        F.transform(units, lambda u, i: F.transform(F.filter(counts, lambda n: i + n <= F.size(units)), lambda n: F.struct(
+            (F.get(ends, i) - F.length(u)).alias("begin"), run(units, i, n).alias("fake")))))))
 
 
 def by_fake(mappings: DataFrame) -> DataFrame:
@@ -45,72 +76,99 @@ def by_fake(mappings: DataFrame) -> DataFrame:
 
 
 def _known_shape(fake: Column) -> Column:
-    return fake.rlike("^(?:" + "|".join(f"(?:{s})" for s in ps.FAKE_SHAPES.values()) + ")$")
-
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+"), 0)
-
-
-def _grams(text: Column, longest: int = 4) -> Column:
-    """All runs of one to four words of a text, and the empty run."""
-    return let(_words(text), lambda ws: F.array_distinct(F.array_append(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size(ws) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " ")))
-        .otherwise(F.array().cast("array<string>")))), "")))
+    return fake.rlike(f"^(?:{_ANY})$") & (F.length(fake) <= REACH)
 
 
-def _gathered(found: DataFrame, key: str) -> DataFrame:
-    pair = F.struct((-F.length("fake")).alias("rank"), "fake", "original", "ambiguous")
-    return found.groupBy(key).agg(F.array_sort(F.collect_set(pair)).alias("pairs"))
+def _exploded(df: DataFrame, keys: Sequence[str], found: Column) -> DataFrame:
+    rows = df.select(*keys, "uuid", F.explode_outer(found).alias("c")).filter(F.col("c").isNotNull())
+    return rows.select(*keys, "uuid", "c.begin", "c.fake")
 
 
-def fake_pairs(df: DataFrame, mappings: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
-    """The (fake, original) pairs that may occur in each text, longest first, as one array per text.
+def found_places(values: DataFrame, mappings: DataFrame, keys: Sequence[str], column: str = "value",
+                 whole: Column | None = None, shapes: bool = True) -> DataFrame:
+    """The stored replacements in each value of ``(keys, uuid, column)``: ``places``, ordered and disjoint.
 
-    Hash joins on (uuid, fake): the mappings of an identity are never gathered, however many there are. Replacements of
-    keyed and masked shapes are looked up as such; those of any other shape (tables taken over from elsewhere) by their
-    first words, in the texts of identities that have any.
+    A join of (text, place, piece) with (uuid, replacement): what an identity has stored is never gathered, however much
+    it is, and a text costs one pass, however many replacements it holds. Pieces of keyed and masked shapes are looked up
+    as such. Replacements of any other shape (tables taken over from elsewhere) are looked up as runs of units, in the
+    texts of identities that have any and in the lengths that these have. Of overlapping ones the longest is taken.
+    With ``whole``, values for which it holds are looked up as they are, too. Each place has the replacement as ``type``
+    and what it stands for as ``original`` (null if that is ambiguous).
     """
     stored = by_fake(mappings)
-    pieces = df.select(key, "uuid", F.explode_outer(candidate_fakes(F.col(text))).alias("fake"))
-    found = pieces.filter(F.col("fake").isNotNull()).join(stored, ["uuid", "fake"])
-    other = stored.filter(~_known_shape(F.col("fake")) & (F.col("fake") != "")).withColumn(
-        "head", F.array_join(F.slice(_words(F.col("fake")), 1, 4), " "))
-    owners = other.select("uuid").distinct()
-    heads = df.select(key, "uuid", text).join(owners, "uuid", "left_semi").select(
-        key, "uuid", F.explode_outer(_grams(F.col(text))).alias("head")).filter(F.col("head").isNotNull())
-    more = heads.join(other, ["uuid", "head"]).drop("head")
-    return _gathered(found.unionByName(more), key)
+    parts = []
+    if shapes:
+        other = stored.filter(~_known_shape(F.col("fake")) & (F.col("fake") != ""))
+        counts = other.groupBy("uuid").agg(F.collect_set(F.regexp_count("fake", F.lit(_UNIT))).alias("_counts"))
+        parts.append(_exploded(values, keys, candidates(F.col(column))))
+        parts.append(_exploded(values.join(counts, "uuid"), keys, runs_of_units(F.col(column), F.col("_counts"))))
+    if whole is not None:
+        parts.append(values.filter(whole).select(*keys, "uuid", F.lit(0).alias("begin"), F.col(column).alias("fake")))
+    pieces = parts[0]
+    for more in parts[1:]:
+        pieces = pieces.unionByName(more)
+    span = F.struct(
+        "begin", (F.col("begin") + F.length("fake")).alias("end"), F.col("fake").alias("type"), "original",
+        F.length("fake").cast("double").alias("score"), F.lit(0).alias("ord"), F.lit(0).alias("weight"))
+    # rows that are equal in their keys are equal texts, so their places are the same
+    gathered = pieces.join(stored, ["uuid", "fake"]).groupBy(*keys, "uuid").agg(F.collect_set(span).alias("places"))
+    return gathered.withColumn("places", sp.resolve(F.col("places")))
+
+
+def put_back(value: Column, places: Column) -> Column:
+    """A value with its places replaced by what they stand for; ambiguous ones stay."""
+    known = F.filter(places, lambda s: s["original"].isNotNull())
+    return F.coalesce(let(known, lambda ks: splice(value, ks, value="original")), value)
+
+
+def counted(places: Column, ambiguous: bool) -> Column:
+    return F.coalesce(F.size(F.filter(places, lambda s: s["original"].isNull() if ambiguous else s["original"].isNotNull())),
+                      F.lit(0))
+
+
+def joined_back(df: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with what was found for its rows, by keys that may be null."""
+    right = found.toDF(*[f"_found_{c}" if c in keys else c for c in found.columns])
+    same = [df[k].eqNullSafe(right[f"_found_{k}"]) for k in keys]
+    return df.join(right, reduce(and_, same), "left").drop(*[f"_found_{k}" for k in keys])
 
 
 def restore_by_value(df: DataFrame, mappings: DataFrame, text: str = "anonymized",
                      key: str = "doc_id") -> DataFrame:
     """Add ``restored``, ``entities_restored`` and ``ambiguous`` to ``(key, uuid, text)``.
 
-    Replacements are found as whole words, in one pass. One that stands for several originals of the identity stays and
-    is counted as ambiguous; the ledger has no such limit.
+    Replacements are found as whole words; what is put back is never looked at again. One that stands for several
+    originals of the identity stays and is counted as ambiguous; the ledger has no such limit. Rows may share a key.
     """
-    out = df.join(fake_pairs(df, mappings, text, key), key, "left")
-    return out.withColumn("restored", put_back(F.col(text), F.col("pairs"))).withColumn(
-        "entities_restored", count_places(F.col(text), F.filter("pairs", lambda p: ~p["ambiguous"]))).withColumn(
-        "ambiguous", count_places(F.col(text), F.filter("pairs", lambda p: p["ambiguous"]))).drop("pairs")
+    rows = df.withColumn("_hash", F.xxhash64(text))
+    found = found_places(rows.select(key, "_hash", "uuid", F.col(text).alias("value")), mappings, [key, "_hash"])
+    out = joined_back(rows, found, [key, "_hash", "uuid"])
+    return out.withColumn("restored", put_back(F.col(text), F.col("places"))).withColumn(
+        "entities_restored", counted(F.col("places"), False)).withColumn(
+        "ambiguous", counted(F.col("places"), True)).drop("places", "_hash")
+
+
+def ledger_places(ledger: DataFrame, key: str, *fields: str) -> DataFrame:
+    """The places of each text, and whether two rows disagree on what stood at one of them.
+
+    Texts are told apart by key and hash, so rows that share a key never get each other's originals. Where even the new
+    texts are equal and the originals are not, nobody can tell them apart: ``unclear``.
+    """
+    span = F.struct(*fields, "original")
+    rows = ledger.groupBy(key, "text_hash").agg(F.array_sort(F.collect_set(span)).alias("places"))
+    spots = F.transform("places", lambda s: F.struct(*[s[f].alias(f) for f in fields]))
+    return rows.withColumn("unclear", F.size(F.array_distinct(spots)) < F.size("places"))
 
 
 def restore_by_ledger(df: DataFrame, ledger: DataFrame, text: str = "anonymized",
                       key: str = "doc_id") -> DataFrame:
-    """Restore exactly, by place. The ledger rows gathered per text are bounded by the text."""
-    span = F.struct("out_begin", "out_end", "original")
-    rows = ledger.groupBy(key).agg(F.array_sort(F.collect_list(span)).alias("places"))
-    out = df.join(rows, key, "left")
-    return out.withColumn("restored", F.when(F.col("places").isNotNull(), splice(
-        F.col(text), F.col("places"), "out_begin", "out_end", "original")).otherwise(
-        F.col(text))).drop("places")
-
-
-def fake_first_last_pairs(df: DataFrame, mappings: DataFrame, text: str,
-                          key: str = "doc_id") -> DataFrame:
-    """The same for single first and last names, which only profiles have, one to a line."""
-    lines = df.select(key, "uuid", F.explode_outer(F.array_distinct(
-        F.split(F.col(text), "\n"))).alias("fake")).filter(F.col("fake").rlike("^[A-Z][a-z]+$"))
-    return _gathered(lines.join(by_fake(mappings), ["uuid", "fake"]), key)
+    """Restore exactly, by place; adds ``restored`` and ``unclear``. The ledger rows gathered per text are bounded by the text.
+
+    A text that isn't the one that the ledger knows, or whose rows in it disagree (``unclear``), stays as it is.
+    """
+    rows = df.withColumn("text_hash", F.xxhash64(text))
+    out = joined_back(rows, ledger_places(ledger, key, "out_begin", "out_end"), [key, "text_hash"])
+    good = F.col("places").isNotNull() & ~F.col("unclear")
+    return out.withColumn("restored", F.when(good, splice(
+        F.col(text), F.col("places"), "out_begin", "out_end", "original")).otherwise(F.col(text))).withColumn(
+        "unclear", F.coalesce("unclear", F.lit(False))).drop("places", "text_hash")
