@@ -44,17 +44,23 @@ def mappings_of(identities: DataFrame, registry: DataFrame, mappings: DataFrame)
         "identity", "identity_type", *MAPPING_KEY, "fake_type", "fake")
 
 
+def value_key() -> list[Column]:
+    """What makes two mappings the same, here and wherever a value is looked up: case doesn't count."""
+    return [F.col("uuid"), F.upper("pii_type").alias("type_key"), F.upper("original").alias("value_key")]
+
+
 def dedup_mappings(rows: DataFrame, order: Column) -> DataFrame:
-    """The first row of each (uuid, type, original); an aggregate, so that repeats combine
+    """The first row of each (uuid, type, original), whatever the case; an aggregate, so that repeats combine
     map-side instead of being sorted in one window."""
-    rest = [c for c in rows.columns if c not in MAPPING_KEY]
-    first = rows.groupBy(*MAPPING_KEY).agg(F.min_by(F.struct(*rest), order).alias("v"))
-    return first.select(*MAPPING_KEY, *[F.col(f"v.{c}").alias(c) for c in rest])
+    first = rows.groupBy(*value_key()).agg(F.min_by(F.struct(*rows.columns), order).alias("v"))
+    return first.select(*[F.col(f"v.{c}").alias(c) for c in rows.columns])
 
 
 def mappings_to_insert(rows: DataFrame, stored: DataFrame, order: Column) -> DataFrame:
     """Insert-if-absent: the rows to append to the mapping table."""
-    return dedup_mappings(rows, order).join(stored, MAPPING_KEY, "left_anti")
+    first = dedup_mappings(rows, order).select("*", *value_key()[1:])
+    return first.join(stored.select(*value_key()), ["uuid", "type_key", "value_key"], "left_anti").drop(
+        "type_key", "value_key")
 
 
 def resolve_mappings(entities: DataFrame, stored: DataFrame, secret: str) -> DataFrame:
