@@ -136,9 +136,10 @@ def plain_audit(rows, min_docs, top):
     return out
 
 
-@pytest.mark.parametrize("cells", [1, 40, 1_000_000])
-def test_audit(spark, cells, monkeypatch):
+@pytest.mark.parametrize("cells, pairs", [(1, 1), (40, 9), (100_000, 4_000_000)])
+def test_audit(spark, cells, pairs, monkeypatch):
     monkeypatch.setattr(source_audit, "ENTRIES", 50)
+    monkeypatch.setattr(source_audit, "BATCH", 7)
     rng = np.random.default_rng(3)
     rows = [(prose(rng.integers(0, 60), rng, SYLLABLES[:rng.integers(3, 11)]), ["en", "de", None][rng.integers(3)],
              ["a", "b", "Ç", "z", "", None][rng.integers(6)]) for _ in range(160)]
@@ -146,7 +147,7 @@ def test_audit(spark, cells, monkeypatch):
     rows += [rows[0]] * 3
     schema = "text string, lang string, source string, term string, n string, zero string, value string"
     docs = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], schema)
-    got = source_audit.audit(docs, min_docs=8, top=5, cells=cells)
+    got = source_audit.audit(docs, min_docs=8, top=5, cells=cells, pairs=pairs)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     got = [tuple(r) for r in got.collect()]
     want = plain_audit(rows, 8, 5)

@@ -3,8 +3,9 @@
 One pass of ``bytes.translate`` lowers letters and blanks separators, ``bytes.split`` cuts, and a Counter per document
 gives its terms and their counts, which each task sums by language, source and term before Spark sums them. What follows
 is sparse (counts that occur) but for the sums over all kept terms of a pair of sources. Those are taken in blocks of
-terms, each a matrix of at most about ``cells`` shares (sources by terms) in one task; blocks are summed by Spark. A
-language of very many sources also has its rows dealt to tiles, so that no task gives more than a few million sums.
+terms, each a matrix of about ``cells`` shares (sources by terms) in one task, or of as many terms as sources, if that is
+more; blocks are summed by Spark. A language of very many sources also has its rows dealt to tiles, so that no task gives
+more than about ``pairs`` sums.
 
 Shares are whole numbers of a thousand millionth, p = 1 + floor(10^9 (count + 5) / (N + 5 V)), in exact arithmetic.
 
@@ -23,50 +24,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm.byte_words import letters_table, word_pieces
-from veilwork.llm.common import mapped, stage
+from veilwork.llm.common import stage, tuples
 
 TABLE = letters_table()
 #: A task hands its counts on after so many entries, or after texts of so many bytes, which bound the terms' bytes.
-ENTRIES, HELD_BYTES = 300_000, 32 << 20
+ENTRIES, HELD_BYTES, BATCH = 700_000, 128 << 20, 20_000
+#: Documents and occurrences of a term in one number, until a task hands them on; below the texts' bytes by far.
+DOC_BITS = 40
+ONE_DOC = 1 << DOC_BITS
 SHARE, EXTRA = 1_000_000_000, 5
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``(lang, source, term, n, docs)``: occurrences and documents; a group's row with the term '' holds its documents."""
-    def rows(of):
-        counts: dict[tuple[str, str], Counter] = {}
-        spread: dict[tuple[str, str], Counter] = {}
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()),
+                        ("docs", pa.int64())])
+
+    def flush(counts):
+        for (lang, source), c in counts.items():
+            packed = np.fromiter(c.values(), np.int64, len(c))
+            terms = pa.array(c, pa.binary())
+            whole = [pa.repeat(lang, len(c)), pa.repeat(source, len(c)), terms, pa.array(packed & ONE_DOC - 1),
+                     pa.array(packed >> DOC_BITS)]
+            batch = pa.RecordBatch.from_arrays(whole, schema=schema)
+            for at in range(0, len(c), BATCH):
+                yield batch.slice(at, BATCH)
+
+    def run(batches):
+        counts: dict[tuple[str, str], dict[bytes, int]] = {}
         held = entries = 0
-
-        def flush():
-            for group, c in counts.items():
-                d = spread[group]
-                for term, n in c.items():
-                    yield *group, term, n, d[term]
-            counts.clear()
-            spread.clear()
-
-        for lang, source, text in of:
+        for lang, source, text in tuples(batches):
             own = Counter((b"",))
             for words in word_pieces(text, TABLE):
                 own.update(words)
-            c = counts.setdefault((lang, source), Counter())
-            entries -= len(c)
-            c.update(own)
+            c = counts.setdefault((lang, source), {})
+            get, entries = c.get, entries - len(c)
+            for term, n in own.items():
+                c[term] = get(term, 0) + ONE_DOC + n
             entries += len(c)
-            spread.setdefault((lang, source), Counter()).update(own.keys())
-            held += len(text)
+            held += len(text) + 64
             if entries > ENTRIES or held > HELD_BYTES:
-                yield from flush()
+                yield from flush(counts)
+                counts.clear()
                 held = entries = 0
-        yield from flush()
+        yield from flush(counts)
 
     none = F.lit("")
     src = docs.select(*(F.coalesce(F.col(c).cast("string"), none) for c in ("lang", "source")),
                       F.coalesce(F.col("text").cast("string"), none).cast("binary"))
-    text, long = pa.string(), pa.int64()
-    found = mapped(src, rows, pa.schema([("lang", text), ("source", text), ("term", pa.binary()), ("n", long), ("docs", long)]),
-                   "lang string, source string, term binary, n bigint, docs bigint")
+    found = src.toDF("lang", "source", "text").mapInArrow(
+        run, "lang string, source string, term binary, n bigint, docs bigint")
     return found.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
@@ -77,7 +84,8 @@ def share(count: str, total: str) -> F.Column:
                   f"div cast({total} + {EXTRA} * v as decimal(19,0))")
 
 
-def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, cells: int = 1_000_000) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, cells: int = 100_000,
+          pairs: int = 4_000_000) -> DataFrame:
     """``(lang, source, part, item, value, rank)``; part is 'pair' (every other source) or 'term' (at most ``top``)."""
     counts = stage(term_counts(docs), "terms")
     real = counts.where("term <> ''")
@@ -93,16 +101,16 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, cells: int = 1_000
     groups = (here.join(sums, ["lang", "source"], "left").join(sources, "lang").join(vocab, "lang", "left")
               .select("lang", "source", "s", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("group_n", "v", "lang_n"))))
     groups = stage(groups.withColumn("zero", F.when(F.col("v") > 0, share("0", "group_n")))
-                   .withColumn("blocks", F.expr(f"1 + v * s div {cells}"))
-                   .withColumn("tiles", F.expr(f"1 + s * s div {4 * cells}")), "groups")
+                   .withColumn("blocks", F.expr(f"1 + v * s div greatest({cells}, least(s * s, {pairs}))"))
+                   .withColumn("tiles", F.expr(f"1 + s * s div {pairs}")), "groups")
 
     shares = sparse.join(groups, ["lang", "source"]).withColumn("p", share("n", "group_n"))
     more = (shares.withColumn("value", F.col("p") - share("all_n", "lang_n")).where("value > 0")
             .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value"))
     ranked = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     terms = more.withColumn("rank", ranked).where(F.col("rank") <= top)
-    pairs = _pairs(shares, groups).withColumn("rank", ranked)
-    return pairs.unionByName(terms).select("lang", "source", "part", "item", "value", "rank")
+    apart = _pairs(shares, groups).withColumn("rank", ranked)
+    return apart.unionByName(terms).select("lang", "source", "part", "item", "value", "rank")
 
 
 def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
