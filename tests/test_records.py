@@ -197,3 +197,158 @@ def test_routing_restores(spark):
     assert out[1].result == "Name: John Smith" and json.loads(out[2].result) == {"n": "John Smith"}
     assert json.loads(out[3].result) == {"name": "John Smith"}
     assert out[4].status == 500 and out[4].error and out[5].status == 500 and out[5].error
+
+
+REQUESTS = ("request_id long, method string, identity string, identity_type string, conversation string, "
+            "json_data string, profile map<string,string>, context map<string,string>")
+
+
+def batch(spark):
+    ctx = {"purpose": "emergency_care", "access_reason": "follow-up", "authorized_by": "dr"}
+    return spark.createDataFrame([
+        (1, "anonymize", "u", "t", "Call 555-123-4567", None, None, ctx),
+        (2, "ANONYMIZE", "u", "t", None, '{"p": "555-123-4567", "q": ["555-123-4567", "a@b.example.org"]}', None, ctx),
+        (3, "ANONYMIZE", "u", "t", None, None, {"phone": "555-123-4567"}, None),
+        (4, "DE-ANONYMIZE", "w", "t", "Name: Zed Q. Stored", None, None, ctx),
+        (5, "DE-ANONYMIZE", "w", "t", None, None, {"name": "Zed Q. Stored", "x": ""}, ctx),
+        (6, "DE_ANONYMIZE_JSON", "w", "t", None, '{"n": ["a", "Zed Q. Stored"]}', None, ctx),
+        (7, "ANONYMIZE", "u", "t", "nothing here", None, None, None),
+        (8, "ANONYMIZE_JSON", "u", "t", None, "{bad", None, None),
+        (9, "DE_ANONYMIZE_JSON", "w", "t", None, "bad}", None, None),
+        (10, "ANONYMIZE", "u", "t", None, None, None, None), (11, "DE-ANONYMIZE", "u", "t", None, None, None, None),
+        (12, "NOPE", "u", "t", "x", None, None, None),
+        (13, "ANONYMIZE", "u", "t", "x", None, None, {"requires_consent": "true", "purpose": "ads"})], REQUESTS)
+
+
+def test_served_batch_and_its_stores(spark):
+    import datetime
+
+    from veilwork.session import work_folder
+    from veilwork.sources import tables as tb
+    base = work_folder(spark, "serve")
+    paths = {n: f"{base}/{n}" for n in ("results", "identities", "mappings", "history", "audit", "ledger")}
+    tb.append_store(spark.createDataFrame([("known-w", "W", "T", None)], tb.IDENTITIES), paths["identities"], "identities")
+    tb.append_store(spark.createDataFrame([("known-w", "NAME", "John Smith", "faker", "Zed Q. Stored", None)], tb.MAPPINGS),
+                    paths["mappings"], "mappings")
+    at = F.lit(datetime.datetime(2024, 1, 2))
+    counted = [requests.serve(batch(spark), paths, KEY, 7, at) for _ in range(2)]
+    assert counted[0] == counted[1] == {"requests": 13, "served": 7, "refused": 1, "failed": 5, "entities": 7}
+    out = {r.request_id: r for r in spark.read.parquet(paths["results"]).collect()}
+    assert len(out) == 13 and out[4].uuid == "known-w" and out[4].result == "Name: John Smith"
+    assert json.loads(out[5].result) == {"name": "John Smith", "x": ""}
+    assert out[6].result == '{"n": ["a", "John Smith"]}' and out[7].result == "nothing here"
+    assert [out[i].status for i in (8, 9, 10, 11, 12, 13)] == [500, 500, 500, 500, 500, 403]
+    assert all(out[i].error for i in (8, 9, 10, 11, 12, 13)) and not any(out[i].result for i in (8, 10, 12, 13))
+    history = tb.read_store(spark, paths["history"], "history").collect()
+    assert sorted(r.method for r in history) == ["ANONYMIZE", "ANONYMIZE_JSON", "ANONYMIZE_PROFILE", "DE-ANONYMIZE",
+                                                 "DE_ANONYMIZE_JSON", "DE_ANONYMIZE_PROFILE"]
+    by = {r.method: r for r in history}
+    assert by["DE-ANONYMIZE"].original == "Name: John Smith" and by["DE-ANONYMIZE"].anonymized == "Name: Zed Q. Stored"
+    assert json.loads(by["DE-ANONYMIZE"].metadata) == {"gdpr_access_reason": "follow-up", "gdpr_authorized_by": "dr"}
+    assert json.loads(by["ANONYMIZE_JSON"].metadata)["entities_processed"] == 2
+    audit = tb.read_store(spark, paths["audit"], "audit").collect()
+    assert len(audit) == 26 and sum(r.event_type == "ERROR" for r in audit) == 6
+    assert {r.data_type for r in audit if r.action == "ANONYMIZE_JSON"} == {"json_data"}
+    maps = tb.read_store(spark, paths["mappings"], "mappings").collect()
+    assert sorted(r.pii_type for r in maps) == ["EMAIL", "NAME", "PHONE_NUMBER"]
+    assert sorted(r.identity for r in tb.read_store(spark, paths["identities"], "identities").collect()) == ["U", "W"]
+    ledger = tb.read_store(spark, paths["ledger"], "ledger")
+    assert ledger.count() == 4
+    done = spark.createDataFrame([(1, out[1].result)], "doc_id long, anonymized string")
+    assert restore.restore_by_ledger(done, ledger).first().restored == "Call 555-123-4567"
+    record = spark.createDataFrame([(2, out[2].result)], "doc_id long, anonymized string")
+    assert json.loads(jsonrec.restore_json_by_ledger(record, ledger).first().restored)["q"] == [
+        "555-123-4567", "a@b.example.org"]
+
+
+def test_requests_are_scanned_once(spark, tmp_path):
+    batch(spark).write.parquet(str(tmp_path / "r"))
+    maps = spark.createDataFrame([], "uuid string, pii_type string, original string, fake_type string, fake string, "
+                                     "created_at timestamp")
+    staged = requests.route(spark.read.parquet(str(tmp_path / "r")), maps, KEY)
+    assert str(tmp_path / "r") not in staged._jdf.queryExecution().executedPlan().toString()
+    found = requests._detected(requests.accepted(spark.read.parquet(str(tmp_path / "r")), KEY), KEY)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ledger_tells_rows_of_one_doc_id_apart(spark, texts):
+    """No row gets what another row with its doc_id held."""
+    two = texts("Name: John Smith").unionAll(texts("Name: Jane Doe")).unionAll(texts("Name: Jane Doe"))
+    done = an.anonymize(two, KEY)
+    back = restore.restore_by_ledger(done.select("doc_id", "anonymized", "text"), an.ledger_rows(done)).collect()
+    assert [r.restored for r in back] == [r.text for r in back] and not any(r.unclear for r in back)
+    same = texts("Born 01/02/1990").unionAll(texts("Born 05/06/1990"))  # both become the same text
+    done = an.anonymize(same, KEY)
+    for r in restore.restore_by_ledger(done.select("doc_id", "anonymized"), an.ledger_rows(done)).collect():
+        assert r.restored == "Born XX/XX/1990" and r.unclear
+    other = done.select("doc_id", F.concat("anonymized", F.lit("!")).alias("anonymized"))
+    assert restore.restore_by_ledger(other, an.ledger_rows(done)).first().restored == "Born XX/XX/1990!"
+
+
+def test_json_ledger_with_a_shared_doc_id(spark):
+    two = frame(spark, '{"n": "Name: John Smith"}').unionAll(frame(spark, '{"n": "Name: Jane Doe"}'))
+    done = jsonrec.anonymize_json(two, KEY)
+    back = jsonrec.restore_json_by_ledger(done.select("doc_id", "anonymized", "record"), jsonrec.ledger_rows(done)).collect()
+    assert [r.restored for r in back] == [r.record for r in back]
+
+
+MAPS = "uuid string, pii_type string, original string, fake_type string, fake string, created_at timestamp"
+
+
+def test_restored_places(spark):
+    """Longest first, whole words, marks and replacements of any shape; what is put back isn't looked at again."""
+    stored = [("Zed", "A"), ("Zed Stored", "B"), ("Zed Stored Junior of the Long Name, 5th", "C"), ("***", "D"), ("[x]", "E"),
+              ("555-000-1111", "Zed"), ("é-é", "F"), ("10.0.0.1", "G"), ("a", "b"), ("b", "a")]
+    maps = spark.createDataFrame([("u", "T", o, "faker", f, None) for f, o in stored], MAPS)
+    cases = {"Zed Stored and Zed.": "B and A.", "Zed Stored Junior of the Long Name, 5th!": "C!", "Zed Storeds": "A Storeds",
+             "xZed Zedx": "xZed Zedx", "(***)": "(D)", "q[x]q": "qEq", "call 555-000-1111 Zed": "call Zed A",
+             "saw 0 there \x01": "saw 0 there \x01", "sé-é, 10.0.0.1; 10.0.0.12": "sF, G; 10.0.0.12",
+             "a b ab": "b a ab", "": "", "Zed Zed Stored": "A B"}
+    df = spark.createDataFrame([(1, "u", t) for t in cases] + [(1, "u", None), (None, "u", "Zed"), (1, None, "Zed"),
+                                                              (2, "v", "Zed")], "doc_id long, uuid string, anonymized string")
+    out = restore.restore_by_value(df, maps).collect()
+    assert len(out) == len(cases) + 4
+    got = {(r.doc_id, r.uuid, r.anonymized): r.restored for r in out}
+    for text, want in cases.items():
+        assert got[1, "u", text] == want
+    assert got[1, "u", None] is None and got[None, "u", "Zed"] == "A" and got[1, None, "Zed"] == got[2, "v", "Zed"] == "Zed"
+
+
+def test_many_values_in_one_text(spark):
+    """Linear: four times the values take less than five times as long."""
+    import time
+
+    def run(n):
+        rows = spark.range(n).selectExpr(
+            "'u' AS uuid", "'PHONE_NUMBER' AS pii_type", "concat('P', id) AS original", "'keyed' AS fake_type",
+            "concat('555-', lpad(id div 10000, 3, '0'), '-', lpad(id % 10000, 4, '0')) AS fake",
+            "timestamp'2024-01-01' AS created_at")
+        text = rows.orderBy("fake").agg(F.array_join(F.collect_list(F.concat("fake", F.lit(" seen on the ward, "))), "").alias(
+            "anonymized"), F.lit("u").alias("uuid")).withColumn("doc_id", F.lit(1))
+        text, rows = text.cache(), rows.cache()
+        text.count(), rows.count()
+        start = time.time()
+        out = restore.restore_by_value(text, rows).first()
+        assert out.entities_restored == n and out.restored.count(" seen") == n and "555-" not in out.restored
+        return time.time() - start
+
+    run(1000)
+    small, large = min(run(4000) for _ in range(2)), run(16_000)
+    assert large < 5 * small + 1, (small, large)
+
+
+def test_many_spans_are_spliced_in_groups(spark):
+    from veilwork.functions.splice import by_place, splice
+    text = "".join(chr(97 + i % 26) + "é" for i in range(3000))
+    spans = [(i, i + 1 + i % 3, f"<{i}>") for i in range(1, 5990, 7)]
+    df = spark.createDataFrame([(text, spans[:n]) for n in (0, 1, 127, 128, 129, 256, len(spans))],
+                               "t string, s array<struct<begin:int,end:int,fake:string>>")
+    for r in df.withColumn("o", splice(F.col("t"), F.col("s"))).collect():
+        want, at = "", 0
+        for b, e, f in r.s:
+            want, at = want + text[at:b] + f, e
+        assert r.o == want + text[at:]
+    hits = spark.createDataFrame([([(2, "x"), (3, "y"), (6, "z")],), ([],), (None,)], "h array<struct<leaf:int,v:string>>")
+    got = [r[0] and [x and x.v for x in r[0]] for r in hits.select(by_place(F.col("h"), "leaf")).collect()]
+    assert got == [[None, None, "x", "y", None, None, "z"], [], None]

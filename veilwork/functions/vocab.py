@@ -155,6 +155,10 @@ UNAUTHORISED_ALARM = (1, 60)    # refused restores, seconds
 ANONYMIZE_METHODS = ["ANONYMIZE", "ANONYMIZE_JSON", "ANONYMIZE_JSON_SIMPLE"]
 RESTORE_METHODS = ["DE-ANONYMIZE", "DE_ANONYMIZE_JSON", "DE_ANONYMIZE_JSON_SIMPLE"]
 
+PROFILE_METHODS = ["ANONYMIZE_PROFILE", "DE_ANONYMIZE_PROFILE"]
+# What a JSON operation says of its data in the history's metadata.
+RECORD_DATA = "json_simple"
+
 # Names used to build pseudonyms. Our own choice; the number of entries is a power of two so that
 # a hash picks them evenly.
 FIRST_NAMES = [

@@ -165,6 +165,13 @@ def operation_metadata(entities: Column, context: Column | None = None) -> Colum
         .alias("entity_types")), {"ignoreNullFields": "false"})
 
 
+def record_metadata(processed: Column, context: Column) -> Column:
+    """The same about a JSON record: the number of distinct values, and that it is a record."""
+    return F.to_json(F.struct(
+        context["purpose"].alias("gdpr_purpose"), F.when(context.isNotNull(), F.lit(vocab.LEGAL_BASIS)).alias("gdpr_legal_basis"),
+        processed.alias("entities_processed"), F.lit(vocab.RECORD_DATA).alias("data_type")), {"ignoreNullFields": "false"})
+
+
 def restore_metadata(context: Column) -> Column:
     """JSON text about one restore: the access reason and who authorised it."""
     return F.to_json(F.struct(context["access_reason"].alias("gdpr_access_reason"),

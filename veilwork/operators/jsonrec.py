@@ -52,21 +52,39 @@ def anonymize_json(df: DataFrame, secret: str, record: str = "record",
     if mappings is not None:
         out = apply_overrides(stage(out.withColumn("_row", F.monotonically_increasing_id()), "json-spans"),
                               overrides(mappings, secret), "_row").drop("_row")
+    out = with_new_leaves(out)
+    return (out.withColumn("anonymized", jt.assemble(F.col("leaves")))
+            .withColumn("entities_detected", F.coalesce(F.size(distinct_values("entities")), F.lit(0)))
+            .drop("spans", "counts", "_record"))
+
+
+def distinct_values(entities: str) -> Column:
+    """The type and value pairs of a record, each once."""
+    return F.array_distinct(F.transform(entities, lambda e: F.struct(
+        e["type"].alias("type"), e["original"].alias("original"))))
+
+
+def with_new_leaves(df: DataFrame) -> DataFrame:
+    """``leaves`` with their ``entities`` and new value (``changed``), from ``entities`` and ``counts``."""
     # the entities stand in the order of their leaves, so each leaf's own are those from the end of the one before
     mine = let(F.col("entities"), lambda es: let(_ends(F.col("counts")), lambda ends: F.transform("leaves", lambda p, i: F.struct(
         p["raw"].alias("raw"), p["value"].alias("value"),
         with_out_offsets(F.when(F.get("counts", i) > 0, F.transform(
             F.sequence(F.get(ends, i) - F.get("counts", i), F.get(ends, i) - 1), lambda j: F.get(es, j)))
             .otherwise(F.filter(F.slice(es, 1, 1), lambda e: F.lit(False)))).alias("entities")))))
-    out = out.withColumn("leaves", mine)
-    out = out.withColumn("leaves", F.transform("leaves", lambda p: F.struct(
+    return df.withColumn("leaves", mine).withColumn("leaves", F.transform("leaves", lambda p: F.struct(
         p["raw"].alias("raw"), p["entities"].alias("entities"),
         F.when(F.size(p["entities"]) > 0, splice(p["value"], p["entities"])).alias("changed"))))
-    distinct = F.array_distinct(F.transform("entities", lambda e: F.struct(
-        e["type"].alias("type"), e["original"].alias("original"))))
-    return (out.withColumn("anonymized", jt.assemble(F.col("leaves")))
-            .withColumn("entities_detected", F.coalesce(F.size(distinct), F.lit(0)))
-            .drop("spans", "counts", "_record"))
+
+
+def put_back_leaves(leaves: Column) -> Column:
+    """Leaves with places (``mine``) as leaves with a new value where something is put back."""
+    return F.transform(leaves, lambda p: F.struct(p["raw"].alias("raw"), F.when(p["mine"].isNotNull(), let(
+        restore.put_back(p["value"], p["mine"]), lambda new: F.when(new != p["value"], new))).alias("changed")))
+
+
+def ambiguous_in(hits: str) -> Column:
+    return F.coalesce(F.aggregate(hits, F.lit(0), lambda n, h: n + restore.counted(h["places"], True)), F.lit(0))
 
 
 def ledger_rows(anonymized: DataFrame) -> DataFrame:
@@ -89,14 +107,14 @@ def anonymize_struct(df: DataFrame, secret: str, column: str, **options) -> Data
     return out.withColumn(column, F.from_json("anonymized", schema)).drop("_raw", "leaves")
 
 
-def _legacy(mappings: DataFrame) -> DataFrame:
+def legacy_identities(mappings: DataFrame) -> DataFrame:
     return mappings.filter(F.col("pii_type") == "JSON_STRUCTURE").select("uuid").distinct() \
         .withColumn("legacy", F.lit(True))
 
 
 def legacy_guard(df: DataFrame, mappings: DataFrame) -> DataFrame:
     """Status 400 for identities whose records were stored in the old, structure-changing form."""
-    return df.join(_legacy(mappings), "uuid", "left").withColumn(
+    return df.join(legacy_identities(mappings), "uuid", "left").withColumn(
         "status", F.when(F.col("legacy"), 400).otherwise(200)).drop("legacy")
 
 
@@ -126,16 +144,10 @@ def restore_json(df: DataFrame, mappings: DataFrame, record: str = "anonymized",
     out = restore.joined_back(out, hits, [key, "_hash", "uuid"])
     out = with_leaf_hits(out, F.col("hits"), record)
 
-    def changed(p: Column) -> Column:
-        return let(restore.put_back(p["value"], p["mine"]), lambda new: F.when(new != p["value"], new))
-
-    out = out.withColumn("leaves", F.transform("leaves", lambda p: F.struct(
-        p["raw"].alias("raw"), F.when(p["mine"].isNotNull(), changed(p)).alias("changed"))))
-    return out.withColumn("restored", F.when(F.col("status") == 200, jt.assemble(F.col("leaves")))) \
-        .withColumn("entities_restored", F.size(F.filter("leaves", lambda p: p["changed"].isNotNull()))) \
-        .withColumn("ambiguous", F.coalesce(F.aggregate(
-            "hits", F.lit(0), lambda n, h: n + restore.counted(h["places"], True)), F.lit(0))) \
-        .drop("leaves", "hits", "_hash")
+    return (out.withColumn("leaves", put_back_leaves(F.col("leaves")))
+            .withColumn("restored", F.when(F.col("status") == 200, jt.assemble(F.col("leaves"))))
+            .withColumn("entities_restored", F.size(F.filter("leaves", lambda p: p["changed"].isNotNull())))
+            .withColumn("ambiguous", ambiguous_in("hits")).drop("leaves", "hits", "_hash"))
 
 
 def restore_json_by_ledger(df: DataFrame, ledger: DataFrame, record: str = "anonymized",

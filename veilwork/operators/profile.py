@@ -28,19 +28,13 @@ def field_rule(key: Column) -> Column:
             .when(k.contains("last name"), "LAST").when(named, "NAME").otherwise("SCAN"))
 
 
-def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
-                      rules: Sequence[Rule] = ALL_RULES, registry: DataFrame | None = None,
-                      mappings: DataFrame | None = None) -> DataFrame:
-    """Anonymise a ``map<string,string>`` of ``(doc_id, identity, identity_type, profile)``.
-
-    Birth dates, ZIP codes and names go by their key; any other field is replaced whole by the
-    replacement of the first identifier in it. Empty fields stay. Map-only without stored tables.
-    """
-    out = with_uuid(df, secret, registry)
-    fields = F.expr(
+def with_fields(df: DataFrame, secret: str, profile: str, into: str = "entities",
+                rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
+    """Add the fields of a profile that are to change: type, original, replacement and key."""
+    found = F.expr(
         f"transform(map_entries({profile}), field -> named_struct('key', field.key, 'value', "
         f"field.value, 'found', {sp.detect_sql('field.value', tuple(rules))}))")
-    out = out.withColumn("fields", fields)
+    out = df.withColumn("fields", found)
     out = out.withColumn("fields", F.transform("fields", lambda f: F.struct(
         f["key"].alias("key"), f["value"].alias("value"), field_rule(f["key"]).alias("rule"),
         F.get(sp.resolve(f["found"]), F.lit(0)).alias("first"))))
@@ -51,28 +45,50 @@ def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
             f["rule"] == "SCAN", f["first"]["type"])
         original = F.when(by_key, f["value"]).otherwise(f["first"]["original"])
         filled = f["value"].isNotNull() & (f["value"] != "")
-        return F.struct(f["key"].alias("key"), f["value"].alias("value"), f["rule"].alias("rule"),
-                        F.when(filled, type_).alias("type"), original.alias("original"))
+        return F.struct(f["key"].alias("key"), F.when(filled, type_).alias("type"), original.alias("found"),
+                        f["value"].alias("value"))
 
     out = out.withColumn("fields", F.transform("fields", entity))
-    digest = ps.digest_sql(ps.secret_sql(secret), "owner", "f.type", "f.original")
+    digest = ps.digest_sql(ps.secret_sql(secret), "owner", "f.type", "f.found")
     # One replacement per value, whatever field it is in, so that it can be stored and undone by value.
-    fake = (f"CASE WHEN f.type = 'NAME' AND f.original NOT RLIKE '[ \\\\t]' THEN {ps.LAST_NAME_SQL} "
-            f"ELSE {ps.fake_from_digest_sql('f.type', 'f.original')} END")
-    out = out.withColumn("fields", F.expr(
+    fake = (f"CASE WHEN f.type = 'NAME' AND f.found NOT RLIKE '[ \\\\t]' THEN {ps.LAST_NAME_SQL} "
+            f"ELSE {ps.fake_from_digest_sql('f.type', 'f.found')} END")
+    return out.withColumn(into, F.expr(
         "transform(array(uuid), owner -> transform(filter(fields, f -> f.type IS NOT NULL), "
-        f"f -> named_struct('key', f.key, 'type', f.type, 'original', f.original, 'fake', "
-        f"transform(array({digest}), h -> {fake})[0])))[0]"))
-    out = out.withColumn("entities", F.transform("fields", lambda f: F.struct(
-        F.lit(0).alias("begin"), F.lit(0).alias("end"), f["type"].alias("type"),
-        f["original"].alias("original"), f["fake"].alias("fake"), f["key"].alias("key"))))
+        "f -> named_struct('begin', 0, 'end', 0, 'type', f.type, 'original', f.found, 'fake', "
+        f"transform(array({digest}), h -> {fake})[0], 'key', f.key)))[0]")).drop("fields")
+
+
+def new_profile(profile: str, keys: Column, fakes: Column) -> Column:
+    """A profile with some of its fields replaced."""
+    new = F.map_from_entries(F.transform(F.arrays_zip(keys.alias("key"), fakes.alias("fake")), lambda e: F.struct(
+        e["key"].alias("key"), e["fake"].alias("value"))))
+    return let(new, lambda m: F.transform_values(profile, lambda k, v: F.coalesce(m[k], v)))
+
+
+def put_back_fields(profile: str, hits: Column) -> Column:
+    """A profile with what was found in its fields (by their number) put back."""
+    return F.map_from_entries(F.transform(F.map_entries(profile), lambda f, i: F.struct(f["key"].alias("key"), F.when(
+        F.get(hits, i).isNotNull(), restore.put_back(f["value"], F.get(hits, i)["places"])).otherwise(
+        f["value"]).alias("value"))))
+
+
+SINGLE_NAME = "^[A-Z][a-z]+$"  # single first and last names, which only profiles have, fill a field
+
+
+def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
+                      rules: Sequence[Rule] = ALL_RULES, registry: DataFrame | None = None,
+                      mappings: DataFrame | None = None) -> DataFrame:
+    """Anonymise a ``map<string,string>`` of ``(doc_id, identity, identity_type, profile)``.
+
+    Birth dates, ZIP codes and names go by their key; any other field is replaced whole by the
+    replacement of the first identifier in it. Empty fields stay. Map-only without stored tables.
+    """
+    out = with_fields(with_uuid(df, secret, registry), secret, profile, rules=rules)
     if mappings is not None:
         out = apply_overrides(stage(out.withColumn("_row", F.monotonically_increasing_id()), "profile-fields"),
                               overrides(mappings, secret), "_row").drop("_row")
-    new = F.map_from_entries(F.transform("entities", lambda e: F.struct(
-        e["key"].alias("key"), e["fake"].alias("value"))))
-    return out.withColumn("anonymized", let(new, lambda m: F.transform_values(
-        profile, lambda k, v: F.coalesce(m[k], v)))).drop("fields")
+    return out.withColumn("anonymized", new_profile(profile, F.col("entities.key"), F.col("entities.fake")))
 
 
 def restore_profile(df: DataFrame, mappings: DataFrame, profile: str = "anonymized",
@@ -83,12 +99,8 @@ def restore_profile(df: DataFrame, mappings: DataFrame, profile: str = "anonymiz
     values = rows.select(key, "_hash", "uuid", F.posexplode_outer(fields).alias("leaf", "f")).filter(
         F.col("f.value").isNotNull() & (field_rule(F.col("f.key")) != "KEEP")).select(
         key, "_hash", "uuid", "leaf", F.col("f.value").alias("value"))
-    # single first and last names, which only profiles have, fill a field
-    single = F.col("value").rlike("^[A-Z][a-z]+$")
-    found = restore.found_places(values, mappings, [key, "_hash", "leaf"], whole=single)
+    found = restore.found_places(values, mappings, [key, "_hash", "leaf"], whole=F.col("value").rlike(SINGLE_NAME))
     hits = found.groupBy(key, "_hash", "uuid").agg(F.array_sort(F.collect_list(F.struct("leaf", "places"))).alias("hits"))
     out = restore.joined_back(rows, hits, [key, "_hash", "uuid"]).withColumn("hits", by_place(F.col("hits"), "leaf"))
-    new = F.map_from_entries(F.transform(fields, lambda f, i: F.struct(f["key"].alias("key"), F.when(
-        F.get("hits", i).isNotNull(), restore.put_back(f["value"], F.get("hits", i)["places"])).otherwise(
-        f["value"]).alias("value"))))
-    return out.withColumn("restored", F.when(F.col("hits").isNotNull(), new).otherwise(F.col(profile))).drop("hits", "_hash")
+    return out.withColumn("restored", F.when(F.col("hits").isNotNull(), put_back_fields(profile, F.col("hits"))).otherwise(
+        F.col(profile))).drop("hits", "_hash")

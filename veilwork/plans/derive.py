@@ -121,9 +121,12 @@ def orders(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clinical note per order; the customer is the identity."""
-    raw = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
-    return raw.selectExpr("o_orderkey AS doc_id", f"{IDENTITY} AS identity",
-                          "'CUSTOMER' AS identity_type", f"{NOTE} AS text")
+    return as_notes(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")))
+
+
+def as_notes(orders_: DataFrame) -> DataFrame:
+    return orders_.selectExpr("o_orderkey AS doc_id", f"{IDENTITY} AS identity",
+                              "'CUSTOMER' AS identity_type", f"{NOTE} AS text")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

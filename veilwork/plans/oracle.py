@@ -232,7 +232,36 @@ ORACLE["route_requests"] = f"""{_REQ} SELECT o_orderkey AS request_id,
     WHEN 3 THEN 'call ' || phone WHEN 4 THEN '{{"phone": "' || phone || '"}}'
     WHEN 5 THEN '{{"phone":"' || phone || '"}}' END AS result,
   CASE WHEN k = 6 THEN 'No handler for method: ERASE' WHEN k = 0 AND o_orderstatus = 'F' THEN
-    'GDPR consent not provided for this processing purpose' END AS error FROM x"""
+    'consent does not cover this purpose' END AS error FROM x"""
+_BACK_META = """'{"gdpr_access_reason":"' || 'case ' || CAST(o_orderkey AS VARCHAR) || '","gdpr_authorized_by":"dr-' || CAST(o_custkey % 50 AS VARCHAR) || '"}'"""
+ORACLE["restore_metadata"] = f"SELECT o_orderkey AS request_id, {_BACK_META} AS metadata FROM orders"
+_PURPOSE = "CASE WHEN o_orderstatus = 'F' THEN 'marketing' ELSE 'emergency_care' END"
+_GDPR = f"""'{{"gdpr_purpose":"' || {_PURPOSE} || '","gdpr_legal_basis":"{vocab.LEGAL_BASIS}",'"""
+_SERVED = f"""{_REQ}, s AS (SELECT *, CASE k WHEN 0 THEN 'ANONYMIZE' WHEN 1 THEN 'ANONYMIZE_JSON' WHEN 2 THEN
+  'ANONYMIZE_PROFILE' WHEN 3 THEN 'DE-ANONYMIZE' WHEN 4 THEN 'DE_ANONYMIZE_JSON' WHEN 5 THEN 'DE_ANONYMIZE_PROFILE' END
+  AS handler, k = 0 AND o_orderstatus = 'F' AS refused, CASE k WHEN 0 THEN 'Call ' || phone || ' by ' || day
+    WHEN 1 THEN '{{"phone": "' || phone || '", "n": 1.50}}' WHEN 2 THEN '{{"phone":"' || phone || '"}}'
+    WHEN 3 THEN 'call ' || phone WHEN 4 THEN '{{"phone": "' || phone || '"}}'
+    WHEN 5 THEN '{{"phone":"' || phone || '"}}' END AS plain, CASE k WHEN 0 THEN 'Call ' || fake || ' by ' || mask
+    WHEN 1 THEN '{{"phone": "' || fake || '", "n": 1.50}}' WHEN 2 THEN '{{"phone":"' || fake || '"}}'
+    WHEN 3 THEN 'call ' || fake WHEN 4 THEN '{{"phone": "' || fake || '"}}'
+    WHEN 5 THEN '{{"phone":"' || fake || '"}}' END AS hidden FROM x)"""
+ORACLE["route_history"] = f"""{_SERVED} SELECT uuid, plain AS original, hidden AS anonymized, handler AS method,
+  CASE WHEN k >= 3 THEN {_BACK_META} WHEN k = 1 THEN {_GDPR} || '"entities_processed":1,"data_type":"json_simple"}}'
+  WHEN k = 0 THEN {_GDPR} || '"entity_count":2,"entity_types":["DATE","PHONE_NUMBER"]}}'
+  ELSE {_GDPR} || '"entity_count":1,"entity_types":["PHONE_NUMBER"]}}' END AS metadata, {AT} AS created_at
+FROM s WHERE k < 6 AND NOT refused"""
+ORACLE["route_audit"] = f"""{_SERVED} SELECT uuid, e AS event_type, coalesce(handler, 'UNKNOWN') AS action,
+  CASE WHEN k IN (0, 3) THEN 'conversation' WHEN k IN (1, 4) THEN 'json_data' WHEN k IN (2, 5) THEN 'profile' END AS data_type,
+  e <> 'ERROR' AS success, CASE WHEN k = 6 THEN 'No handler for method: ERASE' WHEN refused THEN
+    'consent does not cover this purpose' END AS error_message, {_PURPOSE} AS purpose, {AT} AS created_at
+FROM (SELECT *, 'ACCESS' AS e FROM s UNION ALL SELECT *, CASE WHEN k = 6 OR refused THEN 'ERROR' ELSE 'SUCCESS' END FROM s)"""
+ORACLE["route_ledger"] = f"{_SERVED} SELECT o_orderkey AS doc_id, plain AS restored, false AS unclear FROM s WHERE k = 0 AND NOT refused"
+ORACLE["route_results"] = f"""{_SERVED} SELECT 'result' AS store, uuid, CASE WHEN k < 3 AND NOT refused THEN hidden WHEN k < 6
+  AND NOT refused THEN plain END AS value FROM s
+UNION ALL SELECT DISTINCT 'mapping', uuid, phone FROM s WHERE k < 6 AND NOT refused
+UNION ALL SELECT DISTINCT 'mapping', uuid, day FROM s WHERE k = 0 AND NOT refused
+UNION ALL SELECT DISTINCT 'identity', uuid, upper({d.IDENTITY}) FROM s WHERE k < 3 AND NOT refused"""
 ORACLE["consent_gate"] = """SELECT o_orderkey AS doc_id, CAST(CASE WHEN o_orderstatus = 'F'
   AND o_orderkey % 4 = 0 THEN 403 ELSE 200 END AS INT) AS status FROM orders"""
 
@@ -312,6 +341,8 @@ ORACLE["dedup_mappings"] = f"WITH {MAPS}, {_DEDUP} SELECT uuid, pii_type, origin
 ORACLE["mapping_upsert"] = f"""WITH {MAPS}, {_DEDUP} SELECT uuid, pii_type, original, fake, ord FROM first f
 WHERE NOT EXISTS (SELECT 1 FROM maps s WHERE s.created_at < TIMESTAMP '1996-01-01' AND s.uuid = f.uuid
   AND s.pii_type = f.pii_type AND s.original = f.original)"""
+ORACLE["mapping_lookup_pruned"] = f"""WITH {MAPS}, {_DEDUP} SELECT uuid, pii_type, original, fake FROM first
+WHERE uuid IN (SELECT 'known-' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 9900)"""
 ORACLE["stats_by_type"] = f"""WITH {MAPS}, m AS (SELECT * FROM maps WHERE pii_type IN ({HIPAA}))
 SELECT uuid, pii_type, count(*) AS entities, CAST(0 AS INT) AS level FROM m GROUP BY uuid, pii_type
 UNION ALL SELECT uuid, NULL, count(*), 1 FROM m GROUP BY uuid UNION ALL SELECT NULL, NULL, count(*), 2 FROM m"""
@@ -356,6 +387,14 @@ ORACLE["erase_identity"] = f"""WITH {MAPS}, {HIST}, gone AS (SELECT 'known-' ||
   uuid FROM customer WHERE c_acctbal < 0)
 SELECT 'mappings' AS store, uuid, ord AS id FROM maps WHERE uuid NOT IN (SELECT uuid FROM gone)
 UNION ALL SELECT 'history', uuid, event_id FROM hist WHERE uuid NOT IN (SELECT uuid FROM gone)"""
+ORACLE["erase_stored"] = f"""WITH {MAPS}, {_DEDUP}, {HIST}, gone AS (SELECT 'known-' || CAST(c_custkey AS VARCHAR) AS
+  uuid FROM customer WHERE c_acctbal < 0)
+SELECT 'mappings' AS store, uuid, original AS id FROM first WHERE uuid NOT IN (SELECT uuid FROM gone)
+UNION ALL SELECT 'history', uuid, CAST(event_id AS VARCHAR) FROM hist WHERE uuid NOT IN (SELECT uuid FROM gone)"""
+ORACLE["cleanup_stored"] = f"""WITH {REG}, {MAPS}, {_DEDUP}, {HIST}
+SELECT 'mappings' AS store, uuid, original AS id FROM first WHERE uuid IN (SELECT uuid FROM reg)
+UNION ALL SELECT 'history', uuid, CAST(event_id AS VARCHAR) FROM hist
+  WHERE created_at >= (SELECT max(created_at) FROM hist) - INTERVAL 7 DAY"""
 ORACLE["fake_collisions"] = f"""WITH {MAPS} SELECT uuid, fake, count(DISTINCT original) AS originals FROM maps
 GROUP BY uuid, fake HAVING count(DISTINCT original) > 1"""
 
@@ -385,5 +424,6 @@ ORACLE["stats_by_method_all"] = f"WITH {HIST} SELECT method, count(*) AS operati
 ORACLE["stream_alarms"] = _ALARMS
 ORACLE["alarm_unauthorised"] = _ALARMS.replace("300000000", "60000000").replace(">= 2", ">= 1")
 ORACLE["stream_anonymize"] = f"{_full(o.DOCS)} SELECT doc_id, anonymized, entities_detected FROM done"
+ORACLE["stream_anonymize_stored"] = ORACLE["anonymize_text"]
 ORACLE["stream_mappings"] = f"""{_with(o.DOCS, o.candidate_ctes('src'), o.resolved_ctes(), o.faked_ctes('src'))}
 SELECT DISTINCT uuid, type AS pii_type, original, fake FROM faked"""

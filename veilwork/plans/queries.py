@@ -13,7 +13,7 @@ from ..functions import pseudonyms as ps
 from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, rules_for
 from ..operators import anonymize as an
-from ..operators import checks, detect, jsonrec, profile, reports, requests, restore, stores
+from ..operators import checks, detect, jsonrec, profile, reports, requests, restore, stores, upkeep
 from ..session import stage, work_folder
 from ..sources import records as rec
 from ..sources import tables as tb
@@ -398,14 +398,15 @@ def _requests(spark, sf):
     df = d.orders(
         spark, sf, request_id="o_orderkey", identity=d.IDENTITY, identity_type="'customer'",
         k="o_orderkey % 7", phone=d.PHONE, note=f"'Call ' || {d.PHONE} || ' by ' || {d.DATE}",
-        record="'{\"phone\": \"' || " + d.PHONE + " || '\", \"n\": 1.50}'", purpose="o_orderstatus")
+        record="'{\"phone\": \"' || " + d.PHONE + " || '\", \"n\": 1.50}'", purpose="o_orderstatus",
+        reason="'case ' || CAST(o_orderkey AS STRING)", clerk="'dr-' || CAST(o_custkey % 50 AS STRING)")
     up = an.with_uuid(df.select(F.upper("identity").alias("identity"), F.upper("identity_type").alias(
         "identity_type"), "request_id"), d.SECRET).select("request_id", "uuid")
     df = df.join(up, "request_id")
     fake = _fake("PHONE_NUMBER", "phone")
     k = F.col("k")
     return df.select(
-        "request_id", "identity", "identity_type", "purpose", "uuid", "phone",
+        "request_id", "identity", "identity_type", "purpose", "uuid", "phone", "reason", "clerk",
         F.expr("CASE k WHEN 0 THEN 'anonymize' WHEN 1 THEN 'ANONYMIZE_JSON' WHEN 2 THEN 'ANONYMIZE' "
                "WHEN 3 THEN 'DE-ANONYMIZE' WHEN 4 THEN 'DE_ANONYMIZE_JSON' WHEN 5 THEN 'DE-ANONYMIZE' "
                "ELSE 'ERASE' END").alias("method"),
@@ -415,19 +416,74 @@ def _requests(spark, sf):
         F.when(k == 2, F.create_map(F.lit("phone"), F.col("phone"))).when(
             k == 5, F.create_map(F.lit("phone"), fake)).alias("profile"),
         F.create_map(F.lit("requires_consent"), F.lit("true"), F.lit("purpose"), F.when(
-            F.col("purpose") == "F", "marketing").otherwise("emergency_care")).alias("context"))
+            F.col("purpose") == "F", "marketing").otherwise("emergency_care"), F.lit("access_reason"), F.col("reason"),
+            F.lit("authorized_by"), F.col("clerk")).alias("context"))
+
+
+def _known(reqs):
+    """What is stored before the batch: the phones that the restores ask for."""
+    return reqs.select("uuid", F.lit("PHONE_NUMBER").alias("pii_type"), F.col("phone").alias("original"),
+                       F.lit("keyed").alias("fake_type"), _fake("PHONE_NUMBER", "phone").alias("fake"),
+                       _at().alias("created_at")).distinct()
+
+
+def _served(spark, sf):
+    """A batch served against stores in a work folder, twice, as after a failure; the stores' paths."""
+    base = work_folder(spark, "serve")
+    paths = {name: f"{base}/{name}" for name in ("results", "identities", "mappings", "history", "audit", "ledger")}
+    reqs = _requests(spark, sf)
+    tb.append_store(_known(reqs.filter("k IN (3, 4, 5)")), paths["mappings"], "mappings")
+    for _ in range(2):
+        requests.serve(reqs.drop("uuid"), paths, d.SECRET, 1, _at())
+    return paths
 
 
 @query("route_requests")
 def route_requests(spark, sf):
     reqs = _requests(spark, sf)
-    known = reqs.select("uuid", F.lit("PHONE_NUMBER").alias("pii_type"), F.col("phone").alias("original"),
-                        F.lit("keyed").alias("fake_type"), _fake("PHONE_NUMBER", "phone").alias("fake"),
-                        _at().alias("created_at")).distinct()
-    return requests.route(reqs.drop("uuid"), known, d.SECRET).select(
+    return requests.route(reqs.drop("uuid"), _known(reqs), d.SECRET).select(
         "request_id", "handler", "status", "result", "error")
 
 
+@query("route_results")
+def route_results(spark, sf):
+    """Results and new mappings of a batch that ran twice."""
+    paths = _served(spark, sf)
+    results = spark.read.parquet(paths["results"]).selectExpr("'result' AS store", "uuid", "result AS value")
+    maps = tb.read_store(spark, paths["mappings"], "mappings").selectExpr("'mapping' AS store", "uuid", "original AS value")
+    ids = tb.read_store(spark, paths["identities"], "identities").selectExpr("'identity' AS store", "uuid", "identity AS value")
+    return results.unionByName(maps).unionByName(ids)
+
+
+@query("route_history")
+def route_history(spark, sf):
+    rows = tb.read_store(spark, _served(spark, sf)["history"], "history")
+    return rows.select("uuid", "original", "anonymized", "method", "metadata", _naive("created_at"))
+
+
+@query("route_audit")
+def route_audit(spark, sf):
+    rows = tb.read_store(spark, _served(spark, sf)["audit"], "audit")
+    return rows.select("uuid", "event_type", "action", "data_type", "success", "error_message",
+                       F.col("user_context")["purpose"].alias("purpose"), _naive("created_at"))
+
+
+@query("route_ledger")
+def route_ledger(spark, sf):
+    """The results of a served batch put back by its ledger."""
+    paths = _served(spark, sf)
+    done = spark.read.parquet(paths["results"]).filter("handler = 'ANONYMIZE' AND status = 200").selectExpr(
+        "request_id AS doc_id", "result")
+    return restore.restore_by_ledger(done, tb.read_store(spark, paths["ledger"], "ledger"), "result").select(
+        "doc_id", "restored", "unclear")
+
+
+@query("restore_metadata")
+def restore_metadata(spark, sf):
+    reqs = _requests(spark, sf)
+    return reqs.select("request_id", an.restore_metadata(F.col("context")).alias("metadata"))
+
+
 @query("consent_gate")
 def consent_gate(spark, sf):
     df = d.orders(spark, sf, doc_id="o_orderkey", asks="CASE WHEN o_orderstatus = 'F' THEN 'true' END",
@@ -544,6 +600,17 @@ def identity_mappings(spark, sf):
                               ).select("identity", "uuid", "pii_type", "original", "fake")
 
 
+@query("mapping_lookup_pruned")
+def mapping_lookup_pruned(spark, sf):
+    """Stored mappings of the customers of a few accounts, from the folders of their uuids only."""
+    path = work_folder(spark, "mappings")
+    tb.append_store(stores.dedup_mappings(_order_mappings(spark, sf), F.col("ord")), path, "mappings")
+    who = d.table(spark, sf, "customer").filter("c_acctbal > 9900").selectExpr(
+        "'known-' || CAST(c_custkey AS STRING) AS uuid")
+    return tb.read_store(spark, path, "mappings", who).join(who, "uuid", "left_semi").select(
+        "uuid", "pii_type", "original", "fake")
+
+
 @query("mapping_upsert")
 def mapping_upsert(spark, sf):
     rows = _order_mappings(spark, sf)
@@ -630,6 +697,41 @@ def erase_identity(spark, sf):
         kept["history"].selectExpr("'history' AS store", "uuid", "event_id AS id"))
 
 
+def _stores(spark, sf):
+    """Mappings, identities and history written to a work folder."""
+    base = work_folder(spark, "stores")
+    tb.append_store(stores.dedup_mappings(_order_mappings(spark, sf), F.col("ord")), f"{base}/mappings", "mappings")
+    tb.append_store(_registry(spark, sf), f"{base}/identities", "identities")
+    past = _history(spark, sf).withColumn("original", F.col("event_id").cast("string"))
+    tb.append_store(past, f"{base}/history", "history")
+    return base
+
+
+@query("erase_stored")
+def erase_stored(spark, sf):
+    """What the written tables hold after an erasure that writes only touched folders anew."""
+    base = _stores(spark, sf)
+    gone = d.table(spark, sf, "customer").filter("c_acctbal < 0").selectExpr(
+        "'known-' || CAST(c_custkey AS STRING) AS uuid")
+    for table in ("mappings", "history"):
+        upkeep.erase(spark, f"{base}/{table}", table, gone)
+    return tb.read_store(spark, f"{base}/mappings", "mappings").selectExpr(
+        "'mappings' AS store", "uuid", "original AS id").unionByName(tb.read_store(
+            spark, f"{base}/history", "history").selectExpr("'history' AS store", "uuid", "original AS id"))
+
+
+@query("cleanup_stored")
+def cleanup_stored(spark, sf):
+    """Retention and orphans on written tables: what is left of each."""
+    base = _stores(spark, sf)
+    last = tb.read_store(spark, f"{base}/history", "history").agg(F.max("created_at")).first()[0]
+    upkeep.expire(spark, f"{base}/history", "history", last, 7)
+    upkeep.drop_orphans(spark, f"{base}/mappings", f"{base}/identities")
+    return tb.read_store(spark, f"{base}/mappings", "mappings").selectExpr(
+        "'mappings' AS store", "uuid", "original AS id").unionByName(tb.read_store(
+            spark, f"{base}/history", "history").selectExpr("'history' AS store", "uuid", "original AS id"))
+
+
 @query("fake_collisions")
 def fake_collisions(spark, sf):
     return stores.fake_collisions(_order_mappings(spark, sf)).select("uuid", "fake", "originals")
@@ -731,6 +833,16 @@ def stream_anonymize(spark, sf):
     return spark.read.parquet(f"{base}/out").select("doc_id", "anonymized", "entities_detected")
 
 
+@query("stream_anonymize_stored")
+def stream_anonymize_stored(spark, sf):
+    """The notes as a stream, by mappings that are stored."""
+    base = work_folder(spark, "stream-stored")
+    tb.append_store(_legacy_mappings(spark, sf), f"{base}/mappings", "mappings")
+    texts = d.as_notes(_stream(spark, sf, "orders"))
+    jobs.anonymize_stream_stored(texts, d.SECRET, f"{base}/mappings", f"{base}/out", f"{base}/state").awaitTermination()
+    return jobs.latest_texts(spark, f"{base}/out").select("doc_id", "anonymized", "entities_detected")
+
+
 @query("stream_mappings")
 def stream_mappings(spark, sf):
     base = work_folder(spark, "stream-mappings")
