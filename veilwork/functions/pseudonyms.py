@@ -57,9 +57,16 @@ def secret_sql(secret: str) -> str:
     return "'" + secret.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _sized(part: str) -> str:
+    return f"concat(cast(length({part}) as string), ':', {part}, '|')"
+
+
 def identity_uuid_sql(secret: str, identity: str, identity_type: str) -> str:
-    """A uuid that depends only on the identity, so that it needs no lookup."""
-    return (f"regexp_replace(sha2(concat_ws('|', {secret}, 'identity', {identity_type}, {identity}), 256), "
+    """A uuid that depends only on the identity, so that it needs no lookup; null if a part of the identity is.
+
+    The parts are hashed with their lengths, so that no two identities read the same.
+    """
+    return (f"regexp_replace(sha2(concat({secret}, '|identity|', {_sized(identity_type)}, {identity}), 256), "
             "'^(.{8})(.{4})(.{4})(.{4})(.{12}).*$', '$1-$2-$3-$4-$5')")
 
 
@@ -69,7 +76,7 @@ def identity_uuid(secret: str, identity: str = "identity",
 
 
 def digest_sql(secret: str, uuid: str, type_: str, original: str) -> str:
-    return f"sha2(concat_ws('|', {secret}, {uuid}, {type_}, upper({original})), 256)"
+    return f"sha2(concat({secret}, '|', {_sized(uuid)}, {_sized(type_)}, upper({original})), 256)"
 
 
 def _number(at: int, modulus: int, h: str = "h") -> str:

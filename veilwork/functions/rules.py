@@ -10,8 +10,8 @@ Two shapes of pattern:
   stays in the text. ``label_counts`` says that the label still counts towards the length that
   decides between overlapping candidates.
 
-The patterns use Java syntax. Key words may be folded with ``(?i:...)``. Identifiers after a key word (but record
-numbers) may be in any case and must hold a digit, so that ordinary words survive; names after one may be capitals.
+The patterns use Java syntax. Key words may be folded with ``(?i:...)``. Identifiers after a key word
+may be in any case and must hold a digit, so that ordinary words survive; names after one may be capitals.
 ``guard`` lists lower-case substrings one of which must occur in the lower-cased text for the
 pattern to match. It is implied by the pattern: it saves work and never changes results.
 """
@@ -43,12 +43,16 @@ S = r"\s\x0B\x1C-\x1F\x85\p{Z}"            # white space in the Unicode sense, f
 WS = rf"[{S}]"
 NOT_WS = rf"[^{S}]"
 GAP = r"[ \t]+"                          # white space inside one name
-CAP = r"[A-Z][a-z]+"                     # a capitalised word
+# Letters of any script. A quote is written by its number, as patterns stand in SQL literals.
+UP, LOW, QUOTE = r"\p{Lu}", r"[\p{Ll}\p{M}]+", r"[\x27\x{2019}]"
+PART = rf"{UP}(?:{QUOTE}{UP})?{LOW}"
+CAP = rf"{PART}(?:(?:{QUOTE}|-)?{PART})*+"   # a capitalised word: Ann, Mary-Ann, O'Neil, McCoy, García
+NO_LETTER = r"(?![\p{L}\p{M}\p{N}_])"    # a name isn't cut
+STARTS = r"(?<![\p{L}\p{M}\p{N}_])"
 # Possessive, so that a long run of capitalised words is matched without recursion.
 FULL = rf"{CAP}(?:{GAP}{CAP})*+"
-ID = r"[A-Z0-9-]*[0-9][A-Z0-9-]*"        # an identifier body with at least one digit
-ANY_ID = r"[A-Za-z0-9-]*[0-9][A-Za-z0-9-]*"  # the same in any case
-NAMED = r"(?:[A-Z][a-z]+|[A-Z]{2,}\b)"   # a capitalised word, or one wholly in capitals
+ANY_ID = r"[A-Za-z0-9-]*[0-9][A-Za-z0-9-]*"  # an identifier body with at least one digit
+NAMED = rf"(?:{CAP}|{UP}(?:(?:{QUOTE}|-)?{UP})++{NO_LETTER})"   # a capitalised word, or one wholly in capitals
 FULL_NAMED = rf"{NAMED}(?:{GAP}{NAMED})*+"
 MON = r"(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September",
@@ -57,7 +61,10 @@ MRN_LABELS = ("MRN", "mrn", "Medical Record Number")
 PATIENT_LABELS = ("Patient ID", "patient id")
 BIOMETRICS = ("Fingerprint", "Retinal", "Voiceprint", "Facial Recognition")
 HONORIFIC = r"(?:r\.?|rs\.?|s\.?|iss)"   # Mr, Mrs, Ms, Miss after the M
-ANY_CAP = r"[A-Z][a-zA-Z]+"
+JOINED = rf"(?:{QUOTE}|-){UP}[\p{{L}}\p{{M}}]*+"
+ANY_CAP = rf"{UP}(?:[\p{{L}}\p{{M}}]++(?:{JOINED})*+|(?:{JOINED})++)"
+
+CAPITAL = rf"{UP}(?:[\p{{L}}\p{{M}}]|{QUOTE}|-)"   # every name has one
 
 BOUND = r"\b"
 D = r"[0-9](?<=\b[0-9])"                 # first digit of a word; quicker to reject than \b[0-9]
@@ -70,8 +77,7 @@ HONORIFICS = ("mr", "ms", "miss")
 def _word(first: str, words: str, after: str, boundary: str = "") -> str:
     """One of the words, followed by ``after``, which is not consumed.
 
-    Only places with a fitting first letter are looked at closely, which makes the scan several
-    times faster than a plain alternation.
+    Only places with a fitting first letter are looked at closely.
     """
     return rf"[{first}](?<=(?={boundary}(?:{words}){after}).)[A-Za-z]*"
 
@@ -79,7 +85,7 @@ def _word(first: str, words: str, after: str, boundary: str = "") -> str:
 def _start(words: str | tuple[str, ...], fold: bool = True) -> str:
     """One of the words at a word boundary, found by its first letter. Nothing beyond is consumed.
 
-    The same as ``\\b(?i:word|...)``, but several times faster: the letter is tried first.
+    The same as ``\\b(?i:word|...)``, but the letter is tried first.
     """
     words = (words,) if isinstance(words, str) else words
     first = [w[0].upper() + w[0].lower() if fold else w[0] for w in words]
@@ -94,17 +100,17 @@ NAME_RULES = [
          guard=("name:",)),
     Rule("NAME", 102, rf"(Patient:{WS}*)({ANY_CAP}(?:{GAP}{ANY_CAP})*+)()", 0.95, True,
          guard=("patient:",)),
-    Rule("NAME", 103, rf"M(?<=\bM){HONORIFIC}{GAP}{CAP}(?:{GAP}{CAP})?\b", 0.95,
+    Rule("NAME", 103, rf"M(?<=\bM){HONORIFIC}{GAP}{CAP}(?:{GAP}{CAP})?{NO_LETTER}", 0.95,
          guard=HONORIFICS),
     Rule("NAME", 104,
          rf"({_word('MmFfSsBbWwHhDdPp', '(?i:' + '|'.join(RELATIVES) + ')', WS, BOUND)}{WS}+)"
          rf"({FULL_NAMED})()", 0.95, True, guard=RELATIVES),
     Rule("NAME", 105,
-         rf"(\b)({CAP}{GAP}{CAP})(?={WS}*(?:DOB|Phone|Address|,|\n|\z|works|lives|employed|called"
+         rf"({STARTS})({CAP}{GAP}{CAP})(?={WS}*(?:DOB|Phone|Address|,|\n|\z|works|lives|employed|called"
          r"|contacted|visited))()", 0.95, True),
     Rule("NAME", 106, rf"({_word('HhDd', '(?i:Hello|Hi|Dear|Hey)', WS)}{WS}+)({NAMED})()", 0.95, True,
          guard=("hello", "hi", "dear", "hey")),
-    Rule("NAME", 107, rf"(M{HONORIFIC}{WS}+)({CAP})({WS}|,|\.)", 0.95, True, guard=HONORIFICS),
+    Rule("NAME", 107, rf"((?:Mr\.?|Mrs\.?|Ms\.?|Miss){WS}+)({CAP})({WS}|,|\.)", 0.95, True, guard=HONORIFICS),
     Rule("NAME", 108, rf"({_word('CcNn', '(?i:called|named|contacted)', WS)}{WS}+)({FULL_NAMED})()", 0.95,
          True, guard=("called", "named", "contacted")),
     Rule("NAME", 109,
@@ -142,9 +148,9 @@ DIGIT_RULES = [
          rf"{D}[0-9]*{WS}+[A-Za-z{S}]+(?:St|Street|Ave|Avenue|Rd|Road|Dr|Drive|Ln|Lane|Blvd"
          rf"|Boulevard|Way|Court|Ct|Plaza|Place|Pl)\.?{WS}*,?{WS}*[A-Za-z{S}]+,?{WS}*[A-Z]{{2}}{WS}+"
          r"[0-9]{5}(?:-[0-9]{4})?", 0.9, guard_regex=rf"[A-Z]{{2}}{WS}+[0-9]{{5}}"),
-    Rule("MRN", 901, rf"({_start(MRN_LABELS, fold=False)}[{S}:#-]*)({ID})(\b)", 0.95, True, True,
+    Rule("MRN", 901, rf"({_start(MRN_LABELS, fold=False)}[{S}:#-]*)({ANY_ID})(\b)", 0.95, True, True,
          guard=("mrn", "medical record number")),
-    Rule("MRN", 902, rf"({_start(PATIENT_LABELS, fold=False)}[{S}:#-]*)({ID})(\b)", 0.95, True, True,
+    Rule("MRN", 902, rf"({_start(PATIENT_LABELS, fold=False)}[{S}:#-]*)({ANY_ID})(\b)", 0.95, True, True,
          guard=("patient id",)),
     Rule("MRN", 903, r"[A-Z](?<=\b.)[A-Z]{1,3}-[0-9]{6,10}\b", 0.95, guard=("-",)),
     Rule("INSURANCE_ID", 1001, rf"({_start("Insurance ID")}:{WS}*)([A-Za-z0-9]*[0-9][A-Za-z0-9]*)()", 0.95, True,
@@ -194,7 +200,7 @@ _TITLE = "|".join(t.replace(".", r"\.?") for t in PROVIDER_TITLES)
 PROVIDER_RULES = [
     Rule("PROVIDER", 1,
          rf"{_word('CDMNOPRST', _TITLE, _AFTER_TITLE, BOUND)}\.?[.:]?{GAP}{FULL}", 1.0),
-    Rule("PROVIDER", 2, rf"\b{FULL},{GAP.replace('+', '*')}(?:{'|'.join(CREDENTIALS)})\b", 1.0,
+    Rule("PROVIDER", 2, rf"{STARTS}{FULL},{GAP.replace('+', '*')}(?:{'|'.join(CREDENTIALS)})\b", 1.0,
          guard=(",",)),
 ]
 # ---------------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .rules import DIGIT_RULES, MONTH_WORDS, NAME_RULES, PROVIDER_RULES, Rule
+from .rules import CAPITAL, DIGIT_RULES, MONTH_WORDS, NAME_RULES, PROVIDER_RULES, Rule
 
 SPAN_TYPE = ("struct<begin:int,end:int,type:string,original:string,score:double,ord:int,"
              "weight:int>")
@@ -186,7 +186,7 @@ def _with_text(text: str, body: str) -> str:
     # What several rules ask of a text is computed once: has it a digit, a capitalised word, a
     # month's name.
     facts = (f"named_struct('low', low, 'digit', body rlike '[0-9]', 'capital', "
-             f"body rlike '[A-Z][A-Za-z]', 'month', {_any_of('low', MONTH_WORDS)})")
+             f"body rlike {_text(CAPITAL)}, 'month', {_any_of('low', MONTH_WORDS)})")
     return (f"CASE WHEN {text} IS NOT NULL THEN " + _let("body", clean_sql(text), _let(
         "t", _let("low", "lower(body)", facts), body)) + " END")
 

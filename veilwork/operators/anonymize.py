@@ -102,13 +102,13 @@ def anonymize(df: DataFrame, secret: str, text: str = "text", rules: Sequence[Ru
     """Anonymise ``(doc_id, identity, identity_type, text[, context])``.
 
     Adds ``uuid``, ``entities`` (with places in both texts), ``anonymized``, ``status`` and
-    ``entities_detected``. Rows without consent keep no result. No shuffle unless a registry,
+    ``entities_detected``. Rows without consent, or without an identity to key by, keep no result. No shuffle unless a registry,
     mappings or external detections are given; with mappings, the spans are written to the work
     folder first, since the lookup and the texts both build on them.
     """
     out = with_uuid(df, secret, registry)
     status = consent_status(F.col("context")) if "context" in df.columns else F.lit(200)
-    out = out.withColumn("status", status)
+    out = out.withColumn("status", F.when(F.col("uuid").isNull(), 500).otherwise(status))
     if external is None:
         out = detect.with_spans(out, text, rules)
     else:

@@ -45,7 +45,7 @@ def anonymize_json(df: DataFrame, secret: str, record: str = "record",
     registry or mappings are given.
     """
     out = with_uuid(df, secret, registry).withColumn(
-        "status", F.when(jt.is_valid(F.col(record)), 200).otherwise(500))
+        "status", F.when(jt.is_valid(F.col(record)) & F.col("uuid").isNotNull(), 200).otherwise(500))
     good = F.when(F.col("status") == 200, F.col(record))
     out = with_leaf_spans(out.withColumn("_record", good), "_record", rules)
     out = with_fakes(out, secret)

@@ -43,19 +43,21 @@ def with_fields(df: DataFrame, secret: str, profile: str, into: str = "entities"
         by_key = f["rule"].isin("DOB", "ZIP", "FIRST", "LAST", "NAME")
         type_ = F.when(f["rule"].isin("FIRST", "LAST"), "NAME").when(by_key, f["rule"]).when(
             f["rule"] == "SCAN", f["first"]["type"])
-        original = F.when(by_key, f["value"]).otherwise(f["first"]["original"])
+        found = F.when(by_key, f["value"]).otherwise(f["first"]["original"])
+        # a keyed replacement stands for the whole field that it replaces; a mask can't tell fields apart
+        masked = F.coalesce(type_.isin(ps.MASKED_TYPES), F.lit(False))
         filled = f["value"].isNotNull() & (f["value"] != "")
-        return F.struct(f["key"].alias("key"), F.when(filled, type_).alias("type"), original.alias("found"),
-                        f["value"].alias("value"))
+        return F.struct(f["key"].alias("key"), F.when(filled, type_).alias("type"), found.alias("found"),
+                        F.when(masked, found).otherwise(f["value"]).alias("original"))
 
     out = out.withColumn("fields", F.transform("fields", entity))
-    digest = ps.digest_sql(ps.secret_sql(secret), "owner", "f.type", "f.found")
+    digest = ps.digest_sql(ps.secret_sql(secret), "owner", "f.type", "f.original")
     # One replacement per value, whatever field it is in, so that it can be stored and undone by value.
-    fake = (f"CASE WHEN f.type = 'NAME' AND f.found NOT RLIKE '[ \\\\t]' THEN {ps.LAST_NAME_SQL} "
+    fake = (f"CASE WHEN f.type = 'NAME' AND f.original NOT RLIKE '[ \\\\t]' THEN {ps.LAST_NAME_SQL} "
             f"ELSE {ps.fake_from_digest_sql('f.type', 'f.found')} END")
     return out.withColumn(into, F.expr(
         "transform(array(uuid), owner -> transform(filter(fields, f -> f.type IS NOT NULL), "
-        "f -> named_struct('begin', 0, 'end', 0, 'type', f.type, 'original', f.found, 'fake', "
+        "f -> named_struct('begin', 0, 'end', 0, 'type', f.type, 'original', f.original, 'fake', "
         f"transform(array({digest}), h -> {fake})[0], 'key', f.key)))[0]")).drop("fields")
 
 
@@ -91,6 +93,30 @@ def anonymize_profile(df: DataFrame, secret: str, profile: str = "profile",
     return out.withColumn("anonymized", new_profile(profile, F.col("entities.key"), F.col("entities.fake")))
 
 
+def ledger_rows(anonymized: DataFrame, original: str = "profile") -> DataFrame:
+    """One row per changed field of anonymised profiles, by its number: the whole field as it was."""
+    fields = F.map_entries("anonymized")
+    old = F.filter(F.transform(F.map_entries(original), lambda f, i: F.struct(
+        i.cast("int").alias("leaf"), f["value"].alias("original"), F.get(fields, i)["value"].alias("fake"))),
+        lambda f: f["original"] != f["fake"])
+    rows = anonymized.select("doc_id", F.xxhash64(fields).alias("text_hash"), "uuid", F.explode_outer(old).alias("e"))
+    return rows.filter(F.col("e").isNotNull()).select("doc_id", "text_hash", "uuid", "e.*")
+
+
+def restore_profile_by_ledger(df: DataFrame, ledger: DataFrame, profile: str = "anonymized",
+                              key: str = "doc_id") -> DataFrame:
+    """Restore a profile exactly, whole fields at a time; adds ``restored`` and ``unclear``, as for texts."""
+    fields = F.map_entries(profile)
+    rows = restore.ledger_places(ledger, key, "leaf")
+    out = restore.joined_back(df.withColumn("text_hash", F.xxhash64(fields)), rows, [key, "text_hash"])
+    out = out.withColumn("unclear", F.coalesce("unclear", F.lit(False))).withColumn("_at", by_place(F.when(
+        ~F.col("unclear"), F.col("places")), "leaf"))
+    new = F.map_from_entries(F.transform(fields, lambda f, i: F.struct(
+        f["key"].alias("key"), F.coalesce(F.get("_at", i)["original"], f["value"]).alias("value"))))
+    return out.withColumn("restored", F.when(F.col("_at").isNotNull(), new).otherwise(F.col(profile))).drop(
+        "_at", "places", "text_hash")
+
+
 def restore_profile(df: DataFrame, mappings: DataFrame, profile: str = "anonymized",
                     key: str = "doc_id") -> DataFrame:
     """Restore every field of ``(key, uuid, profile)``; empty, unmapped and provider fields stay. Rows may share a key."""

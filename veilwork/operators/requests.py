@@ -18,6 +18,7 @@ CONSENT_ERROR = "consent does not cover this purpose"
 NOT_JSON = "Error: not a JSON document"
 LEGACY_ERROR = "record was stored in an older form: anonymise it again"
 NO_PROFILE = "Error: not a profile"
+NO_IDENTITY = "Error: no identity"
 # Which payload a handler works on, as the audit names it.
 DATA_TYPES = {"ANONYMIZE": "conversation", "DE-ANONYMIZE": "conversation", "ANONYMIZE_JSON": "json_data",
               "DE_ANONYMIZE_JSON": "json_data", "ANONYMIZE_PROFILE": "profile", "DE_ANONYMIZE_PROFILE": "profile"}
@@ -50,6 +51,7 @@ def accepted(requests: DataFrame, secret: str, registry: DataFrame | None = None
     r = an.with_uuid(r, secret, registry)
     bad_json = _is(_JSON, _JSON_BACK) & ~F.coalesce(jt.is_valid(F.col("json_data")), F.lit(False))
     error = (F.when(F.col("handler").isNull(), F.concat(F.lit("No handler for method: "), F.coalesce("method", F.lit("null"))))
+             .when(F.col("uuid").isNull(), NO_IDENTITY)
              .when(_is(_TEXT) & (an.consent_status(F.col("context")) == 403), CONSENT_ERROR)
              .when(bad_json, NOT_JSON).when(_is(_PROFILE, _PROFILE_BACK) & F.col("profile").isNull(), NO_PROFILE))
     r = r.withColumn("error", error)

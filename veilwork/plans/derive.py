@@ -13,9 +13,9 @@ from ..sources import records as rec
 
 SECRET = "demonstration-key"
 
-_FIRST = "split_part('John,Mary,Robert,Linda,Susan,Jane,Peter,Laura', ',', CAST({k} % 8 AS INT) + 1)"
-_LAST = ("split_part('Smith,Johnson,Doe,Davis,Anderson,Williams,Miller,Nguyen,Garcia,Brown,Clark', "
-         "',', CAST({k} % 11 AS INT) + 1)")
+_FIRST = "split_part('John,Mary-Ann,Robert,José,Susan,Jane,Peter,Zoë', ',', CAST({k} % 8 AS INT) + 1)"
+_LAST = ("replace(split_part('Smith,O_Neil,Doe,Davis,Smith-Jones,Williams,McCoy,Nguyen,García,Brown,Clark', "
+         "',', CAST({k} % 11 AS INT) + 1), '_', chr(39))")
 
 FIRST, LAST = _FIRST.format(k="o_custkey"), _LAST.format(k="o_custkey")
 FIRST2, LAST2 = _FIRST.format(k="(o_orderkey + 3)"), _LAST.format(k="(o_orderkey + 5)")
@@ -30,7 +30,7 @@ YYYY = _pad("year(o_orderdate)", 4)
 DATE = f"{MM} || '/' || {DD} || '/' || {YYYY}"
 MRN = f"'ABC-' || {_pad('o_orderkey', 6)}"
 PHONE = f"'555-' || {_pad('100 + o_custkey % 900', 3)} || '-' || {_pad('o_orderkey % 10000', 4)}"
-EMAIL = f"lower({FIRST}) || '.' || CAST(o_custkey AS STRING) || '@mail.example.net'"
+EMAIL = f"substr(lower({FIRST}), 1, 2) || '.' || CAST(o_custkey AS STRING) || '@mail.example.net'"
 SSN = (f"{_pad('100 + o_custkey % 700', 3)} || '-' || {_pad('o_orderkey % 90 + 10', 2)} || '-' || "
        f"{_pad('o_orderkey % 10000', 4)}")
 INSURANCE = f"'BCB' || {_pad('o_orderkey', 9)}"

@@ -43,6 +43,7 @@ for _name, _src, _type in [
         ("detect_age", o.NOTES, "AGE")]:
     ORACLE[_name] = f"{_with(_src, o.candidate_ctes('src', types=(_type,)))} SELECT {MATCH} FROM cand"
 
+ORACLE["text_source"] = "SELECT doc_id, source AS identity, 'SOURCE' AS identity_type, text FROM documents"
 ORACLE["provider_exclusion"] = (f'{_with(o.NOTES)} SELECT doc_id, original, "begin", "end" FROM '
                                 f"({o.matches('src', o.PROVIDERS)})")
 ORACLE["medical_exclusion"] = (
@@ -52,13 +53,14 @@ ORACLE["detect_all"] = (f"{_with(o.DOCS, o.candidate_ctes('src'), o.resolved_cte
                         f"SELECT {MATCH} FROM kept")
 ORACLE["resolve_overlaps"] = (f"{_with(o.NOTES, o.candidate_ctes('src'), o.resolved_ctes())} "
                               f"SELECT {MATCH} FROM kept")
-_KEY = "({t}.\"begin\", {t}.\"end\", {t}.type, {t}.original, {t}.score, {t}.ord, {t}.weight)"
+# The spans of a text as one ordered list, each held against those after it; no join.
 ORACLE["overlap_pairs"] = f"""{_with(o.NOTES, o.candidate_ctes('src'))},
-found AS MATERIALIZED (SELECT {o.SPAN_COLUMNS} FROM cand) SELECT a.doc_id,
-  a.type AS left_type, a."begin" AS left_begin, a."end" AS left_end,
-  b.type AS right_type, b."begin" AS right_begin, b."end" AS right_end
-  FROM found a JOIN found b ON a.doc_id = b.doc_id AND {_KEY.format(t='a')} < {_KEY.format(t='b')}
-  AND a."begin" < b."end" AND a."end" > b."begin" """
+per AS (SELECT doc_id, list({{'b': "begin", 'e': "end", 't': type, 'o': original, 's': score, 'r': ord, 'w': weight}}
+  ORDER BY "begin", "end", type, original, score, ord, weight) AS l FROM cand GROUP BY doc_id),
+one AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM per),
+pair AS (SELECT doc_id, l[i] AS a, unnest(list_filter(l[i + 1:], lambda x: l[i].b < x.e AND l[i].e > x.b)) AS b FROM one)
+SELECT doc_id, a.t AS left_type, a.b AS left_begin, a.e AS left_end, b.t AS right_type, b.b AS right_begin,
+  b.e AS right_end FROM pair"""
 ORACLE["external_entities"] = f"""{_with(o.NOTES, o.candidate_ctes('src'))},
 ext AS (SELECT doc_id, 'PRODUCT' AS type, 0 AS ord, CAST(0.97 AS DOUBLE) AS score,
   CAST(strpos(text, 'Metformin') - 1 AS INT) AS "begin", CAST(strpos(text, 'Metformin') + 8 AS INT) AS "end",
@@ -179,6 +181,9 @@ ORACLE["deanonymize_profile"] = f"""{_PROFILE}, b AS (SELECT uuid, fake, min(v)
   GROUP BY uuid, fake) SELECT f.doc_id, f.key, CASE WHEN b.ambiguous THEN f.fake ELSE f.v END AS value FROM f
   JOIN b ON f.uuid = b.uuid AND f.fake = b.fake UNION ALL {_KEPT}"""
 
+ORACLE["restore_profile_by_ledger"] = " UNION ALL ".join(
+    f"SELECT o_orderkey AS doc_id, '{k}' AS key, {v} AS value FROM orders" for k, v in d.PROFILE)
+
 # ---- JSON -------------------------------------------------------------------------------------------------
 
 ORACLE["json_scan"] = f"""SELECT doc_id, json_extract_string(record, '$.patient.name') AS name,
@@ -404,6 +409,10 @@ ORACLE["leak_check"] = f"""{_full(o.NOTES)} SELECT DISTINCT k.doc_id, k.type, k.
 JOIN done USING (doc_id) WHERE k.type <> 'AGE' AND contains(done.anonymized, k.original) AND regexp_matches(
   regexp_replace(regexp_replace(done.anonymized, '{o.PROVIDERS[0][5]}', ' ', 'g'), '{o.PROVIDERS[1][5]}', ' ', 'g'),
   '(^|[^A-Za-z0-9])' || regexp_escape(k.original) || '($|[^A-Za-z0-9])')"""
+_BLANKED = (f"regexp_replace(regexp_replace(anonymized, '{o.PROVIDERS[0][5]}', ' ', 'g'), '{o.PROVIDERS[1][5]}', ' ', 'g')")
+ORACLE["leak_planted"] = f"""{_full(o.NOTES)}, plant AS (""" + " UNION ALL ".join(
+    f"SELECT o_orderkey AS doc_id, '{t}' AS type, {v} AS original FROM orders" for t, v in q.PLANTED) + f""")
+SELECT doc_id, type, original FROM plant JOIN done USING (doc_id) WHERE contains({_BLANKED}, original)"""
 _TERMS = ", ".join(f"('{t}')" for t in q.KEPT_TERMS)
 ORACLE["preservation_check"] = f"""{_full(o.NOTES)} SELECT term, count(*) AS texts,
   count(*) FILTER (contains(anonymized, term)) AS kept FROM done JOIN (VALUES {_TERMS}) v(term)

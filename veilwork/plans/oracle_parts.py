@@ -14,12 +14,14 @@ from . import derive as d
 _S = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 _W = rf"[{_S}]"
 _G = r"[ \t]+"
-_C = r"[A-Z][a-z]+"
+_U, _L, _Q = r"\p{Lu}", r"[\p{Ll}\p{M}]+", r"[\x27\x{2019}]"
+_H1 = rf"{_U}(?:{_Q}{_U})?{_L}"
+_C = rf"{_H1}(?:(?:{_Q}|-)?{_H1})*"
 _F = rf"{_C}(?:{_G}{_C})*"
-_A = r"[A-Z][a-zA-Z]+"
-_I = r"[A-Z0-9-]*[0-9][A-Z0-9-]*"
+_T = rf"(?:{_Q}|-){_U}[\p{{L}}\p{{M}}]*"
+_A = rf"{_U}(?:[\p{{L}}\p{{M}}]+(?:{_T})*|(?:{_T})+)"
 _J = r"[A-Za-z0-9-]*[0-9][A-Za-z0-9-]*"
-_N = r"(?:[A-Z][a-z]+|[A-Z]{2,}\b)"
+_N = rf"(?:{_C}|{_U}(?:(?:{_Q}|-)?{_U})+)"
 _M = rf"{_N}(?:{_G}{_N})*"
 _MON = r"(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _MONTH = ("(?:January|February|March|April|May|June|July|August|September|October|November"
@@ -29,7 +31,7 @@ _VERB = "(?:how|are|is|was|has|had|will|would|can|could|should)"
 RULES = [
     ("NAME", 101, 0.95, 1, 0, rf"(Name:{_W}*)({_A}(?:{_G}{_A})*)()"),
     ("NAME", 102, 0.95, 1, 0, rf"(Patient:{_W}*)({_A}(?:{_G}{_A})*)()"),
-    ("NAME", 103, 0.95, 0, 0, rf"\b{_H}{_G}{_C}(?:{_G}{_C})?\b"),
+    ("NAME", 103, 0.95, 0, 0, rf"\b{_H}{_G}{_C}(?:{_G}{_C})?"),
     ("NAME", 104, 0.95, 1, 0, r"(\b(?i:mother|father|sister|brother|spouse|wife|husband|son"
                               rf"|daughter|parent){_W}+)({_M})()"),
     ("NAME", 105, 0.95, 1, 0, rf"(\b)({_C}{_G}{_C})({_W}*(?:DOB|Phone|Address|,|\n|\z|works|lives"
@@ -60,8 +62,8 @@ RULES = [
      rf"\b[0-9]+{_W}+[A-Za-z{_S}]+(?:St|Street|Ave|Avenue|Rd|Road|Dr|Drive|Ln|Lane|Blvd|Boulevard|Way"
      rf"|Court|Ct|Plaza|Place|Pl)\.?{_W}*,?{_W}*[A-Za-z{_S}]+,?{_W}*[A-Z]{{2}}{_W}+[0-9]{{5}}"
      r"(?:-[0-9]{4})?"),
-    ("MRN", 901, 0.95, 1, 1, rf"(\b(?:MRN|mrn|Medical Record Number)[{_S}:#-]*)({_I})(\b)"),
-    ("MRN", 902, 0.95, 1, 1, rf"(\b(?:Patient ID|patient id)[{_S}:#-]*)({_I})(\b)"),
+    ("MRN", 901, 0.95, 1, 1, rf"(\b(?:MRN|mrn|Medical Record Number)[{_S}:#-]*)({_J})(\b)"),
+    ("MRN", 902, 0.95, 1, 1, rf"(\b(?:Patient ID|patient id)[{_S}:#-]*)({_J})(\b)"),
     ("MRN", 903, 0.95, 0, 0, r"\b[A-Z]{2,4}-[0-9]{6,10}\b"),
     ("INSURANCE_ID", 1001, 0.95, 1, 0, rf"(\b(?i:Insurance ID):{_W}*)([A-Za-z0-9]*[0-9][A-Za-z0-9]*)()"),
     ("INSURANCE_ID", 1002, 0.95, 1, 0, rf"(\b(?i:Member ID|Policy Number)[{_S}:#-]*)({_J})(\b)"),
@@ -102,14 +104,18 @@ def rules_of(*types: str) -> list[tuple]:
     return [r for r in RULES if r[0] in types]
 
 
+def sized(part: str) -> str:
+    return f"CAST(length({part}) AS VARCHAR) || ':' || {part} || '|'"
+
+
 def uuid(identity: str = "identity", identity_type: str = "identity_type") -> str:
-    h = f"sha256('{d.SECRET}|identity|' || {identity_type} || '|' || {identity})"
+    h = f"sha256('{d.SECRET}|identity|' || {sized(identity_type)} || {identity})"
     return " || '-' || ".join(f"substr({h}, {a}, {n})"
                               for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
 
 
 def digest(uuid_: str, type_: str, original: str, secret: str = d.SECRET) -> str:
-    return f"sha256('{secret}|' || {uuid_} || '|' || {type_} || '|' || upper({original}))"
+    return f"sha256('{secret}|' || {sized(uuid_)} || {sized(type_)} || upper({original}))"
 
 
 def num(h: str, at: int, mod: int) -> str:

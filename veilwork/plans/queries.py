@@ -73,6 +73,11 @@ for _name, _src, _types in [
     _detector(_name, _src, *_types)
 
 
+@query("text_source")
+def text_source(spark, sf):
+    return rec.read_text(spark, f"{sf}/documents.parquet", identity="source", identity_type="SOURCE")
+
+
 @query("provider_exclusion")
 def provider_exclusion(spark, sf):
     found = d.notes(spark, sf).withColumn("fences", sp.provider_spans("text"))
@@ -314,6 +319,15 @@ def deanonymize_profile(spark, sf):
     return back.select("doc_id", F.explode_outer("restored")).select("doc_id", "key", "value")
 
 
+@query("restore_profile_by_ledger")
+def restore_profile_by_ledger(spark, sf):
+    """Every field as it was, those included that held more than the identifier."""
+    done = stage(profile.anonymize_profile(d.profiles(spark, sf), d.SECRET).select(
+        "doc_id", "uuid", "profile", "anonymized"), "profiles")
+    back = profile.restore_profile_by_ledger(done.select("doc_id", "anonymized"), profile.ledger_rows(done))
+    return back.select("doc_id", F.explode_outer("restored")).select("doc_id", "key", "value")
+
+
 # ---- JSON --------------------------------------------------------------------------------------------
 
 RECORD_SCHEMA = ("patient struct<name:string,dob:string,mrn:string,phone:string>, visit struct<date:string,"
@@ -756,6 +770,20 @@ def leak_check(spark, sf):
     return checks.leaks(an.anonymize(d.notes(spark, sf), d.SECRET))
 
 
+PLANTED = [("NAME", f"{d.FIRST} || ' ' || {d.LAST}"), ("NAME", f"CASE WHEN {d.LAST} <> {d.LAST2} THEN {d.LAST} END"),
+           ("EMAIL", d.EMAIL), ("SSN", d.SSN), ("MRN", d.MRN), ("PHONE_NUMBER", d.PHONE), ("ADDRESS", d.ADDRESS)]
+
+
+@query("leak_planted")
+def leak_planted(spark, sf):
+    """What is known to have stood in the notes, whether or not a detector took it. Expected to be empty."""
+    planted = ", ".join(f"named_struct('type', '{t}', 'original', {v})" for t, v in PLANTED)
+    raw = d.table(spark, sf, "orders").selectExpr("o_orderkey AS doc_id", f"{d.IDENTITY} AS identity",
+                                                  "'CUSTOMER' AS identity_type", f"{d.NOTE} AS text",
+                                                  f"array({planted}) AS planted")
+    return checks.planted_leaks(an.anonymize(raw, d.SECRET), "planted")
+
+
 @query("preservation_check")
 def preservation_check(spark, sf):
     return checks.kept_terms(an.anonymize(d.notes(spark, sf), d.SECRET), KEPT_TERMS)

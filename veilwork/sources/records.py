@@ -16,13 +16,23 @@ def spread(df: DataFrame, parts: int | None) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str, fmt: str = "parquet", text: str = "text",
-              doc_id: str = "doc_id", identity: str | None = None,
-              identity_type: str = "USER_ID") -> DataFrame:
-    """``(doc_id, identity, identity_type, text)`` from any Spark source with those columns."""
-    df = spark.read.format(fmt).load(path)
-    return df.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"),
-        F.col(identity or doc_id).cast("string").alias("identity"),
+              doc_id: str | None = "doc_id", identity: str | None = None,
+              identity_type: str = "USER_ID", **options: str) -> DataFrame:
+    """``(doc_id, identity, identity_type, text)`` from any Spark source.
+
+    With the format ``text`` each file is a text, as its folder of notes has it. Where there is no id column (``doc_id``
+    None, and always with ``text``), a text is named by a hash of its file and itself. Without ``identity`` each text is
+    its own.
+    """
+    if fmt == "text":
+        df = spark.read.text(path, wholetext=True).withColumnRenamed("value", text)
+        doc_id = None
+    else:
+        df = spark.read.format(fmt).options(**options).load(path)
+    id_ = F.col(doc_id).cast("bigint") if doc_id else F.xxhash64(F.col("_metadata.file_path"), F.col(text))
+    rows = df.select("*", id_.alias("_id"))
+    return rows.select(
+        F.col("_id").alias("doc_id"), F.col(identity or "_id").cast("string").alias("identity"),
         F.lit(identity_type).alias("identity_type"), F.col(text).alias("text"))
 
 
