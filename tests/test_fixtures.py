@@ -167,3 +167,33 @@ def test_spark_context_names_the_work_folder(spark):
     ("His mother MARY SMITH was present", "MARY SMITH"), ("Dear JOHN, hello", "JOHN"), ("Staff contacted JANE DOE", "JANE DOE")])
 def test_any_case(anonymized, text, gone):
     assert gone not in anonymized(text)[0].anonymized
+
+
+@pytest.mark.parametrize("text,name", [
+    ("Patient: Mary-Ann O'Neil, DOB: 01/02/1990", "Mary-Ann O'Neil"), ("Name: José García\nMRN: AB-123456", "José García"),
+    ("Mr. Smith-Jones has diabetes", "Mr. Smith-Jones"), ("Mrs. D’Angelo, please wait", "Mrs. D’Angelo"),
+    ("His mother Zoë Müller-Lüdenscheidt was present", "Zoë Müller-Lüdenscheidt"), ("Staff contacted Ronald McDonald today", "Ronald McDonald"),
+    ("His father JOSÉ O'NEIL was present", "JOSÉ O'NEIL"), ("Dear MARY-ANN, hello", "MARY-ANN"), ("Łukasz Żak, DOB 01/02/1990", "Łukasz Żak"),
+    ("Élodie Brontë", "Élodie Brontë"), ("Ivan Петров, DOB 01/02/1990", "Ivan Петров"), ("Hello Ángel how are you", "Ángel")])
+def test_names_are_taken_whole(anonymized, text, name):
+    out = anonymized(text)[0]
+    assert [e.original for e in out.entities if e.type == "NAME"] == [name]
+
+
+@pytest.mark.parametrize("text", [
+    "Follow-up is scheduled", "X-Ray was normal", "Seen by Dr. José García-López. Nurse: Zoë O'Neil, RN", "It's fine. She's well"])
+def test_not_names(anonymized, text):
+    assert anonymized(text)[0].anonymized == text
+
+
+def test_record_numbers_in_any_case(anonymized):
+    for text in ("MRN: ab-12345", "Patient ID: p12345", "mrn ab12345-c"):
+        out = anonymized(text)[0]
+        assert [e.type for e in out.entities] == ["MRN"] and "12345" not in out.anonymized.replace(out.entities[0].fake, "")
+
+
+def test_planted_originals(spark):
+    from veilwork.operators import checks
+    rows = [(1, "x José y", [("NAME", "José")]), (2, "Dr. José Smith left", [("NAME", "José")]), (3, "gone", [("NAME", "José"), ("A", None)])]
+    df = spark.createDataFrame(rows, "doc_id long, anonymized string, planted array<struct<type:string,original:string>>")
+    assert [tuple(r) for r in checks.planted_leaks(df, "planted").collect()] == [(1, "NAME", "José")]

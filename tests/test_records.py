@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilwork.functions import jsontext as jt
 from veilwork.operators import anonymize as an
-from veilwork.operators import jsonrec, profile, requests, restore, stores
+from veilwork.operators import jsonrec, profile, requests, restore, stores, structrec
 
 RECORD = {
     "patient": {"name": "Jane Doe", "dob": "01/15/1960", "mrn": "MRN-789456", "phone": "555-987-6543",
@@ -64,7 +64,7 @@ def test_typed_struct_keeps_its_schema(spark):
     df = spark.createDataFrame([(1, "u", "T", ("Sarah Johnson", 3, ["Call 555-123-4567"]))],
                                "doc_id long, identity string, identity_type string, "
                                "r struct<name:string,n:int,l:array<string>>")
-    out = jsonrec.anonymize_struct(df, KEY, "r")
+    out = structrec.anonymize_struct(df, KEY, "r")
     assert out.schema["r"].dataType == df.schema["r"].dataType
     assert out.first().r.name != "Sarah Johnson" and out.first().r.n == 3
 
@@ -352,3 +352,158 @@ def test_many_spans_are_spliced_in_groups(spark):
     hits = spark.createDataFrame([([(2, "x"), (3, "y"), (6, "z")],), ([],), (None,)], "h array<struct<leaf:int,v:string>>")
     got = [r[0] and [x and x.v for x in r[0]] for r in hits.select(by_place(F.col("h"), "leaf")).collect()]
     assert got == [[None, None, "x", "y", None, None, "z"], [], None]
+
+
+NESTED = ("a struct<n:string,d:decimal(10,2),t:date,deep:array<struct<s:string,x:array<string>,k:int>>,"
+          "m:map<string,string>,mm:map<string,array<struct<v:string,w:double>>>>, ts timestamp, b binary, "
+          "l array<array<string>>, none string, nums array<int>")
+
+
+def test_structs_of_any_depth(spark):
+    """No text form on the way: decimals, dates, binaries, NaN and nulls stay; strings come back."""
+    import datetime
+    import decimal
+    row = ({"n": "Name: John Smith", "d": decimal.Decimal("1.50"), "t": datetime.date(2020, 1, 2),
+            "deep": [{"s": "a@b.example.org", "x": ["x", None, "call 555-123-4567 or 555-999-8888"], "k": 1}, None,
+                     {"s": None, "x": None, "k": None}, {"s": "plain", "x": [], "k": 2}],
+            "m": {"p": "555-123-4567", "q": None}, "mm": {"z": [{"v": "Mr. Smith has it", "w": float("nan")}], "y": None, "e": []}},
+           datetime.datetime(2020, 1, 1, 3), bytearray(b"\x00\xff"), [["c@d.example.org"], None, []], None, [1, None])
+    empty = (None,) * 6
+    shape = f"doc_id long, identity string, identity_type string, r struct<{NESTED.replace(' struct', ':struct').replace(' timestamp', ':timestamp').replace(' binary', ':binary').replace(' array', ':array').replace('none string', 'none:string')}>"
+    df = spark.createDataFrame([(1, "u", "T", row), (2, "u", "T", empty), (3, "u", "T", None), (4, None, "T", row)], shape)
+    done = structrec.anonymize_struct(df, KEY, "r").cache()
+    assert done.schema["r"].dataType == df.schema["r"].dataType
+    plan = structrec.anonymize_struct(df, KEY, "r")._jdf.queryExecution().executedPlan().toString()
+    assert "to_json" not in plan and "from_json" not in plan and "Exchange" not in plan
+    out = {r.doc_id: r for r in done.collect()}
+    r = out[1].r
+    assert "John" not in r.a.n and "555-123" not in r.a.deep[0].x[2] and "555-999" not in r.a.deep[0].x[2]
+    assert r.a.d == decimal.Decimal("1.50") and r.a.t == row[0]["t"] and r.b == row[2] and r.nums == [1, None]
+    assert r.a.deep[0].x[:2] == ["x", None] and r.a.deep[1] is None and r.a.deep[2].s is None and r.a.deep[3].s == "plain"
+    assert r.a.m["q"] is None and r.a.m["p"].startswith("555-") and r.a.m["p"] != "555-123-4567" and r.a.m["p"] in r.a.deep[0].x[2]
+    assert "Smith" not in r.a.mm["z"][0].v and r.a.mm["z"][0].w != r.a.mm["z"][0].w and r.a.mm["y"] is None and r.a.mm["e"] == []
+    assert r.l[0][0].endswith("@example.com") and r.l[1:] == [None, []] and r.none is None
+    assert out[2].r.a is None and out[3].r is None and out[4].r is None and out[4].status == 500
+    back = structrec.restore_struct_by_ledger(done.select("doc_id", "r"), structrec.ledger_rows(done, "r"), "r")
+    again = {x.doc_id: x.r for x in back.collect()}
+    before = {x.doc_id: x.r for x in df.collect()}
+    assert str(again[1]) == str(before[1]) and again[2] == before[2] and again[3] is None
+
+
+def test_rules_as_a_table(spark, texts):
+    import pytest
+
+    from veilwork.functions.rules import ALL_RULES
+    from veilwork.operators import rule_table
+
+    def table(*rows):
+        return spark.createDataFrame(rows, rule_table.SCHEMA)
+
+    good = table(("BADGE", 2002, r"\bB-[0-9]{3}\b", 0.9, False, False, None),
+                 ("WARD", 2001, r"(Ward's )([0-9]+)()", 0.9, True, False, ["ward"]))
+    rules = rule_table.rules_from(good, ALL_RULES)
+    assert [r.type for r in rules[-2:]] == ["WARD", "BADGE"]
+    out = an.anonymize(texts("badge B-123 in Ward's 7, a@b.example.org"), KEY, rules=rules).first()
+    assert out.anonymized.startswith("badge [REDACTED-BADGE] in Ward's [REDACTED-WARD], user")
+    bad = [("", 3001, "x", 0.9, False, False, None), ("A", 3002, "(", 0.9, False, False, None),
+           ("B", 3003, "x*", 0.9, False, False, None), ("C", 3004, "(a)(b)", 0.9, True, False, None),
+           ("D", 101, "x", 0.9, False, False, None), ("E", 3005, "x", 7.0, False, False, None),
+           ("F", 3006, "x", 0.9, False, False, ["X"]), ("G", 3007, "x", 0.9, False, False, None),
+           ("H", 3007, "y", 0.9, False, False, None), ("I", 3008, None, 0.9, False, False, None)]
+    with pytest.raises(ValueError) as e:
+        rule_table.rules_from(table(*bad))
+    for part in ("no type", "A 3002: pattern", "B 3003: pattern matches the empty text", "not 2 groups", "D 101: ord",
+                 "E 3005: score", "F 3006: guards", "H 3007: ord", "I 3008: pattern matches the empty text"):
+        assert part in str(e.value)
+    assert rule_table.rules_from(table()) == []
+
+
+def test_span_join(spark):
+    import random
+
+    from veilwork.operators import spanjoin
+    rng = random.Random(1)
+
+    def spans(n):
+        out = []
+        for k in range(n):
+            b = rng.randrange(300)
+            out.append((rng.choice([1, 2, None]), f"T{k}", b, b + rng.choice([0, 1, 5, 40, 200])))
+        return out
+
+    left, right = spans(60), spans(60)
+    shape = "doc_id long, type string, begin int, end int"
+    want = sorted((a, x[1], y[1]) for x in left for y in right for a in [x[0]] if a is not None and a == y[0]
+                  and x[2] < y[3] and y[2] < x[3] and x[3] > x[2] and y[3] > y[2])
+    for width in (1, 16, 256):
+        got = spanjoin.overlaps(spark.createDataFrame(left, shape), spark.createDataFrame(right, shape), bin_width=width)
+        assert sorted((r.doc_id, r.left_type, r.right_type) for r in got.collect()) == want
+
+
+def test_dead_letters(spark, tmp_path):
+    """A bad request of each kind is kept with its reason and can be served again; broken lines keep their file."""
+    lines = ['{"request_id": 1, "method": "ANONYMIZE_JSON", "identity": "u", "identity_type": "t", "json_data": "{bad"}',
+             '{"request_id": 2, "method": "DE_ANONYMIZE_JSON", "identity": "u", "identity_type": "t", "json_data": "bad"}',
+             '{"request_id": 3, "method": "ANONYMIZE", "identity": "u", "identity_type": "t"}',
+             '{"request_id": 4, "method": "DE-ANONYMIZE", "identity": "u", "identity_type": "t"}',
+             '{"request_id": 5, "method": "ANONYMIZE", "identity_type": "t", "conversation": "Call 555-123-4567"}',
+             '{"request_id": 6, "method": "DE-ANONYMIZE", "identity_type": "t", "conversation": "x"}',
+             '{"request_id": 7, "method": "ANONYMIZE", "identity": "u", "identity_type": "t", "conversation": "fine"}',
+             '{"request_id": 8, "meth', "", "[1]", '{"request_id": "nine"}',
+             '{"request_id": 10, "method": "ANONYMIZE", "identity": "u", "identity_type": "t", "conversation": "x", '
+             '"context": {"requires_consent": "true", "purpose": "ads"}}']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    good, dead = requests.read_lines(spark, str(tmp_path))
+    dead = dead.collect()
+    assert {r.payload for r in dead} == {lines[7], lines[9], lines[10]}
+    assert all(r.source_file.endswith("a.json") and r.source_offset == 0 and r.reason for r in dead)
+    maps = spark.createDataFrame([], MAPS)
+    done = requests.served(good, maps, KEY)
+    failed = requests.dead_letters(done, F.current_timestamp())
+    by = {r.request_id: r for r in failed.collect()}
+    assert set(by) == {1, 2, 3, 4, 5, 6}
+    assert {by[i].handler for i in by} == {"ANONYMIZE_JSON", "DE_ANONYMIZE_JSON", "ANONYMIZE_PROFILE", "DE_ANONYMIZE_PROFILE",
+                                           "ANONYMIZE", "DE-ANONYMIZE"}
+    assert by[5].reason == requests.NO_IDENTITY
+    mended = requests.from_dead_letters(failed).withColumn("identity", F.coalesce("identity", F.lit("u")))
+    out = {r.request_id: r for r in requests.route(mended, maps, KEY).collect()}
+    assert out[5].status == 200 and "555-123-4567" not in out[5].result and out[6].result == "x"
+    assert out[1].status == 500
+
+
+def test_rows_without_identity_keep_no_result(spark):
+    shape = "doc_id long, identity string, identity_type string, text string"
+    df = spark.createDataFrame([(1, None, "T", "Name: John Smith"), (2, "u", None, "Name: John Smith")], shape)
+    assert [(r.status, r.anonymized) for r in an.anonymize(df, KEY).collect()] == [(500, None)] * 2
+
+
+def test_no_two_identities_share_a_uuid(spark):
+    rows = [("B|C", "A"), ("C", "A|B"), ("T", ""), ("", "T"), ("1:A|", "1")]
+    got = an.with_uuid(spark.createDataFrame(rows, "identity string, identity_type string"), KEY).collect()
+    assert len({r.uuid for r in got}) == len(rows)
+    nulls = spark.createDataFrame([(None, "T"), ("T", None)], "identity string, identity_type string")
+    assert [r.uuid for r in an.with_uuid(nulls, KEY).collect()] == [None, None]
+
+
+def test_profile_fields_come_back_whole(spark):
+    p = {"comment": "call 555-123-4567 or 555-999-8888", "seen": "on 01/02/1990 by him", "dob": "01/02/1990", "note": "none"}
+    df = spark.createDataFrame([(1, "u", "t", p)] * 2, "doc_id long, identity string, identity_type string, profile map<string,string>")
+    done = profile.anonymize_profile(df, KEY).cache()
+    assert not any("555-999" in r.anonymized["comment"] for r in done.collect())
+    back = profile.restore_profile_by_ledger(done.select("doc_id", "anonymized"), profile.ledger_rows(done)).collect()
+    assert [r.restored for r in back] == [p, p]
+    maps = an.mapping_rows(done).withColumn("created_at", F.current_timestamp())
+    value = profile.restore_profile(done.select("doc_id", "uuid", "anonymized"), maps).first().restored
+    assert value["comment"] == p["comment"] and value["dob"] == p["dob"]
+
+
+def test_text_sources(spark, tmp_path):
+    from veilwork.sources.records import read_text
+    for k in range(3):
+        (tmp_path / f"n{k}.txt").write_text(f"Name: John Smith\nnote {k}")
+    got = read_text(spark, str(tmp_path), "text").collect()
+    assert {r.text for r in got} == {f"Name: John Smith\nnote {k}" for k in range(3)} and len({r.doc_id for r in got}) == 3
+    assert all(r.identity == str(r.doc_id) and r.identity_type == "USER_ID" for r in got)
+    spark.createDataFrame([(7, "p1", "a text")], "id long, who string, body string").write.json(str(tmp_path / "j"))
+    row = read_text(spark, str(tmp_path / "j"), "json", text="body", doc_id="id", identity="who", identity_type="P").first()
+    assert tuple(row) == (7, "p1", "P", "a text")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import jsontext as jt
 from ..functions import spans as sp
@@ -21,7 +20,10 @@ from .detect import where_computed
 
 def with_leaf_spans(df: DataFrame, record: str, rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
     """Add ``leaves`` (pieces of the JSON text), ``spans`` in the order of the leaves, and how many each leaf has (``counts``)."""
-    out = df.withColumn("leaves", jt.leaves(F.col(record)))
+    return with_spans_of_leaves(df.withColumn("leaves", jt.leaves(F.col(record))), rules)
+
+
+def with_spans_of_leaves(out: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     found = F.expr(f"transform(leaves, leaf -> {sp.detect_sql('leaf.value', tuple(rules))})")
     out = out.withColumn("found", found)
     out = out.withColumn("found", F.transform("found", lambda f: sp.resolve(F.coalesce(f, sp.no_spans()))))
@@ -29,7 +31,7 @@ def with_leaf_spans(df: DataFrame, record: str, rules: Sequence[Rule] = ALL_RULE
             .withColumn("counts", F.transform("found", lambda f: F.size(f))).drop("found"))
 
 
-def _ends(counts: Column) -> Column:
+def running_sum(counts: Column) -> Column:
     """The running sum of counts."""
     return F.aggregate(counts, F.struct(F.lit(0).alias("at"), *sp.nothing("int")), lambda acc, n: let(
         acc["at"] + n, lambda at: F.struct(at.alias("at"), *sp.append(acc, at))), sp.appended)
@@ -67,7 +69,7 @@ def distinct_values(entities: str) -> Column:
 def with_new_leaves(df: DataFrame) -> DataFrame:
     """``leaves`` with their ``entities`` and new value (``changed``), from ``entities`` and ``counts``."""
     # the entities stand in the order of their leaves, so each leaf's own are those from the end of the one before
-    mine = let(F.col("entities"), lambda es: let(_ends(F.col("counts")), lambda ends: F.transform("leaves", lambda p, i: F.struct(
+    mine = let(F.col("entities"), lambda es: let(running_sum(F.col("counts")), lambda ends: F.transform("leaves", lambda p, i: F.struct(
         p["raw"].alias("raw"), p["value"].alias("value"),
         with_out_offsets(F.when(F.get("counts", i) > 0, F.transform(
             F.sequence(F.get(ends, i) - F.get("counts", i), F.get(ends, i) - 1), lambda j: F.get(es, j)))
@@ -97,16 +99,6 @@ def ledger_rows(anonymized: DataFrame) -> DataFrame:
         "e.out_begin", "e.out_end", "e.original", "e.fake")
 
 
-def anonymize_struct(df: DataFrame, secret: str, column: str, **options) -> DataFrame:
-    """Anonymise a typed struct column; its schema is unchanged."""
-    schema = df.schema[column].dataType
-    if not isinstance(schema, T.StructType):
-        raise TypeError(f"{column} is not a struct column")
-    raw = df.withColumn("_raw", F.to_json(column, {"ignoreNullFields": "false"}))
-    out = anonymize_json(raw, secret, "_raw", **options)
-    return out.withColumn(column, F.from_json("anonymized", schema)).drop("_raw", "leaves")
-
-
 def legacy_identities(mappings: DataFrame) -> DataFrame:
     return mappings.filter(F.col("pii_type") == "JSON_STRUCTURE").select("uuid").distinct() \
         .withColumn("legacy", F.lit(True))
@@ -156,14 +148,14 @@ def restore_json_by_ledger(df: DataFrame, ledger: DataFrame, record: str = "anon
     rows = restore.ledger_places(ledger, key, "leaf", "out_begin", "out_end")
     out = restore.joined_back(df.withColumn("text_hash", F.xxhash64(record)), rows, [key, "text_hash"])
     out = out.withColumn("unclear", F.coalesce("unclear", F.lit(False)))
-    out = with_leaf_hits(out, _by_leaf(F.when(~F.col("unclear"), F.col("places"))), record)
+    out = with_leaf_hits(out, places_by_leaf(F.when(~F.col("unclear"), F.col("places"))), record)
     out = out.withColumn("leaves", F.transform("leaves", lambda p: F.struct(
         p["raw"].alias("raw"), F.when(F.size(p["mine"]) > 0, splice(
             p["value"], p["mine"], "out_begin", "out_end", "original")).alias("changed"))))
     return out.withColumn("restored", jt.assemble(F.col("leaves"))).drop("leaves", "places", "text_hash")
 
 
-def _by_leaf(places: Column) -> Column:
+def places_by_leaf(places: Column) -> Column:
     """Places in order as one entry for each leaf: where each leaf's first and last place stand, then those between."""
     firsts = F.filter(F.transform(places, lambda s, i: F.when(
         F.coalesce(F.get(places, i - 1)["leaf"] != s["leaf"], F.lit(True)), i)), lambda i: i.isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsontext as jt
@@ -136,10 +136,13 @@ def served(requests: DataFrame, mappings: DataFrame, secret: str, registry: Data
     in_text = F.transform("_placed", lambda e: F.struct(F.lit(0).alias("leaf"), *[e[c].alias(c) for c in an.ENTITY_FIELDS]))
     payload = (F.when(_is(_TEXT, _TEXT_BACK), F.col("conversation")).when(_is(_JSON, _JSON_BACK), F.col("json_data"))
                .when(_is(_PROFILE, _PROFILE_BACK), as_text(F.col("profile"))))
+    # the request as it came, where it failed
+    whole = F.when(F.col("status") >= 500, F.to_json(F.struct(
+        "request_id", "method", "identity", "identity_type", "conversation", "json_data", "profile", "context")))
     return out.select(
         "request_id", "identity", "identity_type", "uuid", "handler", F.col("status").cast("int").alias("status"),
         F.when(good, result).alias("result"), F.when(good, number).cast("int").alias("entities"), "error", "context",
-        payload.alias("payload"), F.when(good, F.col("entities")).alias("found"),
+        payload.alias("payload"), whole.alias("request"), F.when(good, F.col("entities")).alias("found"),
         F.when(good, F.coalesce(in_leaves, in_text)).alias("places"))
 
 
@@ -179,7 +182,8 @@ def ledger_of(done: DataFrame) -> DataFrame:
 def serve(requests: DataFrame, paths: dict[str, str], secret: str, batch: int, at: Column) -> dict[str, int]:
     """Serve a numbered batch against the written stores and give its counters.
 
-    ``paths`` has those of ``results``, ``identities``, ``mappings``, ``history``, ``audit`` and ``ledger``. Of the looked
+    ``paths`` has those of ``results``, ``identities``, ``mappings``, ``history``, ``audit`` and ``ledger``, and may have one
+    of ``dead_letters``. Of the looked
     up stores only the folders of the batch's identities are read. The results are made once, in the work folder, and
     every store is written from there. A batch that runs again leaves every store as it was: results, history, audit and
     ledger by its number, identities and mappings as they are inserted if absent.
@@ -199,6 +203,8 @@ def serve(requests: DataFrame, paths: dict[str, str], secret: str, batch: int, a
     tb.append_store(ledger_of(anonymised), paths["ledger"], "ledger", batch)
     tb.append_store(history_of(done, at), paths["history"], "history", batch)
     tb.append_store(audit_of(done, at), paths["audit"], "audit", batch)
+    if "dead_letters" in paths:
+        tb.append_store(dead_letters(done, at), paths["dead_letters"], "dead_letters", batch)
     counters = Observation(f"requests-{batch}")
     counted = done.select(*RESULT).observe(
         counters, F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") == 200).alias("served"),
@@ -208,6 +214,44 @@ def serve(requests: DataFrame, paths: dict[str, str], secret: str, batch: int, a
     return counters.get
 
 
+REQUEST = ("request_id bigint, method string, identity string, identity_type string, conversation string, "
+           "json_data string, profile map<string,string>, context map<string,string>")
+BROKEN_LINE = "not a request in JSON"
+
+
+def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Requests from files of JSON lines, and the lines that are none, as dead letters.
+
+    A line that can't be read doesn't stop the others. Dead letters keep the line as it is, its file, and the start of the
+    part of the file that it was read in.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("source_offset"))
+    parsed = lines.withColumn("r", F.from_json("value", f"{REQUEST}, _corrupt string", {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    names = [f.split()[0] for f in REQUEST.split(", ")]
+    good = parsed.filter(~bad).select(*[F.col(f"r.{n}").alias(n) for n in names], "source_file", "source_offset")
+    dead = parsed.filter(bad & (F.trim("value") != "")).select(
+        F.lit(None).cast("bigint").alias("request_id"), F.lit(None).cast("string").alias("handler"),
+        F.lit(BROKEN_LINE).alias("reason"), F.col("value").alias("payload"), "source_file", "source_offset",
+        F.current_timestamp().alias("created_at"))
+    return good, tb.conform(dead, "dead_letters")
+
+
+def dead_letters(done: DataFrame, at: Column) -> DataFrame:
+    """Requests of any kind that failed (not those refused by consent), from which they can be served again."""
+    rows = done.filter(F.col("status") >= 500)
+    return tb.conform(rows.select("request_id", "handler", F.col("error").alias("reason"), F.col("request").alias("payload"),
+                                  at.alias("created_at")), "dead_letters")
+
+
+def from_dead_letters(dead: DataFrame) -> DataFrame:
+    """The requests that dead letters hold, to be served again once the cause is mended; broken lines are left out."""
+    r = dead.filter(F.col("reason") != BROKEN_LINE).select(F.from_json("payload", REQUEST).alias("r"))
+    return r.select("r.*")
+
+
 def failed_records(df: DataFrame, record: str) -> DataFrame:
     """Records that cannot be processed get status 500 and a message; others are unaffected."""
     bad = ~F.coalesce(jt.is_valid(F.col(record)), F.lit(False))

@@ -61,6 +61,14 @@ one AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM per),
 pair AS (SELECT doc_id, l[i] AS a, unnest(list_filter(l[i + 1:], lambda x: l[i].b < x.e AND l[i].e > x.b)) AS b FROM one)
 SELECT doc_id, a.t AS left_type, a.b AS left_begin, a.e AS left_end, b.t AS right_type, b.b AS right_begin,
   b.e AS right_end FROM pair"""
+_CUSTOM = [("POLICY_REF", 9001, 0.97, 1, 0, "(policy )(XY[0-9]{8})()"), ("PLATE_REF", 9002, 0.99, 0, 0, r"\bKX-[0-9]{3}\b")]
+ORACLE["detect_custom_rules"] = f"{_with(o.NOTES)} SELECT {MATCH} FROM ({o.matches('src', _CUSTOM)})"
+ORACLE["external_overlap_join"] = f"""{_with(o.NOTES, o.candidate_ctes('src', types=('NAME', 'DATE', 'AGE')))},
+ext AS (SELECT doc_id, 'LINE' AS type, strpos(text, 'Patient: ') - 1 AS b, strpos(text, 'Phone: ') - 1 AS e FROM src
+  UNION ALL SELECT doc_id, 'TAIL', strpos(text, 'Age: ') - 1, length(text) FROM src)
+SELECT c.doc_id, c.type AS left_type, CAST(c."begin" AS BIGINT) AS left_begin, CAST(c."end" AS BIGINT) AS left_end,
+  x.type AS right_type, x.b AS right_begin, x.e AS right_end FROM cand c JOIN ext x ON c.doc_id = x.doc_id
+WHERE c."begin" < x.e AND x.b < c."end" """
 ORACLE["external_entities"] = f"""{_with(o.NOTES, o.candidate_ctes('src'))},
 ext AS (SELECT doc_id, 'PRODUCT' AS type, 0 AS ord, CAST(0.97 AS DOUBLE) AS score,
   CAST(strpos(text, 'Metformin') - 1 AS INT) AS "begin", CAST(strpos(text, 'Metformin') + 8 AS INT) AS "end",
@@ -208,6 +216,8 @@ ORACLE["anonymize_json"] = f"""{_JSON} SELECT o_orderkey AS doc_id,
 ORACLE["anonymize_json_struct"] = f"""{_JSON} SELECT o_orderkey AS doc_id, f_name AS name,
   'Dr. ' || {d.FIRST2} || ' ' || {d.LAST2} || ', MD' AS provider,
   CAST(60 + o_orderkey % 40 AS INT) AS heart_rate FROM x"""
+ORACLE["restore_struct_by_ledger"] = f"""{_JSON} SELECT o_orderkey AS doc_id, v_name AS name, v_date AS dob,
+  'Call ' || v_phone AS diagnosis, '1000mg' AS dose, CAST(NULL AS VARCHAR) AS note, false AS unclear FROM x"""
 ORACLE["deanonymize_json"] = f"""{_JSON}, b AS (SELECT uuid, f_date, min(v_date) <> max(v_date) AS ambiguous FROM x GROUP BY 1, 2),
 y AS (SELECT *, CASE WHEN ambiguous THEN f_date ELSE v_date END AS r_date FROM x JOIN b USING (uuid, f_date))
 SELECT o_orderkey AS doc_id, {d.record_sql('v_name', 'r_date', 'v_mrn', 'v_phone', 'v_email')} AS restored,
@@ -238,6 +248,9 @@ ORACLE["route_requests"] = f"""{_REQ} SELECT o_orderkey AS request_id,
     WHEN 5 THEN '{{"phone":"' || phone || '"}}' END AS result,
   CASE WHEN k = 6 THEN 'No handler for method: ERASE' WHEN k = 0 AND o_orderstatus = 'F' THEN
     'consent does not cover this purpose' END AS error FROM x"""
+ORACLE["bad_requests"] = """SELECT CAST(NULL AS BIGINT) AS request_id, NULL AS handler, 'not a request in JSON' AS reason,
+  true AS from_file FROM orders WHERE o_orderkey % 5 = 1
+UNION ALL SELECT o_orderkey, NULL, 'No handler for method: ERASE', false FROM orders WHERE o_orderkey % 5 <> 1 AND o_orderkey % 7 = 6"""
 _BACK_META = """'{"gdpr_access_reason":"' || 'case ' || CAST(o_orderkey AS VARCHAR) || '","gdpr_authorized_by":"dr-' || CAST(o_custkey % 50 AS VARCHAR) || '"}'"""
 ORACLE["restore_metadata"] = f"SELECT o_orderkey AS request_id, {_BACK_META} AS metadata FROM orders"
 _PURPOSE = "CASE WHEN o_orderstatus = 'F' THEN 'marketing' ELSE 'emergency_care' END"

@@ -12,8 +12,9 @@ from ..functions import masks
 from ..functions import pseudonyms as ps
 from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, rules_for
+from ..operators import rule_table, spanjoin
 from ..operators import anonymize as an
-from ..operators import checks, detect, jsonrec, profile, reports, requests, restore, stores, upkeep
+from ..operators import checks, detect, jsonrec, profile, reports, requests, restore, stores, structrec, upkeep
 from ..session import stage, work_folder
 from ..sources import records as rec
 from ..sources import tables as tb
@@ -124,6 +125,33 @@ def external_entities(spark, sf):
     return detect.explode_spans(found.select("doc_id", "spans"), ["doc_id"]).select(MATCH)
 
 
+def _rule_table(spark, sf):
+    """A rule table as Parquet: references that the built-in rules don't know."""
+    path = work_folder(spark, "rules")
+    rows = [("POLICY_REF", 9001, "(policy )(XY[0-9]{8})()", 0.97, True, False, ["policy"]),
+            ("PLATE_REF", 9002, "\\bKX-[0-9]{3}\\b", 0.99, False, False, None)]
+    spark.createDataFrame(rows, rule_table.SCHEMA).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("detect_custom_rules")
+def detect_custom_rules(spark, sf):
+    """Detections by a rule table that is data."""
+    rules = rule_table.rules_from(_rule_table(spark, sf))
+    return detect.detections(d.notes(spark, sf), ["doc_id"], rules=rules).select(MATCH)
+
+
+@query("external_overlap_join")
+def external_overlap_join(spark, sf):
+    """Our detections and another detector's, both kept as tables, where they overlap."""
+    ours = detect.detections(d.notes(spark, sf), ["doc_id"], rules=rules_for("NAME", "DATE", "AGE")).select(
+        "doc_id", "type", "begin", "end")
+    n = d.notes(spark, sf)
+    lines = n.selectExpr("doc_id", "'LINE' AS type", "instr(text, 'Patient: ') - 1 AS begin", "instr(text, 'Phone: ') - 1 AS end")
+    tail = n.selectExpr("doc_id", "'TAIL' AS type", "instr(text, 'Age: ') - 1 AS begin", "length(text) AS end")
+    return spanjoin.overlaps(stage(ours, "ours"), lines.unionByName(tail), "doc_id", bin_width=64)
+
+
 @query("min_length_rule")
 def min_length_rule(spark, sf):
     found = detect.with_spans(d.documents(spark, sf)).select(
@@ -361,12 +389,23 @@ def anonymize_json(spark, sf):
 @query("anonymize_json_struct")
 def anonymize_json_struct(spark, sf):
     typed = rec.parse_json(d.records(spark, sf), "record", RECORD_SCHEMA, "r").drop("record")
-    out = jsonrec.anonymize_struct(typed, d.SECRET, "r")
+    out = structrec.anonymize_struct(typed, d.SECRET, "r")
     return out.select("doc_id", F.col("r.patient.name").alias("name"),
                       F.col("r.visit.provider").alias("provider"),
                       F.col("r.vitals.heart_rate").alias("heart_rate"))
 
 
+@query("restore_struct_by_ledger")
+def restore_struct_by_ledger(spark, sf):
+    """Typed records through the ledger and back."""
+    typed = rec.parse_json(d.records(spark, sf), "record", RECORD_SCHEMA, "r").drop("record")
+    done = stage(structrec.anonymize_struct(typed, d.SECRET, "r"), "structs")
+    back = structrec.restore_struct_by_ledger(done.select("doc_id", "r"), structrec.ledger_rows(done, "r"), "r")
+    return back.select("doc_id", F.col("r.patient.name").alias("name"), F.col("r.patient.dob").alias("dob"),
+                       F.col("r.diagnoses")[1].alias("diagnosis"), F.col("r.medications")[0]["dose"].alias("dose"),
+                       F.col("r.vitals.note").alias("note"), "unclear")
+
+
 @query("deanonymize_json")
 def deanonymize_json(spark, sf):
     done = _anonymized_records(spark, sf)
@@ -441,13 +480,13 @@ def _known(reqs):
                        _at().alias("created_at")).distinct()
 
 
-def _served(spark, sf):
-    """A batch served against stores in a work folder, twice, as after a failure; the stores' paths."""
+def _served(spark, sf, times=1):
+    """A batch served against stores in a work folder, so many times, as after a failure; the stores' paths."""
     base = work_folder(spark, "serve")
     paths = {name: f"{base}/{name}" for name in ("results", "identities", "mappings", "history", "audit", "ledger")}
     reqs = _requests(spark, sf)
     tb.append_store(_known(reqs.filter("k IN (3, 4, 5)")), paths["mappings"], "mappings")
-    for _ in range(2):
+    for _ in range(times):
         requests.serve(reqs.drop("uuid"), paths, d.SECRET, 1, _at())
     return paths
 
@@ -461,8 +500,8 @@ def route_requests(spark, sf):
 
 @query("route_results")
 def route_results(spark, sf):
-    """Results and new mappings of a batch that ran twice."""
-    paths = _served(spark, sf)
+    """Results, mappings and identities of a batch that ran twice."""
+    paths = _served(spark, sf, 2)
     results = spark.read.parquet(paths["results"]).selectExpr("'result' AS store", "uuid", "result AS value")
     maps = tb.read_store(spark, paths["mappings"], "mappings").selectExpr("'mapping' AS store", "uuid", "original AS value")
     ids = tb.read_store(spark, paths["identities"], "identities").selectExpr("'identity' AS store", "uuid", "identity AS value")
@@ -498,6 +537,24 @@ def restore_metadata(spark, sf):
     return reqs.select("request_id", an.restore_metadata(F.col("context")).alias("metadata"))
 
 
+@query("bad_requests")
+def bad_requests(spark, sf):
+    """Broken request lines and requests that fail, each in the dead-letter table with its reason."""
+    base = work_folder(spark, "lines")
+    whole = _requests(spark, sf).select(F.to_json(F.struct(
+        "request_id", "method", "identity", "identity_type", "conversation", "json_data", "profile", "context")).alias("value"),
+        "request_id")
+    broken = whole.withColumn("value", F.when(F.col("request_id") % 5 == 1, F.expr(
+        "substr(value, 1, length(value) - 3)")).otherwise(F.col("value")))
+    broken.select("value").write.text(f"{base}/in")
+    good, dead = requests.read_lines(spark, f"{base}/in")
+    empty = spark.createDataFrame([], tb.MAPPINGS)
+    failed = requests.dead_letters(requests.served(good, empty, d.SECRET), _at())
+    tb.append_store(dead.unionByName(failed), f"{base}/dead", "dead_letters", batch=1)
+    return tb.read_store(spark, f"{base}/dead", "dead_letters").select(
+        "request_id", "handler", "reason", F.col("source_file").isNotNull().alias("from_file"))
+
+
 @query("consent_gate")
 def consent_gate(spark, sf):
     df = d.orders(spark, sf, doc_id="o_orderkey", asks="CASE WHEN o_orderstatus = 'F' THEN 'true' END",
