@@ -1,8 +1,8 @@
 """Keyed pseudonyms: the same identity, type and value always give the same replacement.
 
 A replacement is a function of a SHA-256 digest over a secret, the identity's uuid, the type and
-the upper-cased value. No task has to ask another which value was handed out, so anonymising needs
-no shuffle. Without the secret the values cannot be recomputed. Comparing upper-cased values gives
+the lower-cased value. No task has to ask another which value was handed out, so anonymising needs
+no shuffle. Without the secret the values cannot be recomputed. Comparing lower-cased values gives
 ``JOHN`` and ``John`` one replacement.
 
 The expressions are SQL text, so that they can stand inside a lambda over spans; ``h`` is always
@@ -76,7 +76,7 @@ def identity_uuid(secret: str, identity: str = "identity",
 
 
 def digest_sql(secret: str, uuid: str, type_: str, original: str) -> str:
-    return f"sha2(concat({secret}, '|', {_sized(uuid)}, {_sized(type_)}, upper({original})), 256)"
+    return f"sha2(concat({secret}, '|', {_sized(uuid)}, {_sized(type_)}, lower({original})), 256)"
 
 
 def _number(at: int, modulus: int, h: str = "h") -> str:

@@ -39,28 +39,46 @@ def no_spans() -> Column:
     return F.array().cast(SPANS_TYPE)
 
 
-# Appending to an array inside ``aggregate`` copies it, which makes long texts quadratic. Arrays are
-# therefore grown in chunks: a short tail takes the new elements, and full tails are set aside.
-CHUNK = 64
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
 
+# ``aggregate`` copies its whole state at every step, so a state that gathers an array makes long texts quadratic. Arrays
+# are therefore built by ``transform``; what goes on from element to element (sums, maxima) is taken within groups of GROUP
+# elements, and from group to group. The expressions are kept flat, as the analyzer takes a round for each level.
+GROUP = 128
 
-def append(acc: Column, item: Column) -> list[Column]:
-    """The ``done`` and ``tail`` fields of a state after one more item."""
-    full = F.size(acc["tail"]) >= CHUNK
-    return [
-        F.when(full, F.concat(acc["done"], F.array(acc["tail"]))).otherwise(acc["done"]).alias("done"),
-        F.when(full, F.array(item)).otherwise(F.concat(acc["tail"], F.array(item))).alias("tail")]
 
+def _running_sql(size: str, element: str, step: str) -> str:
+    """The results of ``step`` (of ``a`` and ``b``) over the first elements, for each of ``size`` ints; ``element`` is
+    the SQL of the one numbered ``j``."""
+    own = (f"aggregate(sequence(cast(g * {GROUP} as int), cast(least(g * {GROUP} + {GROUP}, {size}) - 1 as int)), "
+           f"cast(array() as array<int>), (own, j) -> concat(own, array(CASE WHEN size(own) = 0 THEN {element} ELSE "
+           f"{step.format(a='element_at(own, -1)', b=element)} END)))")
+    before = "element_at(element_at(whole, -1), -1)"
+    return (f"flatten(aggregate(transform(sequence(0, ({size} - 1) div {GROUP}), g -> {own}), "
+            f"cast(array() as array<array<int>>), (whole, g) -> concat(whole, array(CASE WHEN size(whole) = 0 THEN g ELSE "
+            f"transform(g, b -> {step.format(a=before, b='b')}) END))))")
 
-def nothing(type_: str) -> list[Column]:
-    """The ``done`` and ``tail`` fields of an empty state for items of a type."""
-    return [F.array().cast(f"array<array<{type_}>>").alias("done"),
-            F.array().cast(f"array<{type_}>").alias("tail")]
 
+def _running(numbers: Column, step: Callable[[Column, Column], Column]) -> Column:
+    def whole(nums: Column) -> Column:
+        last = F.size(nums) - 1
+        groups = F.transform(F.sequence(F.lit(0), F.floor(last / GROUP).cast("int")), lambda g: F.aggregate(
+            F.sequence(g * GROUP, F.least(g * GROUP + GROUP - 1, last)), F.array().cast("array<int>"),
+            lambda own, j: F.concat(own, F.array(F.when(F.size(own) == 0, F.get(nums, j)).otherwise(
+                step(F.element_at(own, -1), F.get(nums, j)))))))
+        return F.flatten(F.aggregate(groups, F.array().cast("array<array<int>>"), lambda done, g: F.concat(done, F.array(
+            F.when(F.size(done) == 0, g).otherwise(F.transform(g, lambda b: step(
+                F.element_at(F.element_at(done, -1), -1), b)))))))
 
-def appended(acc: Column) -> Column:
-    """The whole array."""
-    return F.concat(F.flatten(acc["done"]), acc["tail"])
+    return let(numbers, lambda nums: F.when(F.size(nums) > 0, whole(nums)).when(
+        nums.isNotNull(), F.array().cast("array<int>")))
+
+
+def running_sum(numbers: Column) -> Column:
+    """The sums of the first elements of an int array, for each element."""
+    return _running(numbers, lambda a, b: a + b)
 
 
 # The detectors are put together as SQL text: a rule set is one expression of a thousand nodes,
@@ -77,10 +95,6 @@ def _text(value: str) -> str:
     return f"r'{value}'"
 
 
-def _let(name: str, value: str, body: str) -> str:
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def _any_of(text: str, words: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {_text(w)})" for w in words) + ")"
 
@@ -108,23 +122,14 @@ def _marked(rule: Rule) -> str:
             f"'label_counts', {str(rule.label_counts).lower()}, 'marked', {marked})")
 
 
-# The spans of one marked text ``m``, in text order.
-_SPAN = """named_struct('begin', acc.at, 'end', acc.at + length(p), 'type', m.type, 'original', p,
-  'score', m.score, 'ord', m.ord, 'weight', length(p) + acc.label)"""
-_CUT_UP = f"""aggregate(split(m.marked, '{_CUT}', -1),
-  named_struct('at', 0, 'hit', false, 'label', 0, 'done', cast(array() as array<{SPANS_TYPE}>),
-    'tail', {_NONE}),
-  (acc, p) -> CASE
-    WHEN acc.hit AND size(acc.tail) < {CHUNK} THEN named_struct('at', acc.at + length(p), 'hit', false,
-      'label', 0, 'done', acc.done, 'tail', concat(acc.tail, array({_SPAN})))
-    WHEN acc.hit THEN named_struct('at', acc.at + length(p), 'hit', false, 'label', 0,
-      'done', concat(acc.done, array(acc.tail)), 'tail', array({_SPAN}))
-    WHEN contains(p, '{_LABEL}') THEN named_struct('at', acc.at + length(p) - 1, 'hit', true,
-      'label', CASE WHEN m.label_counts THEN length(substring_index(p, '{_LABEL}', -1)) ELSE 0 END,
-      'done', acc.done, 'tail', acc.tail)
-    ELSE named_struct('at', acc.at + length(p), 'hit', true, 'label', 0, 'done', acc.done,
-      'tail', acc.tail) END,
-  acc -> concat(flatten(acc.done), acc.tail))"""
+# The spans of one marked text ``m``, in text order: every other piece is one. A label's mark is no part of the text.
+_LENGTH = f"(length(get(ps, j)) - CASE WHEN contains(get(ps, j), '{_LABEL}') THEN 1 ELSE 0 END)"
+_LABEL_LENGTH = (f"CASE WHEN m.label_counts THEN length(substring_index(get(ps, i - 1), '{_LABEL}', -1)) ELSE 0 END")
+_CUT_UP = _let("ps", f"split(m.marked, '{_CUT}', -1)", _let(
+    "ends", _running_sql("size(ps)", _LENGTH, "{a} + {b}"),
+    "transform(sequence(1, size(ps) - 2, 2), i -> named_struct('begin', get(ends, i - 1), 'end', get(ends, i), "
+    "'type', m.type, 'original', get(ps, i), 'score', m.score, 'ord', m.ord, "
+    f"'weight', length(get(ps, i)) + {_LABEL_LENGTH}))"))
 
 
 def _find(rules: Sequence[Rule]) -> str:
@@ -144,18 +149,11 @@ def _find(rules: Sequence[Rule]) -> str:
 
 def runs_sql(spans: str) -> str:
     """``runs`` as SQL text."""
-    keep = "'done', acc.done, 'tail', acc.tail"
-    return f"""aggregate(array_sort({spans}), named_struct('until', 0, 'run', {_NONE},
-  'done', cast(array() as array<array<{SPANS_TYPE}>>), 'tail', cast(array() as array<{SPANS_TYPE}>)),
-  (acc, s) -> CASE
-    WHEN size(acc.run) = 0 OR s.begin < acc.until THEN named_struct('until', greatest(acc.until, s.end),
-      'run', concat(acc.run, array(s)), {keep})
-    WHEN size(acc.tail) < {CHUNK} THEN named_struct('until', s.end, 'run', array(s), 'done', acc.done,
-      'tail', concat(acc.tail, array(acc.run)))
-    ELSE named_struct('until', s.end, 'run', array(s), 'done', concat(acc.done, array(acc.tail)),
-      'tail', array(acc.run)) END,
-  acc -> CASE WHEN size(acc.run) > 0 THEN concat(flatten(acc.done), acc.tail, array(acc.run))
-    ELSE concat(flatten(acc.done), acc.tail) END)"""
+    return _let("ss", f"array_sort({spans})", f"CASE WHEN size(ss) = 0 THEN cast(array() as array<{SPANS_TYPE}>) ELSE " + _let(
+        "until", _running_sql("size(ss)", "get(ss, j).end", "greatest({a}, {b})"), _let(
+            "starts", "filter(sequence(0, size(ss) - 1), i -> i = 0 OR get(ss, i).begin >= get(until, i - 1))",
+            "transform(starts, (i, k) -> transform(sequence(i, coalesce(get(starts, k + 1), size(ss)) - 1), j -> get(ss, j)))"))
+        + " END")
 
 
 def _keep_names(candidates: str) -> str:
@@ -243,24 +241,18 @@ def _greedy(run: Column) -> Column:
 def runs(spans: Column) -> Column:
     """Group spans into runs that touch; spans of different runs never overlap.
 
-    The state carries the open run; a span that starts at or after its end closes it. Comparing
-    within runs keeps the quadratic part of the work to the run, not to the text.
+    A span that starts at or after the furthest end so far begins a run. Comparing within runs keeps the quadratic part of
+    the work to the run, not to the text.
     """
-    start = F.struct(F.lit(0).alias("until"), no_spans().alias("run"), *nothing(SPANS_TYPE))
-
-    def step(acc: Column, s: Column) -> Column:
-        closes = (s["begin"] >= acc["until"]) & (F.size(acc["run"]) > 0)
-        return F.when(closes, F.struct(
-            s["end"].alias("until"), F.array(s).alias("run"), *append(acc, acc["run"]))
-        ).otherwise(F.struct(
-            F.greatest(acc["until"], s["end"]).alias("until"),
-            F.concat(acc["run"], F.array(s)).alias("run"), acc["done"].alias("done"),
-            acc["tail"].alias("tail")))
-
-    return F.aggregate(
-        F.array_sort(spans), start, step,
-        lambda acc: F.when(F.size(acc["run"]) > 0, F.concat(
-            appended(acc), F.array(acc["run"]))).otherwise(appended(acc)))
+    def cut(ss: Column) -> Column:
+        until = _running(F.transform(ss, lambda s: s["end"]), F.greatest)
+        starts = let(until, lambda u: F.filter(F.sequence(F.lit(0), F.size(ss) - 1), lambda i: (i == 0) | (
+            F.get(ss, i)["begin"] >= F.get(u, i - 1))))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.transform(
+            F.sequence(i, F.coalesce(F.get(at, k + 1), F.size(ss)) - 1), lambda j: F.get(ss, j))))
+
+    return let(F.array_sort(spans), lambda ss: F.when(F.size(ss) > 0, cut(ss)).when(
+        ss.isNotNull(), F.array().cast(f"array<{SPANS_TYPE}>")))
 
 
 def resolve(spans: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import append, appended, let, nothing
+from .spans import let
 
 #: Spans are taken in groups of so many, each with its own part of the text.
 GROUP = 128
@@ -13,21 +13,20 @@ GROUP = 128
 
 def _pieces(text: Column, spans: Column, from_: Column, begin: str, end: str, value: str) -> Column:
     """The new text of a part that starts at the place ``from_`` of the whole text."""
-    start = F.struct(F.lit(0).alias("at"), *nothing("string"))
-    return F.aggregate(
-        spans, start,
-        lambda acc, s: F.struct((s[end] - from_).cast("int").alias("at"), *append(acc, F.concat(
-            F.substring(text, acc["at"] + 1, (s[begin] - from_ - acc["at"]).cast("int")), s[value]))),
-        lambda acc: F.concat(F.array_join(appended(acc), ""),
-                             F.substring(text, acc["at"] + 1, F.length(text))))
+    def after(i: Column) -> Column:
+        return F.coalesce(F.get(spans, i)[end].cast("int") - from_, F.lit(0))
+
+    new = F.transform(spans, lambda s, i: let(after(i - 1), lambda at: F.concat(
+        F.substring(text, at + 1, s[begin].cast("int") - from_ - at), s[value])))
+    return F.concat(F.array_join(new, ""), F.substring(text, after(F.size(spans) - 1) + 1, F.length(text)))
 
 
 def splice(text: Column, spans: Column, begin: str = "begin", end: str = "end",
            value: str = "fake") -> Column:
     """Replace each ``[begin, end)`` of ordered, disjoint spans by a field of the span.
 
-    The pieces are joined once at the end, so that the text is not copied for each span. ``substring`` walks to its place
-    from the text's start, so many spans are taken in groups, each on its own part of the text.
+    ``substring`` walks to its place from the text's start, so many spans are taken in groups, each on its own part of the
+    text.
     """
     def group(all_: Column, n: Column) -> Column:
         first, last = n * GROUP, F.least((n + 1) * GROUP, F.size(all_)) - 1
@@ -35,7 +34,8 @@ def splice(text: Column, spans: Column, begin: str = "begin", end: str = "end",
         left = F.when(n == 0, 0).otherwise(F.get(all_, first)[begin]).cast("int")
         right = F.coalesce(F.get(all_, last + 1)[begin], F.length(text)).cast("int")
         return let(left, lambda at: let(F.substring(text, at + 1, right - at),
-                                        lambda part: _pieces(part, own, at, begin, end, value)))
+                                        lambda part: let(
+                                            own, lambda mine: _pieces(part, mine, at, begin, end, value))))
 
     many = let(spans, lambda all_: F.array_join(F.transform(
         F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / GROUP).cast("int")), lambda n: group(all_, n)), ""))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import pseudonyms as ps
 from ..functions import vocab
 from ..functions.rules import ALL_RULES, Rule
-from ..functions.spans import append, appended, nothing
+from ..functions.spans import let, running_sum
 from ..functions.splice import splice
 from ..session import stage
 from . import detect
@@ -50,19 +50,15 @@ def with_fakes(df: DataFrame, secret: str, spans: str = "spans", into: str = "en
 
 def with_out_offsets(entities: Column) -> Column:
     """Add each entity's place in the new text."""
-    start = F.struct(F.lit(0).alias("shift"), *nothing(
-        "struct<begin:int,end:int,out_begin:int,out_end:int,type:string,original:string,fake:string>"))
+    moved = F.transform(entities, lambda e: F.length(e["fake"]) - e["end"] + e["begin"])
 
-    def step(acc: Column, e: Column) -> Column:
-        placed = F.struct(
-            e["begin"].alias("begin"), e["end"].alias("end"),
-            (e["begin"] + acc["shift"]).alias("out_begin"),
-            (e["begin"] + acc["shift"] + F.length(e["fake"])).alias("out_end"),
-            e["type"].alias("type"), e["original"].alias("original"), e["fake"].alias("fake"))
-        return F.struct((acc["shift"] + F.length(e["fake"]) - e["end"] + e["begin"]).alias("shift"),
-                        *append(acc, placed))
+    def placed(es: Column, shifts: Column) -> Column:
+        return F.transform(es, lambda e, i: let(e["begin"] + F.coalesce(F.get(shifts, i - 1), F.lit(0)), lambda at: F.struct(
+            e["begin"].alias("begin"), e["end"].alias("end"), at.alias("out_begin"),
+            (at + F.length(e["fake"])).alias("out_end"), e["type"].alias("type"), e["original"].alias("original"),
+            e["fake"].alias("fake"))))
 
-    return F.aggregate(entities, start, step, appended)
+    return let(entities, lambda es: let(running_sum(moved), lambda shifts: placed(es, shifts)))
 
 
 def overrides(mappings: DataFrame, secret: str) -> DataFrame:
@@ -72,8 +68,8 @@ def overrides(mappings: DataFrame, secret: str) -> DataFrame:
     many rows is no hot spot.
     """
     u = mappings.filter(F.col("fake") != ps.fake(secret))
-    return u.groupBy("uuid", F.upper("pii_type").alias("type_key"),
-                     F.upper("original").alias("value_key")).agg(
+    return u.groupBy("uuid", F.lower("pii_type").alias("type_key"),
+                     F.lower("original").alias("value_key")).agg(
         F.min_by("fake", F.struct("created_at", "original")).alias("stored_fake"))
 
 
@@ -84,8 +80,8 @@ def apply_overrides(df: DataFrame, changed: DataFrame, key: str = "doc_id") -> D
     their key, with the few arrays that have a stored value.
     """
     values = detect.explode_spans(df.select(key, "uuid", "entities"), [key, "uuid"], "entities")
-    hits = (values.select(key, "uuid", "seq", F.upper("type").alias("type_key"),
-                          F.upper("original").alias("value_key"))
+    hits = (values.select(key, "uuid", "seq", F.lower("type").alias("type_key"),
+                          F.lower("original").alias("value_key"))
             .join(changed, ["uuid", "type_key", "value_key"])
             .groupBy(key).agg(F.map_from_entries(
                 F.collect_list(F.struct("seq", "stored_fake"))).alias("stored")))
@@ -138,7 +134,7 @@ def mapping_rows(anonymized: DataFrame) -> DataFrame:
     rows = detect.explode_spans(anonymized.select("doc_id", "uuid", "entities"),
                                 ["doc_id", "uuid"], "entities")
     first = rows.groupBy("uuid", F.col("type").alias("pii_type"),
-                         F.upper("original").alias("value_key")).agg(
+                         F.lower("original").alias("value_key")).agg(
         F.min_by(F.struct("original", "fake"), F.struct("doc_id", "begin")).alias("v"))
     return first.select("uuid", "pii_type", F.col("v.original").alias("original"),
                         ps.fake_kind(F.col("pii_type")).alias("fake_type"),

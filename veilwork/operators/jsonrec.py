@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import jsontext as jt
 from ..functions import spans as sp
 from ..functions.rules import ALL_RULES, Rule
-from ..functions.spans import let
+from ..functions.spans import let, running_sum
 from ..functions.splice import by_place, splice
 from ..session import stage
 from . import restore
@@ -31,12 +31,6 @@ def with_spans_of_leaves(out: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             .withColumn("counts", F.transform("found", lambda f: F.size(f))).drop("found"))
 
 
-def running_sum(counts: Column) -> Column:
-    """The running sum of counts."""
-    return F.aggregate(counts, F.struct(F.lit(0).alias("at"), *sp.nothing("int")), lambda acc, n: let(
-        acc["at"] + n, lambda at: F.struct(at.alias("at"), *sp.append(acc, at))), sp.appended)
-
-
 def anonymize_json(df: DataFrame, secret: str, record: str = "record",
                    rules: Sequence[Rule] = ALL_RULES, registry: DataFrame | None = None,
                    mappings: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pseudonyms as ps
 from ..functions import spans as sp
-from ..functions.spans import append, appended, let, nothing
+from ..functions.spans import let, running_sum
 from ..functions.splice import splice
 
 _MARK = "\x01"
@@ -28,9 +28,7 @@ _UNIT = r"(?s)[A-Za-z0-9]+|[^A-Za-z0-9]"
 
 def _ends(pieces: Column) -> Column:
     """Where each piece of a text ends."""
-    start = F.struct(F.lit(0).alias("at"), *nothing("int"))
-    return F.aggregate(pieces, start, lambda acc, p: let(acc["at"] + F.length(p), lambda at: F.struct(
-        at.alias("at"), *append(acc, at))), appended)
+    return running_sum(F.transform(pieces, lambda p: F.length(p)))
 
 
 def candidates(text: Column) -> Column:

@@ -46,7 +46,7 @@ def mappings_of(identities: DataFrame, registry: DataFrame, mappings: DataFrame)
 
 def value_key() -> list[Column]:
     """What makes two mappings the same, here and wherever a value is looked up: case doesn't count."""
-    return [F.col("uuid"), F.upper("pii_type").alias("type_key"), F.upper("original").alias("value_key")]
+    return [F.col("uuid"), F.lower("pii_type").alias("type_key"), F.lower("original").alias("value_key")]
 
 
 def dedup_mappings(rows: DataFrame, order: Column) -> DataFrame:
@@ -68,11 +68,11 @@ def resolve_mappings(entities: DataFrame, stored: DataFrame, secret: str) -> Dat
 
     Values compare without case. ``is_new`` marks values that were not stored.
     """
-    known = stored.groupBy("uuid", F.upper("pii_type").alias("type_key"),
-                           F.upper("original").alias("value_key")).agg(
+    known = stored.groupBy("uuid", F.lower("pii_type").alias("type_key"),
+                           F.lower("original").alias("value_key")).agg(
         F.min_by("fake", F.struct("created_at", "original")).alias("stored_fake"))
-    keyed = entities.withColumn("type_key", F.upper("type")).withColumn(
-        "value_key", F.upper("original"))
+    keyed = entities.withColumn("type_key", F.lower("type")).withColumn(
+        "value_key", F.lower("original"))
     out = keyed.join(known, ["uuid", "type_key", "value_key"], "left")
     return out.withColumn("fake", F.coalesce("stored_fake", ps.fake(
         secret, type_="type"))).withColumn(

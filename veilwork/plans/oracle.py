@@ -123,25 +123,25 @@ ORACLE["redact_text"] = f"""{_with(o.DOCS, o.candidate_ctes('src'), o.resolved_c
 
 _K = d.IDENTITY.replace("o_custkey", "c_custkey")
 _CNAME = f"{d.FIRST} || ' ' || {d.LAST}".replace("o_custkey", "c_custkey")
-LEGACY = (f"SELECT {o.uuid(f'({_K})', repr('CUSTOMER'))} AS uuid, upper({_CNAME}) AS value_key, "
+LEGACY = (f"SELECT {o.uuid(f'({_K})', repr('CUSTOMER'))} AS uuid, lower({_CNAME}) AS value_key, "
           f"'Legacy Person ' || CAST(c_custkey AS VARCHAR) AS stored FROM customer "
           f"WHERE c_mktsegment = 'BUILDING'")
 ORACLE["anonymize_text"] = f"""{_with(o.NOTES, o.candidate_ctes('src'), o.resolved_ctes(),
     o.faked_ctes('src'), f'legacy AS ({LEGACY})')},
 fixed AS (SELECT f.* EXCLUDE (fake), coalesce(l.stored, f.fake) AS fake FROM faked f LEFT JOIN legacy l
-  ON f.uuid = l.uuid AND f.type = 'NAME' AND upper(f.original) = l.value_key),
+  ON f.uuid = l.uuid AND f.type = 'NAME' AND lower(f.original) = l.value_key),
 {o.spliced_ctes('src', spans='fixed')} SELECT doc_id, anonymized, entities_detected FROM done"""
 ORACLE["resolve_mappings"] = f"""WITH legacy AS ({LEGACY}), v AS (SELECT o_orderkey AS doc_id, {UUID} AS uuid,
   {d.FIRST} || ' ' || {d.LAST} AS v FROM orders),
 h AS (SELECT *, {o.digest('uuid', "'NAME'", 'v')} AS h FROM v)
 SELECT doc_id, coalesce(stored, {o.fake("'NAME'", 'h', 'v')}) AS fake, stored IS NULL AS is_new
-FROM h LEFT JOIN legacy l ON l.uuid = h.uuid AND l.value_key = upper(v)"""
+FROM h LEFT JOIN legacy l ON l.uuid = h.uuid AND l.value_key = lower(v)"""
 
 
 def _first_original(rows: str) -> str:
     """The stored original of each value (first casing), then one original per replacement."""
-    return f"""maprows AS (SELECT uuid, type, upper(original) AS vk, arg_min(original, (doc_id, "begin")) AS
-  original, arg_min(fake, (doc_id, "begin")) AS fake FROM {rows} GROUP BY uuid, type, upper(original)),
+    return f"""maprows AS (SELECT uuid, type, lower(original) AS vk, arg_min(original, (doc_id, "begin")) AS
+  original, arg_min(fake, (doc_id, "begin")) AS fake FROM {rows} GROUP BY uuid, type, lower(original)),
 byfake AS (SELECT uuid, fake, min(original) AS original, min(original) <> max(original) AS ambiguous
   FROM maprows GROUP BY uuid, fake)"""
 

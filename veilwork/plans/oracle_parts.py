@@ -115,7 +115,7 @@ def uuid(identity: str = "identity", identity_type: str = "identity_type") -> st
 
 
 def digest(uuid_: str, type_: str, original: str, secret: str = d.SECRET) -> str:
-    return f"sha256('{secret}|' || {sized(uuid_)} || {sized(type_)} || upper({original}))"
+    return f"sha256('{secret}|' || {sized(uuid_)} || {sized(type_)} || lower({original}))"
 
 
 def num(h: str, at: int, mod: int) -> str:
