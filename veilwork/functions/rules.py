@@ -48,7 +48,7 @@ UP, LOW, QUOTE = r"\p{Lu}", r"[\p{Ll}\p{M}]+", r"[\x27\x{2019}]"
 PART = rf"{UP}(?:{QUOTE}{UP})?{LOW}"
 CAP = rf"{PART}(?:(?:{QUOTE}|-)?{PART})*+"   # a capitalised word: Ann, Mary-Ann, O'Neil, McCoy, García
 NO_LETTER = r"(?![\p{L}\p{M}\p{N}_])"    # a name isn't cut
-STARTS = r"(?<![\p{L}\p{M}\p{N}_])"
+STARTS = r"(?=\p{Lu})(?<![\p{L}\p{M}\p{N}_])"   # the letter first, as most places have none
 # Possessive, so that a long run of capitalised words is matched without recursion.
 FULL = rf"{CAP}(?:{GAP}{CAP})*+"
 ANY_ID = r"[A-Za-z0-9-]*[0-9][A-Za-z0-9-]*"  # an identifier body with at least one digit

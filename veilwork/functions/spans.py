@@ -123,13 +123,21 @@ def _marked(rule: Rule) -> str:
 
 
 # The spans of one marked text ``m``, in text order: every other piece is one. A label's mark is no part of the text.
-_LENGTH = f"(length(get(ps, j)) - CASE WHEN contains(get(ps, j), '{_LABEL}') THEN 1 ELSE 0 END)"
-_LABEL_LENGTH = (f"CASE WHEN m.label_counts THEN length(substring_index(get(ps, i - 1), '{_LABEL}', -1)) ELSE 0 END")
-_CUT_UP = _let("ps", f"split(m.marked, '{_CUT}', -1)", _let(
-    "ends", _running_sql("size(ps)", _LENGTH, "{a} + {b}"),
-    "transform(sequence(1, size(ps) - 2, 2), i -> named_struct('begin', get(ends, i - 1), 'end', get(ends, i), "
-    "'type', m.type, 'original', get(ps, i), 'score', m.score, 'ord', m.ord, "
-    f"'weight', length(get(ps, i)) + {_LABEL_LENGTH}))"))
+def _piece_length(i: str) -> str:
+    return f"(length(get(ps, {i})) - CASE WHEN contains(get(ps, {i}), '{_LABEL}') THEN 1 ELSE 0 END)"
+
+
+def _span(begin: str, end: str, i: str) -> str:
+    label = f"CASE WHEN m.label_counts THEN length(substring_index(get(ps, {i} - 1), '{_LABEL}', -1)) ELSE 0 END"
+    return (f"named_struct('begin', {begin}, 'end', {end}, 'type', m.type, 'original', get(ps, {i}), 'score', m.score, "
+            f"'ord', m.ord, 'weight', length(get(ps, {i})) + {label})")
+
+
+# One match needs no sums.
+_CUT_UP = _let("ps", f"split(m.marked, '{_CUT}', -1)", (
+    f"CASE WHEN size(ps) = 3 THEN array({_span(_piece_length('0'), _piece_length('0') + ' + length(get(ps, 1))', '1')}) ELSE "
+    + _let("ends", _running_sql("size(ps)", _piece_length("j"), "{a} + {b}"),
+           f"transform(sequence(1, size(ps) - 2, 2), i -> {_span('get(ends, i - 1)', 'get(ends, i)', 'i')})") + " END"))
 
 
 def _find(rules: Sequence[Rule]) -> str:

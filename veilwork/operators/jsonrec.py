@@ -64,10 +64,8 @@ def with_new_leaves(df: DataFrame) -> DataFrame:
     """``leaves`` with their ``entities`` and new value (``changed``), from ``entities`` and ``counts``."""
     # the entities stand in the order of their leaves, so each leaf's own are those from the end of the one before
     mine = let(F.col("entities"), lambda es: let(running_sum(F.col("counts")), lambda ends: F.transform("leaves", lambda p, i: F.struct(
-        p["raw"].alias("raw"), p["value"].alias("value"),
-        with_out_offsets(F.when(F.get("counts", i) > 0, F.transform(
-            F.sequence(F.get(ends, i) - F.get("counts", i), F.get(ends, i) - 1), lambda j: F.get(es, j)))
-            .otherwise(F.filter(F.slice(es, 1, 1), lambda e: F.lit(False)))).alias("entities")))))
+        p["raw"].alias("raw"), p["value"].alias("value"), F.when(F.get("counts", i) > 0, with_out_offsets(F.transform(
+            F.sequence(F.get(ends, i) - F.get("counts", i), F.get(ends, i) - 1), lambda j: F.get(es, j)))).alias("entities")))))
     return df.withColumn("leaves", mine).withColumn("leaves", F.transform("leaves", lambda p: F.struct(
         p["raw"].alias("raw"), p["entities"].alias("entities"),
         F.when(F.size(p["entities"]) > 0, splice(p["value"], p["entities"])).alias("changed"))))
