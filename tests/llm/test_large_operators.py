@@ -193,6 +193,55 @@ def test_words_of_class_keep_the_article(html, text):
     assert html_text.page_text(html.replace("%s", article)) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ('<section id="discussion"><h2>Discussion</h2><p>a</p></section>', "Discussion a"), ('<div id="related-work"><p>a</p></div>', "a"),
+    ('<h2 id="hidden-markov-models">HMM</h2>', "HMM"), ('<p class="notice-board">a</p>', "a"), ('<section id="search-algorithms">a</section>', "a"),
+    ('<section id="discussion">a</section>', "a"), ('<h2 id="comments">On comments</h2>', "On comments"), ('<div class="header-of-a-letter">a</div>', "a"),
+    ('<div class="comments">no</div><div id="comments">no</div><div id="comment-list">b</div>', "b"), ('<div class="related-posts">no</div>', ""),
+    ('<div class="share-buttons">no</div><div class="adSlot">no</div><p class="x notice">no</p>', ""), ('<div id="cookie-bar">no</div>', "")])
+def test_parts_of_an_article_stay(html, text):
+    for outer in ("article", "main"):
+        assert html_text.page_text(f"<{outer}><h1>T</h1>{html}</{outer}>") == f"T {text}".strip()
+
+
+def test_one_page_under_many_urls(spark):
+    post = "<div class='post'><h1>Title</h1><p>a short post</p></div>"
+    other = "<div class='post'><h1>Title {i}</h1><p>post {i}</p></div><div class='x'><span>every page</span></div>"
+    pages = [(i, f"http://one.org/?u={i}", f"<head><link href='{i}'></head>{post}") for i in range(40)]
+    pages += [(100 + i, f"http://two.org/{i % 6}", other.replace("{i}", str(i % 6))) for i in range(30)]
+    long_ = "<div class='body'>" + "".join(f"<p>passage {k} that stands on every page of this host, whatever else is there</p>" for k in range(5))
+    pages += [(200 + i, "http://three.org/", f"<div><span>menu</span></div>{long_}<p>own {i}</p></div>") for i in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for block in (8_000_000, 300):
+        got = {r.page_id: r.text for r in html_text.extract(df, block=block).collect()}
+        assert all(got[i] == "Title a short post" for i in range(40))
+        assert all(got[100 + i] == f"Title {i % 6} post {i % 6}" for i in range(30))
+        assert all(got[200 + i].startswith("passage 0") and got[200 + i].endswith(f"own {i}") for i in range(9))
+
+
+def plain_extract(pages, min_pages):
+    """All pages in one place: the texts on which each subtree of a host is, then each page."""
+    on, trees = defaultdict(set), {}
+    for _, host, html in pages:
+        root = html_text.tree(html)
+        for h in html_text.subtree_hashes(root).values():
+            on[host, h].add(html_text.page_text(html))
+    for i, host, html in pages:
+        trees[i] = html_text.page_text(html, {h for (x, h), t in on.items() if x == host and len(t) >= min_pages} or frozenset())
+    return trees
+
+
+def test_templates_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    bits = [f"<{t} class='{c}'><span>{w}</span></{t}>" for t in ("div", "section", "ul") for c in ("a", "b") for w in ("x y", "z")]
+    pages = [(i, f"h{rng.integers(3)}.org", "".join(rng.choice(bits, rng.integers(0, 5))) + (f"<article><p>{rng.integers(12)}</p></article>"
+             if rng.random() < 0.7 else f"<p>{rng.integers(6)}</p>") + "".join(rng.choice(bits, rng.integers(0, 3)))) for i in range(120)]
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, h, x in pages], "page_id long, url string, html string")
+    for min_pages, block in ((2, 700), (5, 8_000_000), (12, 300)):
+        got = {r.page_id: r.text for r in html_text.extract(df, min_pages=min_pages, block=block).collect()}
+        assert got == plain_extract(pages, min_pages)
+
+
 def test_templates_of_a_large_host(spark):
     pages = [(i, "http://big.org/", f"<article><p>own {i}</p></article>" + ("<section><span>On few pages</span></section>" if i < 8 else "")
               + ("<section><span>Rare</span></section>" if i < 3 else "")) for i in range(400)]

@@ -3,23 +3,25 @@
 Each page is read once to an element tree by a tolerant tag scanner. In a first pass every element subtree outside
 running text is hashed (tag, class, text and children) and Spark counts the pages of each host that hold it. Subtrees
 on at least ``min_pages`` pages are the host's template, however many pages it has (a caller may also ask for a ``share`` of
-the host's pages). Pages are read in blocks, and a block gets just those of its subtrees that are template. The second pass deletes
+the host's pages). Pages of a host with equal text are one page under several urls and count once. Pages are read in blocks, and a block gets just those of its subtrees that are template. The second pass deletes
 them, together with elements that are no content by their tag, role or class, and writes the blocks that stay.
 
-Words of class or id don't delete an element that holds the page's main text (see ``holders``). A state (hidden), a role or
-a tag deletes the element with all it holds.
+Words of class or id don't delete an element that holds the page's main text (see ``holders``). Within the main text they
+are read narrowly (see ``_narrow``): ids there are mostly anchors of headings. A state (hidden), a role or a tag deletes the
+element with all it holds.
 
 Running text is protected: a paragraph, heading, quote, list item or cell in ``article`` or ``main`` never counts as
 template, nor does an element that holds such a one or the main element. So a passage or an article that many pages
-share stays.
+share stays. In a page without these elements the element with most text in paragraphs of its own stands for them, if that
+is at least DENSE characters.
 
 ``pages`` must give the same rows in the same partitions each time it is run, as a table scan does; extracting fails if not.
 
 White space is what Unicode calls so. Blocks are what block elements and line breaks part.
 
 Defined cases: a null html is empty; a null or unreadable url is the host ''. Unclosed and stray tags are tolerated, an
-unclosed script or comment runs to the end. Repeated rows each get a row and count as pages each. An empty table gives
-no rows. Other columns are ignored.
+unclosed script or comment runs to the end. Repeated rows each get a row and count as one page. An empty table gives
+no rows. Other columns are ignored. A page under many urls keeps its text.
 """
 
 from __future__ import annotations
@@ -61,6 +63,19 @@ MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
          "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "share",
          "sharing", "social", "related", "recommended", "recommendations", "widget", "widgets", "toolbar",
          "pagination", "pager", "search", "searchform", "form", "skip", "hidden"}
+# Words that say nothing of their own beside those.
+PLAIN = {"area", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "cards", "col",
+         "column", "container", "content", "count", "entry", "group", "holder", "icon", "icons", "id", "inner", "item",
+         "items", "label", "left", "link", "links", "list", "media", "module", "outer", "page", "panel", "post", "posts",
+         "right", "row", "section", "site", "slot", "space", "stories", "text", "thread", "title", "top", "unit", "wrap",
+         "wrapper"}
+# Of the words above those that are no title of a section.
+NO_TITLE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "adbox", "sponsored",
+            "sponsor", "cookie", "cookies", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "paywall", "signup",
+            "login", "sidebar", "sidebars", "nav", "navbar", "breadcrumb", "breadcrumbs", "masthead", "topbar", "footer",
+            "comments", "commentlist", "disqus", "replies", "respond", "sharing", "pagination", "pager", "searchform"}
+#: Characters in an element's own paragraphs that make it the main text of a page without article and main.
+DENSE = 200
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
                  re.S)
@@ -88,10 +103,24 @@ def _judge(tag: str, attributes: str, parent: Node) -> tuple[str, bool, bool]:
     if not skip and tag not in ("html", "body", "article", "main"):
         skip = ("hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES
                 or "display:none" in found.get("style", "").replace(" ", "").lower())
-        by_word = any(w.lower() in MARKS for w in TOKEN.findall(marks))
+        by_word = (_narrow(tag, found.get("class", ""), found.get("id", "")) if parent.depth_main else
+                   any(w.lower() in MARKS for w in TOKEN.findall(marks)))
     return marks, skip, by_word
 
 
+def _narrow(tag: str, classes: str, id_: str) -> bool:
+    """Whether words say that an element within the main text is none of it.
+
+    A class must be made of such words wholly, so that related-work and notice-board are content. An id must, too, and must
+    hold a word that titles no section; one of a heading or paragraph says nothing.
+    """
+    def marked(name: str, words: set[str]) -> bool:
+        own = [w.lower() for w in TOKEN.findall(name)]
+        return not words.isdisjoint(own) and all(w in MARKS or w in PLAIN for w in own)
+
+    return any(marked(c, MARKS) for c in classes.split()) or tag not in FLOW and marked(id_, NO_TITLE)
+
+
 def tree(html: str) -> Node:
     """The element tree of a page. Tags that close nothing are left out; p, li and the like close as browsers do."""
     root = now = Node("html", "", False, None, False)
@@ -158,6 +187,26 @@ def _order(root: Node) -> list[Node]:
     return out[::-1]
 
 
+def dense(order: list[Node]) -> Node | None:
+    """The element with most text in its own paragraphs, in a page without article and main that hold text."""
+    own: dict[int, int] = {}
+    size: dict[int, int] = {}
+    best = None
+    for node in order:  # children first
+        size[id(node)] = 0 if node.skip else sum(
+            size[id(x)] if isinstance(x, Node) else len(x.strip()) for x in node.parts)
+        if node.tag in ("article", "main") and size[id(node)]:
+            return None
+        if node.tag == "p" and node.parent is not None:
+            own[id(node.parent)] = own.get(id(node.parent), 0) + size[id(node)]
+    for node in order:
+        if not node.skip and own.get(id(node), 0) >= DENSE and (best is None or own[id(node)] > own[id(best)]):
+            best = node
+    while best is not None and best.parent is not None and (best.tag in FLOW or best.tag in INLINE):
+        best = best.parent
+    return best
+
+
 def holders(root: Node) -> set[int]:
     """Ids of the nodes that hold main text, which words of class or id don't delete.
 
@@ -178,12 +227,14 @@ def holders(root: Node) -> set[int]:
         size[id(node)] = 0 if id(node) in hidden else sum(
             size[id(x)] if isinstance(x, Node) else len(x.strip()) for x in node.parts)
     found = [n for n in order if n.tag in ("article", "main") and size[id(n)]]
+    if not found and (body := dense(order)) is not None and body.parent is not None:
+        found = [body]
     outer = [n for n in found if not n.parent.depth_main]
     least = min((worded[id(n)] for n in found), default=0)
     total = sum(size[id(n)] for n in outer)
     held: set[int] = set()
     for node in found:
-        if node.tag == "main" or worded[id(node)] == least or 2 * size[id(node)] > total:
+        if node.tag != "article" or worded[id(node)] == least or 2 * size[id(node)] > total:
             while node is not None and id(node) not in held:
                 held.add(id(node))
                 node = node.parent
@@ -195,7 +246,10 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     hashes: dict[int, int] = {}
     flow: set[int] = set()
     sums: dict[int, bytes] = {}
-    for node in _order(root):
+    order = _order(root)
+    body = dense(order)
+    inside = set() if body is None else {id(n) for n in _order(body)}
+    for node in order:
         h = hashlib.blake2b(f"{node.tag}\x00{node.marks}".encode("utf-8", "surrogatepass"), digest_size=8)
         text = False
         for x in node.parts:
@@ -204,7 +258,8 @@ def subtree_hashes(root: Node) -> dict[int, int]:
                 text |= id(x) in flow
             else:
                 h.update(" ".join(x.split()).encode("utf-8", "surrogatepass"))
-        if text or node.parent is None or node.tag in ("article", "main") or node.depth_main and node.tag in FLOW:
+        main = node.depth_main or id(node) in inside
+        if text or node.parent is None or node is body or node.tag in ("article", "main") or main and node.tag in FLOW:
             flow.add(id(node))
         sums[id(node)] = h.digest()
         if id(node) not in flow and node.tag not in INLINE and node.tag not in VOID and node.parts:
@@ -215,7 +270,10 @@ def subtree_hashes(root: Node) -> dict[int, int]:
 def page_text(html: str | None, template: set[int] | frozenset = frozenset()) -> str:
     """The text that stays: references decoded, a blank between blocks and for any run of white space."""
     root = tree(html or "")
-    drop = subtree_hashes(root) if template else {}
+    return text_of(root, template, subtree_hashes(root) if template else {})
+
+
+def text_of(root: Node, template: set[int] | frozenset, drop: dict[int, int]) -> str:
     main: set[int] | None = None
     out: list[str] = []
     todo: list = [root]
@@ -251,40 +309,60 @@ def _blocks(of, size: int):
         yield block, row
 
 
-def subtrees(pages: DataFrame, size: int) -> DataFrame:
-    """``(block, host, h, pages)``: each block's subtrees and on how many of its pages they are.
+def subtrees(pages: DataFrame, size: int, min_pages: int) -> DataFrame:
+    """``(block, host, h, pages, texts)``: each block's subtrees, on how many of its pages they are, and hashes of the
+    texts of those pages: the ``min_pages`` least, which tell whether there are as many different ones.
 
     A null h counts the pages of a host, and a null host has the block's characters.
     """
     def rows(of):
-        now, seen, held = None, Counter(), 0
+        now, seen, texts, held = None, Counter(), {}, 0
+
+        def whole():
+            for (host, h), c in seen.items():
+                yield now, host, h, c, texts.get((host, h))
+            yield now, None, None, held, None
+
         for block, (host, html) in _blocks(of, size):
             if block != now and now is not None:
-                yield from ((now, *k, c) for k, c in seen.items())
-                yield now, None, None, held
-                seen, held = Counter(), 0
+                yield from whole()
+                seen, texts, held = Counter(), {}, 0
             now = block
             held += len(html or "") + 1
+            root = tree(html or "")
+            hashes = subtree_hashes(root)
+            text = hashlib.blake2b(text_of(root, frozenset(), {}).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            content = int.from_bytes(text, "little", signed=True)
             seen[host, None] += 1
-            seen.update((host, h) for h in set(subtree_hashes(tree(html or "")).values()))
+            for h in set(hashes.values()):
+                seen[host, h] += 1
+                least = texts.setdefault((host, h), [])
+                if content not in least:
+                    if len(least) < min_pages:
+                        least.append(content)
+                    elif content < max(least):
+                        least[least.index(max(least))] = content
         if now is not None:
-            yield from ((now, *k, c) for k, c in seen.items())
-            yield now, None, None, held
+            yield from whole()
 
     return mapped(pages.select(host_of(F.col("url")), F.col("html").cast("string")), rows,
-                  pa.schema([("block", pa.int64()), ("host", pa.string()), ("h", pa.int64()), ("pages", pa.int64())]),
-                  "block bigint, host string, h bigint, pages bigint")
+                  pa.schema([("block", pa.int64()), ("host", pa.string()), ("h", pa.int64()), ("pages", pa.int64()),
+                             ("texts", pa.list_(pa.int64()))]),
+                  "block bigint, host string, h bigint, pages bigint, texts array<bigint>")
 
 
 def templates(found: DataFrame, min_pages: int = 5, share: float = 0.0) -> DataFrame:
-    """``(host, h)``: the subtrees on at least min_pages pages and that share of the host's pages.
+    """``(host, h)``: the subtrees on at least min_pages pages of different text, and on that share of the host's pages.
 
-    Counts are summed within blocks and tasks before they are shuffled, so a host with most of the pages is no hot key.
+    Hashes of texts are made distinct within blocks and tasks before they are shuffled, so a host with most of the pages
+    is no hot key; a subtree has at most min_pages of them a block.
     """
-    often = found.where("h is not null").groupBy("host", "h").agg(F.sum("pages").alias("n")).where(F.col("n") >= min_pages)
+    texts = found.where("h is not null").select("host", "h", F.explode("texts").alias("t")).distinct()
+    often = texts.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).drop("n")
     if share > 0:
         of_host = found.where("h is null and host is not null").groupBy("host").agg(F.sum("pages").alias("of"))
-        often = often.join(of_host, "host").where(F.col("n") >= share * F.col("of"))
+        on = found.where("h is not null").groupBy("host", "h").agg(F.sum("pages").alias("n"))
+        often = often.join(on, ["host", "h"]).join(of_host, "host").where(F.col("n") >= share * F.col("of"))
     return often.select("host", "h")
 
 
@@ -293,7 +371,7 @@ def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.0, block: int
 
     A template is joined once for a block that holds it, so no host's templates are gathered in one row.
     """
-    found = stage(subtrees(pages, block), "subtrees")
+    found = stage(subtrees(pages, block, min_pages), "subtrees")
     known = found.join(templates(found, min_pages, share), ["host", "h"]).select("block", "host", "h", F.lit(0).alias("held"))
     known = known.unionByName(found.where("host is null").select("block", "host", "h", F.col("pages").alias("held")))
     src = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), host_of(F.col("url")),
