@@ -134,7 +134,6 @@ FIELD_TYPES = [
     ("EMPLOYEE_ID", ["employee_id", "eid", "staff_id"]),
 ]
 TRIAL_VALUE_WORDS = ["nct", "clinical"]
-PROFILE_CONTACT_WORDS = ["phone", "email", "ssn", "mrn", "insurance"]
 
 # --- fixed values: purposes that stand for consent ---------------------------------------------
 VALID_PURPOSES = ["healthcare_provision", "emergency_care", "quality_improvement"]
@@ -155,8 +154,10 @@ UNAUTHORISED_ALARM = (1, 60)    # refused restores, seconds
 ANONYMIZE_METHODS = ["ANONYMIZE", "ANONYMIZE_JSON", "ANONYMIZE_JSON_SIMPLE"]
 RESTORE_METHODS = ["DE-ANONYMIZE", "DE_ANONYMIZE_JSON", "DE_ANONYMIZE_JSON_SIMPLE"]
 
-PROFILE_METHODS = ["ANONYMIZE_PROFILE", "DE_ANONYMIZE_PROFILE"]
-# What a JSON operation says of its data in the history's metadata.
+
+# --- fixed values: keys of the history's metadata, and what a JSON operation says of its data there --------
+META_PURPOSE, META_BASIS = "gdpr_purpose", "gdpr_legal_basis"
+META_REASON, META_BY = "gdpr_access_reason", "gdpr_authorized_by"
 RECORD_DATA = "json_simple"
 
 # Names used to build pseudonyms. Our own choice; the number of entries is a power of two so that

@@ -155,7 +155,7 @@ def operation_metadata(entities: Column, context: Column | None = None) -> Colum
     basis = F.when(context.isNotNull(), F.lit(vocab.LEGAL_BASIS)) if context is not None \
         else F.lit(None).cast("string")
     return F.to_json(F.struct(
-        purpose.alias("gdpr_purpose"), basis.alias("gdpr_legal_basis"),
+        purpose.alias(vocab.META_PURPOSE), basis.alias(vocab.META_BASIS),
         F.size(entities).alias("entity_count"),
         F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["type"])))
         .alias("entity_types")), {"ignoreNullFields": "false"})
@@ -164,14 +164,14 @@ def operation_metadata(entities: Column, context: Column | None = None) -> Colum
 def record_metadata(processed: Column, context: Column) -> Column:
     """The same about a JSON record: the number of distinct values, and that it is a record."""
     return F.to_json(F.struct(
-        context["purpose"].alias("gdpr_purpose"), F.when(context.isNotNull(), F.lit(vocab.LEGAL_BASIS)).alias("gdpr_legal_basis"),
+        context["purpose"].alias(vocab.META_PURPOSE), F.when(context.isNotNull(), F.lit(vocab.LEGAL_BASIS)).alias(vocab.META_BASIS),
         processed.alias("entities_processed"), F.lit(vocab.RECORD_DATA).alias("data_type")), {"ignoreNullFields": "false"})
 
 
 def restore_metadata(context: Column) -> Column:
     """JSON text about one restore: the access reason and who authorised it."""
-    return F.to_json(F.struct(context["access_reason"].alias("gdpr_access_reason"),
-                              context["authorized_by"].alias("gdpr_authorized_by")),
+    return F.to_json(F.struct(context["access_reason"].alias(vocab.META_REASON),
+                              context["authorized_by"].alias(vocab.META_BY)),
                      {"ignoreNullFields": "false"})
 
 
