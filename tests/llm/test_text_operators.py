@@ -300,3 +300,91 @@ def test_packing_is_lossless(make):
     back = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in token_packing.unpacked(packed).collect()}
     assert back == {k: [*enc.encode_ordinary(t), token_packing.END] for k, t in rows if t is not None}
     assert token_packing.packed(make([])).count() == 0
+
+
+# --- decontamination by brute force
+
+def plain_windows(text, width, canon):
+    """{(position, window, slots)} over all forms; a window is written out, token by token."""
+    *forms, at = canon.forms(text)
+    size = min(width, len(at))
+    out = set()
+    for k, form in enumerate(forms):
+        if form is not None:
+            h, kind = form
+            for p in range(len(at) - size + 1):
+                slots = tuple(canon.word(at[q]) for q in range(p, p + size) if kind[q] != decontaminate.LITERAL)
+                out.add((k, p, tuple(h[p:p + size].tolist()), slots, int((kind[p:p + size] == decontaminate.LITERAL).sum())))
+    return out, size, len(at)
+
+
+def plain_found(doc, item, canon, width=6, literals=3, coverage=0.4, consistent=0.7):
+    rows, size, n_tokens = plain_windows(item, width, canon)
+    first = {p: lit for k, p, _, _, lit in rows if k == 0}
+    good = {p for p, lit in first.items() if lit >= literals} or {p for p, lit in first.items() if lit}
+    rows = {r for r in rows if r[1] in good and not (n_tokens <= width and r[0] == 2) and (r[0] == 0 or r[4] >= literals)}
+    if not any(first.values()) or not rows:
+        return None
+    n = len({p for _, p, *_ in rows})
+    *forms, at = canon.forms(doc)
+    mine = set()
+    for form in forms:
+        if form is not None:
+            for p in range(len(at) - size + 1):
+                mine.add((p, tuple(form[0][p:p + size].tolist()), tuple(
+                    canon.word(at[q]) for q in range(p, p + size) if form[1][q] != decontaminate.LITERAL)))
+    met = [(dp - p, p, s, ds) for _, p, w, s, _ in rows for dp, dw, ds in mine if dw == w]
+    bins = defaultdict(list)
+    for d, p, s, ds in met:
+        for key in [(0, 0), (1, d)] + [x for b in range(1, 11) if 4 ** b < n + size for x in (
+                (4 ** b, d // 4 ** b), (-4 ** b, int(np.floor(d / 4 ** b + 0.5))))]:
+            bins[key].append((p, s, ds))
+    best = None
+    for group in bins.values():
+        share = len({p for p, _, _ in group}) / n
+        values = defaultdict(set)
+        for _, s, ds in group:
+            for a, b in zip(s, ds):
+                values[a].add(b)
+        fit = np.mean([len(v) == 1 for v in values.values()]) if values else 1.0
+        if share >= coverage and fit >= consistent:
+            best = max(best or 0, share)
+    return best
+
+
+def test_decontamination_by_brute_force(make, spark):
+    rng = np.random.default_rng(5)
+    names, units = ["Anna", "Bob", "Carla Diaz", "Dev"], ["kg", "km", "hours"]
+    frames = ["{} buys {} {} of rice and {} sells {} {} of it on the market. How much does {} keep?",
+              "A train with {} wagons leaves at {} and stops after {} {}. Where is {} then, if the way takes {} {}?",
+              "What is the capital of France?", "{} + {} = ?"]
+
+    def filled(frame):
+        parts = frame.split("{}")
+        fill = [rng.choice(names) if rng.random() < 0.4 else str(rng.integers(2, 99)) if rng.random() < 0.6 else rng.choice(units)
+                for _ in parts[1:]]
+        return parts[0] + "".join(f + p for f, p in zip(fill, parts[1:]))
+
+    items = [(k, filled(frames[k % 4])) for k in range(16)] + [(50, None), (51, ""), (52, "12 34 Anna")]
+    filler = ["the rain fell on the old town all day long", "Nobody knew where it went. Then Anna came", "3 kg of it"]
+    docs = []
+    for k in range(60):
+        parts = list(rng.choice(filler, rng.integers(0, 3)))
+        if rng.random() < 0.7:
+            parts.insert(rng.integers(0, len(parts) + 1), filled(frames[k % 4]) if rng.random() < 0.5 else items[k % 16][1])
+        text = ["\n", " ", ". "][k % 3].join(parts)
+        docs.append((k, text.lower() if rng.random() < 0.2 else text))
+    docs += ODD
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = defaultdict(dict)
+    for r in decontaminate.found_items(make(docs), bench).collect():
+        got[r.doc_id][r.item_id] = round(r.share, 6)
+    canon, least = decontaminate.Canon(), {}
+    for i, t in items:
+        if t is not None:
+            least[t] = min(i, least.get(t, i))
+    for i, text in docs:
+        if i is not None and sum(x == i for x, _ in docs) == 1:
+            want = {j: plain_found(text, t, canon) for t, j in least.items()} if text is not None and len(text) < 9000 else {}
+            assert got[i] == {j: round(s, 6) for j, s in want.items() if s is not None}, (i, text)
+    assert sum(map(len, got.values())) > 30

@@ -25,11 +25,12 @@ left alone.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ KNOWN = 500_000
 
 
 def _hash(value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass"))
 
 
 class Canon:
@@ -61,31 +62,40 @@ class Canon:
     def __init__(self):
         self.known: dict[str, int] = {}
         self.words: list[str] = []
-        self.table = self._empty(1 << 12)  # hash, kind, may be a name, ends a sentence, is a list mark; grown by doubling
-
-    @staticmethod
-    def _empty(n: int):
-        return np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+        # of each word: hash, kind, may be a name, ends a sentence, is a list mark; new rows wait in a list
+        self.table = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, bool, bool, bool))
+        self.new: list[tuple] = []
 
     def _row(self, raw: str) -> int:
         core = raw.strip(EDGES)
-        stop = raw.rstrip("\"'”“«»’)]}")[-1:] in STOPS if raw else False
+        stop = core != raw and raw.rstrip("\"'”“«»’)]}")[-1:] in STOPS
+        plain = len(core) > 1 and core.isalpha()  # neither a number nor a list mark
         if not core:
             row, word = (0, -1, False, stop, True), ""  # punctuation alone: no token, but it may end a sentence
-        elif NUMBER.fullmatch(core):
+        elif not plain and NUMBER.fullmatch(core):
             row, word = (_MARKS[NUM], NUM, False, stop, MARK.fullmatch(raw) is not None), core
         else:
             word = core.lower()
-            name = core[:1] != core[:1].lower() and len(core) > 1 and core[1:] == core[1:].lower()
-            row = (_hash(word), UNIT if word in UNITS else LITERAL, name, stop, MARK.fullmatch(raw) is not None)
+            name = core[:1] != word[:1] and len(core) > 1 and core[1:] == core[1:].lower()
+            row = (_hash(word), UNIT if word in UNITS else LITERAL, name, stop, not plain and MARK.fullmatch(raw) is not None)
         self.known[raw] = at = len(self.words)
         self.words.append(word)
-        if at == len(self.table[0]):
-            self.table = tuple(np.concatenate([a, b]) for a, b in zip(self.table, self._empty(at)))
-        for column, value in zip(self.table, row):
-            column[at] = value
+        self.new.append(row)
         return at
 
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """The words' rows in the table, which has them all from then on."""
+        at = list(map(self.known.get, words))
+        if None in at:
+            at = [k if k is not None else self.known[w] if w in self.known else self._row(w) for k, w in zip(at, words)]
+            if len(self.words) > len(self.table[0]):  # room for as many again
+                self.table = tuple(np.concatenate([t, np.zeros(max(1 << 12, len(self.words)), t.dtype)]) for t in self.table)
+            first = len(self.words) - len(self.new)
+            for column, values in zip(self.table, zip(*self.new)):
+                column[first:len(self.words)] = values
+            self.new = []
+        return np.array(at, np.int64)
+
     def tokens(self, text: str):
         """(hashes, kinds, words) of a text's first form."""
         (h, kind), *_, at = self.forms(text)
@@ -95,9 +105,8 @@ class Canon:
         """(hashes, kinds) of each form that differs from the first, None for others, and the words."""
         if len(self.known) > KNOWN:
             self.__init__()
-        known, new = self.known, self._row
         lines = [line.split() for line in text.splitlines()]
-        at = np.array([known[w] if w in known else new(w) for line in lines for w in line], np.int64)
+        at = self._rows([*chain.from_iterable(lines)])
         h, kind, name, stop, mark = (column[at] for column in self.table)
         if not len(at):
             return (h, kind), None, None, None, at
