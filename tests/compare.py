@@ -68,7 +68,7 @@ def main() -> None:
     from veilwork.session import session
     sf_dir, names = sys.argv[1], sys.argv[2:] or list(queries())
     spark = session("local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8",
-                                   "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
+                                   "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     bad = 0

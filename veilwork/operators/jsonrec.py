@@ -18,6 +18,9 @@ from .anonymize import apply_overrides, overrides, with_fakes, with_out_offsets,
 from .detect import where_computed
 
 
+PLACED = "array<struct<begin:int,end:int,out_begin:int,out_end:int,type:string,original:string,fake:string>>"
+
+
 def with_leaf_spans(df: DataFrame, record: str, rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
     """Add ``leaves`` (pieces of the JSON text), ``spans`` in the order of the leaves, and how many each leaf has (``counts``)."""
     return with_spans_of_leaves(df.withColumn("leaves", jt.leaves(F.col(record))), rules)
@@ -65,7 +68,8 @@ def with_new_leaves(df: DataFrame) -> DataFrame:
     # the entities stand in the order of their leaves, so each leaf's own are those from the end of the one before
     mine = let(F.col("entities"), lambda es: let(running_sum(F.col("counts")), lambda ends: F.transform("leaves", lambda p, i: F.struct(
         p["raw"].alias("raw"), p["value"].alias("value"), F.when(F.get("counts", i) > 0, with_out_offsets(F.transform(
-            F.sequence(F.get(ends, i) - F.get("counts", i), F.get(ends, i) - 1), lambda j: F.get(es, j)))).alias("entities")))))
+            F.sequence(F.get(ends, i) - F.get("counts", i), F.get(ends, i) - 1), lambda j: F.get(es, j)))).otherwise(
+            F.array().cast(PLACED)).alias("entities")))))
     return df.withColumn("leaves", mine).withColumn("leaves", F.transform("leaves", lambda p: F.struct(
         p["raw"].alias("raw"), p["entities"].alias("entities"),
         F.when(F.size(p["entities"]) > 0, splice(p["value"], p["entities"])).alias("changed"))))
