@@ -325,7 +325,7 @@ def test_probabilities_sum_to_one():
     model.flat[:] = rng.normal(0, 0.3, model.size)
     hs = np.repeat(rng.normal(size=(1, 6)).astype(np.float32), 32 + recurrent_lm.RARE, 0)
     ids = np.arange(32 + recurrent_lm.RARE)
-    logs, _ = model.losses(hs, np.where(ids < 32, ids // 8, 4 + ids - 32), ids % 8)
+    logs, _ = model.losses(hs, ids)
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
@@ -337,6 +337,33 @@ def test_windows_carry_the_state():
 
 
 def test_gradient():
+    rng = np.random.default_rng(1)
+    model = recurrent_lm.Gru(16, 16, 8, 4)
+    model.flat[:] = rng.normal(0, 0.3, model.size)
+    line = np.random.default_rng(2).integers(0, 70, (6, 8))
+    x, y, h = line[:-1], line[1:], rng.normal(0, 0.3, (4, 8)).astype(np.float32)
+    x[2, :3] = 0  # ends, after which the state is cleared
+
+    def loss():
+        state, states = h, []
+        for ids in x:
+            state = np.where(ids == 0, np.float32(0), state)
+            state, *_ = model.step(np.ascontiguousarray((model.p["e"][ids] @ model.p["wx"] + model.p["b"]).T), state)
+            states.append(state.T)
+        return -float(model.losses(np.concatenate(states), y.reshape(-1))[0].astype(float).sum())
+
+    _, grad = model.gradient(x, y, h, 0)
+    for name, part in model.p.items():  # along a random direction of each weight, by central differences
+        to, was = rng.normal(size=part.shape).astype(np.float32), part.copy()
+        part[...] = was + 0.01 * to
+        up = loss()
+        part[...] = was - 0.01 * to
+        down = loss()
+        part[...] = was
+        assert (up - down) / 0.02 == pytest.approx(float((grad.p[name] * to).sum()), rel=0.02, abs=0.02), name
+
+
+def test_training_helps():
     model = recurrent_lm.Gru(16, 16, 8, 4)
     model.flat[:] = np.random.default_rng(1).normal(0, 0.3, model.size)
     line = np.random.default_rng(2).integers(0, 70, (4, 200))

@@ -2,8 +2,9 @@
 
 Tokens are words of the text with A-Z in lower case, and one end per document. Counts of all words come from all training
 documents. The output is factored into classes: the ``top`` most frequent words in classes of equal size, each with a
-softmax over its words, and ``RARE`` classes of the other words by spelling, in which a word has its share of the counts.
-So P(word) = P(class | state) P(word | class, state), and every word has a probability, seen or not.
+softmax over its words, and ``RARE`` groups of the other words by spelling, which are members of classes of their own; in a
+group a word has its share of the counts. So P(word) = P(class | state) P(member | class, state) [P(word | group)], and
+every word has a probability, seen or not.
 
 Training is truncated backpropagation over windows: each task trains its own copy on its share of the training text, with
 the state carried from window to window and cleared at document ends; the copies are averaged by Spark, for ``rounds``
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import mapped, stage
+from veilwork.llm.common import OUT_ROWS, mapped, stage, tuples
 
 END = b" "  # no word is a blank
 RARE = 64
 FLUSH = 400_000
+#: Logits are held between these, in which float32 exponentials and their sums are exact enough.
+LIMIT = np.float32(60)
 
 
 def is_held_out(doc_id):
@@ -46,6 +49,21 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+class Units(dict):
+    """Ids of words: those of the vocabulary, and by spelling for others, of which a bounded number is kept."""
+
+    def __init__(self, index: dict[bytes, int], top: int):
+        super().__init__(index)
+        self.index, self.top = index, top
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+            self.update(self.index)
+        self[word] = unit = self.index[word] if word in self.index else self.top + rare_class(word)
+        return unit
+
+
 def rare_class(word: bytes) -> int:
     """Class of a word outside the vocabulary: by its end and its first letters."""
     last = word[-1:]
@@ -56,14 +74,16 @@ def rare_class(word: bytes) -> int:
 # --- the model
 
 class Gru:
-    """Weights as one flat vector with named views, so that copies can be averaged."""
+    """Weights as one flat vector with named views, so that copies can be averaged.
+
+    Ids below ``top`` are frequent words, the ``RARE`` after them spelling classes; ``per_class`` ids in a row are an output class.
+    """
 
     def __init__(self, words: int, top: int, per_class: int, hidden: int, flat: np.ndarray | None = None):
         self.words, self.top, self.m, self.h = words, top, per_class, hidden
-        self.k = top // per_class  # classes of frequent words
+        self.k = (top + RARE) // per_class
         shapes = {"e": (top + RARE, hidden), "wx": (hidden, 3 * hidden), "wh": (hidden, 3 * hidden), "b": (3 * hidden,),
-                  "wc": (hidden, self.k + RARE), "bc": (self.k + RARE,), "wo": (self.k, hidden, per_class),
-                  "bo": (self.k, per_class)}
+                  "wc": (hidden, self.k), "bc": (self.k,), "wo": (self.k, hidden, per_class), "bo": (self.k, per_class)}
         self.size = sum(math.prod(s) for s in shapes.values())
         self.flat = np.zeros(self.size, np.float32) if flat is None else flat.astype(np.float32)
         self.p, at = {}, 0
@@ -77,160 +97,200 @@ class Gru:
         for name in ("e", "wx", "wh"):
             w = self.p[name]
             w[...] = rng.normal(0, 0.3 if name == "e" else 1 / math.sqrt(self.h), w.shape)
-        by_class = mass.reshape(self.k, self.m)
-        self.p["bc"][...] = np.log(np.concatenate([by_class.sum(1), rare]) + 0.5)
-        self.p["bo"][...] = np.log(by_class + 0.01)
-        self.p["bo"][mass.reshape(self.k, self.m) < 0] = -30
+        by_class = np.concatenate([mass, rare]).reshape(self.k, self.m)
+        by_class = by_class / max(1.0, np.maximum(by_class, 0).max())  # so that no exponential leaves its range
+        self.p["bc"][...] = np.log(np.maximum(by_class, 0).sum(1) + 1e-9)
+        self.p["bo"][...] = np.log(np.maximum(by_class, 0) + 1e-9)
+        self.p["bo"][by_class < 0] = -30
 
     def step(self, gx: np.ndarray, h: np.ndarray):
+        """The next state, and what the gradient needs. Columns are streams, so that gates lie together; gx is used up."""
         n = self.h
-        gh = h @ self.p["wh"]
-        zr = 1 / (1 + np.exp(-(gx[:, :2 * n] + gh[:, :2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(gx[:, 2 * n:] + r * gh[:, 2 * n:])
-        return z * h + (1 - z) * c, z, r, c, gh[:, 2 * n:]
-
-    def losses(self, hs: np.ndarray, cls: np.ndarray, member: np.ndarray, grad: dict | None = None):
-        """Log-probabilities of classes and members given states; with ``grad``, also the gradient to the states."""
-        logits = hs @ self.p["wc"] + self.p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        np_ = np.arange(len(cls))
-        out = logits[np_, cls]
+        gh = self.p["wh"].T @ h
+        zr = gx[:2 * n]
+        zr += gh[:2 * n]
+        np.negative(zr, out=zr)
+        np.exp(np.minimum(zr, 80, out=zr), out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, gn, c = zr[:n], zr[n:], gh[2 * n:], gx[2 * n:]
+        c += r * gn
+        np.tanh(c, out=c)
+        after = h - c
+        after *= z
+        after += c
+        return after, z, r, c, gn
+
+    def losses(self, hs: np.ndarray, ids: np.ndarray, grad: dict | None = None):
+        """Log-probabilities of ids given states (rows); with ``grad``, also the gradient to the states."""
+        order = np.argsort(ids.astype(np.uint16), kind="stable")  # so the members of a class are together
+        hs, ids = hs[order], ids[order]
+        cls, member = np.divmod(ids, self.m)
+        logits = hs @ self.p["wc"]
+        logits += self.p["bc"]
+        np.clip(logits, -LIMIT, LIMIT, out=logits)
+        rows = np.arange(len(ids))
+        own = logits[rows, cls]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
-        out = out - np.log(total)
+        total = logits @ np.ones(self.k, np.float32)
+        own -= np.log(total)
         dh = None
         if grad is not None:
             logits /= total[:, None]
-            logits[np_, cls] -= 1
+            logits[rows, cls] -= 1
             grad["wc"] += hs.T @ logits
-            grad["bc"] += logits.sum(0)
+            grad["bc"] += np.ones(len(ids), np.float32) @ logits
             dh = logits @ self.p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.k + 1))
+        edges = np.searchsorted(cls, np.arange(self.k + 1))
+        y = np.empty((len(ids), self.m), np.float32)
         for k in range(self.k):
-            at = order[edges[k]:edges[k + 1]]
-            if not len(at):
-                continue
-            x = hs[at]
-            y = x @ self.p["wo"][k] + self.p["bo"][k]
-            y -= y.max(1, keepdims=True)
-            rows, m = np.arange(len(at)), member[at]
-            own = y[rows, m]
-            np.exp(y, out=y)
-            total = y.sum(1)
-            out[at] += own - np.log(total)
-            if grad is not None:
-                y /= total[:, None]
-                y[rows, m] -= 1
-                grad["wo"][k] += x.T @ y
-                grad["bo"][k] += y.sum(0)
-                dh[at] += y @ self.p["wo"][k].T
+            i, j = edges[k], edges[k + 1]
+            if i < j:
+                np.matmul(hs[i:j], self.p["wo"][k], out=y[i:j])
+                y[i:j] += self.p["bo"][k]
+        np.clip(y, -LIMIT, LIMIT, out=y)
+        own += y[rows, member]
+        np.exp(y, out=y)
+        total = y @ np.ones(self.m, np.float32)
+        own -= np.log(total)
+        if grad is not None:
+            y /= total[:, None]
+            y[rows, member] -= 1
+            ones = np.ones(len(ids), np.float32)
+            for k in range(self.k):
+                i, j = edges[k], edges[k + 1]
+                if i < j:
+                    grad["wo"][k] += hs[i:j].T @ y[i:j]
+                    grad["bo"][k] += ones[:j - i] @ y[i:j]
+                    dh[i:j] += y[i:j] @ self.p["wo"][k].T
+        out = np.empty_like(own)
+        out[order] = own
+        if grad is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh
 
-    def train(self, streams: np.ndarray, end: int, window: int = 20, rate: float = 4e-3) -> None:
+    def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, end: int) -> tuple[np.ndarray, Gru]:
+        """The state after a window of inputs x and targets y (time, stream), and the gradient of the summed losses."""
+        steps, b, hid = *x.shape, self.h
+        out = Gru(self.words, self.top, self.m, hid)
+        grad = out.p
+        table = self.p["e"] @ self.p["wx"] + self.p["b"]  # few words, so once for each and not for each token
+        gx = np.ascontiguousarray(table[x].transpose(0, 2, 1))
+        stays = (x != end).astype(np.float32)
+        befores, hs, saved = np.empty((steps, hid, b), np.float32), np.empty((steps, hid, b), np.float32), []
+        for s in range(steps):
+            np.multiply(h, stays[s], out=befores[s])
+            h, z, r, c, gn = self.step(gx[s], befores[s])
+            hs[s] = h
+            saved.append((z, r, c, gn))
+        _, dhs = self.losses(hs.transpose(0, 2, 1).reshape(-1, hid), y.reshape(-1), grad)
+        dhs = np.ascontiguousarray(dhs.reshape(steps, b, hid).transpose(0, 2, 1))
+        dgx, dgh = np.empty((steps, 3 * hid, b), np.float32), np.empty((3 * hid, b), np.float32)
+        back = np.zeros((hid, b), np.float32)
+        for s in range(steps - 1, -1, -1):
+            z, r, c, gn = saved[s]
+            d = dhs[s]
+            d += back
+            dc = dgx[s, 2 * hid:]
+            np.multiply(d * (1 - z), 1 - c * c, out=dc)
+            np.multiply(d * (befores[s] - c), z * (1 - z), out=dgx[s, :hid])
+            np.multiply(dc * gn, r * (1 - r), out=dgx[s, hid:2 * hid])
+            dgh[:2 * hid] = dgx[s, :2 * hid]
+            np.multiply(dc, r, out=dgh[2 * hid:])
+            grad["wh"] += befores[s] @ dgh.T
+            back = self.p["wh"] @ dgh
+            back += d * z
+            back *= stays[s]
+        flat = x.reshape(-1)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        words, first = np.unique(flat[order], return_index=True)
+        own = np.add.reduceat(dgx.transpose(0, 2, 1).reshape(-1, 3 * hid)[order], first, axis=0)  # summed by input word
+        grad["b"] += own.sum(0)
+        grad["wx"] += self.p["e"][words].T @ own
+        grad["e"][words] = own @ self.p["wx"].T
+        return h, out
+
+    def train(self, streams: np.ndarray, end: int, window: int = 16, rate: float = 8e-3) -> None:
         """Adam over windows of parallel streams of input ids; a stream's state is cleared after the end token."""
-        b, n, hid = streams.shape[0], streams.shape[1] - 1, self.h
+        b, n = streams.shape[0], streams.shape[1] - 1
         first, second, t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
-        h = np.zeros((b, hid), np.float32)
+        h = np.zeros((self.h, b), np.float32)
         for at in range(0, n, window):
-            x, y = streams[:, at:at + window].T, streams[:, at + 1:at + 1 + window].T
-            x = x[:len(y)]
-            g = Gru(self.words, self.top, self.m, hid)
-            grad = g.p
-            ex = self.p["e"][x]
-            gx = ex @ self.p["wx"] + self.p["b"]
-            states, saved = [], []
-            for s in range(len(x)):
-                h = np.where((x[s] == end)[:, None], np.float32(0), h)
-                before = h
-                h, z, r, c, gn = self.step(gx[s], h)
-                states.append(h)
-                saved.append((before, z, r, c, gn))
-            hs = np.concatenate(states)
-            flat_y = y.reshape(-1)
-            cls = np.where(flat_y < self.top, flat_y // self.m, self.k + flat_y - self.top)
-            _, dhs = self.losses(hs, cls, flat_y % self.m, grad)
-            dhs = dhs.reshape(len(x), b, hid)
-            back = np.zeros((b, hid), np.float32)
-            dgx = np.empty_like(gx)
-            for s in range(len(x) - 1, -1, -1):
-                before, z, r, c, gn = saved[s]
-                d = dhs[s] + back
-                dc = d * (1 - z) * (1 - c * c)
-                dz = d * (before - c) * z * (1 - z)
-                dr = dc * gn * r * (1 - r)
-                dgx[s] = np.concatenate([dz, dr, dc], 1)
-                dgh = np.concatenate([dz, dr, dc * r], 1)
-                grad["wh"] += before.T @ dgh
-                back = d * z + dgh @ self.p["wh"].T
-                back[x[s] == end] = 0
-            grad["b"] += dgx.sum((0, 1))
-            wide = dgx.reshape(-1, 3 * hid)
-            grad["wx"] += ex.reshape(-1, hid).T @ wide
-            np.add.at(grad["e"], x.reshape(-1), wide @ self.p["wx"].T)
-            step = g.flat / len(hs)
-            norm = float(np.sqrt((step * step).sum()))
+            till = min(n, at + window)
+            h, g = self.gradient(streams[:, at:till].T, streams[:, at + 1:till + 1].T, h, end)
+            step = g.flat
+            step /= (till - at) * b
+            norm = float(np.sqrt(step @ step))
             if norm > 1:
                 step /= norm
             t += 1
-            first += 0.1 * (step - first)
-            second += 0.001 * (step * step - second)
-            self.flat -= (rate * first / (1 - 0.9 ** t) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)).astype(np.float32)
-
-    def score(self, docs: list[np.ndarray], end: int, window: int = 32) -> np.ndarray:
-        """Natural log-probability of the classes and members of each document's tokens, over whole documents."""
+            first *= 0.9
+            first += 0.1 * step
+            second *= 0.999
+            second += 0.001 * (step * step)
+            self.flat -= np.float32(rate / (1 - 0.9 ** t)) * first / (np.sqrt(second * np.float32(1 / (1 - 0.999 ** t))) + 1e-8)
+
+    def score(self, docs: list[np.ndarray], end: int, run: int = 4096) -> np.ndarray:
+        """Natural log-probability of the classes and members of each document's tokens, over whole documents.
+
+        Documents of like length go together, ``run`` at once, so that the states held are bounded; a state goes on to its
+        document's end.
+        """
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        size = np.array([len(docs[i]) for i in order])
         table = self.p["e"] @ self.p["wx"] + self.p["b"]
         out = np.zeros(len(docs))
-        h = np.zeros((len(docs), self.h), np.float32)
-        last = np.full(len(docs), end)
-        at = 0
-        while at < (size[0] if len(size) else 0):
-            live = int((size > at).sum())  # documents are in order of length
-            h, last = h[:live], last[:live]
-            width = min(window, int(size[0]) - at)
-            states, targets, who = [], [], []
-            y = np.full((live, width), -1)
-            for i in range(live):
-                part = docs[order[i]][at:at + width]
-                y[i, :len(part)] = part
-            for s in range(width):
-                on = int((size > at + s).sum())
-                if on < len(h):
-                    h, last = h[:on], last[:on]
-                h, *_ = self.step(table[last], h)
-                last = y[:on, s]
-                states.append(h)
-                targets.append(last)
-                who.append(np.arange(on))
-            ids = np.concatenate(targets)
-            cls = np.where(ids < self.top, ids // self.m, self.k + ids - self.top)
-            logs, _ = self.losses(np.concatenate(states), cls, ids % self.m)
-            out[:live] += np.bincount(np.concatenate(who), logs, minlength=live)
-            at += width
-        final = np.empty(len(docs))
-        final[order] = out
-        return final
+        for at in range(0, len(order), run):
+            out[order[at:at + run]] = self._run([docs[i] for i in order[at:at + run]], table, end, run)
+        return out
+
+    def _run(self, docs: list[np.ndarray], table: np.ndarray, end: int, run: int) -> np.ndarray:
+        size = np.array([len(d) for d in docs])
+        begin, flat = np.cumsum(size) - size, np.concatenate(docs)
+        live = np.searchsorted(-size, -np.arange(size[0]), "left")  # documents longer than each place
+        out = np.zeros(len(docs))
+        h, last = np.zeros((self.h, len(docs)), np.float32), np.full(len(docs), end)
+        states, targets, held = [], [], 0
+        for s in range(int(size[0])):
+            on = int(live[s])
+            if on < len(last):
+                h, last = np.ascontiguousarray(h[:, :on]), last[:on]
+            h, *_ = self.step(np.ascontiguousarray(table[last].T), h)
+            last = flat[begin[:on] + s]
+            states.append(h.T)
+            targets.append(last)
+            held += on
+            if held >= run or s + 1 == size[0]:
+                logs, _ = self.losses(np.concatenate(states), np.concatenate(targets))
+                who = np.concatenate([np.arange(len(t)) for t in targets])
+                out += np.bincount(who, logs, minlength=len(docs))
+                states, targets, held = [], [], 0
+        return out
 
 
 # --- on Spark
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(w, c)`` over all training documents, summed within the tasks first."""
-    def rows(of):
+    def run(batches):
         c: Counter = Counter()
-        for (text,) in of:
+        for (text,) in tuples(batches):
             c.update(tokens(text))
             if len(c) > FLUSH:
-                yield from c.items()
+                yield from _slices([list(c), list(c.values())], schema)
                 c.clear()
-        yield from c.items()
+        yield from _slices([list(c), list(c.values())], schema)
 
+    schema = pa.schema([("w", pa.binary()), ("n", pa.int64())])
     train = docs.where(~is_held_out(F.col("doc_id"))).select(F.col("text").cast("binary"))
-    return mapped(train, rows, pa.schema([("w", pa.binary()), ("n", pa.int64())]), "w binary, n bigint").groupBy("w").agg(
-        F.sum("n").alias("c"))
+    return train.mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("c"))
+
+
+def _slices(columns: list[list], schema: pa.Schema):
+    """Record batches of whole columns, some rows at a time."""
+    for at in range(0, len(columns[0]), OUT_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at:at + OUT_ROWS], t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
 def vocabulary(counts: DataFrame, top: int) -> list[tuple[bytes, int]]:
@@ -249,18 +309,17 @@ def dealt(text: DataFrame, copies: int) -> DataFrame:
 
 
 def trained(docs: DataFrame, vocab: list[tuple[bytes, int]], rare_mass: np.ndarray, top: int, per_class: int, hidden: int,
-            one_in: int, rounds: int, share: int, streams: int = 48) -> np.ndarray:
+            one_in: int, rounds: int, share: int, streams: int = 256) -> np.ndarray:
     """The weights after all rounds. share: tokens a copy is trained on, about."""
     index = {w: k for k, (w, _) in enumerate(vocab)}
     model = Gru(len(vocab), top, per_class, hidden)
-    model.begin(np.array([c for _, c in vocab] + [-0.005] * (top - len(vocab)), float), rare_mass)
-    model.p["bo"][np.arange(top).reshape(-1, per_class) >= len(vocab)] = -30
+    model.begin(np.array([c for _, c in vocab] + [-1.0] * (top - len(vocab)), float), rare_mass)
 
     def rows(of):
-        at = TaskContext.get().partitionId() << 40
+        at, units = TaskContext.get().partitionId() << 40, Units(index, top)
         for at, (doc_id, text) in enumerate(of, at):
-            ids = [index[w] if w in index else top + rare_class(w) for w in tokens(text)]
-            yield at, len(ids), np.array(ids, np.uint16).tobytes()
+            words = tokens(text)
+            yield at, len(words), np.fromiter(map(units.__getitem__, words), np.uint16, len(words)).tobytes()
 
     chosen = docs.where(~is_held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0))
     text = stage(mapped(chosen.select("doc_id", F.col("text").cast("binary")), rows,
@@ -304,12 +363,12 @@ def _blocks(of, size: int):
     for doc_id, out, text in of:
         if held and held + len(text or b"") > size:
             block, held = block + 1, 0
-        held += len(text or b"")
+        held += len(text or b"") + 16  # empty texts take room as well
         yield part + block, doc_id, out, text
 
 
 def scores(docs: DataFrame, top: int = 1024, per_class: int = 32, hidden: int = 24, one_in: int = 1, rounds: int = 1,
-           share: int = 400_000, block: int = 12_000_000) -> DataFrame:
+           share: int = 800_000, block: int = 12_000_000) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = stage(word_counts(docs), "counts")
@@ -337,16 +396,17 @@ def scores(docs: DataFrame, top: int = 1024, per_class: int = 32, hidden: int =
 
     src = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("out"), F.col("text").cast("binary").alias("text"))
 
-    def words(of):
+    def words(batches):
         now, seen = None, set()
-        for b, _, _, text in _blocks(of, block):
+        for b, _, _, text in _blocks(tuples(batches), block):
             if b != now:
-                yield from ((now, w) for w in seen)
+                yield from _slices([[now] * len(seen), list(seen)], asked_for)
                 now, seen = b, set()
             seen.update((text or b"").lower().split())
-        yield from ((now, w) for w in seen)
+        yield from _slices([[now] * len(seen), list(seen)], asked_for)
 
-    asked = mapped(src, words, pa.schema([("block", pa.int64()), ("w", pa.binary())]), "block bigint, w binary")
+    asked_for = pa.schema([("block", pa.int64()), ("w", pa.binary())])
+    asked = src.mapInArrow(words, "block bigint, w binary")
     known = asked.join(counts, "w").select("block", "w", "c")
     texts = mapped(src, lambda of: _blocks(of, block),
                    pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("out", pa.bool_()), ("text", pa.binary())]),
@@ -356,8 +416,9 @@ def scores(docs: DataFrame, top: int = 1024, per_class: int = 32, hidden: int =
         ids, out, text = (left.column(c).to_pylist() for c in ("doc_id", "out", "text"))
         c_of = dict(zip(right.column("w").to_pylist(), right.column("c").to_pylist()))
         c_of[END] = vocab[0][1]
-        local: dict[bytes, int] = {}
-        docs_ = [np.fromiter((local.setdefault(w, len(local)) for w in tokens(t)), np.int64) for t in text]
+        local: defaultdict[bytes, int] = defaultdict()
+        local.default_factory = local.__len__  # words are numbered as they come
+        docs_ = [np.array(list(map(local.__getitem__, tokens(t)))) for t in text]
         every = list(local)
         c = np.array([c_of.get(w, 0) for w in every], float)
         unit = np.array([index[w] if w in index else top + rare_class(w) for w in every])
@@ -367,9 +428,7 @@ def scores(docs: DataFrame, top: int = 1024, per_class: int = 32, hidden: int =
         if any(not x and not c[d].all() for x, d in zip(out, docs_)):
             raise RuntimeError("a training document has a word without a count: the input isn't the same each time")
         model = Gru(len(vocab), top, per_class, hidden, weights.value) if n else None
-        # in runs, so that the states held at once are bounded
-        got = np.concatenate([model.score([unit[d] for d in docs_[i:i + 2000]], 0) for i in range(0, len(docs_), 2000)]
-                             ) / math.log(10) if n else np.zeros(len(docs_))
+        got = model.score([unit[d] for d in docs_], 0) / math.log(10) if n else np.zeros(len(docs_))
         rare_part = np.array([own[d].sum() for d in docs_]) if n else 0.0
         return pa.table([pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array([len(d) for d in docs_], pa.int64()),
                          pa.array([int((c[d] > 0).sum()) for d in docs_], pa.int64()),
