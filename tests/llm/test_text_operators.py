@@ -105,29 +105,60 @@ def test_runs_meet_at_partition_borders(make, spark):
 # --- toxicity
 
 def plain_edits(a, b):
-    row = list(range(len(b) + 1))
+    """Least edits, neighbours in each other's place being one."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
-        new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_automaton_is_edit_distance():
     rng = np.random.default_rng(3)
-    stems, words = {"abcde": True, "ccab": False}, {"baddab": True, "eee": False}
-    lex = toxicity.Lexicon(stems, words)
-    for _ in range(4000):
-        w = "".join(rng.choice(list("abcde"), rng.integers(1, 9)))
-        best = 2
-        for t, fuzzy in stems.items():
-            d = min(plain_edits(t, w[:k])[-1] for k in range(len(w) + 1))
-            best = min(best, d if d == 0 or d == 1 and fuzzy else 2)
-        for t, fuzzy in words.items():
-            d = plain_edits(t, w)[-1]
-            best = min(best, d if d == 0 or d == 1 and fuzzy else 2)
+    stems, words = {"abcde": 1, "ccab": 0, "dcbadcba": 2}, {"baddab": 2, "eee": 0, "abba": 1}
+    lex, seen = toxicity.Lexicon(stems, words), Counter()
+    some = ["".join(rng.choice(list("abcde"), rng.integers(1, 9))) for _ in range(3000)]
+    for t in (*stems, *words):  # near the terms as well
+        for _ in range(300):
+            w = list(t)
+            for _ in range(rng.integers(1, 4)):
+                k = int(rng.integers(len(w)))
+                how = rng.integers(4)
+                w[k:k + 2] = (w[k:k + 2][::-1], w[k + 1:k + 2], [*"x", *w[k + 1:k + 2]], [w[k], "a", *w[k + 1:k + 2]])[how]
+                w = w or ["a"]
+            some.append("".join(w))
+    for w in some:
+        best = toxicity.NONE
+        for t, most in stems.items():
+            d = min(plain_edits(t, w[:k]) for k in range(len(w) + 1))
+            best = min(best, d if d <= most else toxicity.NONE)
+        for t, most in words.items():
+            d = plain_edits(t, w)
+            best = min(best, d if d <= most else toxicity.NONE)
         assert lex.match(w) == best, w
+        seen[best] += 1
+    assert min(seen[k] for k in range(4)) > 20
+
+
+def test_disguised_terms():
+    lex = toxicity.Lexicon({"idiot": 1, "scum": 1, "blockhead": 2}, {"stupid": 1})
+    for text in ("what an idoit", "stuipd thing", "scun here", "an id*ot, really", "s.c.u.m", "S-T-U-P-I-D!", "st@p!d", "blokchaed"):
+        assert toxicity.features(text, lex) == (0, 1, 0), text
+    for text in ("1.2.3.4 and a-b-c-d", "u.s.s.r", "i****", "mail me@home.org", "a*b*c*d*e", "", "*.*", "i*t"):
+        assert toxicity.features(text, lex) == (0, 0, 0), text
+    assert toxicity.features("idiot*s", lex) == (1, 0, 0)
+    assert toxicity.features("x" * 200_000, lex) == (0, 0, 0)
+
+
+def test_quotations_never_add_up_to_abuse():
+    lex = toxicity.Lexicon({"idiot": 1}, {})
+    text = " and then some more of it. ".join(['they wrote "idiot" there'] * 40)
+    a, b, q = toxicity.features(text, lex)
+    assert (a, b) == (0, 0) and q == 10
+    assert toxicity.features("idiot " * 40, lex)[0] == 40
+    assert toxicity._vector(a, b, q)[1:5] == [0, 0, 0, 0]
 
 
 def test_windows():
@@ -172,6 +203,8 @@ def test_quoted_terms_are_learned(make, spark):
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.score(make(rows), lab).collect()}
     assert all(got[i].predicted == (i % 6 == 0) for i in range(900))
+    many = (5000, " ".join([*rng.choice(names, 20), *(f'said "nastyword" {w}' for w in rng.choice(names, 10))]))
+    assert toxicity.score(make([*rows, many]), lab).where("doc_id = 5000").first().predicted == 0
 
 
 # --- decontamination

@@ -4,7 +4,10 @@ Words and word stems that mark toxic documents are learned from labelled rows. A
 by the states (trie node, edits) that it can reach; sets of such states are the states of a deterministic automaton that
 is built as words need it, so a word costs a table look-up a character and most die after a few. A hit's window decides
 what it counts: near quotation marks or words of reporting it is taken as quotation, near a second person as abuse.
-A logistic model over a document's sums of window scores gives the score.
+Letters hidden by symbols (id*ot) are met as any letter, words spelled out (s.c.u.m) by their letters. A logistic model over
+a document's sums of window scores, quoted ones apart, gives the score.
+
+A term is met within one edit or, if longer, two, as far as the sample's clean documents don't hold words so near to it.
 
 Fitting takes at most ``fit_rows`` labelled documents (by hash of doc_id), a documented bound; scoring covers every text.
 
@@ -36,8 +39,17 @@ SECOND = set("you your yours yourself u ur du dich dir dein deine euch euer tu t
 QUOTES = "\"“”„«»‘’'"
 #: Hits' windows reach so many characters to both sides.
 WINDOW = 48
-MIN_STEM, MAX_STEM, MIN_FUZZY = 4, 12, 5
-KNOWN = 1_000_000
+MIN_STEM, MAX_STEM = 4, 12
+#: Terms from these lengths on are met within one edit, and within two.
+ONE_EDIT, TWO_EDITS = 4, 8
+NONE = 3
+#: So many words' edits are kept at hand, none of them longer than LONG.
+KNOWN, LONG = 500_000, 48
+#: Letters hidden by symbols, and words spelled letter by letter; the first pattern of each tells whether to look at all.
+MASK = re.compile(r"[*#@$!]")
+MASKED_HINT, MASKED = re.compile(r"[*#@$!][^\W\d_]"), re.compile(r"(?<!\w)[^\W\d_]+(?:[*#@$!]+[^\W\d_]+)+(?!\w)")
+SPELLED_HINT = re.compile(r"[.\-_*·][^\W\d_][.\-_*·][^\W\d_]")
+SPELLED = re.compile(r"(?<!\w)[^\W\d_](?:[.\-_*·][^\W\d_]){3,}(?!\w)")
 
 
 def held_out(doc_id):
@@ -47,65 +59,78 @@ def held_out(doc_id):
 # --- the automaton
 
 class Lexicon:
-    """Trie of stems (any ending fits) and whole words; fuzzy ones are also met within one edit."""
+    """Trie of stems (any ending fits) and whole words, each with the number of edits within which it is met.
+
+    An edit is a character too many, left out or exchanged, or two neighbours in each other's place. A state is a set of
+    (node, edits, character that must come next to end an exchange of neighbours).
+    """
 
-    def __init__(self, stems: dict[str, bool], words: dict[str, bool]):
+    def __init__(self, stems: dict[str, int], words: dict[str, int]):
         self.children: list[dict[str, int]] = [{}]
-        self.stem: list[int] = [0]  # 1: exact only, 2: fuzzy as well
-        self.word: list[int] = [0]
+        self.stem: list[int] = [-1]  # edits allowed, -1: no term
+        self.word: list[int] = [-1]
+        self.deep: list[int] = [-1]  # the most edits that a term below the node allows
         for terms, mark in ((stems, self.stem), (words, self.word)):
-            for t, fuzzy in terms.items():
+            for t, edits in terms.items():
                 node = 0
                 for c in t:
+                    self.deep[node] = max(self.deep[node], edits)
                     if c not in self.children[node]:
                         self.children[node][c] = len(self.children)
                         self.children.append({})
-                        self.stem.append(0)
-                        self.word.append(0)
+                        for marks in (self.stem, self.word, self.deep):
+                            marks.append(-1)
                     node = self.children[node][c]
-                mark[node] = max(mark[node], 2 if fuzzy else 1)
+                self.deep[node] = max(self.deep[node], edits)
+                mark[node] = max(mark[node], int(edits))
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.found: list[tuple[int, int]] = []  # least edits to a stem, and to a word's end
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0, "")})
         self.known: dict[str, int] = {}
 
-    def _fits(self, mark: list[int], node: int, edits: int) -> bool:
-        return mark[node] > (1 if edits else 0)
-
-    def _state(self, pairs: set[tuple[int, int]]) -> int:
-        whole = set(pairs)
-        for node, e in pairs:
-            if e == 0:  # a character of the term left out
-                whole |= {(n, 1) for n in self.children[node].values()}
-        whole = frozenset(p for p in whole if p[1] == 0 or (p[0], 0) not in whole)
+    def _state(self, places: set[tuple[int, int, str]]) -> int:
+        least: dict[tuple[int, str], int] = {}
+        todo = list(places)
+        while todo:
+            node, e, wait = todo.pop()
+            if e > self.deep[node] or least.get((node, wait), NONE) <= e:
+                continue
+            least[node, wait] = e
+            if not wait:  # a character of the term left out
+                todo += [(n, e + 1, "") for n in self.children[node].values()]
+        whole = frozenset((n, e, w) for (n, w), e in least.items())
         if whole not in self.ids:
             self.ids[whole] = len(self.sets)
             self.sets.append(whole)
             self.steps.append({})
-            self.found.append(tuple(min((e for n, e in whole if self._fits(mark, n, e)), default=2)
+            self.found.append(tuple(min((e for n, e, w in whole if not w and e <= mark[n]), default=NONE)
                                     for mark in (self.stem, self.word)))
         return self.ids[whole]
 
     def _next(self, state: int, c: str) -> int:
         out = set()
-        for node, e in self.sets[state]:
-            kids = self.children[node]
-            if c in kids:
-                out.add((kids[c], e))
-            if e == 0:
-                out.add((node, 1))  # a character too many
-                out |= {(n, 1) for k, n in kids.items() if k != c}  # another character
+        for node, e, wait in self.sets[state]:
+            if wait:
+                if wait == c:
+                    out.add((node, e, ""))
+                continue
+            out.add((node, e + 1, ""))  # a character too many
+            for k, n in self.children[node].items():
+                out.add((n, e + (k != c), ""))  # the character, or another one
+                if k != c and c in self.children[n]:
+                    out.add((self.children[n][c], e + 1, k))  # neighbours in each other's place
+        out = {x for x in out if x[1] <= self.deep[x[0]]}
         self.steps[state][c] = to = self._state(out) if out else -1
         return to
 
     def match(self, word: str) -> int:
-        """0: a term, 1: within one edit of a fuzzy term, 2: neither."""
+        """Edits to the nearest term that allows as many; ``NONE`` if there is none."""
         got = self.known.get(word)
         if got is not None:
             return got
-        state, best = self.start, 2
+        state, best = self.start, NONE
         for c in word:
             to = self.steps[state].get(c)
             state = self._next(state, c) if to is None else to
@@ -117,11 +142,25 @@ class Lexicon:
                     break
         else:
             best = min(best, self.found[state][1])
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        self.known[word] = best
+        if len(word) <= LONG:
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            self.known[word] = best
         return best
 
+    def masked(self, word: str) -> bool:
+        """Whether a word with characters hidden by symbols is a term; at least half of its characters must be readable."""
+        if 2 * len(MASK.findall(word)) > len(word):
+            return False
+        nodes = {0}
+        for c in word:
+            nodes = {n for at in nodes for k, n in self.children[at].items() if k == c or MASK.match(c)}
+            if any(self.stem[n] >= 0 for n in nodes):
+                return True
+            if not nodes:
+                return False
+        return any(self.word[n] >= 0 for n in nodes)
+
 
 # --- documents
 
@@ -138,25 +177,37 @@ def _window(text: str, begin: int, end: int) -> tuple[bool, set[str]]:
 
 def window_score(text: str, begin: int, end: int) -> float:
     """1 for a plain hit, 0.25 for a quoted or reported one, half as much again before a second person."""
-    quoted, near = _window(text, begin, end)
-    score = 0.25 if quoted else 1.0
-    return score * 1.5 if near & SECOND else score
+    return _weight(*_window(text, begin, end))
+
 
+def _weight(quoted: bool, near: set[str]) -> float:
+    return (0.25 if quoted else 1.0) * (1.5 if near & SECOND else 1.0)
 
-def features(text: str, lex: Lexicon) -> tuple[float, float]:
-    """Sums of window scores of terms and of misspelled terms, each to at most 8 in quarters."""
+
+def disguised(text: str, lex: Lexicon):
+    """``(begin, end)`` of terms with hidden letters (id*ot) or spelled out (s.c.u.m), in a text in lower case."""
+    if SPELLED_HINT.search(text):
+        for m in SPELLED.finditer(text):
+            if lex.match(m[0][::2]) == 0:
+                yield m.span()
+    if MASKED_HINT.search(text):
+        for m in MASKED.finditer(text):
+            if all(lex.match(w) == NONE for w in WORD.findall(m[0])) and lex.masked(m[0]):
+                yield m.span()
+
+
+def features(text: str, lex: Lexicon) -> tuple[float, float, float]:
+    """Sums of window scores, in quarters: of plain terms, of misspelled or disguised ones, and of quoted ones of both kinds."""
     text = text.lower()
-    words = WORD.findall(text)
     match = lex.match
-    kinds = {w: k for w in set(words) if (k := match(w)) < 2}
-    if not kinds:
-        return 0.0, 0.0
-    sums = [0.0, 0.0]
-    for m in WORD.finditer(text):
-        k = kinds.get(m[0])
-        if k is not None:
-            sums[k] += window_score(text, m.start(), m.end())
-    return min(8.0, round(4 * sums[0]) / 4), min(8.0, round(4 * sums[1]) / 4)
+    kinds = {w: k for w in set(WORD.findall(text)) if (k := match(w)) < NONE}
+    hits = [(*m.span(), kinds[m[0]] > 0) for m in WORD.finditer(text) if m[0] in kinds] if kinds else []
+    hits += [(*at, True) for at in disguised(text, lex)]
+    sums = [0.0, 0.0, 0.0]
+    for begin, end, odd in hits:
+        quoted, near = _window(text, begin, end)
+        sums[2 if quoted else odd] += _weight(quoted, near)
+    return tuple(round(4 * x) / 4 for x in sums)
 
 
 # --- fitting
@@ -251,11 +302,11 @@ def choose(bad: dict[str, int], places: dict[str, int], good: dict[str, int], n_
     return sorted(stems), sorted(words)
 
 
-def logistic(table: list[tuple[float, float, int, int]], ridge: float = 0.1, steps: int = 50) -> np.ndarray:
-    """Newton's method on (sum, misspelled sum, label, documents) rows; the rows are few, as sums are in quarters."""
-    x = np.array([_vector(a, b) for a, b, _, _ in table])
-    y = np.array([t for _, _, t, _ in table], float)
-    n = np.array([c for _, _, _, c in table], float)
+def logistic(table: list[tuple[float, float, float, int, int]], ridge: float = 0.1, steps: int = 50) -> np.ndarray:
+    """Newton's method on (sum, misspelled sum, quoted sum, label, documents) rows; at most a row for each fitted document."""
+    x = np.array([_vector(a, b, q) for a, b, q, _, _ in table])
+    y = np.array([t for *_, t, _ in table], float)
+    n = np.array([c for *_, c in table], float)
     w = np.zeros(x.shape[1])
     keep = np.eye(len(w)) * ridge
     keep[0, 0] = 1e-6
@@ -267,10 +318,11 @@ def logistic(table: list[tuple[float, float, int, int]], ridge: float = 0.1, ste
     return w
 
 
-def _vector(a: float, b: float) -> list[float]:
-    """Misspelled terms count nine tenths of exact ones, unless the sample's documents tell otherwise."""
-    any_b, log_b = float(b >= 0.75), math.log1p(b)
-    return [1.0, float(a >= 0.75) + 0.9 * any_b, math.log1p(a) + 0.9 * log_b, any_b, log_b]
+def _vector(a: float, b: float, q: float) -> list[float]:
+    """Misspelled terms count nine tenths of exact ones, unless the sample's documents tell otherwise; quoted ones, however
+    many, have a feature of their own and are never taken for plain ones."""
+    any_b, log_b = float(b > 0), math.log1p(b)
+    return [1.0, float(a > 0) + 0.9 * any_b, math.log1p(a) + 0.9 * log_b, any_b, log_b, math.log1p(q)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[Lexicon, np.ndarray] | None:
@@ -288,45 +340,51 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[Lex
     quoted = frozenset(t for t in bad if good.get(t) and places.get(t, 0) >= least)
     plain_bad, plain_good = ({r["term"]: r["n"] for r in _counts(rows, k, quoted, _plain_terms).collect()} for k in (1, 0))
     stems, words = choose(bad, places, good, n_bad, n_good, plain_bad, plain_good)
-    every = [t for t in (*stems, *words) if len(t) >= MIN_FUZZY]
+    edits = {t: 2 if len(t) >= TWO_EDITS else 1 for t in (*stems, *words) if len(t) >= ONE_EDIT}
 
-    def misspelled(of):  # terms that are met by an edit in clean documents
-        alone = [(t, Lexicon({t: True} if t in stems else {}, {t: True} if t in words else {})) for t in every]
-        both = Lexicon(dict.fromkeys(stems, True), dict.fromkeys(words, True))
+    def misspelled(of):  # terms that are met by edits in clean documents, and by how many
+        alone = [(t, Lexicon({t: e} if t in stems else {}, {t: e} if t in words else {})) for t, e in edits.items()]
+        both = Lexicon({t: edits.get(t, 0) for t in stems}, {t: edits.get(t, 0) for t in words})
         c: Counter = Counter()
         for (text,) in of:
-            near = [w for w in set(WORD.findall(text.lower())) if both.match(w) == 1]
-            c.update({t for w in near for t, a in alone if a.match(w) == 1})
-        yield from c.items()
-
-    loose = {r["term"] for r in mapped(rows.where("toxic = 0").select("text"), misspelled,
-                                       pa.schema([("term", pa.string()), ("n", pa.int64())]), "term string, n bigint")
-             .groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") > max(1, 0.0005 * n_good)).collect()}
-    fuzzy = set(every) - loose
-    lex = Lexicon({t: t in fuzzy for t in stems}, {t: t in fuzzy for t in words})
+            near = [w for w in set(WORD.findall(text.lower())) if 0 < both.match(w) < NONE]
+            met = Counter()
+            for w in near:
+                met.update({(t, e) for t, one in alone if 0 < (e := one.match(w)) < NONE})
+            c.update(met.keys())
+        yield from ((t, e, n) for (t, e), n in c.items())
+
+    loose = {(r["term"], r["e"]) for r in mapped(
+        rows.where("toxic = 0").select("text"), misspelled,
+        pa.schema([("term", pa.string()), ("e", pa.int32()), ("n", pa.int64())]), "term string, e int, n bigint")
+        .groupBy("term", "e").agg(F.sum("n").alias("n")).where(F.col("n") > max(1, 0.0005 * n_good)).collect()}
+    edits = {t: 0 if (t, 1) in loose else 1 if (t, 2) in loose else e for t, e in edits.items()}
+    lex = Lexicon({t: edits.get(t, 0) for t in stems}, {t: edits.get(t, 0) for t in words})
 
     def scored(of):
         for toxic, text in of:
             yield (*features(text, lex), toxic)
 
     table = (mapped(rows.select("toxic", "text"), scored,
-                    pa.schema([("a", pa.float64()), ("b", pa.float64()), ("toxic", pa.int32())]),
-                    "a double, b double, toxic int").groupBy("a", "b", "toxic").count().collect())
-    return lex, logistic([(r["a"], r["b"], r["toxic"], r["count"]) for r in table])
+                    pa.schema([("a", pa.float64()), ("b", pa.float64()), ("q", pa.float64()), ("toxic", pa.int32())]),
+                    "a double, b double, q double, toxic int").groupBy("a", "b", "q", "toxic").count().collect())
+    return lex, logistic([(r["a"], r["b"], r["q"], r["toxic"], r["count"]) for r in table])
 
 
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, limit: float = 0.7) -> DataFrame:
-    """``(doc_id, held_out, score, predicted, hits, misspelled)`` per row; hits are sums of window scores."""
+    """``(doc_id, held_out, score, predicted, hits, misspelled, quoted)`` per row; the last three are sums of window scores."""
     model = fit(docs, labels, fit_rows)
 
     def rows(of):
         for doc_id, out, text in of:
-            a, b = features(text, model[0]) if model and text else (0.0, 0.0)
-            p = float(1 / (1 + math.exp(-max(-40.0, min(40.0, float(np.dot(model[1], _vector(a, b)))))))) if model else 0.0
-            yield doc_id, out, p, int(p >= limit), a, b
+            sums = features(text, model[0]) if model and text else (0.0, 0.0, 0.0)
+            p = float(1 / (1 + math.exp(-max(-40.0, min(40.0, float(np.dot(model[1], _vector(*sums)))))))) if model else 0.0
+            yield doc_id, out, p, int(p >= limit), *sums
 
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return mapped(src.select("doc_id", held_out(F.col("doc_id")), "text"), rows,
                   pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()),
-                             ("predicted", pa.int32()), ("hits", pa.float64()), ("misspelled", pa.float64())]),
-                  "doc_id bigint, held_out boolean, score double, predicted int, hits double, misspelled double")
+                             ("predicted", pa.int32()), ("hits", pa.float64()), ("misspelled", pa.float64()),
+                             ("quoted", pa.float64())]),
+                  "doc_id bigint, held_out boolean, score double, predicted int, hits double, misspelled double, "
+                  "quoted double")
