@@ -59,6 +59,38 @@ def test_quality_divergence(make):
     assert quality.judge(make([])).count() == 0 and quality.keep(make([])).count() == 0
 
 
+def test_classes_of_any_script():
+    import unicodedata
+    assert quality.char_classes("Ab1 ,#".encode()) == [1, 1, 1, 1, 1, 0]
+    assert quality.char_classes("Привет, МИР №5 «да»".encode()) == [7, 4, 1, 3, 1, 0]
+    assert quality.char_classes("漢字\u3000かな。é".encode()) == [1, 0, 0, 1, 0, 4]
+    assert sum(quality.char_classes("x\u0301 ".encode() + b"\xff")) == 3
+    for text in ("The the, THE", "ÉTÉ été, «été»"):
+        words = quality.folded_words(text.encode())
+        assert len(set(words)) == 1 and len(words) == 3
+    assert quality.folded_words(b"A | b.\xff |") == ["a".encode(), b"|", "b.\ufffd".encode(), b"|"]
+    some = [chr(c) for c in range(0x20, 0x3000, 7)]
+    for c in some:
+        if unicodedata.category(c) in ("Ll", "Lu"):
+            assert quality.char_classes(f"é{c}".encode())[unicodedata.category(c) == "Lu"] >= 1
+
+
+def test_shouted_and_littered_text_of_another_script(make):
+    rng = np.random.default_rng(2)
+    names = ["дом", "река", "камень", "идёт", "через", "над", "лес", "и", "на", "не"]
+    good = [(i, " ".join(rng.choice(names, 120))) for i in range(60)]
+    bad = [(100, good[0][1].upper()), (101, " ".join("№§¤ " + w for w in rng.choice(names, 120)))]
+    got = {r.doc_id: r for r in quality.judge(make(good + bad)).collect()}
+    assert all(got[i].kept for i, _ in good)
+    assert got[100].char_distance > quality.MAX_CHAR_DISTANCE and not got[100].kept and not got[101].kept
+
+
+def test_many_languages_give_few_references(spark):
+    rows = [(i, "".join(f"{c}" for c in f"l{i}") if i >= 300 else "en", "one two three four five six seven") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert set(quality.references(docs)) == {"en"} and quality.judge(docs).count() == 600
+
+
 def test_distance():
     assert quality.distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert quality.distance(np.array([2.0, 1]), np.array([4.0, 2])) == pytest.approx(0)

@@ -3,7 +3,9 @@
 Each document's histogram of character classes and of common words is held against the reference of its language by
 the Jensen-Shannon distance (base 2, so 0 to 1). The references are sums over all documents of the language. Guards:
 a document with fewer than ``min_chars`` characters isn't judged by its characters, one with fewer than ``min_words``
-words isn't judged by its words, and a language with fewer than ``min_docs`` documents gives no reference.
+words isn't judged by its words, and a language with fewer than ``min_docs`` documents, or a smaller part of all documents
+than ``LANGUAGE_SHARE``, gives no reference. Words are compared without case and without
+signs at their ends.
 
 Defined cases: a null text has no words. A document without a language, or in one without a reference, is held against
 all references and judged by the nearest; without any reference only the base rules hold. Repeated rows each get a row.
@@ -12,7 +14,9 @@ all references and judged by the nearest; without any reference only the base ru
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,36 +25,55 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.common import mapped, stage
 
-#: Classes of characters; every byte above 127 that starts a letter counts as a letter by its case.
+#: Classes of characters of any script; other: letters without case, and marks.
 CLASSES = ["lower", "upper", "digit", "stop", "symbol", "other"]
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 #: A document fails by its characters or by its words beyond these distances.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.47
 #: A common word has this share of its language's words.
 COMMON_SHARE = 0.002
+#: A language with a reference has this share of all documents.
+LANGUAGE_SHARE = 0.0005
 FLUSH = 200_000
 
 
-def _class_table() -> bytes:
-    """For bytes.translate: each byte's class as a digit; bytes that continue a character are 9, blanks 8."""
-    t = bytearray(b"9" * 256)
-    for b in range(256):
-        c = chr(b)
-        if b < 128:
-            t[b] = ord("0" if c.islower() else "1" if c.isupper() else "2" if c.isdigit() else
-                       "8" if c.isspace() else "3" if c in ".,;:'-" else "4")
-        elif b >= 0xC0:
-            t[b] = ord("5")
-    return bytes(t)
+def _class_of(c: str) -> str:
+    """A character's class as a digit; 8 for white space."""
+    if c.isascii():
+        return ("0" if c.islower() else "1" if c.isupper() else "2" if c.isdigit() else
+                "8" if c.isspace() else "3" if c in ".,;:'-" else "4")
+    kind = unicodedata.category(c)
+    return ("0" if kind == "Ll" else "1" if kind in ("Lu", "Lt") else "2" if kind[0] == "N" else "8" if kind[0] == "Z" else
+            "3" if kind[0] == "P" else "4" if kind[0] in "SC" else "5")
 
 
-TABLE = _class_table()
+#: For bytes.translate: the class of each ASCII character.
+TABLE = "".join(_class_of(chr(b)) for b in range(128)).encode() + b"9" * 128
+#: Signs that are taken off a word's ends.
+SIGNS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum()) + "«»“”„‘’‚…–—¿¡"
+ASCII_SIGNS = SIGNS.encode("ascii", "ignore")
+
+
+@cache
+def _all_classes() -> np.ndarray:
+    """Each code point's class, made once in a worker that meets texts beyond ASCII."""
+    return np.frombuffer("".join(_class_of(chr(c)) for c in range(0x110000)).encode(), np.uint8) - ord("0")
 
 
 def char_classes(text: bytes) -> list[int]:
     """Counts of the classes over code points that aren't white space."""
-    kinds = text.translate(TABLE)
-    return [kinds.count(b"%d" % k) for k in range(len(CLASSES))]
+    if text.isascii():
+        kinds = text.translate(TABLE)
+        return [kinds.count(b"%d" % k) for k in range(len(CLASSES))]
+    codes = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return np.bincount(_all_classes()[codes], minlength=len(CLASSES))[:len(CLASSES)].tolist()
+
+
+def folded_words(text: bytes) -> list[bytes]:
+    """Words in lower case without signs at their ends, so that `The`, `the` and `the,` are one; signs alone stay words."""
+    if text.isascii():
+        return [w.strip(ASCII_SIGNS) or w for w in text.lower().split()]
+    return [(w.strip(SIGNS) or w).encode() for w in text.decode("utf-8", "replace").lower().split()]
 
 
 def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
@@ -102,48 +125,54 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, d / 2)))
 
 
-def references(docs: DataFrame, min_docs: int = 20, share: float = COMMON_SHARE) -> dict:
+def references(docs: DataFrame, min_docs: int = 20, share: float = COMMON_SHARE, part: float = LANGUAGE_SHARE) -> dict:
     """Per language: character-class counts and common words with their counts, over all documents.
 
-    Words are counted within a task first and summed by Spark. A language has at most 1 / share common words, so the
-    result's size depends on the number of languages only.
+    Words are counted within a task first and summed by Spark. A language has at most 1 / share common words, and a
+    reference if it has min_docs documents and this part of all, so the result's size is bounded whatever ``lang`` holds.
     """
     def rows(of):
-        words: dict[str | None, Counter] = {}
-        chars: dict[str | None, np.ndarray] = {}
+        words: dict[str, Counter] = {}
+        chars: dict[str, np.ndarray] = {}
+        held = 0
 
         def flush():
             for lang, c in words.items():
                 for w, n in c.items():
                     yield lang, w, n
+            for lang, c in chars.items():
+                for k, n in enumerate(c.tolist()):
+                    yield lang, b" %d" % k, n  # no word starts with a blank
             words.clear()
+            chars.clear()
 
         for lang, text in of:
-            own = text.split()
-            words.setdefault(lang, Counter()).update(own)
+            own, c = folded_words(text), words.setdefault(lang, Counter())
+            held -= len(c) - 1
+            c.update(own)
+            held += len(c)
             chars[lang] = chars.get(lang, 0) + np.array([1, len(own), *char_classes(text)])
-            if sum(map(len, words.values())) > FLUSH:
+            if held > FLUSH:
                 yield from flush()
+                held = 0
         yield from flush()
-        for lang, c in chars.items():
-            for k, n in enumerate(c.tolist()):
-                yield lang, b" %d" % k, n  # no word starts with a blank
 
     src = docs.where("lang is not null and text is not null").select("lang", F.col("text").cast("binary"))
     counts = mapped(src, rows, pa.schema([("lang", pa.string()), ("w", pa.binary()), ("n", pa.int64())]),
                     "lang string, w binary, n bigint").groupBy("lang", "w").agg(F.sum("n").alias("n"))
     counts = stage(counts, "words")
-    totals: dict[str, dict[int, int]] = {}
-    for r in counts.where(F.substring("w", 1, 1) == b" ").collect():
-        totals.setdefault(r["lang"], {})[int(r["w"])] = r["n"]
+    sums = counts.where(F.substring("w", 1, 1) == b" ").groupBy("lang").agg(
+        *(F.max(F.when(F.col("w").cast("string") == f" {k}", F.col("n"))).alias(f"n{k}") for k in range(2 + len(CLASSES))))
+    every = sums.agg(F.sum("n0")).first()[0] or 0
+    totals = {r[0]: [n or 0 for n in r[1:]] for r in sums.where(F.col("n0") >= max(min_docs, part * every)).collect()}
     spark = docs.sparkSession
-    known = [(lang, int(c[1] * share)) for lang, c in totals.items() if c.get(0, 0) >= min_docs]
+    known = [(lang, int(c[1] * share)) for lang, c in totals.items()]
     if not known:
         return {}
     least = spark.createDataFrame(known, "lang string, least bigint")
     common = counts.join(F.broadcast(least), "lang").where(
         (F.col("n") >= F.greatest("least", F.lit(1))) & (F.substring("w", 1, 1) != b" "))
-    found: dict = {lang: {"words": {}, "chars": [totals[lang].get(k + 2, 0) for k in range(len(CLASSES))],
+    found: dict = {lang: {"words": {}, "chars": totals[lang][2:],
                           "total": totals[lang][1]} for lang, _ in known}
     for r in common.collect():
         found[r["lang"]]["words"][bytes(r["w"])] = r["n"]
@@ -187,11 +216,12 @@ class Rules:
         chars, symbols, dup, repeat = base_counts(text, words)
         failed = n < 10 or 100 * repeat > 20 * n
         counts = np.array(char_classes(text), float)
-        near = [_distances(counts, words, r) for r in ([refs[lang]] if lang in refs else refs.values())]
+        judged = folded_words(text)
+        near = [_distances(counts, judged, r) for r in ([refs[lang]] if lang in refs else refs.values())]
         by_char = min((c for c, _ in near if c is not None), default=None)
         by_word = min((w for _, w in near if w is not None), default=None)
         bad = (by_char is not None and counts.sum() >= self.min_chars and by_char > self.max_char
-               or by_word is not None and n >= self.min_words and by_word > self.max_word)
+               or by_word is not None and len(judged) >= self.min_words and by_word > self.max_word)
         return n, chars, symbols, dup, repeat, by_char, by_word, failed, not failed and not bad
 
 
