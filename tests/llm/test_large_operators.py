@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -319,6 +320,18 @@ def test_equal_texts_are_spread_over_copies(spark):
     assert sum(sizes) == 800 and max(sizes) < 200
 
 
+def test_words_by_batch_are_those_by_text():
+    texts = [None, "", " ", "A b\x0bC\tÄ\u00a0x \n", "x.", "one, two", "\x1c\x85 é", "Z" * 5000] + [t for _, t in ODD]
+    raw = pa.array([None if t is None else t.encode() for t in texts], pa.binary()).slice(1)
+    flat, n = recurrent_lm.split(raw)
+    want = [recurrent_lm.tokens(t)[:-1] for t in raw.to_pylist()]
+    assert flat.to_pylist() == [w for x in want for w in x] and n.tolist() == [len(x) for x in want]
+    known = [b" ", b"a", b"two"]
+    for part in (flat, flat.slice(2)):
+        assert recurrent_lm.units(part, pa.array(known, pa.binary()), 64).tolist() == [
+            known.index(w) if w in known else 64 + recurrent_lm.rare_class(w) for w in part.to_pylist()]
+
+
 def test_probabilities_sum_to_one():
     model = recurrent_lm.Gru(32, 32, 8, 6)
     rng = np.random.default_rng(0)

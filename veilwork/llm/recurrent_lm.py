@@ -24,10 +24,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter, defaultdict
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,10 @@ from veilwork.llm.common import OUT_ROWS, mapped, stage, tuples
 
 END = b" "  # no word is a blank
 RARE = 64
-FLUSH = 400_000
+#: Texts whose words are split at once.
+ROWS = 256
+#: Words gathered before their counts leave a task.
+FLUSH = 2_000_000
 #: Logits are held between these, in which float32 exponentials and their sums are exact enough.
 LIMIT = np.float32(60)
 
@@ -49,21 +54,6 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-class Units(dict):
-    """Ids of words: those of the vocabulary, and by spelling for others, of which a bounded number is kept."""
-
-    def __init__(self, index: dict[bytes, int], top: int):
-        super().__init__(index)
-        self.index, self.top = index, top
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH:
-            self.clear()
-            self.update(self.index)
-        self[word] = unit = self.index[word] if word in self.index else self.top + rare_class(word)
-        return unit
-
-
 def rare_class(word: bytes) -> int:
     """Class of a word outside the vocabulary: by its end and its first letters."""
     last = word[-1:]
@@ -71,6 +61,43 @@ def rare_class(word: bytes) -> int:
     return 16 * end + zlib.crc32(word[:2]) % 16
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and each text's number of words; as ``tokens`` without the ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
+    flat = lists.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends leaves empty ones
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    n = np.bincount(of[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return flat.filter(some).view(pa.binary()), n
+
+
+@cache
+def _beginnings() -> np.ndarray:
+    """``rare_class`` of a word by its first two bytes; of one byte alone, as if none followed (at 65536 and on)."""
+    return np.array([zlib.crc32(bytes([b >> 8, b & 255])) % 16 for b in range(65536)]
+                    + [zlib.crc32(bytes([b])) % 16 for b in range(256)])
+
+
+@cache
+def _endings() -> np.ndarray:
+    return np.array([rare_class(bytes([b])) // 16 for b in range(256)])
+
+
+def units(words: pa.Array, vocab: pa.Array, top: int) -> np.ndarray:
+    """Ids of words that aren't empty: their places in the vocabulary, or by spelling."""
+    at = pc.index_in(words, value_set=vocab).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    odd = np.flatnonzero(at < 0)
+    if len(odd):
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        begin, end = offsets[odd], offsets[odd + 1]
+        first = data[begin].astype(np.int64)
+        second = data[np.minimum(begin + 1, end - 1)]
+        spelled = _beginnings()[np.where(end - begin > 1, 256 * first + second, 65536 + first)]
+        at[odd] = top + 16 * _endings()[data[end - 1]] + spelled
+    return at
+
+
 # --- the model
 
 class Gru:
@@ -274,25 +301,30 @@ class Gru:
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(w, c)`` over all training documents, summed within the tasks first."""
     def run(batches):
-        c: Counter = Counter()
-        for (text,) in tuples(batches):
-            c.update(tokens(text))
-            if len(c) > FLUSH:
-                yield from _slices([list(c), list(c.values())], schema)
-                c.clear()
-        yield from _slices([list(c), list(c.values())], schema)
+        def counted():
+            c = pa.chunked_array(held, pa.binary()).value_counts()
+            c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+            return [pa.RecordBatch.from_arrays([c.field(0), c.field(1)], schema=schema).slice(k, OUT_ROWS)
+                    for k in range(0, len(c), OUT_ROWS)]
+
+        held, n, ends = [], 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                words, of = split(batch.column(0).slice(at, ROWS))
+                held, n, ends = [*held, words], n + len(words), ends + len(of)
+                if n > FLUSH:
+                    yield from counted()
+                    held, n = [], 0
+        if n:
+            yield from counted()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], schema=schema)
 
     schema = pa.schema([("w", pa.binary()), ("n", pa.int64())])
     train = docs.where(~is_held_out(F.col("doc_id"))).select(F.col("text").cast("binary"))
     return train.mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("c"))
 
 
-def _slices(columns: list[list], schema: pa.Schema):
-    """Record batches of whole columns, some rows at a time."""
-    for at in range(0, len(columns[0]), OUT_ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at:at + OUT_ROWS], t) for c, t in zip(columns, schema.types)], schema=schema)
-
-
 def vocabulary(counts: DataFrame, top: int) -> list[tuple[bytes, int]]:
     """The most frequent words, the end first; as many at most as ``top`` says, which bounds what the driver gets."""
     rows = counts.orderBy(F.desc("c"), "w").limit(top).collect()
@@ -311,20 +343,25 @@ def dealt(text: DataFrame, copies: int) -> DataFrame:
 def trained(docs: DataFrame, vocab: list[tuple[bytes, int]], rare_mass: np.ndarray, top: int, per_class: int, hidden: int,
             one_in: int, rounds: int, share: int, streams: int = 256) -> np.ndarray:
     """The weights after all rounds. share: tokens a copy is trained on, about."""
-    index = {w: k for k, (w, _) in enumerate(vocab)}
     model = Gru(len(vocab), top, per_class, hidden)
     model.begin(np.array([c for _, c in vocab] + [-1.0] * (top - len(vocab)), float), rare_mass)
 
-    def rows(of):
-        at, units = TaskContext.get().partitionId() << 40, Units(index, top)
-        for at, (doc_id, text) in enumerate(of, at):
-            words = tokens(text)
-            yield at, len(words), np.fromiter(map(units.__getitem__, words), np.uint16, len(words)).tobytes()
+    known = [w for w, _ in vocab]
+
+    def rows(batches):
+        place, words_of = TaskContext.get().partitionId() << 40, pa.array(known, pa.binary())
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                words, n = split(batch.column(0).slice(at, ROWS))
+                ends = np.cumsum(n)
+                ids = np.split(np.insert(units(words, words_of, top), ends, 0).astype(np.uint16), ends + np.arange(1, len(n) + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(place, place + len(n))), pa.array(n + 1),
+                     pa.array([x.tobytes() for x in ids[:len(n)]], pa.binary())], names=["at", "n", "ids"])
+                place += len(n)
 
     chosen = docs.where(~is_held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0))
-    text = stage(mapped(chosen.select("doc_id", F.col("text").cast("binary")), rows,
-                        pa.schema([("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]),
-                        "at bigint, n bigint, ids binary"), "train")
+    text = stage(chosen.select(F.col("text").cast("binary")).mapInArrow(rows, "at bigint, n bigint, ids binary"), "train")
     total = text.agg(F.sum("n")).first()[0] or 0
     if not total:
         return model.flat
@@ -357,6 +394,11 @@ def trained(docs: DataFrame, vocab: list[tuple[bytes, int]], rare_mass: np.ndarr
     return model.flat
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    out = column.combine_chunks()
+    return pa.concat_arrays(out.chunks) if isinstance(out, pa.ChunkedArray) else out
+
+
 def _blocks(of, size: int):
     """(block, doc_id, out, text) with blocks of about ``size`` bytes of a partition's documents in their order."""
     part, block, held = TaskContext.get().partitionId() << 32, 0, 0
@@ -397,13 +439,11 @@ def scores(docs: DataFrame, top: int = 1024, per_class: int = 32, hidden: int =
     src = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("out"), F.col("text").cast("binary").alias("text"))
 
     def words(batches):
-        now, seen = None, set()
-        for b, _, _, text in _blocks(tuples(batches), block):
-            if b != now:
-                yield from _slices([[now] * len(seen), list(seen)], asked_for)
-                now, seen = b, set()
-            seen.update((text or b"").lower().split())
-        yield from _slices([[now] * len(seen), list(seen)], asked_for)
+        for now, rows in groupby(_blocks(tuples(batches), block), key=lambda x: x[0]):
+            some = split(pa.array([text for *_, text in rows], pa.binary()))[0].unique()
+            for at in range(0, len(some), OUT_ROWS):
+                part = some.slice(at, OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now)), part], schema=asked_for)
 
     asked_for = pa.schema([("block", pa.int64()), ("w", pa.binary())])
     asked = src.mapInArrow(words, "block bigint, w binary")
@@ -413,26 +453,30 @@ def scores(docs: DataFrame, top: int = 1024, per_class: int = 32, hidden: int =
                    "block bigint, doc_id bigint, out boolean, text binary", 500)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, out, text = (left.column(c).to_pylist() for c in ("doc_id", "out", "text"))
-        c_of = dict(zip(right.column("w").to_pylist(), right.column("c").to_pylist()))
-        c_of[END] = vocab[0][1]
-        local: defaultdict[bytes, int] = defaultdict()
-        local.default_factory = local.__len__  # words are numbered as they come
-        docs_ = [np.array(list(map(local.__getitem__, tokens(t)))) for t in text]
-        every = list(local)
-        c = np.array([c_of.get(w, 0) for w in every], float)
-        unit = np.array([index[w] if w in index else top + rare_class(w) for w in every])
+        ids, out = (left.column(c).to_pylist() for c in ("doc_id", "out"))
+        flat, sizes = split(_whole(left.column("text")))
+        coded = flat.dictionary_encode()
+        every, ends = coded.dictionary, np.cumsum(sizes)
+        at = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(every))  # an end has the last number
+        begins = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])[:-1]
+        docs_ = np.split(at, begins[1:])
+        found = pc.index_in(every, value_set=_whole(right.column("w"))).fill_null(-1).to_numpy(zero_copy_only=False)
+        c = np.zeros(len(every) + 1)
+        c[:-1][found >= 0] = _whole(right.column("c")).to_numpy(zero_copy_only=False)[found[found >= 0]]
+        c[-1] = vocab[0][1]
+        unit = np.append(units(every, pa.array([w for w, _ in vocab], pa.binary()), top), 0)
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         cls = np.maximum(unit - top, 0)
         own = np.where(unit >= top, np.log10((c + 0.5) / (mass[cls] + 0.5 * (kinds[cls] + 1))), 0.0)
-        if any(not x and not c[d].all() for x, d in zip(out, docs_)):
+        unseen = np.add.reduceat(c[at] == 0, begins, dtype=np.int64)
+        if any(not x and k for x, k in zip(out, unseen)):
             raise RuntimeError("a training document has a word without a count: the input isn't the same each time")
         model = Gru(len(vocab), top, per_class, hidden, weights.value) if n else None
         got = model.score([unit[d] for d in docs_], 0) / math.log(10) if n else np.zeros(len(docs_))
-        rare_part = np.array([own[d].sum() for d in docs_]) if n else 0.0
-        return pa.table([pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array([len(d) for d in docs_], pa.int64()),
-                         pa.array([int((c[d] > 0).sum()) for d in docs_], pa.int64()),
-                         pa.array([n] * len(docs_), pa.int64()), pa.array([float(base[d].sum()) for d in docs_], pa.float64()),
+        rare_part = np.add.reduceat(own[at], begins) if n else 0.0
+        return pa.table([pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(sizes + 1, pa.int64()),
+                         pa.array(sizes + 1 - unseen, pa.int64()),
+                         pa.array([n] * len(docs_), pa.int64()), pa.array(np.add.reduceat(base[at], begins)),
                          pa.array((got + rare_part).tolist(), pa.float64())],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
