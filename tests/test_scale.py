@@ -18,3 +18,8 @@ def test_one_file_is_composed_by_all_cores(spark, source):
 def test_planted_leaks_are_searched_by_all_cores(spark):
     plan = q.QUERIES["leak_planted"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning" in plan
+
+
+def test_requests_are_made_without_a_join(spark):
+    plan = q._requests(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
