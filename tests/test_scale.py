@@ -1,9 +1,11 @@
-"""Work that is dealt over the tasks."""
+"""Work that is dealt over the tasks, and whole rows that are shuffled no more often than needed."""
 
 import pytest
 
+from veilwork.operators import requests
 from veilwork.plans import derive as d
 from veilwork.plans import queries as q
+from veilwork.session import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +25,10 @@ def test_planted_leaks_are_searched_by_all_cores(spark):
 def test_requests_are_made_without_a_join(spark):
     plan = q._requests(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_whole_requests_are_shuffled_by_row_only(spark):
+    reqs = q._requests(spark, SF)
+    done = requests.served(reqs.drop("uuid"), stage(q._known(reqs), "known"), d.SECRET)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" in plan and not [x for x in plan.splitlines() if "Join [uuid#" in x and "LeftOuter" in x]

@@ -104,8 +104,9 @@ def served(requests: DataFrame, mappings: DataFrame, secret: str, registry: Data
     found = _detected(accepted(requests, secret, registry), secret)
     staged = stage(found.withColumn("_row", F.monotonically_increasing_id()), "requests")
     out = an.apply_overrides(staged, an.overrides(mappings, secret), "_row")
-    out = out.join(_hits(staged, mappings), "_row", "left").join(
-        jsonrec.legacy_identities(mappings), "uuid", "left")
+    # by the row's number, as the others, so that whole requests are shuffled once
+    legacy = staged.filter(_is(_JSON_BACK)).select("_row", "uuid").join(jsonrec.legacy_identities(mappings), "uuid")
+    out = out.join(_hits(staged, mappings), "_row", "left").join(legacy.select("_row", "legacy"), "_row", "left")
     outdated = _is(_JSON_BACK) & F.coalesce("legacy", F.lit(False)) & (F.col("status") == 200)
     out = out.withColumn("error", F.when(outdated, LEGACY_ERROR).otherwise(F.col("error"))).withColumn(
         "status", F.when(outdated, 400).otherwise(F.col("status")))
