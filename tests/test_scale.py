@@ -2,6 +2,8 @@
 
 import pytest
 
+from veilwork.functions import spans as sp
+from veilwork.functions.rules import rules_for
 from veilwork.operators import requests
 from veilwork.plans import derive as d
 from veilwork.plans import queries as q
@@ -32,3 +34,8 @@ def test_whole_requests_are_shuffled_by_row_only(spark):
     done = requests.served(reqs.drop("uuid"), stage(q._known(reqs), "known"), d.SECRET)
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "LeftOuter" in plan and not [x for x in plan.splitlines() if "Join [uuid#" in x and "LeftOuter" in x]
+
+
+def test_a_text_is_asked_only_what_its_rules_ask():
+    assert "r'jan'" not in sp.detect_sql("text", tuple(rules_for("ZIP"))) and "r'jan'" in sp.detect_sql(
+        "text", tuple(rules_for("DATE")))
