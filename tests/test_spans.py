@@ -71,3 +71,60 @@ def test_detection_is_planned_once(spark, texts):
         "anonymized", "entities_detected", "entities")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("++@[A-Za-z0-9.-]+") == 1
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_bound_value_is_not_copied(spark):
+    """``let`` binds by the last step of an aggregate; a transform would copy its result, once for each level."""
+    from pyspark.sql import functions as F
+    from veilwork.functions import spans as sp
+    df = spark.range(1).select(sp.let(F.array(F.col("id")), lambda v: F.concat(v, v)).alias("x"),
+                               sp.let(F.lit(None).cast("string"), lambda v: F.coalesce(v, F.lit("none"))).alias("y"))
+    assert "transform(" not in df._jdf.queryExecution().analyzed().toString()
+    assert tuple(df.first()) == ([0, 0], "none")
+
+
+def test_few_and_many_spans_settle_alike(spark):
+    """Touching and lonely spans, few (compared at once) and many (by runs), give what a greedy choice over all gives."""
+    import random
+    from pyspark.sql import functions as F
+    from veilwork.functions import spans as sp
+    rng, rows = random.Random(3), []
+    for n in (0, 1, 2, 5, sp.FEW, sp.FEW + 1, 200):
+        for width in (2, 8, 60):
+            begins = [rng.randrange(0, 10 * n + 1) for _ in range(n)]
+            rows.append((len(rows), [(b, b + rng.randrange(1, width), "T", str(i), rng.choice([0.9, 0.95]), i, 1)
+                                     for i, b in enumerate(begins)]))
+
+    def greedy(spans):
+        kept = []
+        for s in sorted(spans, key=lambda s: (-s[4], -s[6], s[0] - s[1], s[5], s[0])):
+            if not any(s[0] < k[1] and s[1] > k[0] for k in kept):
+                kept.append(s)
+        return sorted(kept)
+
+    df = spark.createDataFrame(rows, f"id long, spans {sp.SPANS_TYPE}").select("id", sp.resolve(F.col("spans")).alias("r"))
+    assert {r.id: [tuple(s) for s in r.r] for r in df.collect()} == {i: greedy(s) for i, s in rows}
+
+
+def test_offsets_of_few_and_many_matches(spark):
+    """Places count characters in texts with and without other scripts, whatever the number of matches."""
+    from veilwork.functions import spans as sp
+    from veilwork.functions.rules import rules_for
+    texts_ = [f"{pad} ".join(f"MRN: A{i}-{i:04d}, 123-45-{i:04d}" for i in range(n)) for pad in ("x", "é\U00010400")
+              for n in (1, 2, 15, 16, 17, 140)]
+    df = spark.createDataFrame([(t,) for t in texts_], "text string").withColumn("s", sp.detect("text", rules_for("MRN", "SSN")))
+    for row in df.collect():
+        assert row.s and all(row.text[s.begin:s.end] == s.original for s in row.s)
+        assert {s.weight for s in row.s if s.ord == 901} == {len(s.original) + 5 for s in row.s if s.ord == 901}
+
+
+def test_types_by_halves(spark):
+    """Every type has its replacement, and the choice among them is not one long CASE."""
+    import re
+    from veilwork.functions import pseudonyms as ps
+    types = [t for t in ps.FAKE_SHAPES if t != "OTHER"] + ["PASSPORT", "A", "ZZZ"]
+    df = spark.createDataFrame([(t, {"DATE": "03/15/1975", "DOB": "03/15/1975", "ZIP": "02101"}.get(t, "1 Main St, Boston, MA 02101"))
+                                for t in types], "pii_type string, original string")
+    for r in df.selectExpr("*", "'u' AS uuid").withColumn("fake", ps.fake("k")).collect():
+        assert re.fullmatch(ps.FAKE_SHAPES.get(r.pii_type, ps.FAKE_SHAPES["OTHER"]), r.fake), r
+    assert "WHEN 'ZIP'" not in ps.fake_from_digest_sql("t", "v")
