@@ -128,3 +128,14 @@ def test_types_by_halves(spark):
     for r in df.selectExpr("*", "'u' AS uuid").withColumn("fake", ps.fake("k")).collect():
         assert re.fullmatch(ps.FAKE_SHAPES.get(r.pii_type, ps.FAKE_SHAPES["OTHER"]), r.fake), r
     assert "WHEN 'ZIP'" not in ps.fake_from_digest_sql("t", "v")
+
+
+def test_shapes_begin_as_they_are_looked_for():
+    """No shape begins with a character that the search for replacements passes over."""
+    import re
+    from veilwork.functions import pseudonyms as ps
+    from veilwork.operators import restore
+    others = [c for c in map(chr, range(32, 0x250)) if not re.match(restore._FIRST, c)]
+    tails = [" Abcdefgh", "000 Oak St, Salem, MA 00000", "ser0123456789ab@example.com", "ttps://example.org/0123456789", "X/XX/1999"]
+    assert not [c for c in others for t in [*tails, "55-123-4567", "0.1.2.3", "0123456789012345", "SN-0123456789"]
+                if any(re.match(s, c + t) for s in ps.FAKE_SHAPES.values())]
