@@ -4,7 +4,7 @@ import pytest
 
 from veilwork.functions import spans as sp
 from veilwork.functions.rules import rules_for
-from veilwork.operators import requests
+from veilwork.operators import profile, requests
 from veilwork.plans import derive as d
 from veilwork.plans import queries as q
 from veilwork.session import stage
@@ -39,3 +39,14 @@ def test_whole_requests_are_shuffled_by_row_only(spark):
 def test_a_text_is_asked_only_what_its_rules_ask():
     assert "r'jan'" not in sp.detect_sql("text", tuple(rules_for("ZIP"))) and "r'jan'" in sp.detect_sql(
         "text", tuple(rules_for("DATE")))
+
+
+def test_fields_that_their_key_decides_on_are_not_searched(spark, monkeypatch):
+    monkeypatch.setattr(sp, "detect_sql", lambda text, rules: (
+        f"if({text} = 'scan me', cast(array() as {sp.SPANS_TYPE}), cast(raise_error({text}) as {sp.SPANS_TYPE}))"))
+    p = {"first_name": "Jane", "last_name": "Doe", "dob": "01/15/1960", "zip": "03601", "name": "Jane Doe",
+         "provider_first_name": "Sam", "comment": "scan me", "extra": ""}
+    df = spark.createDataFrame([(1, "u", "T", p)], "doc_id long, identity string, identity_type string, "
+                                                   "profile map<string,string>")
+    out = profile.anonymize_profile(df, "k").first().anonymized
+    assert {k for k, v in p.items() if out[k] != v} == {"first_name", "last_name", "dob", "zip", "name"}
