@@ -50,3 +50,8 @@ def test_fields_that_their_key_decides_on_are_not_searched(spark, monkeypatch):
                                                    "profile map<string,string>")
     out = profile.anonymize_profile(df, "k").first().anonymized
     assert {k for k, v in p.items() if out[k] != v} == {"first_name", "last_name", "dob", "zip", "name"}
+
+
+def test_both_spans_of_a_note_come_from_one_pass(spark):
+    plan = q.QUERIES["external_overlap_join"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("RepartitionByExpression") + plan.count("Repartition ") == 1
