@@ -1,10 +1,11 @@
 """Work that is dealt over the tasks, and whole rows that are shuffled no more often than needed."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilwork.functions import spans as sp
 from veilwork.functions.rules import rules_for
-from veilwork.operators import profile, requests
+from veilwork.operators import profile, requests, restore
 from veilwork.plans import derive as d
 from veilwork.plans import queries as q
 from veilwork.session import stage
@@ -55,3 +56,34 @@ def test_fields_that_their_key_decides_on_are_not_searched(spark, monkeypatch):
 def test_both_spans_of_a_note_come_from_one_pass(spark):
     plan = q.QUERIES["external_overlap_join"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and plan.count("RepartitionByExpression") + plan.count("Repartition ") == 1
+
+
+def _shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+
+def test_only_units_that_fit_a_replacement_are_looked_up(spark):
+    df = spark.createDataFrame([("u", "Bob saw Ann, then Bob O.")], "uuid string, text string")
+    maps = spark.createDataFrame([("u", "Bob", "X"), ("u", "Bob O", "Y")], "uuid string, fake string, original string")
+    coded = df.join(restore.codes_of(maps), "uuid")
+    found = coded.select(restore.runs_of_units(F.col("text"), F.col("_codes")).alias("r")).first().r
+    assert sorted((r.begin, r.fake) for r in found) == [(0, "Bob"), (18, "Bob"), (18, "Bob O")]
+
+
+def test_what_was_found_is_shuffled_once(spark):
+    maps = spark.createDataFrame([], "uuid string, pii_type string, fake string, original string")
+    text = spark.createDataFrame([], "doc_id long, uuid string, anonymized string")
+    ledger = spark.createDataFrame([], "doc_id long, text_hash long, out_begin int, out_end int, original string")
+    assert _shuffles(restore.restore_by_ledger(text, ledger)) == 2     # the texts, the ledger
+    assert _shuffles(restore.restore_by_value(text, maps)) <= 8
+    fields = text.drop("anonymized").withColumn("anonymized", F.create_map(F.lit("k"), F.lit("v")))
+    assert _shuffles(profile.restore_profile(fields, maps)) <= 8
+
+
+def test_rows_with_null_keys_come_back(spark):
+    df = spark.createDataFrame([(None, "u", "call Bob"), (1, "u", "call Bob"), (2, None, "call Bob")],
+                               "doc_id long, uuid string, anonymized string")
+    maps = spark.createDataFrame([("u", "Bob", "X")], "uuid string, fake string, original string")
+    back = restore.restore_by_value(df, maps).collect()
+    assert {r.doc_id: r.restored for r in back} == {None: "call X", 1: "call X", 2: "call Bob"}

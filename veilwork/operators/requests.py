@@ -90,9 +90,8 @@ def _hits(staged: DataFrame, mappings: DataFrame) -> DataFrame:
     rows = staged.select("_row", "uuid", _is(_PROFILE_BACK).alias("field"), F.explode_outer(
         F.when(F.col("status") == 200, _values())).alias("v")).filter(F.col("v.value").isNotNull())
     values = rows.select("_row", "uuid", "field", "v.leaf", "v.value")
-    found = restore.found_places(values, mappings, ["_row", "leaf"], whole=F.col("field") & F.col("value").rlike(
-        profile.SINGLE_NAME))
-    return found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("leaf", "places"))).alias("hits"))
+    found = restore.found_in_leaves(values, mappings, ["_row"], F.col("field") & F.col("value").rlike(profile.SINGLE_NAME))
+    return found.select("_same._row", "hits")
 
 
 def served(requests: DataFrame, mappings: DataFrame, secret: str, registry: DataFrame | None = None) -> DataFrame:
