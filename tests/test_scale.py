@@ -87,3 +87,15 @@ def test_rows_with_null_keys_come_back(spark):
     maps = spark.createDataFrame([("u", "Bob", "X")], "uuid string, fake string, original string")
     back = restore.restore_by_value(df, maps).collect()
     assert {r.doc_id: r.restored for r in back} == {None: "call X", 1: "call X", 2: "call Bob"}
+
+
+def test_shapes_are_found_in_one_pass(spark):
+    from veilwork.functions import pseudonyms as ps
+    text = "Anna Botakimu, 1234 Oak St, Dover, MA 021** a[REDACTED-OTHER] xMRN-12345678 MRN-12345678 90 or above"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(restore.candidates(F.col("t")).alias("c"))
+    found = [sorted((p.begin, p.fake) for p in r.c) for r in df.collect()]
+    assert found == [[(0, "Anna Botakimu"), (15, "1234 Oak St, Dover, MA 021**"), (38, "021**"), (45, "[REDACTED-OTHER]"),
+                      (76, "MRN-12345678"), (89, "90 or above")], [], []]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "regexp_extract" not in plan
+    assert set(ps.FAKE_SHAPES) == {n for _, names in restore._BY_FIRST for n in names}
